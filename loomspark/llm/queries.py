@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontaminate
+from loomspark.llm import bpe, decontaminate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,8 +29,20 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies; the package of the files is not part of this library."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return bpe.encode_digests(docs, tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_decontaminate": op1_decontaminate}
+    return {"op1_decontaminate": op1_decontaminate, "op7_bpe": op7_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
