@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe, decontaminate
+from loomspark.llm import bpe, decontaminate, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,8 +41,19 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_decontaminate": op1_decontaminate, "op7_bpe": op7_bpe}
+    return {"op1_decontaminate": op1_decontaminate, "op7_bpe": op7_bpe, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
