@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe, decontaminate, toxicity
+from loomspark.llm import bpe, decontaminate, pii, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_table(spark, sf_dir, "documents"), pii.Detector())
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return bpe.encode_digests(docs, tokenizer_path("word_bpe_49k.json"))
@@ -52,8 +56,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.train()).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_decontaminate": op1_decontaminate, "op7_bpe": op7_bpe, "op9_toxicity": op9_toxicity}
+    return {f.__name__: f for f in (op1_decontaminate, op5_pii, op7_bpe, op9_toxicity, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
