@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe, decontaminate, pii, toxicity, urls
+from loomspark.llm import bpe, decontaminate, pii, quality, token_files, toxicity, urls
+from loomspark.llm.shared import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,10 +37,23 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    judged = quality.judge(docs, model)
+    return judged.select("doc_id", "source", "lang", "evidence", "host_posterior", "path_posterior", "score", "keep")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_table(spark, sf_dir, "documents"), pii.Detector())
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "token-files")
+    token_files.write(_table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"))
+    return token_files.ids_crc32(token_files.read(spark, folder), ["doc_id", "start", "n_tokens"])
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return bpe.encode_digests(docs, tokenizer_path("word_bpe_49k.json"))
@@ -62,7 +76,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op5_pii, op7_bpe, op9_toxicity, op10_url_filter)}
+    return {f.__name__: f for f in (op1_decontaminate, op4_quality, op5_pii, op6_token_files, op7_bpe, op9_toxicity, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
