@@ -35,6 +35,7 @@ TRAIN_WINDOWS = 32
 WINDOW, STEP = 24, 12
 BUCKETS, DIMENSION = 1 << 17, 8
 EPOCHS, ROBUST, DECAY, LEAST_DOCS, LEAST_SHARE = 5, 0.0, 0.02, 3, 0.06
+CLEAN_WEIGHT = 3
 #: The softmax's fixed temperature: one word in a window can turn it.
 SCALE = WINDOW
 CACHE_WORDS = 400_000
@@ -138,19 +139,22 @@ class SubwordModel:
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, owners, self._window_scores(part_flat, part_start, part_size, flat, size, start))
         judged = aside if (labels[aside] == 1).any() and (labels[aside] == 0).any() else ~aside
-        self.bias[1] -= np.float32(_cut(best[judged], labels[judged]))
+        # and never below what a window without words scores
+        self.bias[1] -= np.float32(max(_cut(best[judged], labels[judged]), float(self.bias[1] - self.bias[0]) + 1.0))
         return self
 
     @staticmethod
     def _frequent(flat, size, owners, labels, part_flat, part_start, part_size) -> np.ndarray:
         """Which buckets occur in enough training documents of one class to be learnt from."""
-        pairs = np.unique(np.stack([np.repeat(owners, size), flat]), axis=1)
-        buckets = part_flat[_ranges(part_start[pairs[1]], part_size[pairs[1]])]
-        docs = np.repeat(pairs[0], part_size[pairs[1]])
-        once = np.unique(docs * BUCKETS + buckets)
-        bucket, toxic = once % BUCKETS, labels[once // BUCKETS] == 1
+        counts = [np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)]
+        start = np.cumsum(size) - size
+        edges = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1], [True]]))
+        for a, b in zip(edges[:-1], edges[1:]):  # one document at a time keeps memory small
+            words = np.unique(flat[start[a] : start[b - 1] + size[b - 1]])
+            buckets = np.unique(part_flat[_ranges(part_start[words], part_size[words])])
+            counts[int(labels[owners[a]])][buckets] += 1
         least = [max(LEAST_DOCS, LEAST_SHARE * (labels == k).sum()) for k in (1, 0)]
-        return (np.bincount(bucket[toxic], minlength=BUCKETS) >= least[0]) | (np.bincount(bucket[~toxic], minlength=BUCKETS) >= least[1])
+        return (counts[1] >= least[0]) | (counts[0] >= least[1])
 
     def _window_scores(self, part_flat, part_start, part_size, flat, size, start) -> np.ndarray:
         each = (self.table.astype(np.float64) @ (self.output[:, 1] - self.output[:, 0]).astype(np.float64))[part_flat]
@@ -190,11 +194,11 @@ def worst(scores: np.ndarray, owners: np.ndarray, index: np.ndarray) -> np.ndarr
 
 
 def _cut(best: np.ndarray, labels: np.ndarray) -> float:
-    """The log-odds that part the documents with most agreement, in the middle of the gap there."""
+    """The log-odds that part the documents best, in the middle of the gap there; a clean one lost weighs CLEAN_WEIGHT times."""
     order = np.argsort(best)
     value, toxic = best[order], labels[order] == 1
     # errors when all from place k on are called toxic: toxic ones before k, clean ones from k on
-    errors = np.concatenate([[0], np.cumsum(toxic)]) + (~toxic).sum() - np.concatenate([[0], np.cumsum(~toxic)])
+    errors = np.concatenate([[0], np.cumsum(toxic)]) + CLEAN_WEIGHT * ((~toxic).sum() - np.concatenate([[0], np.cumsum(~toxic)]))
     k = int(len(errors) - 1 - np.argmin(errors[::-1]))
     low = value[k - 1] if k else value[0] - 1
     high = value[k] if k < len(value) else value[-1] + 1
