@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from loomspark.llm import licences
+
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 DECONTAMINATE = rf"""
@@ -25,4 +27,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc_words LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
 
-SQL = {"op1_decontaminate": DECONTAMINATE}
+SQL = {"op1_decontaminate": DECONTAMINATE, "op8_licences": licences.oracle()}

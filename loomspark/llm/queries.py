@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe, decontaminate, pii, quality, token_files, toxicity, urls
+from loomspark.llm import bpe, decontaminate, licences, pii, quality, token_files, toxicity, urls
 from loomspark.llm.shared import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.verdicts(licences.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -76,7 +80,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op4_quality, op5_pii, op6_token_files, op7_bpe, op9_toxicity, op10_url_filter)}
+    return {f.__name__: f for f in (op1_decontaminate, op4_quality, op5_pii, op6_token_files, op7_bpe, op8_licences, op9_toxicity, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
