@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe, decontaminate, licences, pii, quality, token_files, toxicity, urls
+from loomspark.llm import bpe, decontaminate, licences, neighbours, pii, quality, token_files, toxicity, urls
 from loomspark.llm.shared import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -80,7 +84,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op4_quality, op5_pii, op6_token_files, op7_bpe, op8_licences, op9_toxicity, op10_url_filter)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_neighbours, op4_quality, op5_pii, op6_token_files, op7_bpe, op8_licences, op9_toxicity, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
