@@ -246,10 +246,18 @@ def contamination(
     return docs.mapInArrow(run, schema)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Documents without any word inside a benchmark window, with their own columns."""
-    report = contamination(docs, benchmark, **options)
-    return report.where(~F.col("contaminated")).select(*docs.columns)
+def remove_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW
+) -> DataFrame:
+    """Documents without any word inside a benchmark window, with all their own columns."""
+    blocks = _test_blocks(benchmark, item_id, item_text, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, n_hit, _ = _report(batch.column(batch.schema.get_field_index(text)), blocks)
+            yield batch.filter(pa.array(n_hit == 0))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def longest_matches(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe, decontaminate, licences, neighbours, pii, quality, token_files, toxicity, urls
+from loomspark.llm import bpe, decontaminate, jaccard, licences, neighbours, pii, quality, token_files, toxicity, urls
 from loomspark.llm.shared import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.duplicate_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -59,8 +63,9 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return bpe.encode_digests(docs, tokenizer_path("word_bpe_49k.json"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    results = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    return bpe.encode(docs, tokenizer_path("word_bpe_49k.json"), results).select("doc_id", *results)
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +89,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_neighbours, op4_quality, op5_pii, op6_token_files, op7_bpe, op8_licences, op9_toxicity, op10_url_filter)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard_join, op3_neighbours, op4_quality, op5_pii, op6_token_files, op7_bpe, op8_licences, op9_toxicity, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
