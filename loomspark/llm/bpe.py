@@ -244,45 +244,36 @@ def text_groups(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[tu
         yield start, len(texts)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
-    """docs with the array of token ids and, where asked for, the decoded text; such columns are replaced."""
-    new = [(ids, "array<int>")] + ([(decoded, "string")] if decoded else [])
-    kept = [c for c in docs.columns if c not in dict(new)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker = encoder(path)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            for a in range(0, len(column), 512):
-                part = batch.slice(a, 512)
-                pairs = [p for x, y in [(part.column(part.schema.get_field_index(text)).to_pylist(), 0)] for g, h in text_groups(x) for p in worker.encode_batch(x[g:h])]
-                flat = np.frombuffer(b"".join(p[0] for p in pairs), dtype="<u4").astype(np.int32)
-                ends = np.concatenate([[0], np.cumsum([len(p[0]) // 4 for p in pairs])]).astype(np.int32)
-                made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-                if decoded:
-                    made.append(pa.array([p[1] for p in pairs], pa.binary()).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), *made], names=[*kept, *dict(new)])
-
-    shape = docs.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(None).cast(kind).alias(c) for c, kind in new])
-    return docs.mapInArrow(run, shape.schema)
+#: What encode can return, and its types.
+RESULTS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+def encode(docs: DataFrame, path: str, results: list[str], text: str = "text") -> DataFrame:
+    """docs with the asked-for results (names of RESULTS) of encoding and decoding each text; columns of such names are replaced.
 
+    n_tokens, the ids, the text decoded from them, and SHA-256 digests: of the ids as little-endian
+    unsigned 32-bit integers, and of the decoded text in UTF-8.
+    """
+    kept = [c for c in docs.columns if c not in results]
 
-def encode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each text its token count and the digests of its ids and of the text decoded from them."""
+    def made(pairs: list[tuple[bytes, bytes]], name: str) -> pa.Array:
+        if name == "n_tokens":
+            return pa.array([len(ids) // 4 for ids, _ in pairs], pa.int64())
+        if name == "ids":
+            ends = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids, _ in pairs])]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids for ids, _ in pairs), dtype="<u4").astype(np.int32)))
+        if name == "decoded":
+            return pa.array([decoded.decode("utf-8") for _, decoded in pairs], pa.string())
+        side = 0 if name == "ids_sha256" else 1
+        return pa.array([hashlib.sha256(pair[side]).hexdigest() for pair in pairs], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = encoder(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            counts, ids_hex, text_hex = [], [], []
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             for a, b in text_groups(texts):
-                for ids, decoded in worker.encode_batch(texts[a:b]):
-                    counts.append(len(ids) // 4)
-                    ids_hex.append(hashlib.sha256(ids).hexdigest())
-                    text_hex.append(hashlib.sha256(decoded).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                pairs, part = list(worker.encode_batch(texts[a:b])), batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), *(made(pairs, r) for r in results)], names=[*kept, *results])
 
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, DIGEST)
+    shape = docs.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(None).cast(RESULTS[r]).alias(r) for r in results])
+    return docs.mapInArrow(run, shape.schema)
