@@ -8,7 +8,7 @@ rule it out. Each row also holds its shard and the number of ids before it in th
 a document's global start needs only the shards' totals.
 
 The tokenizers library encodes. Byte-level BPE never merges across a blank that follows a
-visible character, so a text is cut there and each distinct piece is encoded once per worker.
+visible character, so a text is cut there and each distinct word is encoded once per worker.
 
 Defined results: null texts are encoded as empty ones (only the end id); rows without a
 doc_id come first; rows that repeat a doc_id follow each other, ordered by text; extra
@@ -18,6 +18,7 @@ columns are left out.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,50 +29,89 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 END_ID = 0
-#: Pieces whose ids a worker remembers; beyond it, it starts anew.
-CACHE_PIECES = 400_000
+#: Words and pieces of words whose ids a worker remembers; beyond it, it starts anew.
+CACHE_WORDS, CACHE_PIECES = 400_000, 800_000
 #: Characters of text that one file should hold.
 FILE_CHARS = 64 << 20
 ROW_INDEX_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
 
-_DOUBLE = re.compile(r"\s | \s")
+# The white space, letters and numbers of the vocabulary's split rule below U+0250.
+_SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0"
+_LETTER = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-" + chr(0x24F)
+_NUMBER = "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
+_WIDE = re.compile(f"[^{chr(0)}-{chr(0x24F)}]")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_PARTING = re.compile(r"(?<=\S) (?=\S)")
 
 
 class PieceEncoder:
-    """Ids of texts by the library, remembered by pieces between blanks."""
+    """Ids of texts by the library, remembered by the words between blanks and by the pieces of words.
+
+    A text is cut before blanks that stand between visible characters. A word that is new is
+    cut by the vocabulary's rule, and the library's model merges each piece that is new; words
+    beyond the rule's narrow range, or with an added token, go through the library whole.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        spare = iter(range(0x100, 0x200))
+        #: The character that the model reads for each byte.
+        self.characters = {b: b if b in plain else next(spare) for b in range(256)}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit integers, the end id last."""
-        end = END_ID.to_bytes(4, "little")
-        pieces = [self._pieces(t) if t else [] for t in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known = {}
-        new = [p for p in set().union(*pieces) if p not in self.known]
-        for a in range(0, len(new), 8192):
-            part = new[a : a + 8192]
-            for piece, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[piece] = np.array(made.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, p)) + end for p in pieces]
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        """A text cut before each blank that stands between two visible characters; the pieces joined are the text."""
-        if _DOUBLE.search(text):
-            return _careful_pieces(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
-
-
-def _careful_pieces(text: str) -> list[str]:
-    cuts = [0, *(m.start() for m in re.finditer(r"(?<=\S) (?=\S)", text)), len(text)]
-    return [text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
+        if len(self.words) > CACHE_WORDS:
+            self.words = {}
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces = {}
+        end, words = END_ID.to_bytes(4, "little"), self.words
+        out = []
+        for text in texts:
+            if not text:
+                out.append(end)
+                continue
+            first, *rest = text.split(" ")
+            found = list(map(words.get, rest))
+            if None in found and not self._learn({w for w, ids in zip(rest, found) if ids is None}):
+                # blanks beside white space: only those between visible characters part words
+                cuts = [0, *(m.start() for m in _PARTING.finditer(text)), len(text)]
+                first, found = text[: cuts[1]], [self._encode(text[a:b]) for a, b in zip(cuts[1:], cuts[2:])]
+            elif None in found:
+                found = list(map(words.__getitem__, rest))
+            out.append(b"".join([self._encode(first), *found, end]))
+        return out
+
+    def _learn(self, new: set[str]) -> bool:
+        """Remember new words; false if one is empty or touches white space, so that the blank before or after it parts nothing."""
+        clean = True
+        for word in new:
+            if word and not word[0].isspace() and not word[-1].isspace():
+                self.words[word] = self._encode(" " + word)
+            else:
+                clean = False
+        return clean
+
+    def _encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if _WIDE.search(text) or any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        out = []
+        for piece in _PIECES.findall(text):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                read = piece.encode("utf-8").decode("latin-1").translate(self.characters)
+                ids = self.pieces[piece] = struct.pack(f"<{len(made)}I", *made) if (made := [t.id for t in self.model.tokenize(read)]) else b""
+            out.append(ids)
+        return b"".join(out)
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
