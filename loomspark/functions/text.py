@@ -293,4 +293,5 @@ def list_items(c: Column) -> Column:
 
 
 def clamp_confidence(c: Column, default: float) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c.try_cast("double"))), F.lit(default))
+    value = c.try_cast("double")
+    return F.when(value.isNull() | F.isnan(value), F.lit(default)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
