@@ -30,9 +30,7 @@ from tokenizers import Tokenizer
 
 END_ID = 0
 #: Words and pieces of words whose ids a worker remembers; beyond it, it starts anew.
-CACHE_WORDS, CACHE_PIECES = 400_000, 800_000
-#: Characters of text that one file should hold.
-FILE_CHARS = 64 << 20
+CACHE_WORDS, CACHE_PIECES = 600_000, 800_000
 ROW_INDEX_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
 
@@ -102,6 +100,8 @@ class PieceEncoder:
     def _encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if (whole := self.pieces.get(text)) is not None:
+            return whole
         if _WIDE.search(text) or any(t in text for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         out = []
@@ -134,10 +134,12 @@ def _groups(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Encode every text and write the ORC files, in ascending order of doc_id over the files' shards."""
-    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")), int(chars // FILE_CHARS) + 1)
+def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", files: int | None = None) -> None:
+    """Encode every text and write the ORC files, in ascending order of doc_id over the files' shards.
+
+    There are as many files as shuffle partitions, or as files says.
+    """
+    parts = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
     dealt = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(parts, F.col("doc_id"))
     ordered = dealt.sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
 
@@ -164,7 +166,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
         .option("orc.row.index.stride", str(ROW_INDEX_STRIDE))
         .option("orc.stripe.size", str(STRIPE_BYTES))
         .option("orc.create.index", "true")
-        .option("compression", "zstd")
+        .option("compression", "snappy")
         .orc(folder)
     )
 
