@@ -12,11 +12,12 @@ between different texts is lost:
    OR of its bitmaps, the range of their set sizes and the largest surplus of shingles over
    bits. A traversal of the tree against itself drops a pair of nodes when the bits they have
    in common, plus the surplus, are fewer than the overlap that their smallest sets would
-   need, or when no two of their sizes fit. Pairs that reach the leaves are compared exactly,
-   unless links already join them.
-4. A block of very many shingles is split into chunks, and each pair of chunks is a task's
+   need, or when no two of their sizes fit.
+4. Only members of pairs that reach the leaves get their shingles, and a finer tree over
+   them; the pairs that it leaves are compared exactly, unless links already join them.
+5. A block of very many shingles is split into chunks, and each pair of chunks is a task's
    group; so no group grows beyond two chunks.
-5. Links are merged to components by alternating stars, each round a written table.
+6. Links are merged to components by alternating stars, each round a written table.
 
 Hashes of 52 bits stand for shingles and of 64 bits for sets.
 
@@ -113,7 +114,7 @@ def _set_ids(sets: shingles.Sets) -> np.ndarray:
 
 
 def features(docs: DataFrame, levels: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_id and the prefix tokens, rarest first, of each document."""
+    """doc_id, n_shingles, set_id, the prefix tokens, rarest first, and the signature of each document."""
     shipped = docs.sparkSession.sparkContext.broadcast(levels)
     id_type = docs.schema[doc_id].dataType
 
@@ -127,9 +128,9 @@ def features(docs: DataFrame, levels: np.ndarray, doc_id: str = "doc_id", text:
                 keep = np.arange(len(order)) - np.repeat(sets.start, sets.size) < np.repeat(length, sets.size)
                 tokens = (order[keep] & shingles.HASH_MASK).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(tokens))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(sets.first, len(sets.size)), pa.array(sets.size), pa.array(_set_ids(sets)), lists], names=["doc_id", "n_shingles", "set_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(sets.first, len(sets.size)), pa.array(sets.size), pa.array(_set_ids(sets)), lists, pa.array(shingles.signatures(sets), pa.binary())], names=["doc_id", "n_shingles", "set_id", "tokens", "signature"])
 
-    shape = docs.select(F.col(doc_id).cast(id_type).alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("set_id"), F.lit(None).cast("array<long>").alias("tokens"))
+    shape = docs.select(F.col(doc_id).cast(id_type).alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("set_id"), F.lit(None).cast("array<long>").alias("tokens"), F.lit(None).cast("binary").alias("signature"))
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, shape.schema)
 
 
@@ -180,18 +181,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame
 class SignatureTree:
     """Bitmaps of a block's sets in a tree: leaves of LEAF sets, nodes of FAN children."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.size = np.array([len(s) for s in sets], dtype=np.int64)
-        bits = np.zeros((len(sets), shingles.SIGNATURE_BITS * 4), dtype=bool)
-        rows = np.repeat(np.arange(len(sets)), self.size)
-        flat = np.concatenate(sets)
-        bits[rows, (flat & np.uint64(bits.shape[1] - 1)).astype(np.int64)] = True
-        self.bitmap = np.packbits(bits, axis=1).view(np.uint64)
-        self.surplus = self.size - np.bitwise_count(self.bitmap).sum(axis=1, dtype=np.int64)
-        # like sizes and like sets beside each other keep the nodes' bitmaps sparse and ranges short
-        smallest = np.array([s[0] if len(s) else 0 for s in sets], dtype=np.uint64)
-        self.order = np.lexsort((smallest, (np.log(np.maximum(self.size, 1)) * 8).astype(np.int64)))
-        level = (self.bitmap[self.order], self.size[self.order], self.size[self.order], self.surplus[self.order])
+    def __init__(self, size: np.ndarray, bitmap: np.ndarray):
+        surplus = size - np.bitwise_count(bitmap).sum(axis=1, dtype=np.int64)
+        # like sizes and like sets beside each other keep the nodes' ranges short and bitmaps sparse
+        self.order = np.lexsort((bitmap[:, 0], (np.log(np.maximum(size, 1)) * 8).astype(np.int64)))
+        level = (bitmap[self.order], size[self.order], size[self.order], surplus[self.order])
         self.levels = [level]
         width = LEAF
         while len(level[0]) > 1:
@@ -234,6 +228,26 @@ class SignatureTree:
         return out
 
 
+def candidate_pairs(size: np.ndarray, maps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets that the bounds leave. Sets that can link have signatures of one width or of two neighbouring ones,
+    so each width has a tree of its own sets and, folded, of those of the next."""
+    width = np.array([len(m) // 8 for m in maps])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for w in np.unique(width):
+        own, wider = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        rows = np.concatenate([own, wider])
+        if len(rows) < 2:
+            continue
+        bitmap = np.frombuffer(b"".join(maps[i] for i in own), dtype=np.uint64).reshape(len(own), -1)
+        if len(wider):
+            bitmap = np.concatenate([bitmap, shingles.fold(np.frombuffer(b"".join(maps[i] for i in wider), dtype=np.uint64).reshape(len(wider), -1))])
+        a, b = SignatureTree(size[rows], bitmap).pairs()
+        keep = (a < len(own)) | (b < len(own))  # two wider ones meet in their own tree
+        left.append(rows[a[keep]])
+        right.append(rows[b[keep]])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Exact intersection sizes of pairs of sets."""
     size = np.array([len(sets[i]) + len(sets[j]) for i, j in zip(left, right)])
@@ -260,7 +274,9 @@ class Union:
 
 def block_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that join all sets of a block which links join: a spanning forest of its graph."""
-    left, right = SignatureTree(sets).pairs()
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    maps = shingles.bitmaps(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), 4 * shingles.signature_bits(size))
+    left, right = candidate_pairs(size, maps)
     union, out = Union(len(sets)), []
     batch = 64
     while len(left):
@@ -282,31 +298,54 @@ def block_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def links(dealt: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """set_id pairs (a, b) of spanning links of all groups."""
+GROUP = ["token", "left", "right"]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[tuple]]]:
+    """Consecutive rows of one group: its key and the rest of each row, a repeated set once."""
+    key, rows = None, []
+    for batch in batches:
+        for *here, set_id, size, data in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
+            if here != key:
+                if len(rows) > 1:
+                    yield key, rows
+                key, rows = here, []
+            if not rows or rows[-1][0] != set_id:
+                rows.append((set_id, size, data))
+    if len(rows) > 1:
+        yield key, rows
+
+
+def _grouped(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartition(parts, *GROUP).sortWithinPartitions(*GROUP, "set_id")
+
+
+def survivors(dealt: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
+    """The rows of dealt, with n_shingles, whose signatures allow a link within their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, held = None, [], []
+        for key, rows in _groups(batches):
+            size = np.array([r[1] for r in rows], dtype=np.int64)
+            left, right = candidate_pairs(size, [r[2] for r in rows])
+            kept = np.unique(np.concatenate([left, right]))
+            if len(kept):
+                yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(kept), pa.int64()) for k in key), pa.array([rows[i][0] for i in kept], pa.int64()), pa.array(size[kept])], names=[*GROUP, "set_id", "n_shingles"])
 
-        def close() -> Iterator[pa.RecordBatch]:
-            if len(ids) > 1:
-                pairs = block_links(held)
-                if pairs:
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in pairs], pa.int64()), pa.array([ids[j] for _, j in pairs], pa.int64())], names=["a", "b"])
+    rows = dealt.join(classes.select("set_id", "n_shingles", "signature"), "set_id").select(*GROUP, "set_id", "n_shingles", "signature")
+    return _grouped(rows, parts).mapInArrow(run, "token long, left long, right long, set_id long, n_shingles long")
 
-        for batch in batches:
-            for *here, set_id, data in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if here != key:
-                    yield from close()
-                    key, ids, held = here, [], []
-                if not ids or ids[-1] != set_id:
-                    ids.append(set_id)
-                    held.append(np.frombuffer(data, dtype=np.uint64))
-        yield from close()
 
-    rows = dealt.join(sets, "set_id").select("token", "left", "right", "set_id", "shingles")
-    grouped = rows.repartition(parts, "token", "left", "right").sortWithinPartitions("token", "left", "right", "set_id")
-    return grouped.mapInArrow(run, "a long, b long").distinct()
+def links(left_over: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """set_id pairs (a, b) of spanning links of all groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches):
+            pairs = block_links([np.frombuffer(r[2], dtype=np.uint64) for r in rows])
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i, _ in pairs], pa.int64()), pa.array([rows[j][0] for _, j in pairs], pa.int64())], names=["a", "b"])
+
+    rows = left_over.join(sets, "set_id").select(*GROUP, "set_id", "n_shingles", "shingles")
+    return _grouped(rows, parts).mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -333,10 +372,12 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
     described = materialise(features(docs, rarity(docs, text), doc_id, text), "shingle-features")
     filled = described.where("n_shingles > 0")
-    classes = materialise(filled.groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.min("doc_id").alias("least_id")), "shingle-classes")
+    classes = materialise(filled.groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("signature").alias("signature"), F.min("doc_id").alias("least_id")), "shingle-classes")
     found = materialise(blocks(classes), "shingle-blocks")
     dealt = materialise(members(classes, found), "shingle-members")
-    edges = links(dealt, sets_of(docs, dealt, text), parts)
+    left_over = materialise(survivors(dealt, classes, parts), "shingle-survivors")
+    sets = materialise(sets_of(docs, left_over, text), "shingle-sets")
+    edges = links(left_over, sets, parts)
     roots = materialise(components(edges), "shingle-roots")
     labelled = classes.select("set_id", "least_id").join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least_id", F.coalesce("root", "set_id").alias("root"))
     names = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))

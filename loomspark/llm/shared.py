@@ -21,11 +21,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: the lineage is cut and a lost executor loses nothing."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table to the shared folder and read it back: the lineage is cut and a lost executor loses nothing.
+
+    The shuffle files that led to the table go as soon as it is written.
+    """
+    spark = df.sparkSession
+    path, before = fresh_path(spark, name), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before else spark.conf.unset(_CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

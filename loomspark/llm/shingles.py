@@ -21,8 +21,8 @@ ROW_BITS = 12
 HASH_BITS = 64 - ROW_BITS
 HASH_MASK = np.uint64((1 << HASH_BITS) - 1)
 BLOCK_BYTES = 4 << 20
-#: Bits of a signature.
-SIGNATURE_BITS = 1024
+#: Least bits of a signature; each has 4 to 8 for a shingle.
+LEAST_BITS = 512
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -84,11 +84,29 @@ def identities(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def signatures(sets: Sets) -> np.ndarray:
-    """A bitmap of SIGNATURE_BITS for each row: one bit for each shingle."""
-    bits = np.zeros((len(sets.size), SIGNATURE_BITS), dtype=bool)
-    bits[sets.rows, (sets.hashes & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64)] = True
-    return np.packbits(bits, axis=1)
+def signature_bits(size: np.ndarray) -> np.ndarray:
+    """The power of two that is at least four times the size."""
+    return np.maximum(LEAST_BITS, 2 ** np.ceil(np.log2(np.maximum(4 * size, 1))).astype(np.int64))
+
+
+def bitmaps(hashes: np.ndarray, rows: np.ndarray, bits: np.ndarray) -> list[bytes]:
+    """For each row a bitmap of as many bits as bits says: one bit for each hash, by its low bits."""
+    start = np.concatenate([[0], np.cumsum(bits)])
+    flat = np.zeros(int(start[-1]), dtype=bool)
+    flat[start[rows] + (hashes & (bits[rows] - 1).astype(np.uint64)).astype(np.int64)] = True
+    packed, at = np.packbits(flat), start >> 3
+    return [packed[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+
+
+def signatures(sets: Sets) -> list[bytes]:
+    """A bitmap of each row's set, its width by the set's size."""
+    return bitmaps(sets.hashes, sets.rows, signature_bits(sets.size))
+
+
+def fold(bitmap: np.ndarray) -> np.ndarray:
+    """Bitmaps (rows of uint64) of half the width: both halves OR-combined, as fewer low bits of the same hashes give."""
+    half = bitmap.shape[1] // 2
+    return bitmap[:, :half] | bitmap[:, half:]
 
 
 def prefix_length(size: np.ndarray) -> np.ndarray:

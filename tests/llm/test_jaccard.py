@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from loomspark.llm import jaccard
+from loomspark.llm import jaccard, shingles
 from tests.llm import helpers
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -81,7 +81,9 @@ def test_signature_tree_loses_no_link():
         for _ in range(4):
             keep = core[rng.random(len(core)) > 0.08]
             sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**52, len(core) // 20, dtype=np.uint64)])))
-    left, right = jaccard.SignatureTree(sets).pairs()
+    size = np.array([len(s) for s in sets])
+    maps = shingles.bitmaps(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), shingles.signature_bits(size))
+    left, right = jaccard.candidate_pairs(size, maps)
     found = {tuple(sorted(p)) for p in zip(left.tolist(), right.tolist())}
     for i in range(len(sets)):
         for j in range(i):
