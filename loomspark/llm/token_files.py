@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 
 END_ID = 0
 #: Words and pieces of words whose ids a worker remembers; beyond it, it starts anew.
-CACHE_WORDS, CACHE_PIECES = 600_000, 800_000
+CACHE_WORDS, CACHE_PIECES = 500_000, 700_000
 ROW_INDEX_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
 
@@ -38,7 +38,7 @@ STRIPE_BYTES = 16 << 20
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0"
 _LETTER = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-" + chr(0x24F)
 _NUMBER = "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
-_WIDE = re.compile(f"[^{chr(0)}-{chr(0x24F)}]")
+_WIDE = f"[^{chr(0)}-{chr(0x24F)}]"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _PARTING = re.compile(r"(?<=\S) (?=\S)")
 
@@ -56,7 +56,9 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Finds what only the library's own rules read right.
+        self.whole = re.compile("|".join([_WIDE, *added])).search
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         spare = iter(range(0x100, 0x200))
         #: The character that the model reads for each byte.
@@ -92,7 +94,8 @@ class PieceEncoder:
         clean = True
         for word in new:
             if word and not word[0].isspace() and not word[-1].isspace():
-                self.words[word] = self._encode(" " + word)
+                text = " " + word
+                self.words[word] = self.pieces.get(text) or self._encode(text)
             else:
                 clean = False
         return clean
@@ -102,16 +105,17 @@ class PieceEncoder:
             return b""
         if (whole := self.pieces.get(text)) is not None:
             return whole
-        if _WIDE.search(text) or any(t in text for t in self.added):
+        if self.whole(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         out = []
         for piece in _PIECES.findall(text):
             ids = self.pieces.get(piece)
             if ids is None:
                 read = piece.encode("utf-8").decode("latin-1").translate(self.characters)
-                ids = self.pieces[piece] = struct.pack(f"<{len(made)}I", *made) if (made := [t.id for t in self.model.tokenize(read)]) else b""
+                made = [t.id for t in self.model.tokenize(read)]
+                ids = self.pieces[piece] = struct.pack(f"<{len(made)}I", *made)
             out.append(ids)
-        return b"".join(out)
+        return b"".join(out) if len(out) > 1 else out[0]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
