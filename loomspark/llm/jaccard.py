@@ -13,10 +13,11 @@ between different texts is lost:
    bits. A traversal of the tree against itself drops a pair of nodes when the bits they have
    in common, plus the surplus, are fewer than the overlap that their smallest sets would
    need, or when no two of their sizes fit.
-4. Only members of pairs that reach the leaves get their shingles, and a finer tree over
-   them; the pairs that it leaves are compared exactly, unless links already join them.
-5. A block of very many shingles is split into chunks, and each pair of chunks is a task's
-   group; so no group grows beyond two chunks.
+4. Pairs that reach the leaves join sets to candidate groups. There each set gets its
+   shingles once, and a finer tree; the pairs that it leaves are compared exactly, unless
+   links already join them.
+5. A block or group of very many shingles is split into chunks, and each pair of chunks is
+   one task's group; so none grows beyond two chunks.
 6. Links are merged to components by alternating stars, each round a written table.
 
 Hashes of 52 bits stand for shingles and of 64 bits for sets.
@@ -155,9 +156,7 @@ def members(classes: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[keep])), pa.array(flat[keep])], names=["set_id", "token"])
 
     rows = classes.select("set_id", "tokens").mapInArrow(spare, "set_id long, token long").join(found, "token")
-    own = F.pmod(F.xxhash64("set_id"), F.col("chunks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda k: F.struct(F.least(own, k).alias("left"), F.greatest(own, k).alias("right")))
-    return rows.select("token", "set_id", F.explode(pairs).alias("p")).select("token", "p.left", "p.right", "set_id")
+    return _deal(rows)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
@@ -320,31 +319,59 @@ def _grouped(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, *GROUP).sortWithinPartitions(*GROUP, "set_id")
 
 
-def survivors(dealt: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
-    """The rows of dealt, with n_shingles, whose signatures allow a link within their group."""
+def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs enough to join all that the given pairs join."""
+    union, out = Union(n), []
+    for p, q in zip(left.tolist(), right.tolist()):
+        x, y = union.root(p), union.root(q)
+        if x != y:
+            union.parent[y] = x
+            out.append((p, q))
+    return out
+
+
+def _pair_batch(rows: list[tuple], pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i, _ in pairs], pa.int64()), pa.array([rows[j][0] for _, j in pairs], pa.int64())], names=["a", "b"])
+
+
+def candidates(dealt: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
+    """set_id pairs (a, b) that join all sets of a block whose signatures allow links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _groups(batches):
-            size = np.array([r[1] for r in rows], dtype=np.int64)
-            left, right = candidate_pairs(size, [r[2] for r in rows])
-            kept = np.unique(np.concatenate([left, right]))
-            if len(kept):
-                yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(kept), pa.int64()) for k in key), pa.array([rows[i][0] for i in kept], pa.int64()), pa.array(size[kept])], names=[*GROUP, "set_id", "n_shingles"])
+        for _, rows in _groups(batches):
+            left, right = candidate_pairs(np.array([r[1] for r in rows], dtype=np.int64), [r[2] for r in rows])
+            if len(left):
+                yield _pair_batch(rows, _forest(len(rows), left, right))
 
     rows = dealt.join(classes.select("set_id", "n_shingles", "signature"), "set_id").select(*GROUP, "set_id", "n_shingles", "signature")
-    return _grouped(rows, parts).mapInArrow(run, "token long, left long, right long, set_id long, n_shingles long")
+    return _grouped(rows, parts).mapInArrow(run, "a long, b long").distinct()
+
+
+def candidate_groups(roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """token (the group's root), left, right, set_id, n_shingles: every set of a candidate group, dealt to its pairs of chunks."""
+    named = roots.select(F.col("root").alias("token"), F.col("node").alias("set_id")).union(roots.select("root", "root").distinct())
+    sized = named.join(classes.select("set_id", "n_shingles"), "set_id")
+    chunks = sized.groupBy("token").agg(F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES).alias("chunks"))
+    return _deal(sized.join(chunks, "token"), "n_shingles")
+
+
+def _deal(rows: DataFrame, *more: str) -> DataFrame:
+    """Each row to all pairs of chunks of its group that hold its own chunk."""
+    own = F.pmod(F.xxhash64("set_id"), F.col("chunks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda k: F.struct(F.least(own, k).alias("left"), F.greatest(own, k).alias("right")))
+    return rows.select("token", "set_id", *more, F.explode(pairs).alias("p")).select("token", "p.left", "p.right", "set_id", *more)
 
 
-def links(left_over: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+def links(groups: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """set_id pairs (a, b) of spanning links of all groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches):
             pairs = block_links([np.frombuffer(r[2], dtype=np.uint64) for r in rows])
             if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i, _ in pairs], pa.int64()), pa.array([rows[j][0] for _, j in pairs], pa.int64())], names=["a", "b"])
+                yield _pair_batch(rows, pairs)
 
-    rows = left_over.join(sets, "set_id").select(*GROUP, "set_id", "n_shingles", "shingles")
+    rows = groups.join(sets, "set_id").select(*GROUP, "set_id", "n_shingles", "shingles")
     return _grouped(rows, parts).mapInArrow(run, "a long, b long").distinct()
 
 
@@ -375,9 +402,9 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     classes = materialise(filled.groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("signature").alias("signature"), F.min("doc_id").alias("least_id")), "shingle-classes")
     found = materialise(blocks(classes), "shingle-blocks")
     dealt = materialise(members(classes, found), "shingle-members")
-    left_over = materialise(survivors(dealt, classes, parts), "shingle-survivors")
-    sets = materialise(sets_of(docs, left_over, text), "shingle-sets")
-    edges = links(left_over, sets, parts)
+    groups = materialise(candidate_groups(components(candidates(dealt, classes, parts)), classes), "shingle-groups")
+    sets = materialise(sets_of(docs, groups, text), "shingle-sets")
+    edges = links(groups, sets, parts)
     roots = materialise(components(edges), "shingle-roots")
     labelled = classes.select("set_id", "least_id").join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least_id", F.coalesce("root", "set_id").alias("root"))
     names = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
