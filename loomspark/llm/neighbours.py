@@ -5,7 +5,8 @@
 2. A bounded sample trains coarse centroids and, on what remains after taking the nearest
    centroid away, codebooks of 16 subspaces. Every entry is indexed: cell, codes, vector.
 3. Entries lie by cell in chunks of bounded size, so a crowded cell is split over tasks. A
-   query visits the cells nearest to it in all their chunks. In a chunk, tables of
+   query visits the cells nearest to it in all their chunks; how many, is read off the exact
+   neighbours of a sample, for without clusters neighbours lie in cells far apart. In a chunk, tables of
    query-to-codeword products score the codes; the best of them are scored exactly on the
    original vectors, in double precision, and only a query's few best leave the chunk.
 
@@ -20,6 +21,7 @@ rows of one id are that id once, with each of its different vectors a candidate.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,11 @@ SAMPLE_ROWS = 20_000
 SUBSPACES, CODEWORDS = 16, 64
 #: Entries for each cell that the number of cells aims at, and the most cells.
 PER_CELL, MOST_CELLS = 250, 4096
-#: Share of the cells that a query visits, and the least number.
+#: Share of the cells that a query visits at least, and the least number.
 PROBE_SHARE, LEAST_PROBES = 0.25, 12
+#: Share of the sample's exact neighbours whose cells must be visited. At most so many queries ask for
+#: them, among so many vectors that haven't trained the index (among all, where they are few).
+REACH, REACH_QUERIES, REACH_ROWS = 0.97, 1000, 10_000
 #: Entries of a chunk, and candidates of a chunk that are scored exactly for one query.
 CHUNK, RERANK = 4096, 96
 #: Queries that one task scores against a chunk.
@@ -74,6 +79,21 @@ class Index:
         product = 2 * unit @ self.centroids.T - (self.centroids**2).sum(axis=1)
         return np.argpartition(-product, n - 1, axis=1)[:, :n]
 
+    def reach(self, queries: np.ndarray, entries: np.ndarray, top: int) -> int:
+        """How many cells a query must visit to meet REACH of its nearest entries; equal vectors are left out."""
+        cell, visits = nearest(entries, self.centroids), []
+        for a in range(0, len(queries), 64):
+            block = queries[a : a + 64]
+            product = block @ entries.T
+            product[product > 1 - 1e-9] = -np.inf
+            best = np.argsort(-product, axis=1)[:, :top]
+            near = 2 * block @ self.centroids.T - (self.centroids**2).sum(axis=1)
+            place = np.argsort(np.argsort(-near, axis=1), axis=1)
+            found = np.take_along_axis(place, cell[best], axis=1)
+            visits.append(found[np.isfinite(np.take_along_axis(product, best, axis=1))])
+        visits = np.sort(np.concatenate(visits)) if visits else np.zeros(0, np.int64)
+        return int(visits[math.ceil(REACH * len(visits)) - 1]) + 1 if len(visits) else 1
+
     def estimates(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric scores (queries by entries): the product with the centroid, and with each codeword from a table."""
         out = np.repeat((queries @ self.centroids[cell])[:, None], len(codes), axis=1)
@@ -135,9 +155,17 @@ def search(vectors: DataFrame, is_query: Column, top: int = 5, vec_id: str = "ve
     if not count:
         return empty
     cells = int(min(MOST_CELLS, max(1, round(count / PER_CELL))))
-    sample = entries.select("embedding", F.xxhash64("embedding").alias("h")).orderBy("h").limit(SAMPLE_ROWS).select("embedding").toPandas()
-    index = spark.sparkContext.broadcast(Index(np.array(sample["embedding"].tolist(), dtype=np.float64), cells))
-    probes = max(LEAST_PROBES, round(PROBE_SHARE * cells))
+    sample = entries.select("embedding", F.xxhash64("embedding").alias("h")).orderBy("h").limit(SAMPLE_ROWS + REACH_ROWS).select("embedding").toPandas()
+    trained = np.array(sample["embedding"].tolist(), dtype=np.float64)
+    trained, others = trained[:SAMPLE_ROWS], trained[SAMPLE_ROWS:]
+    built = Index(trained, cells)
+    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
+    asked = queries.select("embedding", F.xxhash64(F.lit(1), "embedding").alias("h")).orderBy("h").limit(REACH_QUERIES).select("embedding").toPandas()
+    if not len(asked):
+        return empty
+    asked = normalised(np.array(asked["embedding"].tolist(), dtype=np.float64))
+    probes = max(LEAST_PROBES, round(PROBE_SHARE * cells), built.reach(asked, normalised(others if count > SAMPLE_ROWS + REACH_ROWS else np.concatenate([trained, others])), top))
+    index = spark.sparkContext.broadcast(built)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +189,6 @@ def search(vectors: DataFrame, is_query: Column, top: int = 5, vec_id: str = "ve
                 owner = pa.array(np.repeat(np.arange(len(part)), near.shape[1]))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(owner), pa.array(near.ravel().astype(np.int32)), part.column(1).take(owner)], names=["query_id", "cell", "embedding"])
 
-    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
     visits = materialise(queries.mapInArrow(visit, "query_id long, cell int, embedding array<double>"), "neighbour-visits")
     # a crowd of queries is dealt out in blocks as the entries are in chunks; again one row for each cell
     blocks = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("blocks"))
