@@ -34,7 +34,10 @@ SAMPLE_ROWS = 4000
 TRAIN_WINDOWS = 32
 WINDOW, STEP = 24, 12
 BUCKETS, DIMENSION = 1 << 17, 8
-EPOCHS, ROBUST, DECAY, LEAST_DOCS, LEAST_SHARE = 5, 0.0, 0.02, 3, 0.06
+EPOCHS, ROBUST, DECAY = 5, 0.0, 0.02
+#: An n-gram of at least so many training documents is learnt, at full rate where its log-odds lie SURE standard
+#: errors from none; the log-odds and errors of counts to which PRIOR_DOCS documents of average class are added.
+LEAST_DOCS, SURE, PRIOR_DOCS = 3, 4.0, 1.0
 CLEAN_WEIGHT = 3
 #: The softmax's fixed temperature: one word in a window can turn it.
 SCALE = WINDOW
@@ -54,9 +57,8 @@ def grams(word: str) -> list[int]:
 
 
 class SubwordModel:
-    def __init__(self, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.table = (rng.random((BUCKETS, DIMENSION), dtype=np.float32) - 0.5) / DIMENSION
+    def __init__(self):
+        self.table = np.zeros((BUCKETS, DIMENSION), dtype=np.float32)
         self.output = np.full((DIMENSION, 2), DIMENSION**-0.5, dtype=np.float32) * np.array([-1, 1], np.float32)
         self.bias = np.zeros(2, dtype=np.float32)
 
@@ -64,8 +66,8 @@ class SubwordModel:
         """Train on documents; labels 0 or 1. Table and softmax move together, by Adagrad.
 
         Labels are noisy, so the loss is the generalised cross-entropy: a window whose label the
-        model finds unlikely pulls less. Only n-grams of at least
-        LEAST_DOCS documents and LEAST_SHARE of a class move; what the rest say is left at nothing.
+        model finds unlikely pulls less. N-grams of fewer than LEAST_DOCS documents say nothing; the
+        others move the faster the surer their counts tell the classes apart, however rare they are.
         """
         rng = np.random.default_rng(seed)
         labels = np.asarray(labels)
@@ -95,7 +97,7 @@ class SubwordModel:
         flat = np.concatenate(windows)
         size = np.array([len(w) for w in windows], dtype=np.int64)
         start = np.cumsum(size) - size
-        moves = self._frequent(flat, size, owners, labels, part_flat, part_start, part_size)
+        rates = rate * self._evidence(flat, size, owners, labels, part_flat, part_start, part_size)
         memory_table = np.full(BUCKETS, 1e-10, np.float64)
         memory_output, memory_bias = np.full((DIMENSION, 2), 1e-4), np.full(2, 1e-4)
         for epoch in range(epochs):
@@ -126,15 +128,14 @@ class SubwordModel:
                 back = SCALE * (p @ self.output.T) / np.maximum(size[w], 1)[:, None]
                 g_word = _sum_rows(back[row], inverse, len(unique)) / np.maximum(part_size[unique], 1)[:, None]
                 touched, bucket_row = np.unique(buckets, return_inverse=True)
-                g_table = _sum_rows(g_word[of_word], bucket_row, len(touched)) * moves[touched][:, None] + DECAY * self.table[touched] / len(order)
+                g_table = _sum_rows(g_word[of_word], bucket_row, len(touched)) + DECAY * self.table[touched] / len(order)
                 memory_table[touched] += (g_table**2).mean(axis=1)
-                self.table[touched] -= (rate * g_table / np.sqrt(memory_table[touched])[:, None]).astype(np.float32)
+                self.table[touched] -= (rates[touched][:, None] * g_table / np.sqrt(memory_table[touched])[:, None]).astype(np.float32)
                 g_output, g_bias = SCALE * hidden.T @ p, p.sum(axis=0)
                 memory_output += g_output**2
                 memory_bias += g_bias**2
                 self.output -= (rate * g_output / np.sqrt(memory_output)).astype(np.float32)
                 self.bias -= (rate * g_bias / np.sqrt(memory_bias)).astype(np.float32)
-        self.table *= (moves | ~np.isin(np.arange(BUCKETS), part_flat))[:, None]  # what didn't move says nothing
         # a document is its worst window, so the softmax's zero is set where documents divide best
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, owners, self._window_scores(part_flat, part_start, part_size, flat, size, start))
@@ -144,8 +145,8 @@ class SubwordModel:
         return self
 
     @staticmethod
-    def _frequent(flat, size, owners, labels, part_flat, part_start, part_size) -> np.ndarray:
-        """Which buckets occur in enough training documents of one class to be learnt from."""
+    def _evidence(flat, size, owners, labels, part_flat, part_start, part_size) -> np.ndarray:
+        """From 0 to 1, how surely each bucket's training documents tell the classes apart."""
         counts = [np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)]
         start = np.cumsum(size) - size
         edges = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1], [True]]))
@@ -153,8 +154,11 @@ class SubwordModel:
             words = np.unique(flat[start[a] : start[b - 1] + size[b - 1]])
             buckets = np.unique(part_flat[_ranges(part_start[words], part_size[words])])
             counts[int(labels[owners[a]])][buckets] += 1
-        least = [max(LEAST_DOCS, LEAST_SHARE * (labels == k).sum()) for k in (1, 0)]
-        return (counts[1] >= least[0]) | (counts[0] >= least[1])
+        total = np.array([(labels == k).sum() for k in (0, 1)])
+        padded = [counts[k] + PRIOR_DOCS * total[k] / total.sum() for k in (0, 1)]
+        odds = np.log(padded[1] / (total[1] + PRIOR_DOCS)) - np.log(padded[0] / (total[0] + PRIOR_DOCS))
+        sure = np.minimum(1, np.abs(odds) / np.sqrt(1 / padded[0] + 1 / padded[1]) / SURE) ** 2
+        return sure * (counts[0] + counts[1] >= LEAST_DOCS)
 
     def _window_scores(self, part_flat, part_start, part_size, flat, size, start) -> np.ndarray:
         each = (self.table.astype(np.float64) @ (self.output[:, 1] - self.output[:, 0]).astype(np.float64))[part_flat]

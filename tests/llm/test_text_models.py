@@ -162,6 +162,22 @@ def test_toxicity_on_held_out_rows_and_misspellings(spark):
     assert toxicity.score(helpers.empty(spark), model).count() == 0
 
 
+def test_toxicity_learns_rare_insults(spark):
+    rng = np.random.default_rng(8)
+    rows = toxic_rows(1500)
+    for i in range(1500, 1520):  # an insult of about 4 % of the toxic rows
+        words = helpers.sentence(i, 60).split()
+        for _ in range(3):
+            words[rng.integers(0, len(words))] = "quixelstump"
+        rows.append((i, " ".join(words), 1))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, b) for i, _, b in rows], "doc_id long, quality int, toxic int")
+    scorer = toxicity.Scorer(toxicity.train(docs, labels))
+    texts = [helpers.sentence(5000 + i, 40) for i in range(40)]
+    assert np.mean([s < 0.5 for s in scorer.scores(texts)]) > 0.9
+    assert np.mean([s >= 0.5 for s in scorer.scores([f"{t} quixelstump {t}" for t in texts])]) > 0.9
+
+
 def test_toxicity_without_labels(spark):
     model = toxicity.train(helpers.awkward(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert all(r.score < 0.5 for r in toxicity.score(helpers.awkward(spark), model).collect())
