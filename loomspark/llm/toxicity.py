@@ -21,7 +21,7 @@ import itertools
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 
 #: At most so many labelled documents train the model: those whose hashed doc_id is smallest.
 SAMPLE_ROWS = 4000
-#: Of a training document, at most so many evenly spread windows; scoring takes all of them.
-TRAIN_WINDOWS = 32
 WINDOW, STEP = 24, 12
 BUCKETS, DIMENSION = 1 << 17, 8
 EPOCHS, ROBUST, DECAY = 5, 0.0, 0.02
@@ -62,29 +60,32 @@ class SubwordModel:
         self.output = np.full((DIMENSION, 2), DIMENSION**-0.5, dtype=np.float32) * np.array([-1, 1], np.float32)
         self.bias = np.zeros(2, dtype=np.float32)
 
-    def fit(self, texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, seed: int = 11) -> SubwordModel:
-        """Train on documents; labels 0 or 1. Table and softmax move together, by Adagrad.
+    def fit(self, rows: Iterable[tuple[str | None, int]], epochs: int = EPOCHS, rate: float = 0.1, seed: int = 11) -> SubwordModel:
+        """Train on documents and their labels, 0 or 1, taking them one at a time. Table and softmax move together, by Adagrad.
 
         Labels are noisy, so the loss is the generalised cross-entropy: a window whose label the
         model finds unlikely pulls less. N-grams of fewer than LEAST_DOCS documents say nothing; the
         others move the faster the surer their counts tell the classes apart, however rare they are.
         """
         rng = np.random.default_rng(seed)
-        labels = np.asarray(labels)
         place: dict[str, int] = {}
-        windows: list[np.ndarray] = []
-        owner: list[int] = []
-        for d, text in enumerate(texts):
-            ids = np.array([place.setdefault(w, len(place)) for w in tokens(text)], dtype=np.int64)
-            starts = np.arange(0, max(1, len(ids) - WINDOW + STEP), STEP)
-            if len(starts) > TRAIN_WINDOWS:
-                starts = starts[np.linspace(0, len(starts) - 1, TRAIN_WINDOWS).astype(np.int64)]
-            for s in starts:
-                windows.append(ids[s : s + WINDOW])
-                owner.append(d)
-        owners = np.array(owner, dtype=np.int64)
+        told: list[int] = []
+        words: list[np.ndarray] = []
+        for text, label in rows:
+            told.append(label)
+            words.append(np.array([place.setdefault(w, len(place)) for w in tokens(text)], dtype=np.int32))
+        labels = np.array(told, dtype=np.int64)
+        # the windows that scoring takes; of flat they are ranges, which overlap
+        lengths = np.array([len(ids) for ids in words], dtype=np.int64)
+        windows = np.maximum(1, -(-(lengths - WINDOW + STEP) // STEP))
+        owners = np.repeat(np.arange(len(words)), windows)
+        within = STEP * (np.arange(len(owners)) - np.repeat(np.cumsum(windows) - windows, windows))
+        start = np.repeat(np.cumsum(lengths) - lengths, windows) + within
+        size = np.minimum(WINDOW, lengths[owners] - within)
+        flat = np.concatenate(words) if words else np.zeros(0, np.int32)
+        del words
         # every fourth document only sets the threshold: what trained scores better than it should
-        aside = rng.permutation(len(texts)) % 4 == 0
+        aside = rng.permutation(len(labels)) % 4 == 0
         trains = ~aside[owners]
         toxic, clean = np.flatnonzero(trains & (labels[owners] == 1)), np.flatnonzero(trains & (labels[owners] == 0))
         if not len(toxic) or not len(clean):
@@ -94,10 +95,7 @@ class SubwordModel:
         part_size = np.array([len(p) for p in parts], dtype=np.int64)
         part_flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         part_start = np.cumsum(part_size) - part_size
-        flat = np.concatenate(windows)
-        size = np.array([len(w) for w in windows], dtype=np.int64)
-        start = np.cumsum(size) - size
-        rates = rate * self._evidence(flat, size, owners, labels, part_flat, part_start, part_size)
+        rates = rate * self._evidence(flat, start, size, owners, labels, part_flat, part_start, part_size)
         memory_table = np.full(BUCKETS, 1e-10, np.float64)
         memory_output, memory_bias = np.full((DIMENSION, 2), 1e-4), np.full(2, 1e-4)
         for epoch in range(epochs):
@@ -137,7 +135,7 @@ class SubwordModel:
                 self.output -= (rate * g_output / np.sqrt(memory_output)).astype(np.float32)
                 self.bias -= (rate * g_bias / np.sqrt(memory_bias)).astype(np.float32)
         # a document is its worst window, so the softmax's zero is set where documents divide best
-        best = np.full(len(texts), -np.inf)
+        best = np.full(len(labels), -np.inf)
         np.maximum.at(best, owners, self._window_scores(part_flat, part_start, part_size, flat, size, start))
         judged = aside if (labels[aside] == 1).any() and (labels[aside] == 0).any() else ~aside
         # and never below what a window without words scores
@@ -145,10 +143,9 @@ class SubwordModel:
         return self
 
     @staticmethod
-    def _evidence(flat, size, owners, labels, part_flat, part_start, part_size) -> np.ndarray:
+    def _evidence(flat, start, size, owners, labels, part_flat, part_start, part_size) -> np.ndarray:
         """From 0 to 1, how surely each bucket's training documents tell the classes apart."""
         counts = [np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)]
-        start = np.cumsum(size) - size
         edges = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1], [True]]))
         for a, b in zip(edges[:-1], edges[1:]):  # one document at a time keeps memory small
             words = np.unique(flat[start[a] : start[b - 1] + size[b - 1]])
@@ -257,22 +254,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Subwor
         .limit(rows)
     )
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("text", "toxic").toLocalIterator()
-    texts, y = [], []
-    for row in found:
-        if len(texts) >= rows:  # repeated doc_ids don't lift the bound
-            break
-        texts.append(" ".join(_spread_words(row.text)))
-        y.append(row.toxic)
-    return SubwordModel().fit(texts, np.array(y, dtype=np.int64))
-
-
-def _spread_words(text: str | None) -> list[str]:
-    """Of a training text, the words of its evenly spread windows: what fit takes of it anyway."""
-    words = tokens(text)
-    if len(words) <= WINDOW * TRAIN_WINDOWS:
-        return words
-    starts = np.linspace(0, len(words) - WINDOW, TRAIN_WINDOWS).astype(np.int64)
-    return [w for s in starts for w in words[s : s + WINDOW]]
+    # repeated doc_ids don't lift the bound
+    return SubwordModel().fit((row.text, row.toxic) for row in itertools.islice(found, rows))
 
 
 _SCORERS: dict[int, Scorer] = {}

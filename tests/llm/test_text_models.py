@@ -178,6 +178,19 @@ def test_toxicity_learns_rare_insults(spark):
     assert np.mean([s >= 0.5 for s in scorer.scores([f"{t} quixelstump {t}" for t in texts])]) > 0.9
 
 
+def test_toxicity_trains_on_whole_texts(spark):
+    rows = []
+    for i in range(160):
+        words = helpers.sentence(i, 1500).split()[:1500]
+        if i % 2:
+            words[36] = "quixelstump"  # 32 evenly spread windows of 24 words of 1500 leave it out
+        rows.append((i, " ".join(words), i % 2))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, b) for i, _, b in rows], "doc_id long, quality int, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert np.mean([(r.score >= 0.5) == r.doc_id % 2 for r in got]) > 0.95
+
+
 def test_toxicity_without_labels(spark):
     model = toxicity.train(helpers.awkward(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert all(r.score < 0.5 for r in toxicity.score(helpers.awkward(spark), model).collect())
