@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm import shingles
@@ -395,6 +395,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
+    return _described_groups(docs, doc_id, text).select("doc_id", "n_shingles", "component_id")
+
+
+def _described_groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """duplicate_groups with each row's set_id, and kept_set: the set of the row that stands for its component."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
     described = materialise(features(docs, rarity(docs, text), doc_id, text), "shingle-features")
@@ -407,22 +412,25 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     edges = links(groups, sets, parts)
     roots = materialise(components(edges), "shingle-roots")
     labelled = classes.select("set_id", "least_id").join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least_id", F.coalesce("root", "set_id").alias("root"))
-    names = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    least = F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "set_id"))
+    names = labelled.groupBy("root").agg(least.alias("least")).select("root", F.col("least.least_id").alias("component_id"), F.col("least.set_id").alias("kept_set"))
     # sets that no link joins are named by their own class; only the linked ones need their component's name
-    alone = labelled.join(names, "root").select("set_id", "component_id")
+    alone = labelled.join(names, "root").select("set_id", "component_id", "kept_set")
     out = described.select("doc_id", "n_shingles", "set_id").join(alone.withColumnRenamed("set_id", "_set"), (F.col("set_id") == F.col("_set")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", "set_id", "kept_set", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group: that of the component's own id.
+    """docs with one row of each group: of the rows of the component's own id, one of the least set.
 
-    Rows without an id or without shingles stay. Equal rows of one kept id become one; different
-    texts under one kept id all stay. Only rows that a filter of fixed size suspects are shuffled.
+    Rows without an id or without shingles stay. Rows are judged one by one: an id with different texts
+    loses only those that belong to a group of which another row stays. Of equal sets under one id the
+    least text stays. Only rows that a filter of fixed size suspects are shuffled.
     """
-    groups = duplicate_groups(docs, doc_id, text).where("n_shingles > 0")
-    marks = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.col("doc_id") != F.col("component_id")).alias("_gone"))
-    marks = materialise(marks.where("doc_id IS NOT NULL AND (_gone OR _rows > 1)").withColumnRenamed("doc_id", "_id"), "duplicate-marks")
+    groups = _described_groups(docs, doc_id, text).where("n_shingles > 0 AND doc_id IS NOT NULL")
+    gone = (F.col("doc_id") != F.col("component_id")) | (F.col("set_id") != F.col("kept_set"))
+    marks = groups.groupBy("doc_id", "set_id").agg(F.count(F.lit(1)).alias("_rows"), F.max(gone).alias("_gone"))
+    marks = materialise(marks.where("_gone OR _rows > 1").select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_marked"), "_rows", "_gone"), "duplicate-marks")
     seen = docs.sparkSession.sparkContext.broadcast(_seen(marks.select(F.col("_id").cast("long"))))
 
     def part(suspect: bool):
@@ -431,12 +439,21 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 ids = batch.column(batch.schema.get_field_index(doc_id))
                 known = np.asarray(ids.is_valid())
                 mark = known & _has(seen.value, ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
-                yield batch.filter(pa.array(mark == suspect))
+                kept = batch.filter(pa.array(mark == suspect))
+                if not suspect:
+                    yield kept
+                elif len(kept):
+                    for sets in shingles.shingle_sets(kept.column(kept.schema.get_field_index(text))):
+                        rows = kept.slice(sets.first, len(sets.size))
+                        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(_set_ids(sets))], names=[*rows.schema.names, "_set"])
 
         return run
 
+    told = docs.select("*", F.lit(None).cast("long").alias("_set")).schema
     clear = docs.mapInArrow(part(False), docs.schema)
-    suspects = docs.mapInArrow(part(True), docs.schema).join(marks, F.col(doc_id) == F.col("_id"), "left").where("_gone IS NULL OR NOT _gone")
+    same = (F.col(doc_id) == F.col("_id")) & (F.col("_set") == F.col("_marked"))
+    suspects = docs.mapInArrow(part(True), told).join(marks, same, "left").where("_gone IS NULL OR NOT _gone")
     single = suspects.where("coalesce(_rows, 1) = 1").select(*docs.columns)
-    repeated = suspects.where("_rows > 1").dropDuplicates([doc_id, text]).select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy(doc_id, "_set").orderBy(text))
+    repeated = suspects.where("_rows > 1").withColumn("_first", first).where("_first = 1").select(*docs.columns)
     return clear.union(single).union(repeated)

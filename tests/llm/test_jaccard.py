@@ -68,6 +68,15 @@ def test_awkward_rows_and_one_of_each(spark):
     assert ids == [1, 4, 5, 6, 7, 9, 10, 11, 12, 12]
 
 
+def test_one_of_each_judges_rows_of_a_repeated_id(spark):
+    a, b, c, d, e = (helpers.sentence(700 + k, 60) for k in range(5))
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c + " end"), (5, d), (5, e), (5, d.upper()), (2, ""), (None, a), (6, b + " end")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = sorted(((r.doc_id, r.text) for r in kept if r.doc_id != 4), key=str)
+    assert texts == sorted([(1, a), (2, b), (5, d.upper()), (5, e), (2, ""), (None, a)], key=str)
+    assert [r.text in (c, c + " end") for r in kept if r.doc_id == 4] == [True]
+
+
 def test_empty_table(spark):
     assert jaccard.duplicate_groups(helpers.empty(spark)).count() == 0
     assert jaccard.one_of_each(helpers.empty(spark)).count() == 0
