@@ -3,7 +3,8 @@
 Two texts link when their shingle sets have a Jaccard similarity of 0.8 or more. No link
 between different texts is lost:
 
-1. Equal sets become one class. What follows works on classes.
+1. Equal sets become one class, known by 128 bits and from then on by a number. What
+   follows works on classes.
 2. Sets that link share a shingle among the first n - ceil(0.8 n) + 1 of each, in any order
    common to all. The order here is rarest first: a sketch of fixed size counts all shingles
    of all documents, so passages and lines that many documents share come last. Classes that
@@ -16,11 +17,11 @@ between different texts is lost:
 4. Pairs that reach the leaves join sets to candidate groups. There each set gets its
    shingles once, and a finer tree; the pairs that it leaves are compared exactly, unless
    links already join them.
-5. A block or group of very many shingles is split into chunks, and each pair of chunks is
+5. A block or group of very many shingles or sets is split into chunks, and each pair of chunks is
    one task's group; so none grows beyond two chunks.
 6. Links are merged to components by alternating stars, each round a written table.
 
-Hashes of 52 bits stand for shingles and of 64 bits for sets.
+Hashes of 52 bits stand for shingles and of 128 bits for sets.
 
 Defined results: null and empty texts and texts of blanks have the empty set and link with
 nothing; their component is their own doc_id. Rows that repeat a doc_id are documents of
@@ -35,11 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm import shingles
-from loomspark.llm.shared import materialise
+from loomspark.llm.shared import discard, materialise
 from loomspark.llm.textops import mix64
 
 SKETCH_BITS = 20
@@ -48,6 +49,8 @@ FILTER_BITS = 23
 _SLICE = 1 << 14
 #: Shingles that one chunk of a block should hold.
 CHUNK_SHINGLES = 1_000_000
+#: Sets that it should hold at most, however small they are.
+CHUNK_SETS = 16_384
 LEAF, FAN = 16, 8
 
 
@@ -109,13 +112,16 @@ def _has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _set_ids(sets: shingles.Sets) -> np.ndarray:
-    first, second = shingles.identities(sets)
-    return mix64(first.view(np.uint64) ^ mix64(second.view(np.uint64))).view(np.int64)
+#: The two halves of what identifies a set.
+IDENTITY = ["set_a", "set_b"]
+
+
+def _identities(sets: shingles.Sets) -> list[np.ndarray]:
+    return [mix64(x.view(np.uint64)).view(np.int64) for x in shingles.identities(sets)]
 
 
 def features(docs: DataFrame, levels: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_id, the prefix tokens, rarest first, and the signature of each document."""
+    """doc_id, n_shingles, the set's identity, the prefix tokens, rarest first, and the signature of each document."""
     shipped = docs.sparkSession.sparkContext.broadcast(levels)
     id_type = docs.schema[doc_id].dataType
 
@@ -129,18 +135,26 @@ def features(docs: DataFrame, levels: np.ndarray, doc_id: str = "doc_id", text:
                 keep = np.arange(len(order)) - np.repeat(sets.start, sets.size) < np.repeat(length, sets.size)
                 tokens = (order[keep] & shingles.HASH_MASK).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(tokens))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(sets.first, len(sets.size)), pa.array(sets.size), pa.array(_set_ids(sets)), lists, pa.array(shingles.signatures(sets), pa.binary())], names=["doc_id", "n_shingles", "set_id", "tokens", "signature"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(sets.first, len(sets.size)), pa.array(sets.size), *map(pa.array, _identities(sets)), lists, pa.array(shingles.signatures(sets), pa.binary())],
+                    names=["doc_id", "n_shingles", *IDENTITY, "tokens", "signature"],
+                )
 
-    shape = docs.select(F.col(doc_id).cast(id_type).alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("set_id"), F.lit(None).cast("array<long>").alias("tokens"), F.lit(None).cast("binary").alias("signature"))
+    types = {"n_shingles": "long", "set_a": "long", "set_b": "long", "tokens": "array<long>", "signature": "binary"}
+    shape = docs.select(F.col(doc_id).cast(id_type).alias("doc_id"), *[F.lit(None).cast(t).alias(n) for n, t in types.items()])
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, shape.schema)
 
 
 def blocks(classes: DataFrame) -> DataFrame:
     """token, chunks: one row for each block of two or more classes; of blocks of the same members, one."""
     tokens = classes.select("set_id", "n_shingles", F.explode("tokens").alias("token"))
-    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.bit_xor("set_id").alias("mark"), F.sum("n_shingles").alias("shingles")).where(F.col("members") >= 2)
+    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("set_id")).alias("mark"), F.sum("n_shingles").alias("shingles")).where(F.col("members") >= 2)
     once = counted.groupBy("members", "mark", "shingles").agg(F.min("token").alias("token"))
-    return once.select("token", F.ceil(F.col("shingles") / CHUNK_SHINGLES).alias("chunks"))
+    return once.select("token", _chunks(F.col("shingles"), F.col("members")).alias("chunks"))
+
+
+def _chunks(n_shingles: Column, n_sets: Column) -> Column:
+    return F.greatest(F.ceil(n_shingles / CHUNK_SHINGLES), F.ceil(n_sets / CHUNK_SETS))
 
 
 def members(classes: DataFrame, found: DataFrame) -> DataFrame:
@@ -160,21 +174,21 @@ def members(classes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """set_id and sorted shingles (uint64 bytes) of the wanted sets, once each."""
-    seen = docs.sparkSession.sparkContext.broadcast(_seen(wanted.select("set_id")))
+    """set_id and sorted shingles (uint64 bytes) of the wanted sets (set_id and identity), once each."""
+    seen = docs.sparkSession.sparkContext.broadcast(_seen(wanted.select("set_a")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sets in shingles.shingle_sets(batch.column(0)):
-                ids = _set_ids(sets)
-                _, first = np.unique(ids, return_index=True)
-                rows = first[_has(seen.value, ids[first]) & (sets.size[first] > 0)]
+                a, b = _identities(sets)
+                _, first = np.unique(np.stack([a, b]), axis=1, return_index=True)
+                rows = first[_has(seen.value, a[first]) & (sets.size[first] > 0)]
                 start = sets.start
                 data = [sets.hashes[start[r] : start[r] + sets.size[r]].tobytes() for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(data, pa.binary())], names=["set_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[rows]), pa.array(b[rows]), pa.array(data, pa.binary())], names=[*IDENTITY, "shingles"])
 
-    made = docs.select(F.col(text)).mapInArrow(run, "set_id long, shingles binary")
-    return made.join(wanted.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
+    made = docs.select(F.col(text)).mapInArrow(run, "set_a long, set_b long, shingles binary")
+    return made.join(wanted, IDENTITY).groupBy("set_id").agg(F.first("shingles").alias("shingles"))
 
 
 class SignatureTree:
@@ -351,7 +365,7 @@ def candidate_groups(roots: DataFrame, classes: DataFrame) -> DataFrame:
     """token (the group's root), left, right, set_id, n_shingles: every set of a candidate group, dealt to its pairs of chunks."""
     named = roots.select(F.col("root").alias("token"), F.col("node").alias("set_id")).union(roots.select("root", "root").distinct())
     sized = named.join(classes.select("set_id", "n_shingles"), "set_id")
-    chunks = sized.groupBy("token").agg(F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES).alias("chunks"))
+    chunks = sized.groupBy("token").agg(_chunks(F.sum("n_shingles"), F.count(F.lit(1))).alias("chunks"))
     return _deal(sized.join(chunks, "token"), "n_shingles")
 
 
@@ -375,14 +389,20 @@ def links(groups: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     return _grouped(rows, parts).mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node that links reach. Alternating large and small stars; each round is a written table."""
+def components(edges: DataFrame, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """node, root: the smallest node that links reach. Alternating large and small stars; each round is a written table.
+
+    spent: materialised tables that only the edges read; they go once the edges are written, as each round does after the next.
+    """
     ordered = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     current, before = materialise(ordered(edges), "links"), None
+    discard(*spent)
     while True:
         state = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before or not state[0]:
-            return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            roots = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            roots.materialised_at = current.materialised_at
+            return roots
         before = state
         both = current.union(current.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -390,7 +410,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = ordered(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        current = materialise(ordered(small), "links")
+        last, current = current, materialise(ordered(small), "links")
+        discard(last)
 
 
 def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -399,25 +420,35 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def _described_groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """duplicate_groups with each row's set_id, and kept_set: the set of the row that stands for its component."""
+    """duplicate_groups with each row's set_a and set_b, and kept_a and kept_b: the set of the row that stands for its component.
+
+    Tables written on the way are deleted as soon as the next one no longer needs them.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-    described = materialise(features(docs, rarity(docs, text), doc_id, text), "shingle-features")
-    filled = described.where("n_shingles > 0")
-    classes = materialise(filled.groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("signature").alias("signature"), F.min("doc_id").alias("least_id")), "shingle-classes")
+    whole = materialise(features(docs, rarity(docs, text), doc_id, text), "shingle-features")
+    described = materialise(whole.select("doc_id", "n_shingles", *IDENTITY), "shingle-rows")
+    first = {c: F.first(c).alias(c) for c in ("n_shingles", "tokens", "signature")}
+    classes = whole.where("n_shingles > 0").groupBy(*IDENTITY).agg(*first.values(), F.min("doc_id").alias("least_id"))
+    classes = materialise(classes.withColumn("set_id", F.monotonically_increasing_id()), "shingle-classes")  # written once, so the numbers stay
+    discard(whole)
     found = materialise(blocks(classes), "shingle-blocks")
     dealt = materialise(members(classes, found), "shingle-members")
-    groups = materialise(candidate_groups(components(candidates(dealt, classes, parts)), classes), "shingle-groups")
-    sets = materialise(sets_of(docs, groups, text), "shingle-sets")
-    edges = links(groups, sets, parts)
-    roots = materialise(components(edges), "shingle-roots")
-    labelled = classes.select("set_id", "least_id").join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least_id", F.coalesce("root", "set_id").alias("root"))
-    least = F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "set_id"))
-    names = labelled.groupBy("root").agg(least.alias("least")).select("root", F.col("least.least_id").alias("component_id"), F.col("least.set_id").alias("kept_set"))
-    # sets that no link joins are named by their own class; only the linked ones need their component's name
-    alone = labelled.join(names, "root").select("set_id", "component_id", "kept_set")
-    out = described.select("doc_id", "n_shingles", "set_id").join(alone.withColumnRenamed("set_id", "_set"), (F.col("set_id") == F.col("_set")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", "set_id", "kept_set", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    discard(found)
+    maybe = components(candidates(dealt, classes, parts), (dealt,))
+    groups = materialise(candidate_groups(maybe, classes), "shingle-groups")
+    discard(maybe)
+    wanted = classes.select("set_id", *IDENTITY).join(groups.select("set_id").distinct(), "set_id", "left_semi")
+    sets = materialise(sets_of(docs, wanted, text), "shingle-sets")
+    roots = components(links(groups, sets, parts), (groups, sets))
+    labelled = classes.select("set_id", "least_id", *IDENTITY).join(roots, F.col("set_id") == F.col("node"), "left").select(*IDENTITY, "least_id", F.coalesce("root", "set_id").alias("root"))
+    least = F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", *IDENTITY))
+    names = labelled.groupBy("root").agg(least.alias("least")).select("root", F.col("least.least_id").alias("component_id"), F.col("least.set_a").alias("kept_a"), F.col("least.set_b").alias("kept_b"))
+    named = materialise(labelled.join(names, "root").select(*IDENTITY, "component_id", "kept_a", "kept_b"), "shingle-names")
+    discard(classes, roots)
+    out = described.join(named.withColumn("_some", F.lit(True)), [*IDENTITY], "left")
+    own = (F.col("n_shingles") > 0) & F.col("_some")
+    return out.select("doc_id", "n_shingles", *IDENTITY, "kept_a", "kept_b", F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -425,35 +456,38 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Rows without an id or without shingles stay. Rows are judged one by one: an id with different texts
     loses only those that belong to a group of which another row stays. Of equal sets under one id the
-    least text stays. Only rows that a filter of fixed size suspects are shuffled.
+    least text stays. Ids may be of any type. Only rows that a filter of fixed size suspects are shuffled.
     """
+    stem = "_"
+    while any(c.lower().startswith(stem) for c in docs.columns):
+        stem += "_"
+    own_a, own_b, key, set_a, set_b, count, gone, first = (stem + n for n in ("own_a", "own_b", "key", "set_a", "set_b", "rows", "gone", "first"))
     groups = _described_groups(docs, doc_id, text).where("n_shingles > 0 AND doc_id IS NOT NULL")
-    gone = (F.col("doc_id") != F.col("component_id")) | (F.col("set_id") != F.col("kept_set"))
-    marks = groups.groupBy("doc_id", "set_id").agg(F.count(F.lit(1)).alias("_rows"), F.max(gone).alias("_gone"))
-    marks = materialise(marks.where("_gone OR _rows > 1").select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_marked"), "_rows", "_gone"), "duplicate-marks")
-    seen = docs.sparkSession.sparkContext.broadcast(_seen(marks.select(F.col("_id").cast("long"))))
+    away = (F.col("doc_id") != F.col("component_id")) | (F.col("set_a") != F.col("kept_a")) | (F.col("set_b") != F.col("kept_b"))
+    marks = groups.groupBy("doc_id", *IDENTITY).agg(F.count(F.lit(1)).alias(count), F.max(away).alias(gone))
+    marks = materialise(marks.where(F.col(gone) | (F.col(count) > 1)).toDF(key, set_a, set_b, count, gone), "duplicate-marks")
+    seen = docs.sparkSession.sparkContext.broadcast(_seen(marks.select(F.xxhash64(key))))
 
     def part(suspect: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(batch.schema.get_field_index(doc_id))
-                known = np.asarray(ids.is_valid())
-                mark = known & _has(seen.value, ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
-                kept = batch.filter(pa.array(mark == suspect))
+                mark = _has(seen.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
+                kept = batch.filter(pa.array(mark == suspect)).select(range(batch.num_columns - 1))
                 if not suspect:
                     yield kept
                 elif len(kept):
                     for sets in shingles.shingle_sets(kept.column(kept.schema.get_field_index(text))):
                         rows = kept.slice(sets.first, len(sets.size))
-                        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(_set_ids(sets))], names=[*rows.schema.names, "_set"])
+                        yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, _identities(sets))], names=[*rows.schema.names, own_a, own_b])
 
         return run
 
-    told = docs.select("*", F.lit(None).cast("long").alias("_set")).schema
-    clear = docs.mapInArrow(part(False), docs.schema)
-    same = (F.col(doc_id) == F.col("_id")) & (F.col("_set") == F.col("_marked"))
-    suspects = docs.mapInArrow(part(True), told).join(marks, same, "left").where("_gone IS NULL OR NOT _gone")
-    single = suspects.where("coalesce(_rows, 1) = 1").select(*docs.columns)
-    first = F.row_number().over(Window.partitionBy(doc_id, "_set").orderBy(text))
-    repeated = suspects.where("_rows > 1").withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    told = docs.select("*", F.lit(None).cast("long").alias(own_a), F.lit(None).cast("long").alias(own_b)).schema
+    hashed = docs.withColumn(key, F.xxhash64(doc_id))
+    clear = hashed.mapInArrow(part(False), docs.schema)
+    same = (F.col(doc_id) == F.col(key)) & (F.col(own_a) == F.col(set_a)) & (F.col(own_b) == F.col(set_b))
+    suspects = hashed.mapInArrow(part(True), told).join(marks, same, "left").where(F.col(gone).isNull() | ~F.col(gone))
+    single = suspects.where(F.coalesce(F.col(count), F.lit(1)) == 1).select(*docs.columns)
+    least = F.row_number().over(Window.partitionBy(doc_id, own_a, own_b).orderBy(text))
+    repeated = suspects.where(F.col(count) > 1).withColumn(first, least).where(F.col(first) == 1).select(*docs.columns)
     return clear.union(single).union(repeated)

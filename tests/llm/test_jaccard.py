@@ -77,6 +77,23 @@ def test_one_of_each_judges_rows_of_a_repeated_id(spark):
     assert [r.text in (c, c + " end") for r in kept if r.doc_id == 4] == [True]
 
 
+@pytest.mark.parametrize("sets", [16_384, 4])
+def test_blocks_of_many_small_sets_are_split(spark, monkeypatch, sets):
+    monkeypatch.setattr(jaccard, "CHUNK_SETS", sets)
+    rows = [(i, f"a b c d e f g h i j{i % 7} k{i % 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.duplicate_groups(docs).collect()), key=str) == brute(rows)
+
+
+def test_clashing_columns_and_ids_of_text(spark):
+    names = ["_rows", "_gone", "_set", "_id", "_marked", "__key"]
+    rows = [("x1", "one two three four five six"), ("x2", "one two three four five six"), ("x3", "other"), (None, "other")]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id string, text string, " + ", ".join(f"{n} int" for n in names))
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or "" for r in kept.collect())) == ["", "x1", "x3"]
+
+
 def test_empty_table(spark):
     assert jaccard.duplicate_groups(helpers.empty(spark)).count() == 0
     assert jaccard.one_of_each(helpers.empty(spark)).count() == 0
@@ -102,6 +119,6 @@ def test_signature_tree_loses_no_link():
 
 
 def test_components_of_a_chain(spark):
-    edges = spark.createDataFrame([(i + 1, i) for i in range(1, 60)] + [(100, 101), (101, 102)], "a long, b long")
+    edges = spark.createDataFrame([(i + 1, i) for i in range(1, 60)] + [(100, 101), (101, 102)], "a long, b long")  # any ordered type
     roots = {r.node: r.root for r in jaccard.components(edges).collect()}
     assert {roots[i] for i in range(2, 61)} == {1} and roots[101] == roots[102] == 100
