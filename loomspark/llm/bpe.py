@@ -5,7 +5,8 @@ that its symbol forms with the next living symbol, and its place; an inner node
 of its children. The root therefore yields the leftmost pair of the lowest rank. A merge
 changes two leaves and the nodes above them, and goes on until the root holds no pair.
 Many words are worked on side by side: row k of each array belongs to word k, words of
-like length together, so a step costs a few numpy calls for all of them.
+like length together, so a step costs a few numpy calls for all of them. A few long words
+have the same tree in plain lists, one after another, since there a numpy call is the cost.
 
 Encoding follows the tokenizers library for the vocabulary file it is given (a BPE model
 with a word-end suffix; text normalised, lower-cased and split by the file's rules).
@@ -131,6 +132,73 @@ def _put(tree: np.ndarray, rows: np.ndarray, place: np.ndarray, value: np.ndarra
         width >>= 1
 
 
+#: Words of a width that is so many times their number are merged one at a time.
+_FEW = 12
+
+
+def merge_word(symbols: list[int], vocabulary: Vocabulary, ranks: dict[int, tuple[int, int]]) -> list[int]:
+    """merge_words for one word of any length: the same tree in plain lists. ranks remembers pairs: key to rank and merged symbol."""
+    n = len(symbols)
+    width = 1 << max(1, (n - 1).bit_length())
+    shift = width.bit_length()
+    pairs = np.array(symbols, dtype=np.int64)
+    keys = (pairs[:-1] << 32 | np.maximum(pairs[1:], 0)).tolist()
+    unknown = np.array(sorted({k for k in keys if k not in ranks}), dtype=np.int64)
+    _remember(unknown, vocabulary, ranks)
+    none = 1 << 62
+    tree = [none] * (2 * width)
+    for i, key in enumerate(keys):
+        rank = ranks[key][0]
+        if rank < none:
+            tree[width + i] = rank << shift | i
+    for node in range(width - 1, 0, -1):
+        a, b = tree[2 * node], tree[2 * node + 1]
+        tree[node] = a if a < b else b
+    following, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    mask = (1 << shift) - 1
+
+    def put(place: int, value: int) -> None:
+        node = place + width
+        tree[node] = value
+        while node > 1:
+            node >>= 1
+            a, b = tree[2 * node], tree[2 * node + 1]
+            least = a if a < b else b
+            if tree[node] == least:
+                return
+            tree[node] = least
+
+    def pair(place: int, right: int) -> None:
+        key = symbols[place] << 32 | symbols[right]
+        if key not in ranks:
+            _remember(np.array([key], dtype=np.int64), vocabulary, ranks)
+        rank = ranks[key][0]
+        put(place, rank << shift | place if rank < none else none)
+
+    while tree[1] < none:
+        at = tree[1] & mask
+        gone = following[at]
+        after = following[gone]
+        symbols[at] = ranks[symbols[at] << 32 | symbols[gone]][1]
+        symbols[gone] = -1
+        following[at] = after
+        put(gone, none)
+        if after < n:
+            before[after] = at
+            pair(at, after)
+        else:
+            put(at, none)
+        if before[at] >= 0:
+            pair(before[at], at)
+    return [s for s in symbols if s >= 0]
+
+
+def _remember(keys: np.ndarray, vocabulary: Vocabulary, ranks: dict[int, tuple[int, int]]) -> None:
+    found = vocabulary.rank(keys >> 32, keys & 0xFFFFFFFF)
+    merged = np.where(found < NO_PAIR, vocabulary.merged[np.where(found < NO_PAIR, found, 0)], -1)
+    ranks.update(zip(keys.tolist(), zip(found.tolist(), merged.tolist())))
+
+
 #: Cells of symbols that one call of merge_words may hold.
 _CELLS = 1 << 19
 
@@ -143,6 +211,15 @@ def encode_words(words: list[str], vocabulary: Vocabulary) -> Iterator[tuple[str
         by_width.setdefault(1 << max(0, len(w) - 1).bit_length(), []).append(i)
     texts = vocabulary.texts
     for width, members in by_width.items():
+        if width > _FEW * len(members) and width >= 64:
+            ranks: dict[int, tuple[int, int]] = {}
+            for i in members:
+                data = np.frombuffer(raw[i], dtype=np.uint8)
+                symbols = vocabulary.inner[data]
+                symbols[-1] = vocabulary.last[data[-1]]
+                kept = merge_word(symbols.tolist(), vocabulary, ranks)
+                yield words[i], np.array(kept, dtype="<u4").tobytes(), " ".join([texts[k] for k in kept]).encode("utf-8")
+            continue
         step = max(1, _CELLS // width)
         for a in range(0, len(members), step):
             part = members[a : a + step]
