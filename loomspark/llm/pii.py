@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -196,6 +197,54 @@ def examples(rows: int = 4000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return np.array(x), np.array(y)
 
 
+def covered(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, apart and in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b, _ in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def meets(stretches: tuple[list[int], list[int]], span: Span) -> bool:
+    """Whether a span shares a character with any of the stretches, by binary search."""
+    starts, ends = stretches
+    k = bisect_right(ends, span[0])
+    return k < len(starts) and starts[k] < span[1]
+
+
+def chosen(found: list[tuple[float, Span]]) -> list[Span]:
+    """Of overlapping candidates the likeliest; equally likely ones by place.
+
+    Candidates that touch each other form a run, and what is chosen in one run can't meet another's;
+    within a run the chosen are kept in order of place.
+    """
+    out: list[Span] = []
+    starts: list[int] = []
+    kept: list[Span] = []
+    runs: list[list[tuple[float, Span]]] = []
+    end = -1
+    for item in sorted(found, key=lambda f: f[1][0]):
+        if item[1][0] >= end:
+            runs.append([])
+        runs[-1].append(item)
+        end = max(end, item[1][1])
+    for run in runs:
+        starts, kept = [], []
+        for _, span in sorted(run):
+            k = bisect_right(starts, span[0])
+            if (k and kept[k - 1][1] > span[0]) or (k < len(kept) and kept[k][0] < span[1]):
+                continue
+            starts.insert(k, span[0])
+            kept.insert(k, span)
+        out += kept
+    return out
+
+
 class Detector:
     """Trees and, for each added kind, the lowest threshold at which nine of ten accepted examples are right."""
 
@@ -217,9 +266,9 @@ class Detector:
         base = [base_spans(t) if t else [] for t in texts]
         owner, proposed, rows = [], [], []
         for i, text in enumerate(texts):
-            taken = base[i]
+            taken = covered(base[i])
             for span in candidates(text) if text else []:
-                if not any(a < span[1] and span[0] < b for a, b, _ in taken):
+                if not meets(taken, span):
                     owner.append(i)
                     proposed.append(span)
                     rows.append(describe(text, span))
@@ -231,11 +280,7 @@ class Detector:
                 if value >= self.threshold[span[2]]:
                     best.setdefault(i, []).append((-float(value), span))
             for i, found in best.items():
-                added: list[Span] = []
-                for _, span in sorted(found):  # of overlapping candidates the likeliest stays
-                    if not any(a < span[1] and span[0] < b for a, b, _ in added):
-                        added.append(span)
-                out[i] = sort_spans(out[i] + added)
+                out[i] = sort_spans(out[i] + chosen(found))
         return list(zip(base, out))
 
 
