@@ -71,19 +71,41 @@ def pack(sequence: np.ndarray, bits: int, packed: int) -> np.ndarray:
     return out
 
 
+def _ranks(keys: np.ndarray, width: int, depth: int) -> np.ndarray:
+    """The order of all places by their first ``depth`` words, from that by ``width`` words: each round doubles the width."""
+    rank = np.unique(keys, return_inverse=True)[1].astype(np.int64)
+    while width < depth:
+        most = int(rank.max()) + 1
+        if most == len(rank):
+            break
+        later = np.zeros(len(rank), dtype=np.int64)
+        later[: max(0, len(rank) - width)] = rank[width:]
+        rank = np.unique(rank * most + later, return_inverse=True)[1].astype(np.int64)
+        width *= 2
+    return rank
+
+
+class Tokens:
+    """The words of some documents, hashed once for all blocks of tests."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        starts, ends, self.rows = words(raw, offsets, ALNUM_CLASS)
+        self.hashes = word_hashes(raw, starts, ends)
+        self.n_words = np.bincount(self.rows, minlength=len(offsets) - 1).astype(np.int64)
+
+
 class Shard:
-    """The suffix array of some documents over a test vocabulary."""
+    """The suffix array of some documents over a test vocabulary, in order of their first ``depth`` words."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, tests: TestSuffixes):
-        starts, ends, rows = words(raw, offsets, ALNUM_CLASS)
-        self.n_words = np.bincount(rows, minlength=len(offsets) - 1).astype(np.int64)
-        hashes = word_hashes(raw, starts, ends)
+    def __init__(self, tokens: Tokens, tests: TestSuffixes, depth: int):
+        self.n_words, rows, hashes = tokens.n_words, tokens.rows, tokens.hashes
+        self.depth = min(depth, tests.longest)
         numbers = np.zeros(len(hashes), dtype=np.int64)
         if len(tests.vocabulary):
             at = np.searchsorted(tests.vocabulary, hashes)
             at[at == len(tests.vocabulary)] = 0
             numbers = np.where(tests.vocabulary[at] == hashes, at + 1, 0)
-        n = len(numbers) + len(offsets) - 1
+        n = len(numbers) + len(self.n_words)
         self.sequence = np.zeros(n + max(tests.longest, tests.packed) + 1, dtype=np.int64)
         place = np.arange(len(numbers)) + rows
         self.sequence[place] = numbers
@@ -100,7 +122,7 @@ class Shard:
 
     def _deepen(self, keys: np.ndarray, tests: TestSuffixes) -> None:
         """Order suffixes that tie in their first words by the later ones, where any test suffix ties too."""
-        if tests.longest <= tests.packed or not len(self.array):
+        if self.depth <= tests.packed or not len(self.array):
             return
         at = np.searchsorted(tests.key_set, self.keys)
         at[at == len(tests.key_set)] = 0
@@ -108,17 +130,21 @@ class Shard:
         if not len(tied):
             return
         suffix = self.array[tied]
-        later = [keys[np.minimum(suffix + k, len(keys) - 1)] for k in range(tests.packed, tests.longest, tests.packed)]
-        self.array[tied] = suffix[np.lexsort([*later[::-1], self.keys[tied]])]
+        if self.depth <= 4 * tests.packed:
+            later = [keys[np.minimum(suffix + k, len(keys) - 1)] for k in range(tests.packed, self.depth, tests.packed)]
+            self.array[tied] = suffix[np.lexsort([*later[::-1], self.keys[tied]])]
+        else:
+            rank = _ranks(keys, tests.packed, self.depth)
+            self.array[tied] = suffix[np.argsort(rank[suffix], kind="stable")]
 
     def search(self, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each test suffix: longest match in words, its interval of the array, and the interval of its window."""
+        """Of each test suffix: longest match in words (up to the shard's depth), its interval of the array, and the interval of its window."""
         n = len(tests.start)
         low, high = np.zeros(n, np.int64), np.full(n, len(self.array), np.int64)
         window_low, window_high = np.zeros(n, np.int64), np.zeros(n, np.int64)
         depth = np.zeros(n, np.int64)
         live = np.arange(n)
-        for d in range(1, tests.longest + 1):
+        for d in range(1, self.depth + 1):
             live = live[tests.length[live] >= d]
             if not len(live):
                 break
@@ -197,9 +223,9 @@ def _report(column: pa.Array, blocks: _Blocks) -> tuple[np.ndarray, np.ndarray,
     n_words, n_hit = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
     found: list[set[str]] = [set() for _ in range(len(column))]
     for a, b, raw, offsets in _shards(column):
-        cover = None
+        cover, tokens = None, Tokens(raw, offsets)
         for tests in blocks:
-            shard = Shard(raw, offsets, tests)
+            shard = Shard(tokens, tests, tests.window)  # no window is longer
             _, _, _, low, high = shard.search(tests)
             if cover is None:
                 cover = np.zeros(len(shard.row) + 1, np.int32)
@@ -275,8 +301,9 @@ def longest_matches(
         for batch in batches:
             ids = batch.column(0)
             for a, _, raw, offsets in _shards(batch.column(1)):
+                tokens = Tokens(raw, offsets)
                 for tests in blocks:
-                    shard = Shard(raw, offsets, tests)
+                    shard = Shard(tokens, tests, tests.longest)
                     depth, low, high, _, _ = shard.search(tests)
                     keep = np.flatnonzero(depth >= at_least)
                     place, owner = _spread(low[keep], high[keep])

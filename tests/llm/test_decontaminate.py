@@ -1,4 +1,5 @@
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -60,3 +61,21 @@ def test_many_blocks(spark, monkeypatch):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     for row in decontaminate.contamination(helpers.awkward(spark), bench).collect():
         assert (row.n_words, row.n_hit, row["items"]) == brute(row.text)
+
+
+def test_a_very_long_item_costs_no_more_than_its_words(spark):
+    item = helpers.sentence(3, 20_000)
+    bench = spark.createDataFrame([(1, item), (2, helpers.sentence(5, 12))], "item_id long, text string")
+    docs = spark.createDataFrame([(k, item) for k in range(3)] + [(3, helpers.sentence(6, 4000)), (4, helpers.sentence(5, 12))], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(docs, bench).collect()}
+    assert time.perf_counter() - began < 20
+    assert got[0] == got[1] == got[2] == (20_000, ["1"]) and got[3] == (0, []) and got[4] == (12, ["2"])
+
+
+def test_longest_matches_of_a_long_item(spark):
+    item = helpers.sentence(3, 300)
+    docs = spark.createDataFrame([(1, "x " + item + " y"), (2, " ".join(item.split()[50:250])), (3, item)], "doc_id long, text string")
+    rows = decontaminate.longest_matches(docs, spark.createDataFrame([(7, item)], "item_id long, text string"), at_least=60).collect()
+    want = {(o, d, o + (d == 1), 300 - o) for o in range(241) for d in (1, 3)}
+    assert {(r.item_word, r.doc_id, r.doc_word, r.n_words) for r in rows} == want
