@@ -12,7 +12,8 @@ visible character, so a text is cut there and each distinct word is encoded once
 
 Defined results: null texts are encoded as empty ones (only the end id); rows without a
 doc_id come first; rows that repeat a doc_id follow each other, ordered by text; extra
-columns are left out.
+columns are left out, whatever their names. Rows without a doc_id are divided among shards at
+random. An empty table gives files without rows, or none.
 """
 
 from __future__ import annotations
@@ -144,7 +145,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
     There are as many files as shuffle partitions, or as files says.
     """
     parts = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    dealt = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(parts, F.col("doc_id"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # rows without an id would all lie in one range: chance divides them
+    dealt = rows.withColumn("spread", F.when(F.col("doc_id").isNull(), F.rand(7))).repartitionByRange(parts, F.col("doc_id"), F.col("spread")).drop("spread")
     ordered = dealt.sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,10 +201,9 @@ def ids_crc32(df: DataFrame, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
-            ends = lists.offsets.to_numpy()
-            data = lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            base = 0 if len(lists.values) == ends[-1] else ends[0]
-            sums = [zlib.crc32(data[4 * (a - base) : 4 * (b - base)]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            ends = np.cumsum(np.append(0, lists.value_lengths().to_numpy()))
+            data = memoryview(lists.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False)).cast("B")
+            sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(sums, pa.int64())], names=[*keep, "ids_crc32"])
 
     chosen = df.select(*keep, "ids")
