@@ -4,11 +4,13 @@
    among a query's nearest; so a vector that a third of all rows share costs one entry.
 2. A bounded sample trains coarse centroids and, on what remains after taking the nearest
    centroid away, codebooks of 16 subspaces. Every entry is indexed: cell, codes, vector.
-3. Entries lie by cell in chunks of bounded size, so a crowded cell is split over tasks. A
-   query visits the cells nearest to it in all their chunks; how many, is read off the exact
-   neighbours of a sample, for without clusters neighbours lie in cells far apart. In a chunk, tables of
-   query-to-codeword products score the codes; the best of them are scored exactly on the
-   original vectors, in double precision, and only a query's few best leave the chunk.
+3. Cells that lie near each other form a shelf of about CHUNK entries, and a shelf's entries
+   lie in chunks of bounded size, so a crowded cell is split over tasks. A query visits the
+   cells nearest to it; how many, is read off the exact neighbours of a sample, for without
+   clusters neighbours lie in cells far apart. It is sent to each shelf once, with the cells
+   it visits there. In a chunk, tables of query-to-codeword products score the codes of those
+   cells; the best are scored exactly on the original vectors, in double precision, and only
+   a query's few best leave the chunk.
 
 All vectors are scaled to length 1 for the index, so the nearest by distance is the nearest
 by cosine. The reported score is the cosine of the original vectors.
@@ -25,7 +27,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,25 +34,26 @@ from pyspark.sql import functions as F
 #: At most so many different vectors train the index: those of smallest hash.
 SAMPLE_ROWS = 20_000
 SUBSPACES, CODEWORDS = 16, 64
-#: Entries for each cell that the number of cells aims at, and the most cells.
-PER_CELL, MOST_CELLS = 250, 4096
-#: Share of the cells that a query visits at least, and the least number.
-PROBE_SHARE, LEAST_PROBES = 0.25, 12
+#: Cells for each root of the number of entries, and training vectors that a cell needs.
+CELLS_BY_ROOT, PER_CENTROID = 2.0, 5
 #: Share of the sample's exact neighbours whose cells must be visited. At most so many queries ask for
 #: them, among so many vectors that haven't trained the index (among all, where they are few).
 REACH, REACH_QUERIES, REACH_ROWS = 0.97, 1000, 10_000
 #: Entries of a chunk, and candidates of a chunk that are scored exactly for one query.
-CHUNK, RERANK = 4096, 96
+CHUNK, RERANK = 16_384, 128
 #: Queries that one task scores against a chunk.
 QUERY_BLOCK = 8192
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id and embedding (array<double>) of the rows that take part."""
+    """vec_id and embedding of the rows that take part (and _asked, where there is one)."""
     good = F.col("e").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e")).where(F.col("vec_id").isNotNull() & good)
+    single = vectors.schema[embedding].dataType.simpleString() == "array<float>"  # half the bytes to move; the measure is double all the same
+    values = F.col(embedding) if single else F.col(embedding).cast("array<double>")
+    more = [c for c in vectors.columns if c == "_asked"]
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), values.alias("e"), *more).where(F.col("vec_id").isNotNull() & good)
     lengths = rows.groupBy(F.size("e").alias("length")).count().orderBy(F.desc("count"), "length").limit(1).select("length")
-    return rows.join(F.broadcast(lengths), F.size("e") == F.col("length")).select("vec_id", F.col("e").alias("embedding"))  # one row
+    return rows.join(F.broadcast(lengths), F.size("e") == F.col("length")).select("vec_id", F.col("e").alias("embedding"), *more)  # one row
 
 
 class Index:
@@ -63,9 +65,14 @@ class Index:
         self.centroids = kmeans(unit, cells, rng)
         residual = unit - self.centroids[nearest(unit, self.centroids)]
         dim = unit.shape[1]
+        self.shelf = np.zeros(len(self.centroids), dtype=np.int64)
         self.cuts = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int)
         self.books = [kmeans(residual[:, a:b], CODEWORDS, rng, rounds=8) for a, b in zip(self.cuts, self.cuts[1:])]
 
+    def shelve(self, shelves: int) -> None:
+        """Put neighbouring cells on one shelf."""
+        self.shelf = nearest(self.centroids, kmeans(self.centroids, shelves, np.random.default_rng(3)))
+
     def assign(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell and codes of each vector."""
         cell = nearest(unit, self.centroids)
@@ -94,13 +101,10 @@ class Index:
         visits = np.sort(np.concatenate(visits)) if visits else np.zeros(0, np.int64)
         return int(visits[math.ceil(REACH * len(visits)) - 1]) + 1 if len(visits) else 1
 
-    def estimates(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric scores (queries by entries): the product with the centroid, and with each codeword from a table."""
-        out = np.repeat((queries @ self.centroids[cell])[:, None], len(codes), axis=1)
-        for k, book in enumerate(self.books):
-            table = queries[:, self.cuts[k] : self.cuts[k + 1]] @ book.T
-            out += table[:, codes[:, k]]
-        return out
+    def tables(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What a query needs to score codes: its product with each centroid, and with each codeword of each subspace."""
+        words = np.stack([np.pad(book @ query[a:b], (0, CODEWORDS - len(book))) for (a, b), book in zip(zip(self.cuts, self.cuts[1:]), self.books)])
+        return self.centroids @ query, words.ravel()
 
 
 def normalised(x: np.ndarray) -> np.ndarray:
@@ -141,43 +145,46 @@ FOUND = "query_id long, vec_id long, score double"
 
 def search(vectors: DataFrame, is_query: Column, top: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """The top nearest of every query row among all other rows: query_id, rank, vec_id, score."""
-    from loomspark.llm.shared import materialise
+    from loomspark.llm.shared import discard, materialise
 
     spark = vectors.sparkSession
-    rows = usable(vectors, vec_id, embedding)
+    rows = usable(vectors.withColumn("_asked", F.coalesce(is_query, F.lit(False))), vec_id, embedding)
     # a query never needs more than top + 1 ids of one vector: its own may be among them. The limit
     # holds in each task before the shuffle, so a vector of very many rows stays small.
     order = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    first = rows.distinct().withColumn("_n", order).where(F.col("_n") <= top + 1)
+    first = rows.select("vec_id", "embedding").distinct().withColumn("_n", order).where(F.col("_n") <= top + 1)
     entries = materialise(first.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "neighbour-entries")
     count = entries.count()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not count:
         return empty
-    cells = int(min(MOST_CELLS, max(1, round(count / PER_CELL))))
-    sample = entries.select("embedding", F.xxhash64("embedding").alias("h")).orderBy("h").limit(SAMPLE_ROWS + REACH_ROWS).select("embedding").toPandas()
-    trained = np.array(sample["embedding"].tolist(), dtype=np.float64)
-    trained, others = trained[:SAMPLE_ROWS], trained[SAMPLE_ROWS:]
+    cells = max(1, min(SAMPLE_ROWS // PER_CENTROID, round(CELLS_BY_ROOT * math.sqrt(count))))
+    sample = _sample(entries.select("embedding", F.xxhash64("embedding").alias("h")), SAMPLE_ROWS + REACH_ROWS)
+    trained, others = sample[:SAMPLE_ROWS], sample[SAMPLE_ROWS:]
     built = Index(trained, cells)
-    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
-    asked = queries.select("embedding", F.xxhash64(F.lit(1), "embedding").alias("h")).orderBy("h").limit(REACH_QUERIES).select("embedding").toPandas()
+    built.shelve(min(cells, -(-count // CHUNK)))
+    queries = rows.where("_asked").select(F.col("vec_id").alias("query_id"), "embedding").distinct()
+    asked = _sample(queries.select("embedding", F.xxhash64(F.lit(1), "embedding").alias("h")), REACH_QUERIES)
     if not len(asked):
         return empty
-    asked = normalised(np.array(asked["embedding"].tolist(), dtype=np.float64))
-    probes = max(LEAST_PROBES, round(PROBE_SHARE * cells), built.reach(asked, normalised(others if count > SAMPLE_ROWS + REACH_ROWS else np.concatenate([trained, others])), top))
+    known = others if count > SAMPLE_ROWS + REACH_ROWS else np.concatenate([trained, others])
+    probes = built.reach(normalised(asked), normalised(known), top)
     index = spark.sparkContext.broadcast(built)
+    element = entries.schema["embedding"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 4096):
                 part = batch.slice(a, 4096)
                 cell, codes = index.value.assign(normalised(_matrix(part.column(0))))
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), part.column(0), part.column(1)], names=["cell", "codes", "embedding", "ids"])
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.shape[1]), len(codes), [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(index.value.shelf[cell].astype(np.int32)), pa.array(cell.astype(np.int32)), packed, part.column(0), part.column(1)], names=["shelf", "cell", "codes", "embedding", "ids"])
 
-    indexed = materialise(entries.mapInArrow(place, "cell int, codes binary, embedding array<double>, ids array<long>"), "neighbour-index")
-    # at most MOST_CELLS rows: how many chunks each cell is split into
-    chunks = indexed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
-    chunked = indexed.join(F.broadcast(chunks), "cell").select("cell", F.pmod(F.xxhash64("embedding"), F.col("chunks")).alias("chunk"), "codes", "embedding", "ids")
+    indexed = materialise(entries.mapInArrow(place, f"shelf int, cell int, codes binary, embedding {element}, ids array<long>"), "neighbour-index")
+    discard(entries)
+    # one row for each shelf, of which there are no more than cells: how many chunks its entries fill
+    chunks = indexed.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    chunked = indexed.join(F.broadcast(chunks), "shelf").select("shelf", F.pmod(F.xxhash64("embedding"), F.col("chunks")).alias("chunk"), "cell", "codes", "embedding", "ids")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,43 +193,80 @@ def search(vectors: DataFrame, is_query: Column, top: int = 5, vec_id: str = "ve
                 if not len(part):
                     continue
                 near = index.value.probes(normalised(_matrix(part.column(1))), probes)
-                owner = pa.array(np.repeat(np.arange(len(part)), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), pa.array(near.ravel().astype(np.int32)), part.column(1).take(owner)], names=["query_id", "cell", "embedding"])
-
-    visits = materialise(queries.mapInArrow(visit, "query_id long, cell int, embedding array<double>"), "neighbour-visits")
-    # a crowd of queries is dealt out in blocks as the entries are in chunks; again one row for each cell
-    blocks = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("blocks"))
-    dealt = visits.join(F.broadcast(chunks), "cell").join(F.broadcast(blocks), "cell")
-    dealt = dealt.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("block"), "query_id", "embedding")
-    held = chunked.join(F.broadcast(blocks), "cell")
-    held = held.select("cell", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "codes", "embedding", "ids")
-
-    def scan(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(held):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        matrix = np.array(held["embedding"].tolist(), dtype=np.float64)
-        codes = np.frombuffer(b"".join(held["codes"]), dtype=np.uint8).reshape(len(held), -1)
-        ids = held["ids"].tolist()
-        out: list[tuple[int, int, float]] = []
-        names = asked["query_id"].to_numpy()
-        for a in range(0, len(asked), 256):
-            block = np.array(asked["embedding"].iloc[a : a + 256].tolist(), dtype=np.float64)
-            estimate = index.value.estimates(normalised(block), int(key[0]), codes)
-            take = min(RERANK, len(held))
-            best = np.argpartition(-estimate, take - 1, axis=1)[:, :take]
-            for k in range(len(block)):
-                score = cosines(block[k], matrix[best[k]])
-                kept = [(-s, int(v)) for s, e in zip(score, best[k]) for v in ids[e] if v != names[a + k]]
-                out += [(int(names[a + k]), v, -s) for s, v in sorted(kept)[:top]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    key = ["cell", "chunk", "block"]
-    found = dealt.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(scan, FOUND)
+                shelf = index.value.shelf[near]
+                order = np.argsort(shelf, axis=1, kind="stable")
+                near, shelf = np.take_along_axis(near, order, axis=1), np.take_along_axis(shelf, order, axis=1)
+                new = np.concatenate([np.ones((len(part), 1), bool), shelf[:, 1:] != shelf[:, :-1]], axis=1).ravel()
+                begin = np.flatnonzero(new)
+                owner = pa.array(begin // near.shape[1])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, near.size).astype(np.int32)), pa.array(near.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), pa.array(shelf.ravel()[begin].astype(np.int32)), lists, part.column(1).take(owner)], names=["query_id", "shelf", "cells", "embedding"])
+
+    visits = materialise(queries.mapInArrow(visit, f"query_id long, shelf int, cells array<int>, embedding {element}"), "neighbour-visits")
+    # a crowd of queries is dealt out in blocks as the entries are in chunks; again one row for each shelf
+    blocks = visits.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("blocks"))
+    dealt = visits.join(F.broadcast(chunks), "shelf").join(F.broadcast(blocks), "shelf")
+    dealt = dealt.select("shelf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("block"), "query_id", "cells", "embedding")
+    held = chunked.join(F.broadcast(blocks), "shelf")
+    held = held.select("shelf", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "cell", "codes", "embedding", "ids")
+
+    def scan(asked: pa.Table, held: pa.Table) -> pa.Table:
+        found: list[tuple[int, int, float]] = []
+        if len(asked) and len(held):
+            chunk, names, cells = _Chunk(held), asked.column("query_id").to_pylist(), asked.column("cells").combine_chunks()
+            flat, ends = cells.flatten().to_numpy(), np.cumsum(np.append(0, cells.value_lengths().to_numpy()))
+            for k, query in enumerate(_matrix(asked.column("embedding"))):
+                found += chunk.best(index.value, names[k], query, flat[ends[k] : ends[k + 1]], top)
+        ids, near, score = zip(*found) if found else ((), (), ())
+        return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(near, pa.int64()), "score": pa.array(score, pa.float64())})
+
+    key = ["shelf", "chunk", "block"]
+    found = dealt.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(scan, FOUND)
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # an id may have several vectors
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
+class _Chunk:
+    """A chunk's entries in order of their cells."""
+
+    def __init__(self, held: pa.Table):
+        cell = held.column("cell").to_numpy()
+        order = np.argsort(cell, kind="stable")
+        codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), dtype=np.uint8).reshape(len(cell), -1)
+        self.cell = cell[order]
+        self.names, self.start = np.unique(self.cell, return_index=True)
+        self.end = np.append(self.start[1:], len(cell))
+        self.codes = codes[order].astype(np.int32) + CODEWORDS * np.arange(codes.shape[1], dtype=np.int32)
+        self.vectors = _matrix(held.column("embedding").combine_chunks())[order]
+        ids = held.column("ids").to_pylist()
+        self.ids = [ids[k] for k in order]
+
+    def best(self, index: Index, name: int, query: np.ndarray, cells: np.ndarray, top: int) -> list[tuple[int, int, float]]:
+        """The nearest ids of the visited cells: codes scored by tables, then the best of them by the exact measure."""
+        at = np.searchsorted(self.names, cells)
+        here = at[(at < len(self.names))]
+        here = here[np.isin(self.names[here], cells)]
+        if not len(here):
+            return []
+        entries = np.concatenate([np.arange(self.start[k], self.end[k]) for k in np.unique(here)])
+        near, words = index.tables(normalised(query[None])[0])
+        estimate = near[self.cell[entries]] + words[self.codes[entries]].sum(axis=1)
+        take = min(RERANK, len(entries))
+        chosen = entries[np.argpartition(-estimate, take - 1)[:take]]
+        score = cosines(query, self.vectors[chosen])
+        kept = sorted((-s, v) for s, e in zip(score.tolist(), chosen) for v in self.ids[e] if v != name)
+        return [(name, v, -s) for s, v in kept[:top]]
+
+
+def _sample(rows: DataFrame, n: int) -> np.ndarray:
+    """The embeddings of the n rows of smallest hash h."""
+    found = rows.orderBy("h").limit(n).select("embedding").toArrow().column(0).combine_chunks()
+    return _matrix(found) if len(found) else np.zeros((0, 1))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64)
