@@ -2,17 +2,21 @@
 
 1. Document evidence: a logistic model on form features of the whole text (symbols, upper
    case, repeated words, separators), trained in numpy on a bounded labelled sample.
-2. Hosts and paths (here the source, and the language within it): grouped sums of the
-   documents' probabilities, over all documents. A path's rate is shrunk toward its host's
-   and a host's toward the global one, each with a prior weight estimated by the method of
-   moments, so that sparse sites say little.
-3. A document's score adds to its own log-odds what its path's posterior differs from the
-   global rate in log-odds, times ``site_weight``.
+2. Hosts and paths (here the source, and the language within it): grouped sums over all
+   documents, of labels where rows outside the held-out fold have them and of the document
+   model's probabilities elsewhere. A path's rate is shrunk toward its host's and a host's
+   toward the global one, each with a prior weight estimated by the method of moments, so
+   that sparse sites say little.
+3. Bayes' rule joins both: the document model's log-odds less those of the share of good rows
+   it was trained on are what the text says whatever the site; the log-odds of the path's
+   posterior are the prior. A document's own share is taken out of its host and path first,
+   so that no evidence counts twice.
 
 Defined results: null and empty texts have the evidence of a text without words; a null
 source or language is a group of its own; repeated rows count as often as they occur; a
-null doc_id is scored like any other; without usable labels every document scores 0.5 of
-its own, and sites decide nothing.
+null doc_id is scored like any other, without a label; of different labels of one doc_id the
+larger counts; without usable labels every document scores 0.5. Columns named as the results
+are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: At most so many labelled documents train the document model: those whose hashed doc_id is smallest.
@@ -64,6 +68,8 @@ class DocumentModel:
 
     def __init__(self, weights: np.ndarray | None = None, mean: np.ndarray | None = None, spread: np.ndarray | None = None):
         self.weights, self.mean, self.spread = weights, mean, spread
+        #: Log-odds of the share of good rows among those trained on.
+        self.prior = 0.0
 
     def _x(self, raw: np.ndarray) -> np.ndarray:
         z = np.clip((raw - self.mean) / self.spread, -6, 6)
@@ -72,6 +78,7 @@ class DocumentModel:
     def fit(self, raw: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> DocumentModel:
         if len(y) == 0 or y.min() == y.max():
             return self
+        self.prior = float(np.log(y.mean() / (1 - y.mean())))
         self.mean, self.spread = raw.mean(axis=0), raw.std(axis=0) + 1e-6
         x, w = self._x(raw), np.zeros(2 * FEATURES + 1)
         penalty = ridge * np.eye(len(w))
@@ -88,18 +95,22 @@ class DocumentModel:
         return np.zeros(len(raw)) if self.weights is None else np.clip(self._x(raw) @ self.weights, -12, 12)
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Rows that neither train nor count as labelled at their sites: crc32 of the id's text leaves 0 by 5."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and quality, 0 or 1, once for each id outside the held-out fold."""
+    return labels.where(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DocumentModel:
-    picked = (
-        labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.max("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-    )
+    """Fit on a bounded sample of the labelled rows outside the held-out fold: those of smallest hashed id, and of repeated ids the first texts."""
+    picked = usable_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
     x, y = [], []
-    for row in docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "quality").toLocalIterator():
-        if len(y) >= rows:  # repeated doc_ids don't lift the bound
-            break
+    for row in found.select("text", "quality").toLocalIterator():
         x.append(features([row.text])[0])
         y.append(row.quality)
     return DocumentModel().fit(np.array(x).reshape(-1, FEATURES), np.array(y, dtype=np.float64))
@@ -132,23 +143,31 @@ def prior_weight(groups: DataFrame, rate: str, n: str, mean: str) -> DataFrame:
     return groups.agg(F.greatest(F.lit(1.0), F.least(F.lit(10_000.0), F.coalesce(weight, F.lit(10_000.0)))).alias("weight"))
 
 
-def site_posteriors(scored: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """One row for each host and path: n, host_posterior, path_posterior, global_rate. Groups are summed before the shuffle."""
-    p = 1 / (1 + F.exp(-F.col("evidence")))
-    paths = scored.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("good"))
+def site_posteriors(scored: DataFrame, host: str = "host", path: str = "path", good: str = "good") -> DataFrame:
+    """One row for each host and path: n, good, host_n, host_good, host_posterior, path_posterior, global_rate and both prior weights.
+
+    Groups are summed before the shuffle, and written once; all that follows reads that small table.
+    """
+    from loomspark.llm.shared import materialise
+
+    paths = materialise(scored.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.count(F.lit(1)).alias("n"), F.sum(good).alias("good")), "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
     total = hosts.agg((F.sum("host_good") / F.sum("host_n")).alias("global_rate"))
     hosts = hosts.crossJoin(F.broadcast(total)).withColumn("host_rate", F.col("host_good") / F.col("host_n"))  # one row
     host_weight = prior_weight(hosts, "host_rate", "host_n", "global_rate").withColumnRenamed("weight", "host_weight")
-    hosts = hosts.crossJoin(F.broadcast(host_weight)).select(
-        "host", "host_n", "global_rate", ((F.col("host_good") + F.col("host_weight") * F.col("global_rate")) / (F.col("host_n") + F.col("host_weight"))).alias("host_posterior")
+    hosts = hosts.crossJoin(F.broadcast(host_weight)).select(  # one row
+        "host", "host_n", "host_good", "global_rate", "host_weight", posterior(F.col("host_good"), F.col("host_n"), F.col("host_weight"), F.col("global_rate")).alias("host_posterior")
     )
+    hosts = materialise(hosts, "quality-hosts")
     joined = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"]).withColumn("path_rate", F.col("good") / F.col("n"))
     path_weight = prior_weight(joined, "path_rate", "n", "host_posterior").withColumnRenamed("weight", "path_weight")
-    return joined.crossJoin(F.broadcast(path_weight)).select(
-        "host", "path", "n", "host_n", "host_posterior", "global_rate",
-        ((F.col("good") + F.col("path_weight") * F.col("host_posterior")) / (F.col("n") + F.col("path_weight"))).alias("path_posterior"),
-    )
+    whole = joined.crossJoin(F.broadcast(path_weight))  # one row
+    return whole.withColumn("path_posterior", posterior(F.col("good"), F.col("n"), F.col("path_weight"), F.col("host_posterior"))).drop("path_rate")
+
+
+def posterior(good: Column, n: Column, weight: Column, prior: Column) -> Column:
+    """The rate of a group shrunk toward its prior, which is worth ``weight`` documents."""
+    return (good + weight * prior) / (n + weight)
 
 
 def _logit(p):
@@ -156,15 +175,29 @@ def _logit(p):
     return F.log(clipped / (1 - clipped))
 
 
-def judge(docs: DataFrame, model: DocumentModel, host: str = "source", path: str = "lang", site_weight: float = 0.5, threshold: float = 0.5) -> DataFrame:
-    """docs without the text, with evidence, host_posterior, path_posterior, score and keep."""
+#: Copies of each site's row, so that the documents of one host are joined in as many places.
+SALTS = 8
+RESULTS = ["evidence", "host_posterior", "path_posterior", "score", "keep"]
+
+
+def judge(docs: DataFrame, model: DocumentModel, labels: DataFrame | None = None, host: str = "source", path: str = "lang", threshold: float = 0.5) -> DataFrame:
+    """docs without the text, with evidence, host_posterior, path_posterior, score and keep. labels (doc_id, quality) speak for their sites."""
     from loomspark.llm.shared import materialise
 
-    scored = materialise(evidence(docs, model), "quality-evidence")  # two passes read it: the sites' and the documents'
-    sites = site_posteriors(scored, host, path).select(
-        F.col("host").alias("_host"), F.col("path").alias("_path"), "host_posterior", "path_posterior",
-        (_logit(F.col("path_posterior")) - _logit(F.col("global_rate"))).alias("_lift"),
-    )
-    joined = scored.join(sites, scored[host].eqNullSafe(F.col("_host")) & scored[path].eqNullSafe(F.col("_path")))
-    score = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(site_weight) * F.col("_lift"))))
-    return joined.withColumn("score", score).withColumn("keep", F.col("score") >= threshold).drop("_host", "_path", "_lift")
+    own = [c for c in docs.columns if c not in (*RESULTS, "text")]
+    # the row's own columns travel as one, so that none can clash
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("doc_id").alias("id"), F.col(host).alias("host"), F.col(path).alias("path"), "text")
+    scored = evidence(packed, model)
+    if labels is not None:
+        scored = scored.join(usable_labels(labels).select(F.col("doc_id").alias("id"), "quality"), "id", "left")
+    else:
+        scored = scored.withColumn("quality", F.lit(None).cast("int"))
+    good = F.coalesce(F.col("quality").cast("double"), 1 / (1 + F.exp(-F.col("evidence"))))
+    scored = materialise(scored.withColumn("own", good), "quality-evidence")  # two passes read it: the sites' and the documents'
+    sites = site_posteriors(scored, good="own").select(F.col("host").alias("h"), F.col("path").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "n", "good", "host_n", "host_good", "global_rate", "host_weight", "path_weight", "host_posterior", "path_posterior")
+    salted = scored.withColumn("salt", F.pmod(F.xxhash64("id", "evidence"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(sites, salted["host"].eqNullSafe(F.col("h")) & salted["path"].eqNullSafe(F.col("p")) & (salted["salt"] == sites["salt"]))
+    others_host = posterior(F.col("host_good") - F.col("own"), F.col("host_n") - 1, F.col("host_weight"), F.col("global_rate"))
+    others = posterior(F.col("good") - F.col("own"), F.col("n") - 1, F.col("path_weight"), others_host)
+    score = 1 / (1 + F.exp(-(F.col("evidence") - F.lit(model.prior) + _logit(others))))
+    return joined.select("row.*", "evidence", "host_posterior", "path_posterior", score.alias("score")).withColumn("keep", F.col("score") >= threshold)

@@ -47,8 +47,8 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    model = quality.train(docs, _table(spark, sf_dir, "labels"))
-    judged = quality.judge(docs, model)
+    labels = _table(spark, sf_dir, "labels")
+    judged = quality.judge(docs, quality.train(docs, labels), labels)
     return judged.select("doc_id", "source", "lang", "evidence", "host_posterior", "path_posterior", "score", "keep")
 
 

@@ -1,16 +1,21 @@
 """URL filters: list rules first, gradient-boosted trees on lexical features for the rest.
 
-Features of a url are its length, depth, digit ratio, entropy, parameter counts, word
-statistics and statistics of its host's suffix. The trees train on labelled urls: by
-default a reproducible set made from a documented rule (``labelled_urls``), or any table of
+Features of a url are its length, depth, digit ratio, entropy, parameter counts, and two
+statistics learnt from labelled urls: the log-odds of its host's suffixes (the last label,
+and the last two), and the mean and largest log-odds of the character n-grams of host and
+path. For the urls that train the trees these come from the other folds, so that no url's
+own label reaches its features. The labelled urls are by default a reproducible set made by
+a documented rule (``labelled_urls``; no table of labelled urls is at hand), or any table of
 (url, label) of bounded size.
 
-Defined results: a null url, or one without ``://``, has an empty host and path, meets no
-rule and is allowed; repeated rows are each judged; extra columns are ignored.
+Defined results: a null url, or one without ``://``, has an empty host and path and meets no
+rule; the trees judge it like any other url that no rule decides; repeated rows are each
+judged; extra columns are kept, but those named as the results are replaced.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -45,28 +50,27 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
     return pick([h + p for _, h, p in ordered]), pick([v for v, _, _ in ordered])
 
 
-FEATURES = 18
+#: Lexical features, before the learnt ones.
+LEXICAL = 15
+GRAM_BUCKETS, FOLDS, PRIOR = 1 << 14, 4, 4.0
 
 
-def features(urls: list[str | None]) -> np.ndarray:
+def lexical(urls: list[str | None]) -> np.ndarray:
     """Lexical features, one row for each url."""
-    return np.array([_features(u or "") for u in urls], dtype=np.float64).reshape(len(urls), FEATURES)
+    return np.array([_lexical(u or "") for u in urls], dtype=np.float64).reshape(len(urls), LEXICAL)
 
 
-# Words that advertising hosts and paths are made of, and address endings by price class.
-LURES = ("cheap", "pill", "spam", "casino", "bet", "win", "free", "bonus", "loan", "deal", "sale", "promo", "click", "xxx", "adult", "crypto", "farm", "replica")
-CHEAP_ENDINGS = ("xyz", "top", "click", "loan", "win", "bid", "icu", "buzz", "tk", "gq", "ml", "cf")
-
-
-def _features(url: str) -> list[float]:
+def _parts(url: str) -> tuple[str, str, str]:
+    """Host in lower case, path and query."""
     _, _, rest = url.partition("://")
     cut = min([i for i in map(rest.find, "/?#") if i >= 0], default=len(rest))
-    host, tail = rest[:cut].lower(), rest[cut:]
-    path, _, query = tail.partition("#")[0].partition("?")
+    path, _, query = rest[cut:].partition("#")[0].partition("?")
+    return rest[:cut].lower(), path, query
+
+
+def _lexical(url: str) -> list[float]:
+    host, path, query = _parts(url)
     labels = host.split(".")
-    longest = max(map(len, labels))
-    digits = sum(c.isdigit() for c in host)
-    words = [w for w in path.lower().replace("-", "/").split("/") if w]
     counts = np.array([host.count(c) for c in set(host)], dtype=np.float64)
     share = counts / max(len(host), 1)
     return [
@@ -75,31 +79,96 @@ def _features(url: str) -> list[float]:
         len(path),
         path.count("/"),
         len(labels),
-        longest,
+        max(map(len, labels)),
         host.count("-"),
-        digits / max(len(host), 1),
+        sum(c.isdigit() for c in host) / max(len(host), 1),
         sum(c.isdigit() for c in path) / max(len(path), 1),
         float(-(share * np.log2(share)).sum()) if len(host) else 0.0,
         query.count("&") + 1 if query else 0,
         len(query),
         url.count("%") + url.count("@"),
-        sum(word in host for word in LURES),
-        sum(word in w for w in words for word in LURES),
-        float(labels[-1] in CHEAP_ENDINGS),
         len(labels[-1]),
-        float(host.replace(".", "").isdigit()),
+        float(bool(host) and host.replace(".", "").isdigit()),
     ]
 
 
-def labelled_urls(rows: int = 6000, seed: int = 3) -> tuple[list[str], np.ndarray]:
-    """Urls with labels (1: unwanted), made from a rule: unwanted ones have more lures, hyphens, digits, parameters and cheap endings."""
+def suffixes(url: str) -> tuple[str, str]:
+    """The host's last label, and its last two."""
+    labels = _parts(url)[0].split(".")
+    return labels[-1], ".".join(labels[-2:])
+
+
+def grams(url: str) -> list[int]:
+    """Buckets of the distinct character n-grams of host and path, 3 to 5 long."""
+    host, path, _ = _parts(url)
+    text = f"^{host}{path.lower()}$"
+    return list({zlib.crc32(text[i : i + n].encode("utf-8", "replace")) % GRAM_BUCKETS for n in (3, 4, 5) for i in range(len(text) - n + 1)})
+
+
+class Statistics:
+    """Log-odds of suffixes and n-grams among labelled urls, shrunk toward none."""
+
+    def __init__(self, urls: list[str], labels: np.ndarray):
+        totals = np.array([(labels == 0).sum(), (labels == 1).sum()], dtype=np.float64)
+        ends: dict[str, np.ndarray] = {}
+        counts = np.zeros((GRAM_BUCKETS, 2))
+        for url, label in zip(urls, labels.tolist()):
+            for end in set(suffixes(url)):
+                ends.setdefault(end, np.zeros(2))[label] += 1
+            counts[grams(url), label] += 1
+        self.ends = {end: float(self._odds(c[None], totals)[0]) for end, c in ends.items()}
+        self.grams = self._odds(counts, totals)
+
+    @staticmethod
+    def _odds(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        prior = PRIOR * totals / totals.sum()
+        rate = (counts + prior) / (totals + PRIOR)
+        return np.log(rate[:, 1] / rate[:, 0])
+
+    def features(self, urls: list[str | None]) -> np.ndarray:
+        out = np.zeros((len(urls), 4))
+        for i, url in enumerate(urls):
+            last, two = suffixes(url or "")
+            odds = self.grams[grams(url or "")]
+            out[i] = [self.ends.get(last, 0.0), self.ends.get(two, 0.0), odds.mean() if len(odds) else 0.0, np.sort(odds)[-4:].mean() if len(odds) else 0.0]
+        return out
+
+
+class UrlModel:
+    """Learnt statistics and boosted trees over them and the lexical features."""
+
+    def __init__(self, urls: list[str], labels: np.ndarray):
+        labels = np.asarray(labels).astype(np.int64)
+        fold = np.arange(len(urls)) % FOLDS
+        learnt = np.zeros((len(urls), 4))
+        for k in range(FOLDS):
+            inside, outside = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+            learnt[inside] = Statistics([urls[i] for i in outside], labels[outside]).features([urls[i] for i in inside])
+        x, last = np.concatenate([lexical(urls), learnt], axis=1), fold == FOLDS - 1
+        self.statistics = Statistics(urls, labels)
+        self.trees = BoostedTrees(trees=40, depth=4).fit(x[~last], labels[~last]).calibrate(x[last], labels[last])
+
+    def probability(self, urls: list[str | None]) -> np.ndarray:
+        return self.trees.probability(np.concatenate([lexical(urls), self.statistics.features(urls)], axis=1))
+
+
+# Words of unwanted hosts and paths in the made-up urls, and address endings by price class.
+LURES = ("cheap", "pill", "spam", "casino", "bet", "win", "free", "bonus", "loan", "deal", "sale", "promo", "click", "xxx", "adult", "crypto", "farm", "replica")
+CHEAP_ENDINGS = ("xyz", "top", "click", "loan", "win", "bid", "icu", "buzz", "tk", "gq", "ml", "cf")
+
+
+def labelled_urls(rows: int = 6000, seed: int = 3, lures: tuple[str, ...] = LURES) -> tuple[list[str], np.ndarray]:
+    """Urls with labels (1: unwanted), made by a rule: unwanted ones have lures, more hyphens, digits, parameters and cheap endings.
+
+    One url in forty lacks its scheme, whatever its label.
+    """
     rng = np.random.default_rng(seed)
     syllables = ["th", "er", "on", "an", "re", "in", "ti", "es", "wh", "ou", "ble", "ha", "st", "ed", "nd", "or"]
     word = lambda a, b: "".join(rng.choice(syllables, rng.integers(a, b)))
     urls, labels = [], rng.integers(0, 2, rows)
     for bad in labels:
         if bad:
-            core = [word(1, 4) for _ in range(rng.integers(0, 3))] + [str(rng.choice(LURES)) + ("s" if rng.random() < 0.4 else "") for _ in range(rng.integers(1, 3))]
+            core = [word(1, 4) for _ in range(rng.integers(0, 3))] + [str(rng.choice(lures)) + ("s" if rng.random() < 0.4 else "") for _ in range(rng.integers(1, 3))]
             rng.shuffle(core)
             host = "-".join(core) + (str(rng.integers(1, 9999)) if rng.random() < 0.3 else "")
             ending = str(rng.choice(CHEAP_ENDINGS)) if rng.random() < 0.4 else str(rng.choice(["com", "org", "net"]))
@@ -109,26 +178,23 @@ def labelled_urls(rows: int = 6000, seed: int = 3) -> tuple[list[str], np.ndarra
         front = str(rng.choice(["", "", "www.", "m.", "blog.", "news."]))
         middle = str(rng.choice(["", "example."]))
         depth = rng.integers(0, 4)
-        path = "".join("/" + (str(rng.integers(1, 1000)) if rng.random() < 0.4 else word(1, 5) if rng.random() < (0.5 if bad else 0.97) else str(rng.choice(LURES))) for _ in range(depth))
+        path = "".join("/" + (str(rng.integers(1, 10_000)) if rng.random() < 0.4 else word(1, 5) if rng.random() < (0.5 if bad else 0.97) else str(rng.choice(lures))) for _ in range(depth))
         path += str(rng.choice(["", "/", ".html"])) if depth else ""
         n = int(rng.integers(0, 4)) if rng.random() < (0.6 if bad else 0.35) else 0
         query = "?" + "&".join(f"{word(1, 3)}={rng.integers(0, 10**6) if bad else word(1, 3)}" for _ in range(n)) if n else ""
-        urls.append(f"{rng.choice(['http', 'https'])}://{front}{host}.{middle}{ending}{path}{query}{'#top' if rng.random() < 0.1 else ''}")
+        scheme = str(rng.choice(["http", "https"])) + "://" if rng.random() >= 0.025 else ""
+        urls.append(f"{scheme}{front}{host}.{middle}{ending}{path}{query}{'#top' if rng.random() < 0.1 else ''}")
     return urls, labels
 
 
-def train(urls: list[str] | None = None, labels: np.ndarray | None = None) -> BoostedTrees:
+def train(urls: list[str] | None = None, labels: np.ndarray | None = None) -> UrlModel:
     """Fit on three quarters of the labelled urls and calibrate on the rest."""
-    if urls is None:
-        urls, labels = labelled_urls()
-    x, y = features(urls), np.asarray(labels)
-    last = np.arange(len(y)) % 4 == 3
-    return BoostedTrees(trees=40, depth=4).fit(x[~last], y[~last]).calibrate(x[last], y[last])
+    return UrlModel(*labelled_urls()) if urls is None else UrlModel(urls, labels)
 
 
-def judge(pages: DataFrame, model: BoostedTrees, url: str = "url", threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, model: UrlModel, url: str = "url", threshold: float = 0.5) -> DataFrame:
     """pages with host, path, rule, verdict and score (of urls that no rule decides)."""
-    shipped = pages.sparkSession.sparkContext.broadcast(model)  # some tens of kB
+    shipped = pages.sparkSession.sparkContext.broadcast(model)  # some hundreds of kB
     added = ["host", "path", "rule", "verdict", "score"]
     kept = [c for c in pages.columns if c not in added]
     host, path = host_of(F.col(url)), path_of(F.col(url))
@@ -140,13 +206,12 @@ def judge(pages: DataFrame, model: BoostedTrees, url: str = "url", threshold: fl
         for batch in batches:
             column = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
             verdicts = column["verdict"].to_pylist()
-            hosts, texts = column["host"].to_pylist(), column[url].to_pylist()
+            texts = column[url].to_pylist()
             scores: list[float | None] = [None] * len(verdicts)
-            ask = [i for i, v in enumerate(verdicts) if v is None and hosts[i]]
-            for i, p in zip(ask, shipped.value.probability(features([texts[i] for i in ask]))):
+            ask = [i for i, v in enumerate(verdicts) if v is None]
+            for i, p in zip(ask, shipped.value.probability([texts[i] for i in ask])):
                 scores[i] = float(p)
                 verdicts[i] = "block" if p >= threshold else "allow"
-            verdicts = [v or "allow" for v in verdicts]
             column |= {"verdict": pa.array(verdicts, pa.string()), "score": pa.array(scores, pa.float64())}
             yield pa.RecordBatch.from_arrays([column[n] for n in batch.schema.names], names=batch.schema.names)
 
