@@ -8,11 +8,13 @@ enough, so a document scores as its worst window, and training takes, of a toxic
 the window the model finds worst so far, and of a clean one its worst and other windows.
 
 Because everything up to the softmax is linear, the score of a window is a mean of word
-scores: scoring a corpus needs one number for each word, remembered by each worker.
+scores: scoring a corpus needs one number for each n-gram, which is all that is sent to the
+executors, and one for each word, remembered by each worker.
 
 Defined results: null and empty texts score as a window without words (the bias alone);
-labels that are null or not 0 or 1, and rows that repeat a doc_id with other labels, train
-as they stand in the labelled sample; without any usable labels nothing is toxic.
+labels that are null or not 0 or 1 train nothing; of different labels of one doc_id the
+larger counts, and each row that repeats a doc_id is a training text of its own; without any
+usable labels nothing is toxic. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -31,12 +33,12 @@ from pyspark.sql import functions as F
 #: At most so many labelled documents train the model: those whose hashed doc_id is smallest.
 SAMPLE_ROWS = 4000
 WINDOW, STEP = 24, 12
-BUCKETS, DIMENSION = 1 << 17, 8
-EPOCHS, ROBUST, DECAY = 5, 0.0, 0.02
+BUCKETS, DIMENSION = 1 << 20, 8
+EPOCHS, DECAY = 8, 0.02
 #: An n-gram of at least so many training documents is learnt, at full rate where its log-odds lie SURE standard
 #: errors from none; the log-odds and errors of counts to which PRIOR_DOCS documents of average class are added.
 LEAST_DOCS, SURE, PRIOR_DOCS = 3, 4.0, 1.0
-CLEAN_WEIGHT = 3
+CLEAN_WEIGHT = 2
 #: The softmax's fixed temperature: one word in a window can turn it.
 SCALE = WINDOW
 CACHE_WORDS = 400_000
@@ -63,8 +65,7 @@ class SubwordModel:
     def fit(self, rows: Iterable[tuple[str | None, int]], epochs: int = EPOCHS, rate: float = 0.1, seed: int = 11) -> SubwordModel:
         """Train on documents and their labels, 0 or 1, taking them one at a time. Table and softmax move together, by Adagrad.
 
-        Labels are noisy, so the loss is the generalised cross-entropy: a window whose label the
-        model finds unlikely pulls less. N-grams of fewer than LEAST_DOCS documents say nothing; the
+        The loss is the cross-entropy, both classes weighing alike. N-grams of fewer than LEAST_DOCS documents say nothing; the
         others move the faster the surer their counts tell the classes apart, however rare they are.
         """
         rng = np.random.default_rng(seed)
@@ -120,9 +121,8 @@ class SubwordModel:
                 p = np.exp(logit - logit.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 y = labels[owners[w]]
-                pull = p[np.arange(len(w)), y] ** ROBUST * balance[y]
                 p[np.arange(len(w)), y] -= 1
-                p *= pull[:, None] / len(w)
+                p *= balance[y][:, None] / len(w)
                 back = SCALE * (p @ self.output.T) / np.maximum(size[w], 1)[:, None]
                 g_word = _sum_rows(back[row], inverse, len(unique)) / np.maximum(part_size[unique], 1)[:, None]
                 touched, bucket_row = np.unique(buckets, return_inverse=True)
@@ -158,24 +158,26 @@ class SubwordModel:
         return sure * (counts[0] + counts[1] >= LEAST_DOCS)
 
     def _window_scores(self, part_flat, part_start, part_size, flat, size, start) -> np.ndarray:
-        each = (self.table.astype(np.float64) @ (self.output[:, 1] - self.output[:, 0]).astype(np.float64))[part_flat]
+        each = (self.table @ (self.output[:, 1] - self.output[:, 0])).astype(np.float64)[part_flat]
         sums = np.concatenate([[0.0], np.cumsum(each)])
         word = (sums[part_start + part_size] - sums[part_start]) / np.maximum(part_size, 1)
         sums = np.concatenate([[0.0], np.cumsum(word[flat])])
         return SCALE * (sums[start + size] - sums[start]) / np.maximum(size, 1) + float(self.bias[1] - self.bias[0])
 
-    def word_scores(self, words: list[str]) -> list[float]:
-        """What each word adds to a window's log-odds, before the division by the window's length."""
-        direction = SCALE * (self.output[:, 1] - self.output[:, 0]).astype(np.float64)
-        out: list[float] = []
-        for a in range(0, len(words), 20_000):
-            parts = [grams(w) for w in words[a : a + 20_000]]
-            size = np.array([len(p) for p in parts])
-            flat = np.fromiter((b for p in parts for b in p), dtype=np.int64, count=int(size.sum()))
-            weight = self.table.astype(np.float64) @ direction if len(flat) > BUCKETS else None
-            each = weight[flat] if weight is not None else self.table[flat].astype(np.float64) @ direction
-            out += (np.add.reduceat(each, np.cumsum(size) - size) / size).tolist() if len(size) else []
-        return out
+    def weights(self) -> np.ndarray:
+        """What each bucket adds to a window's log-odds, before the divisions by the numbers of n-grams and of words."""
+        return (SCALE * (self.table @ (self.output[:, 1] - self.output[:, 0]))).astype(np.float32)
+
+
+def word_scores(weights: np.ndarray, words: list[str]) -> list[float]:
+    """What each word adds to a window's log-odds, before the division by the window's length."""
+    out: list[float] = []
+    for a in range(0, len(words), 20_000):
+        parts = [grams(w) for w in words[a : a + 20_000]]
+        size = np.array([len(p) for p in parts])
+        flat = np.fromiter((b for p in parts for b in p), dtype=np.int64, count=int(size.sum()))
+        out += (np.add.reduceat(weights[flat].astype(np.float64), np.cumsum(size) - size) / size).tolist() if len(size) else []
+    return out
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -212,17 +214,21 @@ def tokens(text: str | None) -> list[str]:
 
 
 class Scorer:
+    """A trained model as scoring needs it: a weight for each bucket, and the bias."""
+
     def __init__(self, model: SubwordModel):
-        self.model = model
+        self.weights, self.bias = model.weights(), float(model.bias[1] - model.bias[0])
         self.known: dict[str, float] = {}
-        self.bias = float(model.bias[1] - model.bias[0])
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
 
     def scores(self, texts: list[str | None]) -> list[float]:
         split = [tokens(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known = {}
         new = [w for w in set().union(*split) if w not in self.known]
-        self.known.update(zip(new, self.model.word_scores(new)))
+        self.known.update(zip(new, word_scores(self.weights, new)))
         out = []
         for words in split:
             if not words:
@@ -258,16 +264,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Subwor
     return SubwordModel().fit((row.text, row.toxic) for row in itertools.islice(found, rows))
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def score(docs: DataFrame, model: SubwordModel, text: str = "text", out: str = "score") -> DataFrame:
     """docs with the probability that each whole text is toxic; a column of that name is replaced."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS x DIMENSION
+    shipped = docs.sparkSession.sparkContext.broadcast(Scorer(model))  # of fixed size: a number for each of BUCKETS
     kept = [c for c in docs.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shipped.value)
+        scorer = shipped.value
         for batch in batches:
             for a in range(0, len(batch), 512):
                 part = batch.slice(a, 512)
