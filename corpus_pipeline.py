@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import bpe, decontaminate, jaccard, pii, toxicity
 from loomspark.llm.queries import tokenizer_path
-from loomspark.llm.shared import materialise
+from loomspark.llm.shared import discard, materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -22,8 +22,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, out="_toxicity")
-    return scored.where(F.col("_toxicity") < 0.5).select(*docs.columns)
+    out = "_toxicity"
+    while out in docs.columns:
+        out = "_" + out
+    return toxicity.score(docs, model, out=out).where(F.col(out) < 0.5).select(*docs.columns)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +64,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if last is not None:  # what the next stage was made from is no longer read
+            discard(last)
+        last = docs
     return docs
