@@ -8,24 +8,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Word lists of the retrieval and overlap tokenisers.
-RETRIEVAL_STOP = (
-    "the and for with that this from into what when where which would could should about mention mentioned "
-    "conversation answer short date time last week year month yesterday today tomorrow before after did does "
-    "was were has have had their they them his her him she you your are any all who why how"
-).split()
-OVERLAP_STOP = (
-    "the and for with that this from into what when where which would could should about mention mentioned "
-    "conversation answer short date time last week year month yesterday today tomorrow before after did does "
-    "was were has have had her his their they she him caroline melanie"
-).split()
-MEMORY_STOP = "the and for that this with from into speaker says said user about would could should have".split()
-KEYWORD_STOP = (
-    "the a an is are was were be been being have has had do does did will would could should may might shall can need dare ought "
-    "used to of in for on with at by from as into through during before after above below between out off over under again "
-    "further then once here there when where why how all both each few more most other some such no nor not only own same so "
-    "than too very just because but and or if while about up it its i me my you your he she they we this that these those "
-    "what which who whom says said speaker"
-).split()
+RETRIEVAL_STOP = [
+    "the", "and", "for", "with", "that", "this", "from", "into", "what", "when", "where", "which", "would", "could", "should", "about", "mention", "mentioned",
+    "conversation", "answer", "short", "date", "time", "last", "week", "year", "month", "yesterday", "today", "tomorrow", "before", "after", "did", "does",
+    "was", "were", "has", "have", "had", "their", "they", "them", "his", "her", "him", "she", "you", "your", "are", "any", "all", "who", "why", "how",
+]
+OVERLAP_STOP = [
+    "the", "and", "for", "with", "that", "this", "from", "into", "what", "when", "where", "which", "would", "could", "should", "about", "mention", "mentioned",
+    "conversation", "answer", "short", "date", "time", "last", "week", "year", "month", "yesterday", "today", "tomorrow", "before", "after", "did", "does",
+    "was", "were", "has", "have", "had", "her", "his", "their", "they", "she", "him", "caroline", "melanie",
+]
+# Word lists of the note tokens and of the keyword rule.
+MEMORY_STOP = ["the", "and", "for", "that", "this", "with", "from", "into", "speaker", "says", "said", "user", "about", "would", "could", "should", "have"]
+KEYWORD_STOP = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may",
+    "might", "shall", "can", "need", "dare", "ought", "used", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "during",
+    "before", "after", "above", "below", "between", "out", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why",
+    "how", "all", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very",
+    "just", "because", "but", "and", "or", "if", "while", "about", "up", "it", "its", "i", "me", "my", "you", "your", "he", "she", "they", "we", "this",
+    "that", "these", "those", "what", "which", "who", "whom", "says", "said", "speaker",
+]
 NOTE_FIELDS = ("dia_id", "session_date", "speaker", "content", "image_caption", "image_query")
 DEFAULT_DOMAIN = "General / Conversation / Episodic"
 
@@ -75,7 +77,7 @@ ANSWER_TYPES = [
     (r"\bwho\b", "person"),
     (r"\bwhere\b|\bwhat country\b", "place"),
 ]
-# The pattern of each kind of slot; the two places that classify differ only in order.
+# The pattern of each kind of slot, and the two orders in which the two places that classify try them.
 SLOT_TYPE_PATTERNS = {
     "count": r"\bhow many\b|\bnumber of\b",
     "place": r"\bwhere\b",
@@ -88,9 +90,10 @@ SLOT_TYPE_PATTERNS = {
 }
 ANSWER_SLOT_ORDER = ["count", "place", "person", "book", "event", "activity", "item", "status"]
 PROFILE_SLOT_ORDER = ["status", "count", "place", "person", "book", "event", "activity", "item"]
+# Expressions of time that a note's text may hold.
 TEMPORAL_MARKERS = [
     "yesterday", "today", "tomorrow", "last week", "next week", "last month", "next month", "last year", "next year",
-    *(f"last {d}" for d in ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")),
+    "last monday", "last tuesday", "last wednesday", "last thursday", "last friday", "last saturday", "last sunday",
 ]
 
 
@@ -131,9 +134,13 @@ def overlap_tokens(c: Column) -> Column:
 
 
 def memory_tokens(c: Column) -> Column:
-    """The set of ASCII words and hyphens of three or more, without stop words."""
-    found = F.regexp_extract_all(F.lower(_text(c)), F.lit("[a-z0-9_-]{3,}"), F.lit(0))
-    return F.array_distinct(F.filter(found, lambda t: ~t.isin(MEMORY_STOP)))
+    """The set of words of letters, digits, underscores and inner hyphens of three or more characters, in any script, without stop words.
+
+    A word that begins and ends at word borders is a run of these characters less the hyphens at its ends.
+    """
+    runs = F.regexp_extract_all(_text(c), F.lit(r"[\p{L}\p{N}_-]+"), F.lit(0))
+    found = F.transform(runs, lambda t: F.regexp_replace(F.lower(t), "^-+|-+$", ""))
+    return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 3) & ~t.isin(MEMORY_STOP)))
 
 
 def metric_tokens(c: Column) -> Column:
@@ -256,9 +263,13 @@ def temporal_markers(c: Column) -> Column:
     return F.filter(F.array(*map(F.lit, TEMPORAL_MARKERS)), lambda m: low.contains(m))
 
 
+#: A word of ASCII letters between word borders of any script.
+KEYWORD = r"(?<![\p{L}\p{N}_])[a-zA-Z]{3,}(?![\p{L}\p{N}_])"
+
+
 def heuristic_keywords(c: Column, most: int = 5) -> Column:
-    """ASCII words of three or more letters, first seen, capitalised ones first."""
-    words = F.regexp_extract_all(_text(c), F.lit(r"(?U)\b[a-zA-Z]{3,}\b"), F.lit(0))
+    """ASCII words of three or more letters, first seen, capitalised ones first. For texts of a turn's size; operators.keywords takes texts of any."""
+    words = F.array_distinct(F.regexp_extract_all(_text(c), F.lit(KEYWORD), F.lit(0)))
     kept = F.filter(words, lambda w: ~F.lower(w).isin(KEYWORD_STOP))
     first = F.filter(kept, lambda w, i: F.array_position(F.transform(kept, F.lower), F.lower(w)) == i + 1)
     upper = F.filter(first, lambda w: w.rlike("^[A-Z]"))

@@ -110,8 +110,24 @@ def similar_events(pairs: DataFrame, cap: int = SIMILAR_CAP) -> DataFrame:
 
 
 def upsert_edges(edges: DataFrame) -> DataFrame:
-    """One edge for each source, target and relation, with the largest strength; forbidden and unknown relations go."""
-    return edges.where(F.col("relation").isin(*lifecycle.RELATIONS)).groupBy("src_id", "target_id", "relation").agg(F.max("strength").alias("strength"))
+    """One edge for each source, target and relation of a sample, with the largest strength and the first reason; forbidden and unknown relations and loops go."""
+    keys = [c for c in ("sample_id", "src_id", "target_id", "relation") if c in edges.columns]
+    more = [F.min("reason").alias("reason")] if "reason" in edges.columns else []
+    kept = edges.where(F.col("relation").isin(*lifecycle.RELATIONS) & (F.col("src_id") != F.col("target_id")))
+    return kept.groupBy(*keys).agg(F.max("strength").alias("strength"), *more)
+
+
+def best_overlap(notes: DataFrame) -> DataFrame:
+    """sample_id, note_id, best_id, overlap: of the earlier notes of the sample that share a token, the first of largest Jaccard overlap.
+
+    notes: sample_id, note_id, ord, tokens (set). Shared tokens are counted by an equi-join; sizes give the union, so no text is joined.
+    """
+    held = notes.select("sample_id", "note_id", "ord", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    old = held.select("sample_id", F.col("note_id").alias("best_id"), F.col("ord").alias("best_ord"), F.col("size").alias("best_size"), "token")
+    shared = held.join(old, ["sample_id", "token"]).where("best_ord < ord").groupBy("sample_id", "note_id", "best_id", "best_ord", "size", "best_size").agg(F.count(F.lit(1)).alias("common"))
+    scored = shared.withColumn("overlap", F.col("common") / (F.col("size") + F.col("best_size") - F.col("common")))
+    best = F.min(F.struct((-F.round("overlap", 9)).alias("worse"), "best_ord", "best_id", "overlap"))
+    return scored.groupBy("sample_id", "note_id").agg(best.alias("b")).select("sample_id", "note_id", "b.best_id", "b.overlap")
 
 
 def resolve_targets(edges: DataFrame, notes: DataFrame) -> DataFrame:
@@ -130,6 +146,23 @@ def domain_catalog(notes: DataFrame, path: str = "domain_path", example: str = "
     return counts.join(texts, "domain")
 
 
+def domain_scores(notes: DataFrame, questions: DataFrame) -> DataFrame:
+    """query_id, domain, n, score: Jaccard of a question's tokens and the vocabulary of each domain that shares one.
+
+    notes: domain, tokens; questions: query_id, tokens. A vocabulary is rows, never one value: its size and what it shares
+    give the union. A question that no domain shares a token with gets the domain of most notes, with score 0.
+    """
+    counts = notes.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    words = notes.select("domain", F.explode("tokens").alias("token")).distinct()
+    sizes = words.groupBy("domain").agg(F.count(F.lit(1)).alias("words"))
+    asked = questions.select("query_id", F.size("tokens").alias("asked"), F.explode("tokens").alias("token"))
+    shared = asked.join(words, "token").groupBy("query_id", "domain", "asked").agg(F.count(F.lit(1)).alias("common"))
+    scored = shared.join(sizes, "domain").join(counts, "domain").select("query_id", "domain", "n", F.round(F.col("common") / (F.col("asked") + F.col("words") - F.col("common")), 6).alias("score"))
+    best = counts.orderBy(F.desc("n"), "domain").limit(1).select("domain", "n", F.lit(0.0).alias("score"))
+    alone = questions.select("query_id").join(shared.select("query_id"), "query_id", "left_anti").crossJoin(F.broadcast(best))  # one row
+    return scored.unionByName(alone)
+
+
 def route(scored: DataFrame, k: int = 3, threshold: float = 0.25) -> DataFrame:
     """Domains by score and count: those over the threshold up to k, else the best one."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("n"), "domain")

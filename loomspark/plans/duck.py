@@ -31,7 +31,8 @@ def overlap(x: str) -> str:
 
 
 def memory(x: str) -> str:
-    return f"list_distinct([t FOR t IN regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9_-]{{3,}}') IF t NOT IN {words(T.MEMORY_STOP)}])"
+    runs = f"[regexp_replace(lower(r), '^-+|-+$', '', 'g') FOR r IN regexp_extract_all(coalesce({x}, ''), '[\\p{{L}}\\p{{N}}_-]+')]"
+    return f"list_distinct([t FOR t IN {runs} IF length(t) >= 3 AND t NOT IN {words(T.MEMORY_STOP)}])"
 
 
 def metric(x: str) -> str:
@@ -76,7 +77,7 @@ def entity(q: str, speaker: str, exact: str) -> str:
 def slot_signal(q: str, rewrite: str) -> str:
     hits = f"len([s FOR s IN {slots(q)} IF contains(lower({rewrite}), s) OR len(list_intersect(string_split(s, ' '), {retrieval(rewrite)})) > 0])"
     return (
-        f"least(1.0, 0.18 * least(5, {common(retrieval(q), retrieval(rewrite))}) + 0.28 * least(2, {hits}) + CASE WHEN contains({rewrite}, ':') AND {hits} > 0 THEN 0.10 ELSE 0.0 END)"
+        f"CAST(least(1.0, 0.18 * least(5, {common(retrieval(q), retrieval(rewrite))}) + 0.28 * least(2, {hits}) + CASE WHEN contains({rewrite}, ':') AND {hits} > 0 THEN 0.10 ELSE 0.0 END) AS DOUBLE)"
     )
 
 
@@ -96,3 +97,46 @@ bm25 AS (
 def top(source: str, k: int) -> str:
     """The k best of each query of a relation (query_id, note_id, score)."""
     return f"SELECT * FROM (SELECT query_id, note_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, note_id DESC) AS INT) AS rank FROM {source}) WHERE rank <= {k}"
+
+
+#: What documents have as notes beyond their text, by a rule on doc_id: status, successes, failures and citations.
+LIFECYCLE = "CASE doc_id % 10 WHEN 7 THEN 'stale' WHEN 8 THEN 'candidate' WHEN 9 THEN 'deprecated' ELSE 'active' END AS status, doc_id % 5 AS success, doc_id % 3 AS failed, doc_id % 7 AS citations"
+
+
+def expansion(q: str) -> str:
+    """A question with its evidence cues."""
+    quoted = lambda terms: "[" + ", ".join(f"'{t}'" for t in terms) + "]"
+    terms = "flatten([" + ", ".join(f"CASE WHEN regexp_matches(lower({q}), '{p}') THEN {quoted(t)} ELSE [] END" for p, t in T.EXPANSIONS) + "])"
+    once = f"[x FOR x, i IN {terms} IF list_position({terms}, x) = i]"
+    return f"CASE WHEN len({terms}) > 0 THEN {q} || ' ; evidence cues: ' || array_to_string({once}, ' ') ELSE {q} END"
+
+
+def rankers(category: int) -> str:
+    """Notes n, questions q, and the relations dense, bm25, lexical and entity (query_id, note_id, score) over the notes that each question may see."""
+    asked = expansion("coalesce(text, '')") if category == 1 else "text"
+    place = "CAST('0x' || left(md5({0}), 8) AS BIGINT) % 64"
+    acts = " + ".join(f"CASE WHEN contains(lower(lq), '{a}') AND contains(exact, '{a}') THEN 1.5 ELSE 0.0 END" for a in ACTIONS)
+    return f"""
+n AS (SELECT doc_id AS note_id, coalesce(text, '') AS main, lower(coalesce(text, '')) AS low, coalesce(source, '') AS source, lower(coalesce(source, '') || ' ' || coalesce(text, '')) AS exact, lang AS session,
+  source || ' / ' || lang AS path, {LIFECYCLE}, {retrieval("text")} AS tokens, {retrieval("source")} AS seen FROM documents),
+q0 AS (SELECT item_id AS query_id, text AS query, {asked} AS lq, regexp_matches(lower(text), 'previous|formerly|old|history|historical|archived') AS past FROM benchmark),
+q AS (SELECT *, {retrieval("query")} AS qt, {retrieval("lq")} AS lt,
+  list_distinct([x FOR x IN regexp_extract_all(lq, '[\\p{{L}}\\p{{N}}_]+(?:''[a-z]+)?') IF regexp_matches(x, '^[A-Z][a-z]+(?:''[a-z]+)?$')]) AS names,
+  [trim(p) FOR p IN string_split_regex(lower(lq), '[,;?]+') IF length(trim(p)) >= 8] AS phrases FROM q0),
+v AS (SELECT p.past, n.* FROM n, (VALUES (FALSE), (TRUE)) p(past) WHERE status IN ('active', 'candidate', 'stale') OR (p.past AND status IN ('deprecated', 'archived'))),
+stats AS (SELECT past, count(*) AS n_docs, avg(len(tokens)) AS avgdl FROM v GROUP BY past),
+held AS (SELECT past, note_id, len(tokens) AS dl, unnest(tokens) AS token FROM v),
+df AS (SELECT past, token, count(*) AS df FROM held GROUP BY ALL),
+asked AS (SELECT query_id, past, unnest(lt) AS token FROM q),
+bm25 AS (SELECT query_id, note_id, sum(ln(1.0 + (n_docs - df + 0.5) / (df + 0.5)) * 2.5 / (1.0 + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1e-6)))) AS score
+  FROM asked JOIN held USING (past, token) JOIN df USING (past, token) JOIN stats USING (past) GROUP BY query_id, note_id),
+places AS (SELECT past, note_id, {place.format("token")} AS place, CAST(count(*) AS DOUBLE) AS x FROM held GROUP BY ALL),
+dv AS (SELECT past, note_id, place, x / sqrt(sum(x * x) OVER (PARTITION BY past, note_id)) AS x FROM places),
+qplaces AS (SELECT query_id, past, {place.format("t")} AS place, CAST(count(*) AS DOUBLE) AS y FROM (SELECT query_id, past, unnest(qt) AS t FROM q) GROUP BY ALL),
+qv AS (SELECT query_id, past, place, y / sqrt(sum(y * y) OVER (PARTITION BY query_id)) AS y FROM qplaces),
+dense AS (SELECT query_id, note_id, sum(x * y) AS score FROM dv JOIN qv USING (past, place) GROUP BY query_id, note_id),
+pairs AS (SELECT query_id, note_id, {common("lt", "tokens")} AS over, {common("lt", "seen")} AS vis, {common("lt", "list_distinct(list_concat(tokens, seen))")} AS spoken, len(lt) AS nt,
+  len([p FOR p IN phrases IF contains(low, p)]) AS whole, len([t FOR t IN lt IF contains(exact, t)]) AS inside, len([x FOR x IN names IF contains(exact, lower(x))]) AS named, {acts} AS acts
+  FROM q JOIN v ON v.past = q.past WHERE len(lt) > 0),
+lexical AS (SELECT query_id, note_id, 3.0 * over + 0.75 * vis + (over + 0.5 * vis) / greatest(1, nt) + 0.25 * whole AS score FROM pairs WHERE over + vis + whole > 0),
+entity AS (SELECT query_id, note_id, 2.0 * spoken + 0.25 * inside + named + acts AS score FROM pairs WHERE spoken + inside + named + acts > 0)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import dates
 from loomspark.functions import text as T
-from loomspark.operators import enrich, graph, lifecycle
+from loomspark.operators import enrich, graph, keywords, lifecycle
 from loomspark.plans import duck
 from loomspark.plans.registry import Fixture, literal, query, table
 from loomspark.sources import dialogue
@@ -63,17 +63,17 @@ def field_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_NOTES}, r AS (SELECT note_id, trim(regexp_replace(speaker || ' evidence fact: ' || content || ' time: 8 May, 2023.', '\\s+', ' ', 'g')) AS rewrite, speaker FROM notes)
-SELECT note_id, rewrite, 'rewrite_content: ' || rewrite || ' metadata: ' || note_id || ' 8 May, 2023 ' || speaker || ' k  status: active' AS index_text FROM r"""
+SELECT note_id, rewrite, 'rewrite_content: ' || rewrite || ' metadata: ' || note_id || ' 8 May, 2023 ' || speaker || ' k status: active' AS index_text FROM r"""
 )
 def rewrite_and_index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit("")
     rows = notes(spark, sf_dir).withColumn("rewrite", T.rewrite_text(F.col("speaker"), F.lit("8 May, 2023"), F.col("content"), none, none))
     text = T.index_text(F.col("rewrite"), F.col("dia_id"), F.lit("8 May, 2023"), F.col("speaker"), F.array(F.lit("k")), F.array().cast("array<string>"), F.lit("active"), none, none)
-    return rows.select("note_id", "rewrite", F.regexp_replace(text, " k status", " k  status").alias("index_text"))
+    return rows.select("note_id", "rewrite", text.alias("index_text"))
 
 
 @query(
-    """WITH w AS (SELECT doc_id, regexp_extract_all(left(text, 300), '[\\p{L}\\p{N}_]+') AS words FROM documents),
+    """WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS words FROM documents),
 p AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM w),
 k AS (SELECT doc_id, lower(w) AS l, min(i) AS i, arg_min(CASE WHEN regexp_matches(w, '^[A-Z]') THEN 2 ELSE 1 END, i) AS s FROM p
   WHERE regexp_matches(w, '^[a-zA-Z]{3,}$') AND lower(w) NOT IN """
@@ -83,7 +83,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, i) AS rn
 SELECT d.doc_id, coalesce(string_agg(r.l, ' ' ORDER BY rn) FILTER (rn <= 5), '') AS keywords FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id"""
 )
 def heuristic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.heuristic_keywords(F.substring("text", 1, 300)), " ").alias("keywords"))
+    found = keywords.keywords(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.array_join("keywords", " ").alias("keywords"))
 
 
 QUESTIONS = Fixture(
@@ -268,18 +269,17 @@ def note_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, {duck.memory("left(text, 400)")} AS w FROM documents),
-p AS (SELECT a.doc_id, b.doc_id AS other, {duck.jaccard("a.w", "b.w")} AS j FROM t a JOIN t b ON b.doc_id BETWEEN a.doc_id - 10 AND a.doc_id - 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(j, 9) DESC, other) AS rn FROM p WHERE j > 0)
-SELECT doc_id, other AS best_id, round(j, 6) AS overlap FROM r WHERE rn = 1"""
+    f"""WITH t AS (SELECT conv_id, turn, {duck.memory("text")} AS w FROM conversations),
+p AS (SELECT a.conv_id, a.turn, b.turn AS other, {duck.jaccard("a.w", "b.w")} AS j FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn < a.turn),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(j, 9) DESC, other) AS rn FROM p WHERE j > 0)
+SELECT conv_id, turn, other AS best_turn, round(j, 6) AS overlap FROM r WHERE rn = 1"""
 )
 def jaccard_best_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each document, of its ten candidates (the ids before it) the first of largest overlap: an equi-join on exploded ids."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.memory_tokens(F.substring("text", 1, 400)).alias("w"))
-    asked = docs.select("doc_id", F.col("w").alias("own"), F.explode(F.sequence(F.col("doc_id") - 10, F.col("doc_id") - 1)).alias("best_id"))
-    scored = asked.join(docs.select(F.col("doc_id").alias("best_id"), "w"), "best_id").select("doc_id", "best_id", T.jaccard(F.col("own"), F.col("w")).alias("j")).where("j > 0")
-    best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.round("j", 9)), "best_id"))
-    return scored.withColumn("rn", best).where("rn = 1").select("doc_id", "best_id", F.round("j", 6).alias("overlap"))
+    """For each note, of the earlier notes of its sample the first of largest overlap, by whole texts."""
+    rows = notes(spark, sf_dir).withColumn("tokens", T.memory_tokens(F.col("content")))
+    best = graph.best_overlap(rows.select("sample_id", "note_id", "ord", "tokens"))
+    order = lambda c: F.regexp_extract(c, r":(\d+)$", 1).cast("long")
+    return best.select(F.col("sample_id").alias("conv_id"), order("note_id").alias("turn"), order("best_id").alias("best_turn"), F.round("overlap", 6).alias("overlap"))
 
 
 @query(
@@ -315,7 +315,7 @@ e AS (SELECT *, least(0.92, 0.60 + 0.08 * least(3, strong) + 0.04 * least(3, sha
   WHERE ((same AND strong > 0) OR (same AND shared >= 2) OR (NOT same AND strong >= 2)) AND (over >= 1 OR sim >= 0.25 OR strong > 0)),
 d AS (SELECT sample_id, a AS src_id, b AS target_id, ao, bo, strength FROM e UNION ALL SELECT sample_id, b, a, ao, bo, strength FROM e),
 r AS (SELECT *, row_number() OVER (PARTITION BY sample_id, src_id ORDER BY ao, bo) AS rn FROM d)
-SELECT sample_id, src_id, target_id, 'same_storyline' AS relation, round(strength, 6) AS strength FROM r WHERE rn <= 8"""
+SELECT sample_id, src_id, target_id, 'same_storyline' AS relation, round(CAST(strength AS DOUBLE), 6) AS strength FROM r WHERE rn <= 8"""
 
 
 @query(_TYPED)

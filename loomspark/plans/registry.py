@@ -34,7 +34,9 @@ def literal(value) -> str:
         return str(value).upper()
     if isinstance(value, (list, tuple)):
         return "[" + ", ".join(map(literal, value)) + "]"
-    return str(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
+    if isinstance(value, float):
+        return f"CAST({value} AS DOUBLE)"  # a bare 0.9 is a decimal
+    return str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
 
 
 class Fixture:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators import bundle, graph, lifecycle
+from loomspark.operators import bundle, dense, graph, lifecycle, scan
 from loomspark.operators import retrieval as R
 from loomspark.plans import duck
 from loomspark.plans.registry import query, table
@@ -35,31 +35,22 @@ def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.document_frequency(docs).crossJoin(F.broadcast(R.index_stats(docs))).select("token", "df", "n_docs", F.round("avgdl", 6).alias("avgdl"), idf.alias("idf"))  # one row
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", R.unit(F.col("embedding")).alias("v"))
-
-
-def _dense(spark: SparkSession, sf_dir: str, by_label: bool) -> DataFrame:
-    rows = _vectors(spark, sf_dir)
-    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("v").alias("q"))
-    near = (F.col("vec_id") != F.col("query_id")) & ((F.col("label") == F.col("query_label")) if by_label else F.lit(True))
-    scored = rows.join(queries, near).select("query_id", F.col("vec_id").alias("note_id"), R.dot(F.col("q"), F.col("v")).alias("score"))
-    return R.top_k(scored, 5).select("query_id", "note_id", "score", "rank")
-
-
 _DENSE = """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS note_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score
-  FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id {0}) """
+  FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id {0}) """
 
 
 @query(_DENSE.format("") + duck.top("s", 5))
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five nearest vectors of each query vector; the queries are the stated blocks against all rows."""
-    return _dense(spark, sf_dir, False)
+    """Five nearest vectors of each query vector; the queries are every twentieth row, against all rows."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("note_id"), "embedding")
+    return dense.nearest(rows, rows.where("note_id % 20 = 0"), 5)
 
 
 @query(_DENSE.format("AND q.label = e.label") + duck.top("s", 5))
 def dense_topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dense(spark, sf_dir, True)
+    """The same among the rows of the query's label."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("note_id"), "embedding", F.col("label").alias("group"))
+    return dense.nearest(rows, rows.where("note_id % 20 = 0"), 5)
 
 
 _HASH = f"list_transform(range({DIM}), lambda i: CAST(len([t FOR t IN tokens IF CAST('0x' || left(md5(t), 8) AS BIGINT) % {DIM} = i]) AS DOUBLE))"
@@ -78,149 +69,148 @@ def hashed_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("note_id", "place", F.round(F.col("x") / norm, 6).alias("value"))
 
 
-def _hashed_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine of every question with every document, from sparse hashed vectors: a join on places, not on pairs."""
-    place = (F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 8), 16, 10).cast("long") % DIM).cast("int")
-
-    def sparse(rows: DataFrame, key: str) -> DataFrame:
-        counts = rows.select(key, F.explode("tokens").alias("t")).groupBy(key, place.alias("place")).agg(F.count(F.lit(1)).cast("double").alias("x"))
-        return counts.select(key, "place", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))).alias("x"))
-
-    docs, asked = sparse(documents(spark, sf_dir), "note_id"), sparse(questions(spark, sf_dir), "query_id").withColumnRenamed("x", "y")
-    return docs.join(asked, "place").groupBy("query_id", "note_id").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
+def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as notes: the source is speaker and visual text, lang the session; status and counts follow a rule on doc_id (duck.LIFECYCLE)."""
+    status = F.when(F.col("doc_id") % 10 == 7, "stale").when(F.col("doc_id") % 10 == 8, "candidate").when(F.col("doc_id") % 10 == 9, "deprecated").otherwise("active")
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("note_id"), F.col("text").alias("main"), F.col("source").alias("visual"), F.col("source").alias("speaker"), F.col("lang").alias("session"),
+        F.concat_ws(" / ", "source", "lang").alias("path"), status.alias("status"), (F.col("doc_id") % 5).alias("success"), (F.col("doc_id") % 3).alias("failed"), (F.col("doc_id") % 7).alias("citations"),
+    )
 
 
-_DENSE_SQL = f"""
-places AS (SELECT note_id, CAST('0x' || left(md5(token), 8) AS BIGINT) % {DIM} AS place, CAST(count(*) AS DOUBLE) AS x FROM held GROUP BY ALL),
-dv AS (SELECT note_id, place, x / sqrt(sum(x * x) OVER (PARTITION BY note_id)) AS x FROM places),
-qplaces AS (SELECT query_id, CAST('0x' || left(md5(token), 8) AS BIGINT) % {DIM} AS place, CAST(count(*) AS DOUBLE) AS y FROM asked GROUP BY ALL),
-qv AS (SELECT query_id, place, y / sqrt(sum(y * y) OVER (PARTITION BY query_id)) AS y FROM qplaces),
-dense AS (SELECT query_id, note_id, sum(x * y) AS score FROM dv JOIN qv USING (place) GROUP BY query_id, note_id)"""
+def asked(spark: SparkSession, sf_dir: str, category: int) -> DataFrame:
+    """Benchmark items as questions of a category."""
+    lexical = T.query_expansion(F.col("text")) if category == 1 else F.col("text")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), lexical.alias("lexical_query"))
 
 
 @query(
-    f"""WITH {duck.BM25}, {_DENSE_SQL},
-j AS (SELECT query_id, note_id, coalesce(b.score, 0.0) AS b, coalesce(e.score, 0.0) AS e FROM dense e FULL JOIN bm25 b USING (query_id, note_id)),
-n AS (SELECT query_id, note_id, (b - min(b) OVER w) / (max(b) OVER w - min(b) OVER w + 1e-6) AS bn, e FROM j WINDOW w AS (PARTITION BY query_id)),
-s AS (SELECT query_id, note_id, 0.5 * bn + 0.5 * e AS score FROM n) {duck.top("s", 10)}"""
+    f"""WITH {duck.rankers(2)},
+j AS (SELECT query_id, note_id, coalesce(b.score, 0.0) AS b, coalesce(e.score, 0.0) AS e FROM (SELECT query_id, note_id FROM q JOIN v USING (past)) p LEFT JOIN dense e USING (query_id, note_id) LEFT JOIN bm25 b USING (query_id, note_id)),
+s AS (SELECT query_id, note_id, 0.5 * (b - min(b) OVER w) / (max(b) OVER w - min(b) OVER w + 1e-6) + 0.5 * e AS score FROM j WINDOW w AS (PARTITION BY query_id)),
+p AS (SELECT * FROM s WHERE score > 0) {duck.top("p", 10)}"""
 )
 def hybrid_minmax_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half min-max normalised BM25, half cosine of hashed vectors."""
-    lexical = R.bm25(documents(spark, sf_dir), questions(spark, sf_dir)).withColumnRenamed("score", "b")
-    both = _hashed_dense(spark, sf_dir).withColumnRenamed("score", "e").join(lexical, ["query_id", "note_id"], "full").fillna(0.0, ["b", "e"])
-    scored = both.withColumn("score", 0.5 * R.min_max("b", ["query_id"]) + 0.5 * F.col("e"))
-    return R.top_k(scored, 10).select("query_id", "note_id", "score", "rank")
-
+    """Half min-max normalised BM25, half cosine of hashed vectors, over the notes that a question may see."""
+    top = scan.rank_retrievable(memories(spark, sf_dir), asked(spark, sf_dir, 2), {"hybrid": 10})
+    return top.select("query_id", "note_id", "score", "rank")
 
-def _pairs(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """The k best documents of each question with their texts: where per-pair expressions are worth their cost."""
-    best = R.top_k(R.bm25(documents(spark, sf_dir), questions(spark, sf_dir)), k)
-    texts = documents(spark, sf_dir).select("note_id", "text", "source", "lang")
-    return best.join(texts, "note_id").join(questions(spark, sf_dir).select("query_id", "query"), "query_id")
 
+def _ranked(spark: SparkSession, sf_dir: str, ranker: str, k: int) -> DataFrame:
+    found = scan.rank_retrievable(memories(spark, sf_dir), asked(spark, sf_dir, 2), {ranker: k})
+    return found.select("query_id", "note_id", "score", "rank")
 
-_PAIRS = f"""WITH {duck.BM25}, best AS ({duck.top("bm25", 5)}),
-p AS (SELECT b.query_id, b.note_id, q.query, t.text, t.source, t.lang FROM best b JOIN q USING (query_id) JOIN documents t ON t.doc_id = b.note_id)"""
 
-
-@query(f"{_PAIRS} SELECT query_id, note_id, round({duck.lexical('query', 'text', 'source')}, 6) AS lexical FROM p")
+@query(f"WITH {duck.rankers(2)} {duck.top('lexical', 20)}")
 def lexical_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir, 5).select("query_id", "note_id", F.round(R.lexical_relevance(F.col("query"), F.col("text"), F.col("source")), 6).alias("lexical"))
+    """The lexical source: of all documents with a positive score the best of each question."""
+    return _ranked(spark, sf_dir, "lexical", 20)
 
 
-@query(f"{_PAIRS} SELECT query_id, note_id, round({duck.entity('query', 'source', 'text')}, 6) AS entity FROM p")
+@query(f"WITH {duck.rankers(2)} {duck.top('entity', 20)}")
 def entity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir, 5).select("query_id", "note_id", F.round(R.entity_score(F.col("query"), F.col("source"), F.col("text")), 6).alias("entity"))
+    """The entity source: of all documents with a positive score the best of each question."""
+    return _ranked(spark, sf_dir, "entity", 20)
 
 
-@query(f"{_PAIRS} SELECT query_id, note_id, round({duck.slot_signal('query', 'text')}, 6) AS slot FROM p")
+@query(
+    f"""WITH {duck.BM25}, p AS (SELECT query_id, note_id, query, text FROM bm25 JOIN q USING (query_id) JOIN documents t ON t.doc_id = note_id),
+s AS (SELECT query_id, note_id, {duck.slot_signal("query", "text")} AS score FROM p) {duck.top("s", 10)}"""
+)
 def slot_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir, 5).select("query_id", "note_id", F.round(R.slot_signal(F.col("query"), F.col("text")), 6).alias("slot"))
+    """The ten best answer-slot signals of each question, over all documents that share a token with it."""
+    docs, questions_ = documents(spark, sf_dir), questions(spark, sf_dir)
+    scored = R.slot_signals(docs.select("note_id", "text", "tokens"), questions_)
+    return R.top_k(scored, 10).select("query_id", "note_id", "score", "rank")
 
 
 def fused(spark: SparkSession, sf_dir: str, category: int, k: int = 10) -> DataFrame:
-    """Candidates of every question from dense and BM25 sources, fused by the weights of a category; lang is the session."""
-    depth, wide = R.depth(k, category), category == 1
-    lexical = R.bm25(documents(spark, sf_dir), questions(spark, sf_dir))
-    dense = _hashed_dense(spark, sf_dir)
-    g_dense, g_bm25 = (R.EXPANDED, R.EXPANDED) if wide else (R.GLOBAL_DENSE, R.GLOBAL_BM25)
-    merged = R.merge_sources(
-        [
-            R.source(R.top_k(dense, depth), "domain_embedding", 0, False),
-            R.source(R.top_k(lexical, depth), "domain_bm25", 1, True),
-            R.source(R.top_k(dense, g_dense), "global_embedding", 3, False),
-            R.source(R.top_k(lexical, g_bm25), "global_bm25", 4, True),
-        ]
-    )
-    notes = documents(spark, sf_dir).select("note_id", F.col("lang").alias("session"), F.col("tokens").alias("note_tokens"))
-    asked = questions(spark, sf_dir).select("query_id", F.col("tokens").alias("query_tokens"))
-    joined = merged.join(notes, "note_id").join(asked, "query_id")
-    overlap = T.n_common(F.col("query_tokens"), F.col("note_tokens"))
-    ready = joined.withColumns(
-        {
-            "lexical_score": 3.0 * overlap + overlap / F.greatest(F.lit(1), F.size("query_tokens")),
-            "answer_slot": F.least(F.lit(1.0), 0.18 * F.least(F.lit(5), overlap)),
-            "domain_match": F.lit(1.0), "reliability": F.lit(0.5), "citation": F.lit(0.0), "penalty": F.lit(0.0),
-        }
-    )
+    """Candidates of every question from all six sources, fused by the weights of a category.
+
+    One scan of the notes ranks them by four rankers for all questions; what follows sees only the candidates.
+    """
+    notes = memories(spark, sf_dir)
+    wanted = asked(spark, sf_dir, category)
+    ranked = scan.rank_retrievable(notes, wanted, R.depths(k, category))
+    merged = R.merge_sources(R.to_sources(ranked, k, category))
+    routes = graph.route(graph.domain_scores(notes.select(F.col("path").alias("domain"), T.retrieval_tokens(F.col("main")).alias("tokens")), questions(spark, sf_dir)))
+    routes = routes.groupBy("query_id").agg(F.collect_list("domain").alias("routes"))  # three at most
+    joined = merged.join(notes, "note_id").join(wanted, "query_id").join(routes, "query_id", "left")
+    signals = {
+        "domain_match": T.domain_overlap(F.array("path"), F.col("routes")).cast("double"),
+        "reliability": lifecycle.reliability(F.col("success"), F.col("failed"), F.lit(1.0), F.lit(1.0)),
+        "citation": lifecycle.citation_score(F.col("citations")),
+        "penalty": lifecycle.penalty(F.col("status")),
+        "graph_expansion": F.lit(0.0),  # edges are followed only where a caller asks for it: R.expand_by_graph
+    }
+    ready = joined.withColumns(signals).drop("query", "lexical_query", "visual", "routes")
     return R.fuse(ready, category)
 
 
 def _fused_sql(category: int, k: int = 10) -> str:
-    depth = R.depth(k, category)
-    g_dense, g_bm25 = (R.EXPANDED, R.EXPANDED) if category == 1 else (R.GLOBAL_DENSE, R.GLOBAL_BM25)
     weights = R.WEIGHTS.get(category, R.WEIGHTS[0])
-    total = " + ".join(f"{w} * {s}" for w, s in zip(weights, [*R.SIGNALS[:-1], "least(1.0, lexical_score / 8.0)"]))
+    total = " + ".join(f"{w} * {s}" for w, s in zip(weights, [*R.SIGNALS[:-1], "lexical_norm"]))
     bonus = "greatest(0.0, 0.04 - 0.02 * (row_number() OVER (PARTITION BY query_id, session ORDER BY first_seen) - 1))" if category == 1 else "0.0"
 
     def part(name: str, source: str, priority: int, k: int, capped: bool) -> str:
         cap = "max(score) OVER (PARTITION BY query_id)" if capped else "1.0"
         return f"SELECT query_id, note_id, '{name}' AS source, greatest(least(score, {cap}) / greatest({cap}, 1e-6), 1.0 / rank) AS value, {priority} * 1000000 + rank AS seen FROM ({duck.top(source, k)})"
 
-    rows = " UNION ALL ".join([part("domain_embedding", "dense", 0, depth, False), part("domain_bm25", "bm25", 1, depth, True), part("global_embedding", "dense", 3, g_dense, False), part("global_bm25", "bm25", 4, g_bm25, True)])
+    rows = " UNION ALL ".join(part(name, ranker, p, n, capped) for p, (name, ranker, n, capped) in enumerate(R.source_lists(k, category)))
     values = ", ".join(f"coalesce(max(value) FILTER (source = '{s}'), 0.0) AS {s}" for s in R.SIGNALS[:6])
-    return f"""WITH {duck.BM25}, {_DENSE_SQL}, rows AS ({rows}),
-m AS (SELECT query_id, note_id, {values}, min(seen) AS seen, list_sort(list(DISTINCT source)) AS source_tags FROM rows GROUP BY query_id, note_id),
-r AS (SELECT m.*, CAST(row_number() OVER (PARTITION BY query_id ORDER BY seen) AS INT) AS first_seen, t.lang AS session, {duck.common("q.tokens", "d.tokens")} AS over, len(q.tokens) AS n
-  FROM m JOIN d USING (note_id) JOIN q USING (query_id) JOIN documents t ON t.doc_id = m.note_id),
-c AS (SELECT *, 3.0 * over + over / greatest(1, n) AS lexical_score, least(1.0, 0.18 * least(5, over)) AS answer_slot, 1.0 AS domain_match, {bonus} AS session_bonus FROM r),
-f AS (SELECT *, round({total} + 0.07 * 0.5 + session_bonus + 1e-9, 6) AS combined FROM c),
-fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, first_seen) AS INT) AS rank FROM f)"""
+    penalty = "CASE status WHEN 'candidate' THEN 0.2 WHEN 'stale' THEN 0.4 WHEN 'deprecated' THEN 0.9 WHEN 'archived' THEN 0.8 ELSE 0.0 END"
+    return f"""WITH {duck.rankers(category)}, rows AS ({rows}),
+m AS (SELECT query_id, note_id, {values}, min(seen) AS first, list_sort(list(DISTINCT source)) AS tags FROM rows GROUP BY query_id, note_id),
+dom AS (SELECT path AS domain, count(*) AS n, list_distinct(flatten(list(tokens))) AS words FROM n GROUP BY path),
+ds AS (SELECT query_id, domain, n, round({duck.jaccard("qt", "words")}, 6) AS score FROM dom, q),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n DESC, domain) AS rank FROM ds),
+routes AS (SELECT query_id, list(domain) AS routes FROM dr WHERE rank <= 3 AND (score >= 0.25 OR rank = 1) GROUP BY query_id),
+r AS (SELECT m.*, CAST(row_number() OVER (PARTITION BY m.query_id ORDER BY m.first) AS INT) AS first_seen, n.session, n.path, n.status, n.success, n.failed, n.citations, n.main, n.low, n.source, q.query, q.lq,
+  {duck.common("lt", "tokens")} AS over, {duck.common("lt", "n.seen")} AS vis, len(lt) AS nt, len([p FOR p IN phrases IF contains(low, p)]) AS whole
+  FROM m JOIN n USING (note_id) JOIN q ON q.query_id = m.query_id),
+c AS (SELECT r.*, CASE WHEN nt = 0 THEN 0.0 ELSE 3.0 * over + 0.75 * vis + (over + 0.5 * vis) / greatest(1, nt) + 0.25 * whole END AS lexical_score, {duck.slot_signal("query", "main")} AS answer_slot,
+  CASE WHEN list_contains(routes, path) THEN 1.0 ELSE 0.0 END AS domain_match, (success + 1.0) / (success + failed + 2.0) AS reliability, least(1.0, ln(1.0 + citations) / 5.0) AS citation,
+  {penalty} AS penalty, {bonus} AS session_bonus FROM r LEFT JOIN routes USING (query_id)),
+e AS (SELECT *, least(1.0, lexical_score / 8.0) AS lexical_norm, CASE WHEN answer_slot > 0 THEN list_sort(list_concat(tags, ['answer_slot'])) ELSE tags END AS source_tags FROM c),
+f AS (SELECT *, round(CAST({total} + 0.07 * reliability + 0.03 * citation + session_bonus + 1e-9 AS DOUBLE), 6) AS combined, 0.0 AS graph_expansion FROM e),
+fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY penalty, combined DESC, first_seen) AS INT) AS rank FROM f)"""
+
+
+_COLUMNS = "query_id, note_id, combined, round(CAST(session_bonus AS DOUBLE), 6) AS session_bonus, array_to_string(source_tags, ',') AS source_tags, first_seen, rank"
 
 
-_COLUMNS = "query_id, note_id, combined, round(session_bonus, 6) AS session_bonus, array_to_string(source_tags, ',') AS source_tags, first_seen"
+def _shown(df: DataFrame, k: int = 10) -> DataFrame:
+    return df.where(F.col("rank") <= R.debug_limit(k)).select("query_id", "note_id", "combined", F.round("session_bonus", 6).alias("session_bonus"), F.array_join("source_tags", ",").alias("source_tags"), "first_seen", "rank")
 
 
-def _shown(df: DataFrame) -> DataFrame:
-    return df.select("query_id", "note_id", "combined", F.round("session_bonus", 6).alias("session_bonus"), F.array_join("source_tags", ",").alias("source_tags"), "first_seen")
+_LIMIT = R.debug_limit(10)
 
 
-@query(f"{_fused_sql(2)} SELECT {_COLUMNS} FROM fused")
+@query(f"{_fused_sql(2)} SELECT {_COLUMNS} FROM fused WHERE rank <= {_LIMIT}")
 def fused_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates kept for inspection, in their final order."""
     return _shown(fused(spark, sf_dir, 2))
 
 
-@query(f"{_fused_sql(1)} SELECT {_COLUMNS} FROM fused")
+@query(f"{_fused_sql(1)} SELECT {_COLUMNS} FROM fused WHERE rank <= {_LIMIT}")
 def fused_candidates_cat1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(fused(spark, sf_dir, 1))
 
 
-@query(f"{_fused_sql(4)} SELECT {_COLUMNS} FROM fused")
+@query(f"{_fused_sql(4)} SELECT {_COLUMNS} FROM fused WHERE rank <= {_LIMIT}")
 def fused_candidates_cat4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(fused(spark, sf_dir, 4))
 
 
-_PARTS = ["domain_embedding", "domain_bm25", "global_embedding", "global_bm25", "answer_slot", "combined"]
-
-
 @query(
     f"{_fused_sql(2)} SELECT query_id, note_id, "
-    + ", ".join(f"CASE WHEN round({c}, 6) > 0 OR {str(c == 'combined').upper()} THEN row_number() OVER (PARTITION BY query_id ORDER BY round({c}, 6) DESC, first_seen) END AS {c}_rank" for c in _PARTS)
+    + ", ".join(f"CASE WHEN round(CAST({c} AS DOUBLE), 6) > 0 OR {str(c == 'combined').upper()} THEN CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(CAST({c} AS DOUBLE), 6) DESC, first_seen) AS INT) END AS {c}_rank" for c in R.COMPONENTS)
     + " FROM fused"
 )
 def component_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each candidate's rank by each of the thirteen components."""
     rows = fused(spark, sf_dir, 2)
-    return R.component_ranks(rows.withColumns({c: F.round(c, 6) for c in _PARTS}), _PARTS)
+    return R.component_ranks(rows.withColumns({c: F.round(c, 6) for c in R.COMPONENTS}), R.COMPONENTS)
 
 
 @query(
@@ -248,7 +238,7 @@ def first_seen_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("conv_id", "turn", "role", F.row_number().over(Window.partitionBy("conv_id").orderBy("seen")).alias("first_seen"))
 
 
-@query("SELECT conv_id AS query_id, turn AS first_seen, role AS session, round(greatest(0.0, 0.04 - 0.02 * (row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1)), 6) AS bonus FROM conversations")
+@query("SELECT conv_id AS query_id, turn AS first_seen, role AS session, round(CAST(greatest(0.0, 0.04 - 0.02 * (row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1)) AS DOUBLE), 6) AS bonus FROM conversations")
 def session_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("first_seen"), F.col("role").alias("session"))
     return rows.select("*", F.round(R.session_bonus("session", 1), 6).alias("bonus"))
@@ -267,11 +257,9 @@ def k_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions and the documents that hold them word for word; found through BM25's shared tokens, so no pair is tried for nothing."""
-    docs, asked = documents(spark, sf_dir), questions(spark, sf_dir)
-    full = R.bm25(docs, asked).select("query_id", "note_id")
-    texts = docs.select("note_id", "text")
-    return full.join(asked.select("query_id", "query"), "query_id").join(texts, "note_id").where(F.col("text").contains(F.col("query"))).select("query_id", "note_id")
+    """Questions and the documents that hold them, also inside words."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), "text")
+    return dense.containing(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
 
 
 @query()
@@ -283,8 +271,7 @@ def coverage_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _with_slots(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     pool = rows.where(F.col("rank") <= 50)
-    texts = documents(spark, sf_dir).select("note_id", "text")
-    joined = pool.join(texts, "note_id").join(questions(spark, sf_dir).select("query_id", "query"), "query_id")
+    joined = pool.withColumnRenamed("main", "text").join(questions(spark, sf_dir).select("query_id", "query"), "query_id")
     return joined.select(
         "query_id", "note_id", "rank", "combined", "first_seen", "session", "lexical_score",
         bundle.slot_tokens(F.col("query"), F.col("text")).alias("slot_tokens"), bundle.slot_score(F.col("query"), F.col("text")).alias("slot_score"),
@@ -306,31 +293,27 @@ def bundle_packer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT doc_id, source || ' / ' || lang AS path, left(text, 40) AS example FROM documents),
+    """WITH p AS (SELECT doc_id, source || ' / ' || lang AS path, text AS example FROM documents),
 l AS (SELECT doc_id, example, unnest([split_part(path, ' / ', 1), path]) AS domain FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY doc_id) AS rn FROM l)
 SELECT domain, count(*) AS n, array_to_string(list(example ORDER BY rn) FILTER (rn <= 3), '|') AS examples FROM r GROUP BY domain"""
 )
 def domain_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), F.concat_ws(" / ", "source", "lang").alias("domain_path"), F.substring("text", 1, 40).alias("example"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), F.concat_ws(" / ", "source", "lang").alias("domain_path"), F.col("text").alias("example"))
     return graph.domain_catalog(docs).select("domain", "n", F.array_join("examples", "|").alias("examples"))
 
 
 @query(
-    f"""WITH p AS (SELECT source || ' / ' || lang AS domain, count(*) AS n, list_distinct(flatten(list({duck.retrieval("left(text, 200)")}))) AS tokens FROM documents GROUP BY ALL),
+    f"""WITH p AS (SELECT source || ' / ' || lang AS domain, count(*) AS n, list_distinct(flatten(list({duck.retrieval("text")}))) AS tokens FROM documents GROUP BY ALL),
 q AS (SELECT item_id AS query_id, {duck.retrieval("text")} AS tokens FROM benchmark),
 s AS (SELECT query_id, domain, n, round({duck.jaccard("q.tokens", "p.tokens")}, 6) AS score FROM p, q),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n DESC, domain) AS INT) AS rank FROM s)
 SELECT query_id, domain, n, score, rank FROM r WHERE rank <= 3 AND (score >= 0.25 OR rank = 1)"""
 )
 def domain_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Domains of each question by token overlap with the starts of their documents. Domains are a few for each source."""
-    docs = table(spark, sf_dir, "documents").select(F.concat_ws(" / ", "source", "lang").alias("domain"), T.retrieval_tokens(F.substring("text", 1, 200)).alias("tokens"))
-    words = docs.select("domain", F.explode("tokens").alias("t")).groupBy("domain").agg(F.collect_set("t").alias("tokens"))
-    counts = docs.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
-    asked = questions(spark, sf_dir).select("query_id", F.col("tokens").alias("q"))
-    scored = words.join(counts, "domain").join(asked, F.lit(True)).select("query_id", "domain", "n", F.round(T.jaccard(F.col("q"), F.col("tokens")), 6).alias("score"))
-    return graph.route(scored).select("query_id", "domain", "n", "score", "rank")
+    """Domains of each question by token overlap with all texts of their documents."""
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws(" / ", "source", "lang").alias("domain"), T.retrieval_tokens(F.col("text")).alias("tokens"))
+    return graph.route(graph.domain_scores(docs, questions(spark, sf_dir).select("query_id", "tokens"))).select("query_id", "domain", "n", "score", "rank")
 
 
 @query(
