@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,3 +67,67 @@ def judge_score(response: Column) -> Column:
     low = F.lower(F.coalesce(response, F.lit("")))
     plain = low.rlike(r"\b(correct|yes|equivalent)\b") & ~low.rlike(r"\bincorrect\b")
     return F.when(score.isNotNull(), (score == 1).cast("int")).otherwise(plain.cast("int"))
+
+
+def bleu_scores(prediction: str, reference: str) -> tuple[float, float, float, float]:
+    """BLEU of one to four grams over word tokens: a precision of 0 counts as 0.1 matches, and short predictions pay the brevity penalty."""
+    # The weights of n-gram orders for each of the four scores.
+    weights = [(1.0,), (0.5, 0.5), (0.33, 0.33, 0.33), (0.25, 0.25, 0.25, 0.25)]
+    p, r = (re.findall(r"\w+|[^\w\s]", t.lower()) for t in (prediction, reference))
+    if not set(p) & set(r):
+        return 0.0, 0.0, 0.0, 0.0
+    logs = []
+    for n in range(1, 5):
+        own, other = (Counter(zip(*(t[i:] for i in range(n)))) for t in (p, r))
+        total = max(1, sum(own.values()))
+        logs.append(math.log(((own & other).total() or 0.1) / total))
+    penalty = 1.0 if len(p) > len(r) else math.exp(1 - len(r) / max(1, len(p)))
+    return tuple(penalty * math.exp(sum(w * x for w, x in zip(ws, logs))) for ws in weights)
+
+
+def bleu(rows: DataFrame, prediction: str, reference: str) -> DataFrame:
+    """rows with bleu1 to bleu4 of two texts, nulls read as empty. Counting n-grams against each other is quadratic in expressions, so it runs on Arrow batches."""
+    schema = rows.select("*", *[F.lit(0.0).alias(f"bleu{k}") for k in range(1, 5)]).schema
+
+    def run(frames):
+        for frame in frames:
+            made = [bleu_scores(p or "", r or "") for p, r in zip(frame[prediction], frame[reference])]
+            yield frame.assign(**{f"bleu{k + 1}": [m[k] for m in made] for k in range(4)})
+
+    return rows.mapInPandas(run, schema)
+
+
+def with_model_metrics(rows: DataFrame, measures: dict) -> DataFrame:
+    """rows (prediction, reference, metrics) with the metrics that pretrained models give: name to a function of two lists of texts.
+
+    Without a model a metric stays 0; each function runs on Arrow batches, and one that fails leaves its metric as it was.
+    """
+
+    def run(frames):
+        for frame in frames:
+            maps = [dict(m) for m in frame["metrics"]]
+            for name, measure in measures.items():
+                try:
+                    values = measure(frame["prediction"].tolist(), frame["reference"].tolist())
+                except Exception:  # the metric keeps its default
+                    continue
+                for m, v in zip(maps, values):
+                    m[name] = float(v)
+            yield frame.assign(metrics=maps)
+
+    return rows.mapInPandas(run, rows.schema) if measures else rows
+
+
+def qa_statistics(questions: DataFrame, images: DataFrame) -> DataFrame:
+    """Questions of all samples: total, with pictured evidence, and their average, least and most in a sample.
+
+    questions: sample_id, qa_id; images: sample_id, qa_id of those with pictured evidence.
+    """
+    marked = questions.join(images.select("sample_id", "qa_id").distinct().withColumn("pictured", F.lit(1)), ["sample_id", "qa_id"], "left")
+    per = marked.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("pictured", F.lit(0))).alias("pictured"))
+    return per.agg(F.sum("n").alias("total"), F.sum("pictured").alias("with_image"), F.avg("n").alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+def of_categories(rows: DataFrame, allowed: list[int]) -> DataFrame:
+    """Questions of the allowed categories."""
+    return rows.where(F.col("category").try_cast("int").isin(allowed))

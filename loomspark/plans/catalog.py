@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.plans import evaluation_queries, note_queries, retrieval_queries  # noqa: F401  (they register)
+from loomspark.plans import evaluation_queries, note_queries, pipeline_queries, retrieval_queries  # noqa: F401  (they register)
 from loomspark.plans.registry import QUERIES, SQL, Query
 
 
