@@ -18,6 +18,7 @@ random. An empty table gives files without rows, or none.
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 import zlib
@@ -44,6 +45,24 @@ _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[
 _PARTING = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _Odd(Exception):
+    """A word that is empty or touches white space: the blank before or after it parts nothing."""
+
+
+class _Words(dict):
+    """The ids of words with a blank before them; a word that is new is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Odd
+        ids = self[word] = self.encode(" " + word)
+        return ids
+
+
 class PieceEncoder:
     """Ids of texts by the library, remembered by the words between blanks and by the pieces of words.
 
@@ -57,62 +76,54 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Finds what only the library's own rules read right.
-        self.whole = re.compile("|".join([_WIDE, *added])).search
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Finds what only the library's own rules read right; ASCII words without the tokens' first characters hold none of it.
+        self.whole = re.compile("|".join([_WIDE, *map(re.escape, added)])).search
+        self.begins = re.compile("[" + re.escape("".join({t[0] for t in added})) + "]").search if added else lambda _: None
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         spare = iter(range(0x100, 0x200))
         #: The character that the model reads for each byte.
         self.characters = {b: b if b in plain else next(spare) for b in range(256)}
-        self.words: dict[str, bytes] = {}
+        self.blank = chr(self.characters[0x20])
+        self.words = _Words(self._encode)
         self.pieces: dict[str, bytes] = {}
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit integers, the end id last."""
         if len(self.words) > CACHE_WORDS:
-            self.words = {}
+            self.words.clear()
         if len(self.pieces) > CACHE_PIECES:
-            self.pieces = {}
-        end, words = END_ID.to_bytes(4, "little"), self.words
+            self.pieces.clear()
+        end, known = END_ID.to_bytes(4, "little"), self.words.__getitem__
         out = []
         for text in texts:
             if not text:
                 out.append(end)
                 continue
-            first, *rest = text.split(" ")
-            found = list(map(words.get, rest))
-            if None in found and not self._learn({w for w, ids in zip(rest, found) if ids is None}):
+            parts = text.split(" ")
+            parts[0], rest = "", parts[0]  # the text's first word has no blank before it
+            try:
+                ids = b"".join(map(known, itertools.islice(parts, 1, None)))
+            except _Odd:
                 # blanks beside white space: only those between visible characters part words
                 cuts = [0, *(m.start() for m in _PARTING.finditer(text)), len(text)]
-                first, found = text[: cuts[1]], [self._encode(text[a:b]) for a, b in zip(cuts[1:], cuts[2:])]
-            elif None in found:
-                found = list(map(words.__getitem__, rest))
-            out.append(b"".join([self._encode(first), *found, end]))
+                rest, ids = text[: cuts[1]], b"".join([self._encode(text[a:b]) for a, b in zip(cuts[1:], cuts[2:])])
+            out.append(self._encode(rest) + ids + end)
         return out
 
-    def _learn(self, new: set[str]) -> bool:
-        """Remember new words; false if one is empty or touches white space, so that the blank before or after it parts nothing."""
-        clean = True
-        for word in new:
-            if word and not word[0].isspace() and not word[-1].isspace():
-                text = " " + word
-                self.words[word] = self.pieces.get(text) or self._encode(text)
-            else:
-                clean = False
-        return clean
-
     def _encode(self, text: str) -> bytes:
         if not text:
             return b""
         if (whole := self.pieces.get(text)) is not None:
             return whole
-        if self.whole(text):
+        ascii_ = text.isascii()
+        if (not ascii_ or self.begins(text)) and self.whole(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         out = []
         for piece in _PIECES.findall(text):
             ids = self.pieces.get(piece)
             if ids is None:
-                read = piece.encode("utf-8").decode("latin-1").translate(self.characters)
+                read = piece.replace(" ", self.blank) if ascii_ and piece.isprintable() else piece.encode("utf-8").decode("latin-1").translate(self.characters)
                 made = [t.id for t in self.model.tokenize(read)]
                 ids = self.pieces[piece] = struct.pack(f"<{len(made)}I", *made)
             out.append(ids)
