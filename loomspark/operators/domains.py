@@ -39,15 +39,15 @@ def parse_tree(response: Column) -> Column:
     none = F.array().cast("array<string>")
 
     def entries(name: str) -> Column:
-        pairs = F.arrays_zip(strings(name).alias("s"), read(name).alias("o"))
-        return F.transform(
-            pairs,
-            lambda p: F.struct(
-                T.normalize_domain(F.coalesce(p["s"], first(p["o"]["path"], p["o"]["domain_path"], p["o"]["name"], p["o"]["title"]))).alias("path"),
-                F.substring(F.coalesce(first(p["o"]["description"], p["o"]["summary"]), F.lit("")), 1, DESCRIPTION).alias("description"),
-                F.slice(F.filter(F.transform(F.coalesce(p["o"]["keywords"], p["o"]["tags"], none), lambda k: F.trim(k)), lambda k: k != ""), 1, MOST_KEYWORDS).alias("keywords"),
-            ),
-        )
+        def one(text_: Column, i: Column) -> Column:
+            o = F.get(read(name), i)
+            return F.struct(
+                T.normalize_domain(F.coalesce(text_, first(o["path"], o["domain_path"], o["name"], o["title"]))).alias("path"),
+                F.substring(F.coalesce(first(o["description"], o["summary"]), F.lit("")), 1, DESCRIPTION).alias("description"),
+                F.slice(F.filter(F.transform(F.coalesce(o["keywords"], o["tags"], none), lambda k: F.trim(k)), lambda k: k != ""), 1, MOST_KEYWORDS).alias("keywords"),
+            )
+
+        return F.transform(strings(name), one)
 
     some = lambda name: F.when(F.size(entries(name)) > 0, entries(name))
     found = F.coalesce(some("domains"), some("domain_tree"), some("tree"), F.array().cast(f"array<{ENTRY}>"))

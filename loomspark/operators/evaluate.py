@@ -52,6 +52,12 @@ def evidence(gold: Column, retrieved: Column) -> Column:
     return F.struct((some & (F.size(missed) < F.size(F.array_distinct(gold)))).alias("hit_any"), (some & (F.size(missed) == 0)).alias("hit_all"), missed.alias("missed"))
 
 
+def evidence_counts(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """query_id, n_gold, n_hit of each question with gold; both are query_id and note_id rows, counted, never gathered."""
+    hits = gold.join(found.select("query_id", "note_id").distinct().withColumn("_hit", F.lit(1)), ["query_id", "note_id"], "left")
+    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"), F.count("_hit").alias("n_hit"))
+
+
 def diagnostics(rows: DataFrame) -> DataFrame:
     """By category: questions, those with gold, and hits."""
     return rows.groupBy("category").agg(

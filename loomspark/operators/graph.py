@@ -35,13 +35,18 @@ def local_neighbours(notes: DataFrame, radius: int) -> DataFrame:
 
 
 def pair_features(notes: DataFrame, nearby: int = 4) -> DataFrame:
-    """Pairs of a sample's notes that an edge rule can hold for, found by shared cues or by nearness of turns, never by all pairs.
+    """Pairs of a sample's notes that an edge rule can hold for, found by shared cues, rare tokens or nearness of turns, never by all pairs.
 
     notes: sample_id, note_id, ord, session, turn, speaker, tokens (set), cues, strong, visual (sets).
     """
     side = lambda p: notes.select("sample_id", *[F.col(c).alias(f"{p}_{c}") for c in ("note_id", "ord", "session", "turn", "speaker", "tokens", "cues", "strong", "visual")])
     a, b = side("a"), side("b")
-    spoken = notes.select("sample_id", "note_id", "ord", F.explode(F.array_union("cues", F.array_union("visual", "tokens"))).alias("cue"))
+    # similar events across sessions share half of their tokens, so they share one of each note's rarest half: common tokens make no pairs
+    held = notes.select("sample_id", "note_id", "ord", F.size("tokens").alias("n"), F.explode("tokens").alias("cue"))
+    often = held.groupBy("sample_id", "cue").agg(F.count(F.lit(1)).alias("often"))
+    rare = F.row_number().over(Window.partitionBy("sample_id", "note_id").orderBy("often", "cue"))
+    prefix = held.join(often, ["sample_id", "cue"]).withColumn("r", rare).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") / 2) + 1).select("sample_id", "note_id", "ord", "cue")
+    spoken = notes.select("sample_id", "note_id", "ord", F.explode(F.array_union("cues", "visual")).alias("cue")).union(prefix)
     left = spoken.select("sample_id", F.col("note_id").alias("a_note_id"), F.col("ord").alias("a_o"), "cue")
     right = spoken.select("sample_id", F.col("note_id").alias("b_note_id"), F.col("ord").alias("b_o"), "cue")
     pairs = left.join(right, ["sample_id", "cue"]).where("a_o < b_o").select("sample_id", "a_note_id", "b_note_id").distinct()

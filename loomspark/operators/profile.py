@@ -41,7 +41,8 @@ VALUED = [
 COMMON = ["caroline", "melanie"]
 QUOTED = r"['\"]([^'\"]{2,80})['\"]"
 CAPITALISED = r"(?<![\p{L}\p{N}_])[A-Z][A-Za-z0-9']+(?:\s+(?:of|the|and|[A-Z][A-Za-z0-9']+)){0,4}"
-WORD = r"(?<![\p{L}\p{N}_])[a-zA-Z][a-zA-Z0-9']+(?![\p{L}\p{N}_])"
+# a word ends at a border of letters, digits and underscores, so a closing apostrophe stays outside unless a letter follows
+WORD = r"(?<![\p{L}\p{N}_])[a-zA-Z][a-zA-Z0-9']+(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
 
 
 def cue(c: Column) -> Column:

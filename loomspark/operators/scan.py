@@ -41,7 +41,8 @@ RANKERS = ("dense", "bm25", "lexical", "entity", "hybrid")
 
 def question_features(questions: DataFrame) -> DataFrame:
     """What a block holds of each question. questions: query_id, query (dense), lexical_query (all other rankers)."""
-    low, asked = F.lower("lexical_query"), F.col("lexical_query")
+    asked = F.coalesce("lexical_query", F.lit(""))
+    low = F.lower(asked)
     phrases = F.filter(F.transform(F.split(low, "[,;?]+"), lambda p: F.trim(p)), lambda p: F.length(p) >= 8)
     return questions.select(
         "query_id", T.retrieval_tokens(F.col("query")).alias("dense_tokens"), T.retrieval_tokens(asked).alias("tokens"), phrases.alias("phrases"),

@@ -54,11 +54,10 @@ h AS (SELECT query_id, query_id % 3 AS category, n_gold > 0 AND n_hit > 0 AS hit
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question's gold documents against the first five that BM25 finds."""
     docs, asked = retrieval_queries.documents(spark, sf_dir), retrieval_queries.questions(spark, sf_dir)
-    found = R.top_k(R.bm25(docs, asked), 5).groupBy("query_id").agg(F.collect_set(F.col("note_id").cast("string")).alias("retrieved"))
-    held = retrieval_queries.gold(spark, sf_dir).groupBy("query_id").agg(F.collect_set(F.col("note_id").cast("string")).alias("gold"))
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).join(held, "query_id", "left").join(found, "query_id", "left")
-    rows = rows.select("query_id", (F.col("query_id") % 3).alias("category"), F.coalesce(F.size("gold") > 0, F.lit(False)).alias("has_gold"), evaluate.evidence(F.col("gold"), F.col("retrieved")).alias("e"))
-    return rows.select("query_id", "category", "has_gold", "e.hit_any", "e.hit_all", F.size("e.missed").cast("long").alias("n_missed"))
+    counts = evaluate.evidence_counts(retrieval_queries.gold(spark, sf_dir), R.top_k(R.bm25(docs, asked), 5))
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).join(counts, "query_id", "left").fillna(0, ["n_gold", "n_hit"])
+    some = F.col("n_gold") > 0
+    return rows.select("query_id", (F.col("query_id") % 3).alias("category"), some.alias("has_gold"), (some & (F.col("n_hit") > 0)).alias("hit_any"), (some & (F.col("n_hit") == F.col("n_gold"))).alias("hit_all"), (F.col("n_gold") - F.col("n_hit")).alias("n_missed"))
 
 
 @query(f"{_EVIDENCE} SELECT query_id, hit_any, hit_all, n_missed FROM h")

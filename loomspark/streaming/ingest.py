@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomspark.operators import lifecycle
-
 
 class NotesTable:
     """A table of notes kept as numbered versions; the newest complete one counts."""
@@ -33,11 +31,20 @@ class NotesTable:
         return self.spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
 
     def merge(self, batch: DataFrame, epoch: int) -> None:
-        """Version epoch + 1 is the newest version before it with the batch merged in; a repeat writes it again."""
+        """Version epoch + 1 is the newest version before it with the batch merged in; a repeat writes it again.
+
+        Of a note the row that arrived last counts, so a late row never replaces a newer one; of equal times the batch's does.
+        Versions before the one read here go: no repeat reads them.
+        """
         before = [v for v in self._versions() if v <= epoch]
-        newest = batch.groupBy("memory_id").agg(F.max_by(F.struct(*batch.columns), F.col("arrived")).alias("row")).select("row.*")
-        merged = lifecycle.upsert(self.spark.read.parquet(f"{self.path}/v{before[-1]}"), newest) if before else newest
-        merged.write.mode("overwrite").parquet(f"{self.path}/v{epoch + 1}")
+        rows = batch.withColumn("_new", F.lit(1))
+        if before:
+            rows = self.spark.read.parquet(f"{self.path}/v{before[-1]}").withColumn("_new", F.lit(0)).unionByName(rows)
+        newest = rows.groupBy("memory_id").agg(F.max_by(F.struct(*batch.columns), F.struct("arrived", "_new")).alias("row")).select("row.*")
+        newest.write.mode("overwrite").parquet(f"{self.path}/v{epoch + 1}")
+        for version in before[:-1]:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{version}")
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def start(notes: DataFrame, table: NotesTable, checkpoint: str) -> StreamingQuery:
