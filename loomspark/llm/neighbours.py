@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 
 #: At most so many different vectors train the index: those of smallest hash.
 SAMPLE_ROWS = 20_000
-SUBSPACES, CODEWORDS = 16, 64
+SUBSPACES, CODEWORDS = 16, 256
 #: Cells for each root of the number of entries, and training vectors that a cell needs.
 CELLS_BY_ROOT, PER_CENTROID = 2.0, 5
 #: Share of the sample's exact neighbours whose cells must be visited. At most so many queries ask for
 #: them, among so many vectors that haven't trained the index (among all, where they are few).
 REACH, REACH_QUERIES, REACH_ROWS = 0.97, 1000, 10_000
 #: Entries of a chunk, and candidates of a chunk that are scored exactly for one query.
-CHUNK, RERANK = 16_384, 128
+CHUNK, RERANK = 16_384, 384
 #: Queries that one task scores against a chunk.
 QUERY_BLOCK = 8192
 

@@ -53,6 +53,24 @@ def test_recall_with_clusters_where_few_cells_are_visited(spark, visited, monkey
     assert visited[0] < 0.1
 
 
+def test_recall_in_crowded_clusters():
+    """What codes lose: of 500 entries in each of 200 clusters the nearest must be among those that are scored exactly."""
+    unit = neighbours.normalised(clustered(100_000))
+    index = neighbours.Index(unit[np.random.default_rng(1).permutation(len(unit))[:20_000]], 632)
+    cell, codes = index.assign(unit)
+    asked = np.arange(0, 100_000, 500)
+    product = unit[asked] @ unit.T
+    product[np.arange(len(asked)), asked] = -np.inf
+    want = np.argpartition(-product, 5, axis=1)[:, :5]
+    places, kept = codes.astype(int) + neighbours.CODEWORDS * np.arange(codes.shape[1]), []
+    for q, near, own in zip(asked, index.probes(unit[asked], 6), want):
+        entries = np.flatnonzero(np.isin(cell, near))
+        products, words = index.tables(unit[q])
+        estimate = products[cell[entries]] + words[places[entries]].sum(axis=1)
+        kept.append(np.isin(own, entries[np.argsort(-estimate)[: neighbours.RERANK]]).mean())
+    assert np.mean(kept) >= 0.95
+
+
 def plain(rows, asked, top):
     """Every query's nearest by brute force, in double precision."""
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
