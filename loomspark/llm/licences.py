@@ -100,7 +100,7 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, temp
 
 
 def verdicts(scanned: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """One row a document: licences (sorted, comma-joined), n_matches, best_licence and best_dice (ties to the smaller name)."""
+    """One row a document: licences (sorted, comma-joined), n_matches, best_licence and best_dice (ties to the licence of the earlier template)."""
     best = F.array_max(F.transform("matches", lambda m: F.struct(m["dice"].alias("dice"), (-m["template"]).alias("order"), m["licence"].alias("licence"))))
     return scanned.select(
         F.col(doc_id),
