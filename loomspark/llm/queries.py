@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe, decontaminate, jaccard, licences, neighbours, pii, quality, token_files, toxicity, urls
+from loomspark.llm import bpe, decontaminate, jaccard, licences, neighbours, pii, quality, runs, secret_scan, spelling, token_files, toxicity, urls
 from loomspark.llm.shared import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,8 +88,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.train()).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return runs.detect(docs, ["n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"], rule=runs.planted)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.word_counts(docs, rule=spelling.misspelt))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.detect(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard_join, op3_neighbours, op4_quality, op5_pii, op6_token_files, op7_bpe, op8_licences, op9_toxicity, op10_url_filter)}
+    found = (op1_decontaminate, op2_jaccard_join, op3_neighbours, op4_quality, op5_pii, op6_token_files, op7_bpe, op8_licences, op9_toxicity, op10_url_filter)
+    return {f.__name__: f for f in (*found, op11_periodic_runs, op12_spelling_variants, op13_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
