@@ -106,9 +106,9 @@ def first_match(c: Column, rules: list[tuple[str, str]], default: str) -> Column
     return reduce(lambda rest, rule: F.when(c.rlike(rule[0]), rule[1]).otherwise(rest), reversed(rules), F.lit(default))
 
 
-def canonical_token(token: Column) -> Column:
-    """Lower case with one of four endings cut: ing, ies to y, ed, s."""
-    t, n = F.lower(token), F.length(token)
+def _stem(t: Column) -> Column:
+    """A lower-case token with one of four endings cut: ing, ies to y, ed, s."""
+    n = F.length(t)
     return (
         F.when((n > 5) & t.endswith("ing"), F.substring(t, F.lit(1), n - 3))
         .when((n > 4) & t.endswith("ies"), F.concat(F.substring(t, F.lit(1), n - 3), F.lit("y")))
@@ -118,19 +118,28 @@ def canonical_token(token: Column) -> Column:
     )
 
 
+def canonical_token(token: Column) -> Column:
+    return _stem(F.lower(token))
+
+
 def ascii_tokens(c: Column, least: int = 3, stop: list[str] | None = None) -> Column:
     """Lower-case runs of ASCII letters and digits of some length, without stop words, in order."""
-    found = F.regexp_extract_all(F.lower(_text(c)), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.filter(found, lambda t: (F.length(t) >= least) & (~t.isin(stop) if stop else F.lit(True)))
+    found = F.regexp_extract_all(F.lower(_text(c)), F.lit(f"[a-z0-9]{{{least},}}"), F.lit(0))
+    return F.filter(found, lambda t: ~t.isin(stop)) if stop else found
+
+
+def ascii_set(c: Column, least: int, stop: list[str]) -> Column:
+    """The distinct ascii_tokens, in the order first seen."""
+    return F.array_except(ascii_tokens(c, least), F.array(*map(F.lit, stop)))
 
 
 def retrieval_tokens(c: Column) -> Column:
-    """The set of stemmed retrieval tokens; the stop list sees the raw token."""
-    return F.array_distinct(F.transform(ascii_tokens(c, 3, RETRIEVAL_STOP), canonical_token))
+    """The set of stemmed retrieval tokens; the stop list sees the raw token. Only distinct tokens are stemmed."""
+    return F.array_distinct(F.transform(ascii_set(c, 3, RETRIEVAL_STOP), _stem))
 
 
 def overlap_tokens(c: Column) -> Column:
-    return F.array_distinct(ascii_tokens(c, 3, OVERLAP_STOP))
+    return ascii_set(c, 3, OVERLAP_STOP)
 
 
 def memory_tokens(c: Column) -> Column:

@@ -38,15 +38,19 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, note_id, score, rank: the k rows of largest cosine for each query row, itself left out; ties to the larger id.
 
     Both have note_id and embedding, and where group is given a query sees its own group only. Vectors that are null or
-    of another length than the first query's take no part; a zero vector has cosine 0 with all.
+    of another length than most queries' (of equally frequent lengths the greater; empty ones never count) take no part; a zero vector
+    has cosine 0 with all.
     """
     spark = rows.sparkSession
+    sizes = queries.where("embedding IS NOT NULL AND note_id IS NOT NULL AND size(embedding) > 0").groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    usual = sizes.agg(F.max_by("dim", F.struct("n", "dim"))).first()[0]
+    if usual is None:
+        return spark.createDataFrame([], "query_id long, note_id long, score double, rank int")
+    dim = int(usual)
     grouped = "group" in rows.columns
     columns = ["note_id", "embedding", *(["group"] if grouped else [])]
     found: list[DataFrame] = []
-    for block in _blocks(queries.where("embedding IS NOT NULL AND note_id IS NOT NULL").select(*columns), BLOCK):
-        dim = len(block[0]["embedding"])
-        block = [r for r in block if len(r["embedding"]) == dim]
+    for block in _blocks(queries.where((F.size("embedding") == dim) & F.col("note_id").isNotNull()).select(*columns), BLOCK):
         matrix = _unit(pa.array([r["embedding"] for r in block], pa.list_(pa.float64())), dim)
         ids = np.array([r["note_id"] for r in block], dtype=np.int64)
         places: dict = {}
@@ -55,8 +59,6 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         shipped = spark.sparkContext.broadcast((matrix, ids, {g: np.array(i) for g, i in places.items()}))  # BLOCK vectors
         good = rows.where((F.size("embedding") == dim) & F.col("note_id").isNotNull()).select(*columns)
         found.append(good.mapInArrow(_near(shipped, dim, k + SPARE, grouped), FOUND))
-    if not found:
-        return spark.createDataFrame([], "query_id long, note_id long, score double, rank int")
     scored = reduce(DataFrame.unionByName, found).withColumn("score", F.round("score", 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("note_id"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
+from loomspark.operators.calls import CallTable, Client, Model, complete
 
-Client = Callable[[str], str]
+__all__ = ["BACKENDS", "CallTable", "Client", "Model", "check", "complete", "make_client", "parse_analysis", "parse_domains", "parse_relation", "register_backend", "with_retries"]
 BACKENDS: dict[str, Callable[..., Client]] = {}
 
 
@@ -50,24 +49,6 @@ def check(client: Client) -> bool:
         return False
 
 
-def complete(rows: DataFrame, factory: Callable[[], Client], prompt: str = "prompt", out: str = "response") -> DataFrame:
-    """rows with a model's response to each prompt; a call that fails gives null, not a failed job."""
-    schema = rows.withColumn(out, F.lit(None).cast("string")).schema
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = factory()
-        for frame in frames:
-            answers = []
-            for text in frame[prompt]:
-                try:
-                    answers.append(client(text))
-                except Exception:
-                    answers.append(None)
-            yield frame.assign(**{out: answers})
-
-    return rows.mapInPandas(run, schema)
-
-
 def parse_analysis(response, content):
     """keywords, context and tags of a response in JSON or sections; what is missing comes from the content itself."""
     clean = T.strip_fences(response)

@@ -114,12 +114,20 @@ def similar_events(pairs: DataFrame, cap: int = SIMILAR_CAP) -> DataFrame:
     return ordered.mapInPandas(fold, schema)
 
 
-def upsert_edges(edges: DataFrame) -> DataFrame:
-    """One edge for each source, target and relation of a sample, with the largest strength and the first reason; forbidden and unknown relations and loops go."""
+def upsert_edges(edges: DataFrame, order: str | None = None) -> DataFrame:
+    """One edge for each source, target and relation of a sample, with the largest strength; forbidden and unknown relations and loops go.
+
+    What else an edge carries (reason, target_dia_id, created_at) is that of the first by the column order, as later ones only
+    strengthen it. Without an order the earliest created_at counts as first, and what is then equal goes by its value.
+    """
     keys = [c for c in ("sample_id", "src_id", "target_id", "relation") if c in edges.columns]
-    more = [F.min("reason").alias("reason")] if "reason" in edges.columns else []
+    more = [c for c in ("reason", "target_dia_id", "created_at") if c in edges.columns]
     kept = edges.where(F.col("relation").isin(*lifecycle.RELATIONS) & (F.col("src_id") != F.col("target_id")))
-    return kept.groupBy(*keys).agg(F.max("strength").alias("strength"), *more)
+    if not more:
+        return kept.groupBy(*keys).agg(F.max("strength").alias("strength"))
+    by = [c for c in (order, "created_at") if c and c in edges.columns]
+    first = F.min(F.struct(*[F.col(c).alias(f"_{k}") for k, c in enumerate(by)], *[F.col(c) for c in more])).alias("first")
+    return kept.groupBy(*keys).agg(F.max("strength").alias("strength"), first).select(*keys, "strength", *[F.col(f"first.{c}").alias(c) for c in more])
 
 
 def best_overlap(notes: DataFrame) -> DataFrame:

@@ -1,31 +1,38 @@
-"""Questions against all notes in one pass over the notes.
+"""Questions against all notes in a fixed number of passes over what is read of the notes once.
 
-Questions come in blocks of bounded size. A task turns each batch of its notes into matrices
-(tokens held, patterns found, hashed vectors), multiplies them with the block's, and keeps
-only each question's best; so no pair of a note and a question is ever a row, and what is
-shuffled is at most a few rows for each task, question and ranker.
+The notes' features (token sets, lower-case text) are written once; a pass counts them and the
+questions' tokens, one more finds the bounds that ``hybrid`` scales by, and one scores. All
+blocks of questions go along in each pass, so the number of jobs does not grow with the
+questions. A task turns each batch of its notes into matrices (tokens held, patterns found,
+hashed vectors) once, multiplies them with each block's, and keeps only each question's best;
+so no pair of a note and a question is ever a row, and what is shuffled is at most a few rows
+for each task, question and ranker.
 
 Rankers: ``dense`` (cosine of hashed token vectors), ``bm25`` (over token sets), ``lexical``
 (weighted overlap with main and visual text, coverage, whole phrases) and ``entity``
 (overlap, substrings, names, actions with speaker and text), and ``hybrid`` (half BM25, scaled
 by each question's least and largest over all notes, half cosine). Scores that are not
-positive rank nowhere. With each row go the pair's lexical score and answer-slot signal, so
-that no candidate's text is joined or read again.
+positive rank nowhere. With each row of lexical or entity ranks go the pair's lexical score and
+answer-slot signal, so that no candidate's text is joined or read again.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from loomspark.functions import text as T
+from loomspark.operators import lifecycle
 from loomspark.operators import retrieval as R
+from loomspark.sources import scratch
 
 try:
     import ahocorasick
@@ -39,32 +46,33 @@ SIGNALS = ("lexical_score", "answer_slot")
 RANKERS = ("dense", "bm25", "lexical", "entity", "hybrid")
 
 
-def question_features(questions: DataFrame) -> DataFrame:
+def question_features(questions: DataFrame, *more: Column) -> DataFrame:
     """What a block holds of each question. questions: query_id, query (dense), lexical_query (all other rankers)."""
     asked = F.coalesce("lexical_query", F.lit(""))
     low = F.lower(asked)
     phrases = F.filter(F.transform(F.split(low, "[,;?]+"), lambda p: F.trim(p)), lambda p: F.length(p) >= 8)
     return questions.select(
         "query_id", T.retrieval_tokens(F.col("query")).alias("dense_tokens"), T.retrieval_tokens(asked).alias("tokens"), phrases.alias("phrases"),
-        F.transform(R.names(asked), F.lower).alias("names"), F.filter(F.array(*map(F.lit, R.ACTIONS)), lambda a: low.contains(a)).alias("actions"), T.slot_terms(F.col("query")).alias("slots"),
+        F.transform(R.names(asked), F.lower).alias("names"), F.filter(F.array(*map(F.lit, R.ACTIONS)), lambda a: low.contains(a)).alias("actions"), T.slot_terms(F.col("query")).alias("slots"), *more,
     )
 
 
-def note_features(notes: DataFrame) -> DataFrame:
-    """What a task reads of each note. notes: note_id, main, visual, speaker."""
-    split = notes.select("note_id", T.retrieval_tokens(F.col("main")).alias("tokens"), T.retrieval_tokens(F.col("visual")).alias("visual_tokens"), T.retrieval_tokens(F.col("speaker")).alias("spoken"), F.lower(F.coalesce("speaker", F.lit(""))).alias("speaker"), F.lower(F.coalesce("main", F.lit(""))).alias("main"))
-    return split.select("note_id", "tokens", "visual_tokens", F.array_except("spoken", "tokens").alias("speaker_tokens"), R.offered_slots(F.col("main"), F.col("tokens")).alias("slots"), "speaker", "main")
+def note_features(notes: DataFrame, usual: Column | None = None) -> DataFrame:
+    """What a task reads of each note; usual says whether every question sees it. notes: note_id, main, visual, speaker."""
+    everyone = F.lit(True) if usual is None else usual
+    split = notes.select("note_id", everyone.alias("usual"), T.retrieval_tokens(F.col("main")).alias("tokens"), T.retrieval_tokens(F.col("visual")).alias("visual_tokens"), T.retrieval_tokens(F.col("speaker")).alias("spoken"), F.lower(F.coalesce("speaker", F.lit(""))).alias("speaker"), F.lower(F.coalesce("main", F.lit(""))).alias("main"))
+    return split.select("note_id", "usual", "tokens", "visual_tokens", F.array_except("spoken", "tokens").alias("speaker_tokens"), R.offered_slots(F.col("main"), F.col("tokens")).alias("slots"), "speaker", "main")
 
 
+@lru_cache(maxsize=1 << 20)
 def _place(token: str) -> int:
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % DIM
 
 
 def _vectors(lists: list[list[str]]) -> np.ndarray:
     out = np.zeros((len(lists), DIM))
-    for row, tokens in zip(out, lists):
-        for t in tokens:
-            row[_place(t)] += 1
+    size = np.array([len(tokens) for tokens in lists], dtype=np.int64)
+    np.add.at(out, (np.repeat(np.arange(len(lists)), size), [_place(t) for tokens in lists for t in tokens]), 1)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
@@ -99,85 +107,119 @@ def _incidence(lists: list[list[str]], places: dict[str, int]) -> np.ndarray:
 
 
 class Block:
-    """A bounded block of questions as matrices."""
+    """A bounded block of questions as matrices; rows of a matrix are the tokens and patterns that the block asks for, among those of all questions."""
 
-    def __init__(self, rows: list, df: dict[str, int], n_docs: int, avgdl: float):
-        self.ids = [r["query_id"] for r in rows]
+    def __init__(self, rows: list, past: bool, token: dict[str, int], pattern: dict[str, int], df: dict[str, int], n_docs: int, avgdl: float):
+        self.ids, self.past = [r["query_id"] for r in rows], past
         tokens = [r["tokens"] for r in rows]
-        self.token = {t: k for k, t in enumerate(sorted(set().union(*tokens)))}
-        self.asked = _incidence(tokens, self.token)
+        own = {t: k for k, t in enumerate(sorted(set().union(*tokens)))}
+        self.columns = np.array([token[t] for t in own], dtype=np.int64)
+        self.asked = _incidence(tokens, own)
         self.n_tokens = self.asked.sum(axis=0)
-        idf = np.array([np.log(1.0 + (n_docs - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) for t in self.token])
+        idf = np.array([np.log(1.0 + (n_docs - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) for t in own])
         self.idf = self.asked * idf[:, None] if len(idf) else self.asked
         self.avgdl = max(avgdl, 1e-6)
-        self.dense = _vectors([r["dense_tokens"] for r in rows]).T
-        self.query_token = {t: k for k, t in enumerate(sorted(set().union(*(r["dense_tokens"] for r in rows))))}
-        self.query_asked = _incidence([r["dense_tokens"] for r in rows], self.query_token)
-        self.slot = {s: k for k, s in enumerate(T.SLOT_PATTERNS)}
-        self.slots = _incidence([r["slots"] for r in rows], self.slot)
-        self.patterns = sorted(set().union(self.token, *(set(r["names"]) | set(r["phrases"]) | set(r["actions"]) for r in rows)) - {""})
-        place = {p: k for k, p in enumerate(self.patterns)}
-        self.find = Finder(self.patterns)
-        self.inside = _incidence(tokens, place)
-        self.names = _incidence([r["names"] for r in rows], place)
-        self.actions = _incidence([r["actions"] for r in rows], place)
-        self.phrases = _incidence([r["phrases"] for r in rows], place)
-        self.is_phrase = self.phrases.any(axis=1)
-
-    def scores(self, batch: pa.RecordBatch, wanted: tuple[str, ...]) -> dict[str, np.ndarray]:
-        """Of each wanted ranker, and of the two signals if asked for by SIGNALS, notes by questions."""
-        column = {n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)}
-        n = len(batch)
-
-        def holds(name: str, places: dict[str, int]) -> np.ndarray:
-            out = np.zeros((n, len(places)))
-            for row, items in zip(out, column[name]):
-                row[[places[t] for t in items if t in places]] = 1
-            return out
-
-        held, out = holds("tokens", self.token), {}
-        over = held @ self.asked
+        dense = [r["dense_tokens"] for r in rows]
+        self.dense = _vectors(dense).T
+        own = {t: k for k, t in enumerate(sorted(set().union(*dense)))}
+        self.query_columns, self.query_asked = np.array([token[t] for t in own], dtype=np.int64), _incidence(dense, own)
+        self.slots = _incidence([r["slots"] for r in rows], {s: k for k, s in enumerate(T.SLOT_PATTERNS)})
+        found = {p: k for k, p in enumerate(sorted(_patterns(rows)))}
+        self.pattern_columns = np.array([pattern[p] for p in found], dtype=np.int64)
+        self.inside, self.names, self.actions, self.phrases = (_incidence([[p for p in items if p] for items in lists], found) for lists in (tokens, *([r[c] for r in rows] for c in ("names", "actions", "phrases"))))
+        self.low, self.high = np.zeros(len(rows)), np.zeros(len(rows))
+
+    def bm25(self, seen: Notes) -> np.ndarray:
+        return (seen.held[:, self.columns] @ self.idf) * ((R.K1 + 1.0) / (1.0 + R.K1 * (1.0 - R.B + R.B * seen.size / self.avgdl)))[:, None]
+
+    def scores(self, seen: Notes, wanted: tuple[str, ...]) -> dict[str, np.ndarray]:
+        """Of each wanted ranker, and of the two signals if they are wanted, notes by questions; what a question may not see scores 0."""
+        out = {}
         if "dense" in wanted or "hybrid" in wanted:
-            out["dense"] = _vectors(column["tokens"]) @ self.dense
+            out["dense"] = seen.vectors @ self.dense
         if "bm25" in wanted or "hybrid" in wanted:
-            size = np.array([len(t) for t in column["tokens"]], dtype=np.float64)
-            out["bm25"] = (held @ self.idf) * ((R.K1 + 1.0) / (1.0 + R.K1 * (1.0 - R.B + R.B * size / self.avgdl)))[:, None]
+            out["bm25"] = self.bm25(seen)
         if "hybrid" in wanted:
             out["hybrid"] = 0.5 * (out["bm25"] - self.low) / (self.high - self.low + 1e-6) + 0.5 * out["dense"]
         if {"lexical", "entity", *SIGNALS} & set(wanted):
-            found, whole = np.zeros((n, len(self.patterns))), np.zeros((n, len(self.patterns)))
-            for i, (speaker, main) in enumerate(zip(column["speaker"], column["main"])):
-                at = self.find(f"{speaker} {main}")
-                found[i, at] = 1
-                whole[i, [k for k in at if self.is_phrase[k] and self.patterns[k] in main]] = 1
-            visual = holds("visual_tokens", self.token) @ self.asked
+            over, visual = seen.held[:, self.columns] @ self.asked, seen.visual[:, self.columns] @ self.asked
+            found, whole = seen.found[:, self.pattern_columns], seen.whole[:, self.pattern_columns]
             lexical = 3.0 * over + 0.75 * visual + (over + 0.5 * visual) / np.maximum(1.0, self.n_tokens) + 0.25 * (whole @ self.phrases)
-            entity = 2.0 * (over + holds("speaker_tokens", self.token) @ self.asked) + 0.25 * (found @ self.inside) + found @ self.names + 1.5 * (found @ self.actions)
+            entity = 2.0 * (over + seen.spoken[:, self.columns] @ self.asked) + 0.25 * (found @ self.inside) + found @ self.names + 1.5 * (found @ self.actions)
             asks = self.n_tokens > 0
             out |= {"lexical": lexical * asks, "entity": entity * asks, "lexical_score": lexical * asks}
-            common = holds("tokens", self.query_token) @ self.query_asked
-            hits = holds("slots", self.slot) @ self.slots
-            colon = np.array([":" in main for main in column["main"]], dtype=bool)[:, None]
-            out["answer_slot"] = np.minimum(1.0, 0.18 * np.minimum(5, common) + 0.28 * np.minimum(2, hits) + 0.10 * (colon & (hits > 0)))
+        if "answer_slot" in wanted:
+            common, hits = seen.held[:, self.query_columns] @ self.query_asked, seen.slots @ self.slots
+            out["answer_slot"] = np.minimum(1.0, 0.18 * np.minimum(5, common) + 0.28 * np.minimum(2, hits) + 0.10 * (seen.colon[:, None] & (hits > 0)))
+        if not self.past:
+            for ranker in out:
+                out[ranker] = out[ranker] * seen.usual[:, None]
         return {k: out[k] for k in wanted}
 
-    def set_bounds(self, held: DataFrame) -> None:
-        """The least and the largest BM25 score of each question over all notes: one more pass, a row for each task and question."""
-        shipped = held.sparkSession.sparkContext.broadcast(self)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            low, high = np.full(len(shipped.value.ids), np.inf), np.full(len(shipped.value.ids), -np.inf)
-            for batch in batches:
-                for a in range(0, len(batch), ROWS):
-                    if len(part := batch.slice(a, ROWS)):
-                        score = shipped.value.scores(part, ("bm25",))["bm25"]
-                        low, high = np.minimum(low, score.min(axis=0)), np.maximum(high, score.max(axis=0))
-            seen = np.flatnonzero(np.isfinite(low))
-            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(low[seen]), pa.array(high[seen])], names=["q", "low", "high"])
-
-        self.low, self.high = np.zeros(len(self.ids)), np.zeros(len(self.ids))
-        for row in held.mapInArrow(run, "q long, low double, high double").groupBy("q").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
-            self.low[row["q"]], self.high[row["q"]] = row["low"], row["high"]
+def _patterns(rows: list) -> set[str]:
+    return set().union(*(set(r[c]) for r in rows for c in ("tokens", "names", "phrases", "actions"))) - {""}
+
+
+class Asked:
+    """All questions: their tokens and patterns, each known by a place, and their blocks."""
+
+    def __init__(self, rows: list, counts: dict[bool, tuple[dict[str, int], int, float]]):
+        self.token = {t: k for k, t in enumerate(sorted(set().union(*(set(r["tokens"]) | set(r["dense_tokens"]) for r in rows))))}
+        patterns = sorted(_patterns(rows))
+        self.find = Finder(patterns)
+        place = {p: k for k, p in enumerate(patterns)}
+        self.is_phrase = np.zeros(len(patterns), dtype=bool)
+        self.is_phrase[[place[p] for r in rows for p in r["phrases"] if p]] = True
+        self.blocks = []
+        for past in (False, True):
+            mine = [r for r in rows if r["past"] == past]
+            self.blocks += [Block(mine[a : a + BLOCK], past, self.token, place, *counts[past]) for a in range(0, len(mine), BLOCK)]
+        # one matrix of notes by tokens or patterns holds 4 M numbers at most
+        self.rows = max(16, min(ROWS, (4 << 20) // max(1, len(self.token), len(patterns))))
+
+    def parts(self, batch: pa.RecordBatch, texts: bool) -> Iterator[Notes]:
+        for a in range(0, len(batch), self.rows):
+            if len(part := batch.slice(a, self.rows)):
+                yield Notes(self, part, texts)
+
+
+class Notes:
+    """A few notes as matrices, in descending order of their ids, so that of equal scores the first is the larger id's."""
+
+    def __init__(self, asked: Asked, batch: pa.RecordBatch, texts: bool):
+        names = batch.schema.names
+        if "note_id" in names:
+            ids = batch.column(names.index("note_id")).to_pylist()
+            order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0), reverse=True)
+            batch, self.ids = batch.take(pa.array(order)), [ids[i] for i in order]
+        column = {n: batch.column(k).to_pylist() for k, n in enumerate(names)}
+        self.usual = np.array(column["usual"], dtype=bool)
+        self.lists = column["tokens"]
+        self.size = np.array([len(t) for t in self.lists], dtype=np.float64)
+        self.held = _places(self.lists, asked.token)
+        if not texts:
+            return
+        self.visual, self.spoken = _places(column["visual_tokens"], asked.token), _places(column["speaker_tokens"], asked.token)
+        self.slots = _places(column["slots"], {s: k for k, s in enumerate(T.SLOT_PATTERNS)})
+        self.colon = np.array([":" in main for main in column["main"]], dtype=bool)
+        self.found, self.whole = np.zeros((len(batch), len(asked.is_phrase))), np.zeros((len(batch), len(asked.is_phrase)))
+        for i, (speaker, main) in enumerate(zip(column["speaker"], column["main"])):
+            at = asked.find(f"{speaker} {main}")
+            self.found[i, at] = 1
+            self.whole[i, [k for k in at if asked.is_phrase[k] and asked.find.patterns[k] in main]] = 1
+
+    @cached_property
+    def vectors(self) -> np.ndarray:
+        return _vectors(self.lists)
+
+
+def _places(lists: list[list[str]], places: dict[str, int]) -> np.ndarray:
+    """Rows of ones where a list holds what has a place."""
+    out = np.zeros((len(lists), len(places)))
+    for row, items in zip(out, lists):
+        row[[k for t in items if (k := places.get(t)) is not None]] = 1
+    return out
 
 
 def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,69 +233,103 @@ def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def rank(notes: DataFrame, questions: DataFrame, depths: dict[str, int]) -> DataFrame:
     """query_id, note_id, ranker, score, lexical_score, answer_slot, rank (from 1): the best notes of each question by each ranker of depths.
 
-    notes: note_id, main, visual, speaker; questions: query_id, query, lexical_query. By rounded score, then the larger note_id.
+    notes: note_id, main, visual, speaker; questions: query_id, query, lexical_query. By rounded score, then the larger note_id. The
+    result is written; the signals are null where no ranker needs the texts.
     """
-    spark = notes.sparkSession
-    held = note_features(notes)
+    return _rank(note_features(notes), question_features(questions).withColumn("past", F.lit(False)), depths)
+
+
+def rank_retrievable(notes: DataFrame, questions: DataFrame, depths: dict[str, int]) -> DataFrame:
+    """rank() where each question sees the notes that it may: notes have a status; questions about the past see more of them."""
+    usual = lifecycle.is_indexable(F.col("status"))
+    seen = notes.where(usual | F.col("status").isin("deprecated", "archived"))
+    past = F.coalesce(history(F.col("query")), F.lit(False))
+    held = note_features(seen, usual)
+    return _rank(held, question_features(questions, past.alias("past")), depths)
+
+
+def _counts(held: DataFrame, rows: list) -> dict[bool, tuple[dict[str, int], int, float]]:
+    """Of the notes that a question sees, by whether it asks for the past: how many hold each asked token, their number and mean size."""
+    size, usual = F.size("tokens"), F.col("usual")
+    all_, some = held.agg(F.struct(F.count(F.lit(1)), F.avg(size)), F.struct(F.count_if(usual), F.avg(F.when(usual, size)))).first()
+    own = held.sparkSession.createDataFrame([(t,) for t in sorted({t for r in rows for t in r["tokens"]})], "token string")
+    tokens = held.select("usual", F.explode("tokens").alias("token")).join(F.broadcast(own), "token")  # the tokens of the questions, which the driver holds
+    found = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("usual").alias("some")).collect()
+    return {True: ({r["token"]: r["n"] for r in found}, all_[0], all_[1] or 0.0), False: ({r["token"]: r["some"] for r in found}, some[0], some[1] or 0.0)}
+
+
+def _set_bounds(held: DataFrame, asked: Asked) -> None:
+    """The least and the largest BM25 score of each question over the notes it sees: one pass over the token sets, a row for each task and question."""
+    shipped = held.sparkSession.sparkContext.broadcast(asked)
+    n_questions = [len(b.ids) for b in asked.blocks]
+    start = np.cumsum([0, *n_questions])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.full(start[-1], np.inf), np.full(start[-1], -np.inf)
+        for batch in batches:
+            for seen in shipped.value.parts(batch, False):
+                for at, block in zip(start, shipped.value.blocks):
+                    score = block.bm25(seen)
+                    score = score if block.past else score[seen.usual]
+                    if len(score):
+                        own = slice(at, at + len(block.ids))
+                        low[own], high[own] = np.minimum(low[own], score.min(axis=0)), np.maximum(high[own], score.max(axis=0))
+        told = np.flatnonzero(np.isfinite(low))
+        yield pa.RecordBatch.from_arrays([pa.array(told), pa.array(low[told]), pa.array(high[told])], names=["q", "low", "high"])
+
+    for row in held.select("usual", "tokens").mapInArrow(run, "q long, low double, high double").groupBy("q").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
+        k = int(np.searchsorted(start, row["q"], side="right")) - 1
+        asked.blocks[k].low[row["q"] - start[k]], asked.blocks[k].high[row["q"] - start[k]] = row["low"], row["high"]
+
+
+def _rank(features: DataFrame, asking: DataFrame, depths: dict[str, int]) -> DataFrame:
     wanted = tuple(r for r in RANKERS if r in depths)
-    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
-    shape = notes.select(F.lit(None).cast(questions.schema["query_id"].dataType).alias("query_id"), "note_id", F.lit("").alias("ranker"), *[F.lit(0.0).alias(c) for c in ("score", *SIGNALS)]).schema
-    for field in shape.fields:
-        field.nullable = True
-    found: list[DataFrame] = []
-    block: list = []
-
-    def close(rows: list) -> None:
-        tokens = sorted({t for r in rows for t in r["tokens"]})
-        own = spark.createDataFrame([(t,) for t in tokens], "token string")
-        counts = held.select(F.explode("tokens").alias("token")).join(F.broadcast(own), "token").groupBy("token").count()  # the tokens of BLOCK questions
-        made = Block(rows, {r["token"]: r["count"] for r in counts.collect()}, stats["n"], stats["avgdl"] or 0.0)
+    shape = StructType([StructField("query_id", asking.schema["query_id"].dataType), StructField("note_id", features.schema["note_id"].dataType), StructField("ranker", StringType()), *[StructField(c, DoubleType()) for c in ("score", *SIGNALS)]])
+    rows = list(asking.toLocalIterator())
+    found, held = features.sparkSession.createDataFrame([], shape), None
+    if rows:
+        texts = bool({"lexical", "entity"} & set(wanted))
+        held = scratch.materialise(features if texts else features.select("note_id", "tokens", "usual"), "note-features")
+        asked = Asked(rows, _counts(held, rows))
         if "hybrid" in wanted:
-            made.set_bounds(held)
-        shipped = spark.sparkContext.broadcast(made)
-        found.append(held.mapInArrow(_scan(shipped, wanted, depths, shape), shape))
-
-    for row in question_features(questions).toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK:
-            close(block)
-            block = []
-    if block or not found:
-        close(block)
-    rows = reduce(DataFrame.unionByName, found)
-    rounded = rows.withColumn("score", F.round("score", 6))
+            _set_bounds(held, asked)
+        shipped = held.sparkSession.sparkContext.broadcast(asked)
+        found = held.mapInArrow(_scan(shipped, wanted, texts, depths, shape), shape)
+    rounded = found.withColumn("score", F.round("score", 6))
     place = F.row_number().over(R.Window.partitionBy("query_id", "ranker").orderBy(F.desc("score"), F.desc("note_id")))
     limit = reduce(lambda rest, r: F.when(F.col("ranker") == r, depths[r]).otherwise(rest), wanted, F.lit(0))
-    return rounded.withColumn("rank", place).where(F.col("rank") <= limit)
+    best = rounded.withColumn("rank", place).where(F.col("rank") <= limit)
+    if held is None:
+        return best
+    done = scratch.materialise(best, "ranked")
+    scratch.discard(held)
+    return done
 
 
-def _scan(shipped, wanted: tuple[str, ...], depths: dict[str, int], shape):
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+def _scan(shipped, wanted: tuple[str, ...], texts: bool, depths: dict[str, int], shape):
     arrow = to_arrow_schema(shape)
+    told = SIGNALS if texts else ()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: Block = shipped.value
-        best: dict[str, list] = {r: [] for r in wanted}  # (scores and signals, note ids, questions) of the notes so far
-        sizes = dict.fromkeys(wanted, 0)
+        asked: Asked = shipped.value
+        best: dict[tuple[int, str], list] = {(b, r): [] for b in range(len(asked.blocks)) for r in wanted}  # (scores and signals, note ids, questions) of the notes so far
+        sizes = dict.fromkeys(best, 0)
         for batch in batches:
-            for a in range(0, len(batch), ROWS):
-                part = batch.slice(a, ROWS)
-                ids = part.column(0).to_pylist()
-                order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0), reverse=True)
-                part, ids = part.take(pa.array(order)), [ids[i] for i in order]
-                scores = block.scores(part, (*wanted, *SIGNALS))
-                for ranker in wanted:
-                    note, question = _best(scores[ranker], depths[ranker] + SPARE)
-                    best[ranker].append((np.stack([scores[k][note, question] for k in (ranker, *SIGNALS)]), [ids[i] for i in note.tolist()], question))
-                    sizes[ranker] += len(note)
-                    if sizes[ranker] > 4 * len(block.ids) * (depths[ranker] + SPARE) + 20_000:
-                        best[ranker] = [_merge(best[ranker], depths[ranker] + SPARE)]
-                        sizes[ranker] = len(best[ranker][0][1])
-        for ranker in wanted:
-            if best[ranker]:
-                values, ids, question = _merge(best[ranker], depths[ranker] + SPARE)
-                columns = [[block.ids[q] for q in question.tolist()], ids, [ranker] * len(ids), *values.tolist()]
+            for seen in asked.parts(batch, texts):
+                for b, block in enumerate(asked.blocks):
+                    scores = block.scores(seen, (*wanted, *told))
+                    for ranker in wanted:
+                        note, question = _best(scores[ranker], depths[ranker] + SPARE)
+                        best[b, ranker].append((np.stack([scores[k][note, question] for k in (ranker, *told)]), [seen.ids[i] for i in note.tolist()], question))
+                        sizes[b, ranker] += len(note)
+                        if sizes[b, ranker] > 4 * len(block.ids) * (depths[ranker] + SPARE) + 20_000:
+                            best[b, ranker] = [_merge(best[b, ranker], depths[ranker] + SPARE)]
+                            sizes[b, ranker] = len(best[b, ranker][0][1])
+        for (b, ranker), parts in best.items():
+            if parts:
+                values, ids, question = _merge(parts, depths[ranker] + SPARE)
+                none = [] if texts else [[None] * len(ids)] * len(SIGNALS)
+                columns = [[asked.blocks[b].ids[q] for q in question.tolist()], ids, [ranker] * len(ids), *values.tolist(), *none]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return run
@@ -276,21 +352,4 @@ def _merge(parts: list, k: int) -> tuple[np.ndarray, list, np.ndarray]:
 
 def history(query: Column) -> Column:
     """Whether a question asks for the past, so that deprecated and archived notes may answer it."""
-    from loomspark.operators import lifecycle
-
     return lifecycle.is_retrievable(F.lit("deprecated"), query)
-
-
-def rank_retrievable(notes: DataFrame, questions: DataFrame, depths: dict[str, int]) -> DataFrame:
-    """rank() where each question sees the notes that it may: notes have a status; questions about the past see more of them."""
-    from loomspark.operators import lifecycle
-
-    usual = lifecycle.is_indexable(F.col("status"))
-    parts = []
-    for past in (False, True):
-        asked = questions.where(history(F.col("query")) == F.lit(past))
-        if past and not asked.limit(1).count():
-            continue
-        seen = notes.where(usual | F.col("status").isin("deprecated", "archived")) if past else notes.where(usual)
-        parts.append(rank(seen, asked, depths))
-    return reduce(DataFrame.unionByName, parts)

@@ -23,8 +23,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: A table of this size may lie in one row group, which is one task however costly its rows are; below it, there is little to deal.
+SPREAD_FROM, SPREAD_TO = 256 << 10, 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; a small one is dealt out to all cores, a large one is read as its row groups lie."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if cores > 1 and SPREAD_FROM < size <= SPREAD_TO else rows
 
 
 def literal(value) -> str:
