@@ -41,7 +41,7 @@ def slot_score(query: Column, evidence: Column) -> Column:
     low, tokens = F.lower(evidence), T.retrieval_tokens(evidence)
     hits = F.filter(cues, lambda c: low.contains(c) | F.array_contains(tokens, T.canonical_token(c)))
     targets = F.array_distinct(F.filter(T.ascii_tokens(query, 3), lambda t: ~t.isin(QUESTION_TERMS)))
-    names = F.regexp_extract_all(evidence, F.lit(r"\b[A-Z][A-Za-z0-9']+\b"), F.lit(0))
+    names = F.regexp_extract_all(evidence, F.lit(r"(?U)\b[A-Z][A-Za-z0-9']+\b"), F.lit(0))
     entities = F.array_distinct(F.transform(F.filter(names, lambda n: ~F.lower(n).isin("caroline", "melanie")), T.canonical_token))
     quotes = F.regexp_extract_all(evidence, F.lit("['\"]([^'\"]{2,80})['\"]"), F.lit(1))
     quoted = F.transform(F.filter(F.flatten(F.transform(quotes, lambda q: F.regexp_extract_all(q, F.lit("[A-Za-z0-9]+"), F.lit(0)))), lambda t: F.length(t) >= 3), T.canonical_token)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.operators import lifecycle
+from loomspark.sources import scratch
 
 EDGE = ["sample_id", "src_id", "target_id", "relation", "strength"]
 TYPED_CAP, SIMILAR_CAP = 8, 4
@@ -89,29 +87,41 @@ def cap_typed(edges: DataFrame, cap: int = TYPED_CAP) -> DataFrame:
     return both.withColumn("_n", rank).where(F.col("_n") <= cap).select(*EDGE)
 
 
+def capped_matching(pairs: DataFrame, cap: int) -> DataFrame:
+    """Of ordered pairs those that a fold takes which takes a pair while both of its ends have fewer than cap.
+
+    pairs: sample_id, a_note_id, b_note_id, a_ord, b_ord and more; the order is that of (a_ord, b_ord), a pair occurs once. Equal to the
+    fold, but not one: in each round every pair is taken whose ends have room even if all open pairs before it were taken, and
+    every pair goes one of whose ends is full by pairs before it. The first open pair of a sample is always decided, and pairs that share no
+    open pair before them are decided side by side. A pair has a row at either end, so a sample is spread over its notes.
+    """
+    keys, more = ["sample_id", "a_note_id", "b_note_id"], [c for c in pairs.columns if c not in ("sample_id", "a_note_id", "b_note_id")]
+    state = scratch.materialise(pairs.withColumn("_taken", F.lit(None).cast("boolean")), "matching")
+    before = Window.partitionBy("sample_id", "_end").orderBy("a_ord", "b_ord").rowsBetween(Window.unboundedPreceding, -1)
+    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)).over(before), F.lit(0))
+    while not state.where("_taken IS NULL").isEmpty():
+        ends = state.withColumn("_end", F.explode(F.array("a_note_id", "b_note_id")))
+        taken = F.coalesce(F.col("_taken"), F.lit(False))
+        seen = ends.withColumns({"_full": count(taken) >= cap, "_room": count(taken | F.col("_taken").isNull()) < cap})
+        both = seen.groupBy(*keys).agg(*[F.first(c).alias(c) for c in (*more, "_taken")], F.bool_or("_full").alias("_full"), F.bool_and("_room").alias("_room"))
+        judged = both.withColumn("_taken", F.coalesce("_taken", F.when(F.col("_full"), False).when(F.col("_room"), True)))
+        # a pair that goes is counted nowhere, so only the taken and the open ones go on
+        rest = scratch.materialise(judged.where("coalesce(_taken, true)").select(*keys, *more, "_taken"), "matching")
+        scratch.discard(state)
+        state = rest
+    return state.drop("_taken")
+
+
 def similar_events(pairs: DataFrame, cap: int = SIMILAR_CAP) -> DataFrame:
-    """similar_event edges with at most cap at either end, taken in the order of the pairs: a fold over one sample's pairs."""
+    """similar_event edges with at most cap at either end, taken in the order of the pairs."""
     overlap, like = T.n_common(F.col("a_tokens"), F.col("b_tokens")), T.jaccard(F.col("a_tokens"), F.col("b_tokens"))
     nearby = (F.col("a_session") == F.col("b_session")) & (F.abs(F.col("a_turn") - F.col("b_turn")) <= 4)
     across = (F.col("a_session") != F.col("b_session")) & (F.col("a_speaker") != "") & (F.col("a_speaker") == F.col("b_speaker"))
     weight = F.when(nearby & ((overlap >= 2) | (like >= 0.60)), 1.0).when(across & (overlap >= 3) & (like >= 0.50), 0.6)
     rows = pairs.select("sample_id", "a_note_id", "b_note_id", "a_ord", "b_ord", weight.alias("strength")).where("strength IS NOT NULL")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sample, used = None, {}
-        for frame in batches:
-            out = []
-            for s, a, b, w in zip(frame["sample_id"], frame["a_note_id"], frame["b_note_id"], frame["strength"]):
-                if s != sample:
-                    sample, used = s, {}
-                if used.get(a, 0) < cap and used.get(b, 0) < cap:
-                    used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
-                    out += [(s, a, b, "similar_event", w), (s, b, a, "similar_event", w)]
-            yield pd.DataFrame(out, columns=EDGE)
-
-    schema = rows.select("sample_id", F.col("a_note_id").alias("src_id"), F.col("b_note_id").alias("target_id"), F.lit("").alias("relation"), "strength").schema
-    ordered = rows.repartition("sample_id").sortWithinPartitions("sample_id", "a_ord", "b_ord")
-    return ordered.mapInPandas(fold, schema)
+    row = lambda s, t: F.struct(F.col(f"{s}_note_id").alias("src_id"), F.col(f"{t}_note_id").alias("target_id"))
+    both = capped_matching(rows, cap).select("sample_id", "strength", F.explode(F.array(row("a", "b"), row("b", "a"))).alias("e"))
+    return both.select("sample_id", "e.src_id", "e.target_id", F.lit("similar_event").alias("relation"), "strength")
 
 
 def upsert_edges(edges: DataFrame, order: str | None = None) -> DataFrame:

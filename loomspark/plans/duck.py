@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomspark.functions import text as T
+from loomspark.operators import bundle
 
 
 def words(stop: list[str]) -> str:
@@ -81,6 +82,47 @@ def slot_signal(q: str, rewrite: str) -> str:
     )
 
 
+def stemmed(word: str) -> str:
+    """The stem of a lower-case word, for lists of constants."""
+    n = len(word)
+    if n > 5 and word.endswith("ing"):
+        return word[:-3]
+    if n > 4 and word.endswith("ies"):
+        return word[:-3] + "y"
+    if n > 4 and word.endswith("ed"):
+        return word[:-2]
+    return word[:-1] if n > 3 and word.endswith("s") else word
+
+
+def slot_tokens(query: str, tokens: str) -> str:
+    """What a note's tokens add to a question's."""
+    return f"[t FOR t IN {tokens} IF NOT list_contains({retrieval(query)}, t) AND t NOT IN {words(bundle.GENERIC)}]"
+
+
+def slot_kind(query: str) -> str:
+    return first_match(f"lower(coalesce({query}, ''))", [(T.SLOT_TYPE_PATTERNS[k], k) for k in T.PROFILE_SLOT_ORDER], "fact")
+
+
+def entities(plain: str) -> str:
+    """Stems of capitalised words, of a text whose letters beyond ASCII are underscores, so that word borders are the same."""
+    return f"list_distinct([{stem('t')} FOR t IN [lower(w) FOR w IN regexp_extract_all({plain}, '\\b[A-Z][A-Za-z0-9'']+\\b')] IF t NOT IN ('caroline', 'melanie')])"
+
+
+def quoted(text: str) -> str:
+    parts = f"""flatten([regexp_extract_all(s, '[A-Za-z0-9]+') FOR s IN regexp_extract_all({text}, '[''"]([^''"]{{2,80}})[''"]', 1)])"""
+    return f"[{stem('t')} FOR t IN [lower(w) FOR w IN {parts}] IF length(t) >= 3]"
+
+
+def slot_worth() -> str:
+    """The slot score of rows with query, low, tokens, st, kind, ents and quoted."""
+    cues = "CASE kind " + " ".join(f"WHEN '{k}' THEN [" + ", ".join(f"{{'c': '{c}', 's': '{stemmed(c)}'}}" for c in v) + "]" for k, v in bundle.CUES.items() if v) + " ELSE [] END"
+    hits = f"len([x FOR x IN {cues} IF contains(low, x.c) OR list_contains(tokens, x.s)])"
+    targets = f"list_distinct([t FOR t IN {ascii_words('query')} IF length(t) >= 3 AND t NOT IN {words(bundle.QUESTION_TERMS)}])"
+    numbers = f"[t FOR t IN tokens IF regexp_full_match(t, '[0-9]+') OR t IN {words(bundle.NUMBER_WORDS)}]"
+    typed = f"CASE WHEN kind IN ('book', 'event', 'item', 'person', 'place') THEN len(list_distinct(list_concat(st, list_concat(ents, quoted)))) WHEN kind = 'count' THEN len(list_distinct(list_concat(st, {numbers}))) ELSE len(st) END"
+    return f"2.0 * {hits} + 1.5 * {common(targets, 'tokens')} + 0.4 * least(10, {typed}) + CASE WHEN {hits} > 0 AND len(ents) > 0 THEN 1.0 ELSE 0.0 END"
+
+
 #: Documents and questions with their token sets, and the BM25 score of every pair that shares a token.
 BM25 = f"""
 d AS (SELECT doc_id AS note_id, {retrieval("text")} AS tokens FROM documents),

@@ -324,9 +324,19 @@ def edges_typed_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped.select("sample_id", "src_id", "target_id", "relation", F.round("strength", 6).alias("strength"))
 
 
-@query()
+_SIMILAR = f"""WITH RECURSIVE {_NOTES}, t AS (SELECT sample_id, note_id, ord, turn, {duck.retrieval("content")} AS tokens FROM notes),
+j AS (SELECT a.sample_id, a.note_id AS a, b.note_id AS b, row_number() OVER (PARTITION BY a.sample_id ORDER BY a.ord, b.ord) AS k
+  FROM t a JOIN t b ON a.sample_id = b.sample_id AND a.ord < b.ord AND b.turn - a.turn <= 4 WHERE {duck.common("a.tokens", "b.tokens")} >= 2 OR {duck.jaccard("a.tokens", "b.tokens")} >= 0.60),
+f AS (SELECT DISTINCT sample_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, '' AS a, '' AS b, FALSE AS taken FROM j
+  UNION ALL SELECT sample_id, k, CASE WHEN ok THEN list_concat(used, [a, b]) ELSE used END, a, b, ok
+  FROM (SELECT j.*, f.used, len([x FOR x IN f.used IF x = j.a]) < 4 AND len([x FOR x IN f.used IF x = j.b]) < 4 AS ok FROM f JOIN j ON j.sample_id = f.sample_id AND j.k = f.k + 1))
+SELECT sample_id, a AS src_id, b AS target_id, 'similar_event' AS relation, CAST(1.0 AS DOUBLE) AS strength FROM f WHERE taken
+UNION ALL SELECT sample_id, b, a, 'similar_event', CAST(1.0 AS DOUBLE) FROM f WHERE taken"""
+
+
+@query(_SIMILAR)
 def edges_similar_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capped at both ends in order: tests hold it against a plain fold."""
+    """Similar notes of a sample, at most four at either end, in order; the twin is a fold by recursion."""
     return graph.similar_events(graph.pair_features(_profiles(spark, sf_dir)))
 
 

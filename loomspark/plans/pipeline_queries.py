@@ -12,6 +12,7 @@ from loomspark.operators import retrieval as R
 from loomspark.plans import duck, note_queries
 from loomspark.plans.registry import literal, query, table
 from loomspark.sources import store
+from loomspark.streaming import arrivals
 
 _NOTES = note_queries._NOTES
 
@@ -209,6 +210,28 @@ def write_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writepath.write(notes, new)[1].select("src_id", "target_id", "relation", "strength")
 
 
+_FOLD = f"""WITH RECURSIVE {_NOTES}, w AS (SELECT sample_id, note_id, content, {duck.memory("content")} AS tokens, row_number() OVER (PARTITION BY sample_id ORDER BY ord, note_id) AS k FROM notes),
+f AS (SELECT DISTINCT sample_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(id VARCHAR, content VARCHAR, tokens VARCHAR[], version INT)[]) AS held, '' AS new_id, '' AS target_id, CAST(NULL AS DOUBLE) AS overlap, '' AS action, '' AS content, 1 AS version FROM w
+  UNION ALL SELECT sample_id, k, CASE WHEN merging THEN [CASE WHEN h.id = target_id THEN {{'id': h.id, 'content': made, 'tokens': joined, 'version': CAST(h.version + 1 AS INT)}} ELSE h END FOR h IN held]
+      ELSE list_append(held, {{'id': new_id, 'content': new_text, 'tokens': tokens, 'version': CAST(1 AS INT)}}) END, new_id, target_id, overlap, action, CASE WHEN merging THEN made ELSE new_text END, CASE WHEN merging THEN CAST(old.version + 1 AS INT) ELSE 1 END
+  FROM (SELECT *, action IN ('overwrite_existing', 'refine_conditions', 'append_detail') AS merging, CASE WHEN action = 'overwrite_existing' THEN tokens ELSE list_distinct(list_concat(old.tokens, tokens)) END AS joined,
+      CASE action WHEN 'overwrite_existing' THEN new_text WHEN 'refine_conditions' THEN old_text || ' Also, under a different condition or context, ' || new_text ELSE CASE WHEN contains(old_text, new_text) THEN old_text ELSE old_text || ' ' || new_text END END AS made
+    FROM (SELECT *, CASE WHEN target_id IS NULL THEN 'create_separate_memory' ELSE {note_queries._ACTION} END AS action
+      FROM (SELECT *, best.o AS overlap, old.id AS target_id, old.content AS old_text
+        FROM (SELECT *, CASE WHEN best IS NOT NULL THEN held[best.i] END AS old
+          FROM (SELECT f.sample_id, w.k, f.held, w.note_id AS new_id, w.content AS new_text, w.tokens,
+              list_sort([{{'worse': -round({duck.jaccard("w.tokens", "f.held[i].tokens")}, 9), 'i': i, 'o': round({duck.jaccard("w.tokens", "f.held[i].tokens")}, 9)}} FOR i IN range(1, len(f.held) + 1) IF {duck.common("w.tokens", "f.held[i].tokens")} > 0])[1] AS best
+            FROM f JOIN w ON w.sample_id = f.sample_id AND w.k = f.k + 1))))))
+SELECT new_id, target_id, round(overlap, 6) AS overlap, action, content, CAST(version AS INT) AS version FROM f WHERE k > 0"""
+
+
+@query(_FOLD)
+def write_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation as a note that arrives, decided against all before it, and the note it wrote; the twin is a fold by recursion."""
+    rows = _samples(spark, sf_dir).select("sample_id", "note_id", "ord", "content", T.memory_tokens(F.col("content")).alias("tokens"), F.lit(0.7).alias("confidence"), F.lit("task").alias("memory_level"))
+    return arrivals.in_order(rows).select("new_id", "target_id", F.round("overlap", 6).alias("overlap"), "action", "content", "version")
+
+
 # ---- domain trees
 
 _TREE = f"(SELECT * FROM (VALUES {', '.join(f'({i}, {literal(p)}, {literal(d)}, {literal(k)})' for i, (p, d, k) in enumerate(domains.fallback()))}) AS f(place, path, description, keywords))"

@@ -262,9 +262,25 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.containing(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
 
 
-@query()
+_COVERAGE = f"""{_fused_sql(1).replace("WITH", "WITH RECURSIVE", 1)},
+g AS (SELECT fused.query_id, fused.note_id, fused.rank, combined, first_seen, fused.session, lexical_score, fused.query, fused.main, fused.low, n.tokens,
+  regexp_replace(fused.main, '[À-ÖØ-öø-ɏ]', '_', 'g') AS plain FROM fused JOIN n USING (note_id) WHERE rank <= 50),
+h AS (SELECT *, {duck.slot_tokens("query", "tokens")} AS st, {duck.slot_kind("query")} AS kind, {duck.entities("plain")} AS ents, {duck.quoted("main")} AS quoted FROM g),
+pool AS (SELECT *, {duck.slot_worth()} AS slot_score FROM h),
+fold AS (SELECT DISTINCT query_id, 0 AS step, CAST([] AS INT[]) AS chosen, CAST([] AS VARCHAR[]) AS covered, CAST([] AS VARCHAR[]) AS sessions FROM pool
+  UNION ALL SELECT query_id, step + 1, list_append(chosen, rank), list_distinct(list_concat(covered, st)), list_append(sessions, session)
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(combined + 0.025 * least(8, fresh) + 0.075 * least(10.0, slot_score) + 0.025 * least(1.0, lexical_score / 8.0)
+      + CASE WHEN seen = 0 THEN 0.035 ELSE 0.0 END - 0.025 * seen - CASE WHEN lexical_score <= 0 AND combined < 0.20 THEN 0.12 ELSE 0.0 END, 9) DESC, fresh DESC, combined DESC, first_seen, note_id) AS rn
+    FROM (SELECT fold.query_id, fold.step, fold.chosen, fold.covered, fold.sessions, p.rank, p.st, p.session, p.combined, p.slot_score, p.lexical_score, p.first_seen, p.note_id,
+        len([t FOR t IN p.st IF NOT list_contains(fold.covered, t)]) AS fresh, len([x FOR x IN fold.sessions IF x = p.session]) AS seen
+      FROM fold JOIN pool p ON p.query_id = fold.query_id WHERE fold.step < 10 AND NOT list_contains(fold.chosen, p.rank))) WHERE rn = 1),
+done AS (SELECT query_id, arg_max(chosen, step) AS chosen FROM fold GROUP BY query_id)
+SELECT query_id, note_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN list_contains(chosen, rank) THEN list_position(chosen, rank) ELSE 1000 + rank END) AS INT) AS position FROM pool JOIN done USING (query_id)"""
+
+
+@query(_COVERAGE)
 def coverage_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Category 1: the pool of each question in coverage order; tests hold it against a plain fold."""
+    """Category 1: the pool of each question in coverage order; the twin picks by recursion."""
     rows = _with_slots(spark, sf_dir, fused(spark, sf_dir, 1))
     return bundle.coverage_rerank(rows, 10)
 
@@ -278,7 +294,23 @@ def _with_slots(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     )
 
 
-@query()
+_PACKED = f"""{_fused_sql(2).replace("WITH", "WITH RECURSIVE", 1)},
+pool AS (SELECT query_id, note_id, rank, lexical_score FROM fused WHERE rank <= 20),
+near AS (SELECT query_id, note_id, list({{'target': target, 'worth': 3.0 * over + over / greatest(1, nq)}} ORDER BY pos) AS beside
+  FROM (SELECT p.query_id, p.note_id, s.pos, t.note_id AS target, {duck.common("q.qt", "t.tokens")} AS over, len(q.qt) AS nq
+    FROM pool p, (VALUES (-1, 1), (1, 2)) s(d, pos) JOIN n t ON t.note_id = p.note_id + s.d JOIN q ON q.query_id = p.query_id WHERE p.rank <= 2) GROUP BY query_id, note_id),
+fold AS (SELECT DISTINCT query_id, 0 AS rank, CAST([] AS BIGINT[]) AS ids, CAST([] AS VARCHAR[]) AS relations, 0 AS primaries, FALSE AS full_ FROM pool
+  UNION ALL SELECT query_id, rank, CASE WHEN skip THEN ids WHEN pick IS NULL THEN list_append(ids, note_id) ELSE list_concat(ids, [note_id, pick]) END,
+    CASE WHEN skip THEN relations WHEN pick IS NULL THEN list_append(relations, 'primary') ELSE list_concat(relations, ['primary', 'local_context']) END, CASE WHEN skip THEN primaries ELSE primaries + 1 END,
+    NOT skip AND (primaries + 1 >= 6 OR len(ids) + 1 + CASE WHEN pick IS NULL THEN 0 ELSE 1 END >= 10)
+  FROM (SELECT fold.query_id, p.rank, p.note_id, fold.ids, fold.relations, fold.primaries, list_contains(fold.ids, p.note_id) AS skip,
+      CASE WHEN fold.primaries < 2 AND p.lexical_score >= 2.0 AND len(fold.ids) + 1 < 10 THEN ([b.target FOR b IN coalesce(near.beside, []) IF b.worth >= 1.0 AND b.target <> p.note_id AND NOT list_contains(fold.ids, b.target)])[1] END AS pick
+    FROM fold JOIN pool p ON p.query_id = fold.query_id AND p.rank = fold.rank + 1 LEFT JOIN near ON near.query_id = p.query_id AND near.note_id = p.note_id WHERE NOT fold.full_)),
+done AS (SELECT query_id, arg_max(ids, rank) AS ids, arg_max(relations, rank) AS relations FROM fold GROUP BY query_id)
+SELECT query_id, CAST(unnest(range(1, len(ids) + 1)) AS INT) AS block_pos, unnest(ids) AS note_id, unnest(relations) AS relation FROM done"""
+
+
+@query(_PACKED)
 def bundle_packer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bundles of each question; a document's neighbours are the documents of the next smaller and larger id."""
     ranked = fused(spark, sf_dir, 2).select("query_id", "note_id", "rank", "lexical_score")

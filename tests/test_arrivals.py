@@ -148,3 +148,34 @@ def test_vectors_of_an_odd_length_cost_no_others_their_results(spark, order):
     frame = spark.createDataFrame(rows if order else rows[::-1], "note_id long, embedding array<double>").coalesce(1)
     got = {(r.query_id, r.note_id) for r in dense.nearest(frame, frame, 1).collect()}
     assert got == {(2, 3), (3, 2), (4, 3)}
+
+
+def test_matching_in_rounds_equals_the_fold(spark):
+    import random
+
+    rng = random.Random(6)
+    for cap, nodes, n in ((1, 12, 40), (2, 30, 200), (4, 25, 260)):
+        pairs = sorted({(s, *sorted(rng.sample(range(nodes), 2))) for s in (1, 2) for _ in range(n)})
+        frame = spark.createDataFrame([(s, f"n{a}", f"n{b}", a, b, 1.0) for s, a, b in pairs], "sample_id long, a_note_id string, b_note_id string, a_ord long, b_ord long, strength double")
+        used, want = {}, set()
+        for s, a, b in pairs:
+            if used.get((s, a), 0) < cap and used.get((s, b), 0) < cap:
+                used[s, a], used[s, b] = used.get((s, a), 0) + 1, used.get((s, b), 0) + 1
+                want.add((s, a, b))
+        assert {(r.sample_id, r.a_ord, r.b_ord) for r in graph.capped_matching(frame, cap).collect()} == want
+    assert graph.capped_matching(frame.limit(0), 2).count() == 0
+
+
+def test_matching_splits_one_large_sample(spark):
+    """One sample of many pairs: a star, a path and a clique, spread over their notes."""
+    star = [(0, k) for k in range(1, 3000)]
+    path = [(10_000 + k, 10_001 + k) for k in range(0, 3000, 2)]
+    clique = [(20_000 + a, 20_000 + b) for a in range(60) for b in range(a + 1, 60)]
+    pairs = sorted(star + path + clique)
+    frame = spark.createDataFrame([(1, str(a), str(b), a, b) for a, b in pairs], "sample_id long, a_note_id string, b_note_id string, a_ord long, b_ord long")
+    used, want = {}, set()
+    for a, b in pairs:
+        if used.get(a, 0) < 4 and used.get(b, 0) < 4:
+            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+            want.add((a, b))
+    assert {(r.a_ord, r.b_ord) for r in graph.capped_matching(frame, 4).collect()} == want
