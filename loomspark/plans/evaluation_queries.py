@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomspark.operators import evaluate
 from loomspark.operators import retrieval as R
 from loomspark.plans import duck, retrieval_queries
-from loomspark.plans.registry import Fixture, query, table
+from loomspark.plans.registry import Dealt, query, table
 from loomspark.sources import dialogue
 
 _PAIRS = "pr AS (SELECT conv_id, turn, role AS category, coalesce(text, '') AS prediction, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS reference FROM conversations)"
@@ -88,20 +88,23 @@ def dataset_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-RESULTS = Fixture("model string, path string, f1 double", [("a", "r/x_k10.json", 0.3), ("a", "r/x_k20.json", 0.5), ("a", "r/x_k30.json", 0.5), ("b", "r/y_k10_z.json", 0.1)])
-
-
-@query(f"SELECT model, CAST(arg_max(k, (f1, -k)) AS INT) AS best_k, max(f1) AS best_f1 FROM (SELECT model, f1, CAST(regexp_extract(path, '_k(\\d+)', 1) AS INT) AS k FROM {RESULTS.sql}) GROUP BY model")
+@query(
+    """WITH r AS (SELECT event_type AS model, 10 * (1 + user_id % 5) AS k, round(avg(value) / 1000.0, 2) AS f1 FROM events GROUP BY ALL)
+SELECT model, CAST(arg_max(k, (f1, -k)) AS INT) AS best_k, max(f1) AS best_f1 FROM r GROUP BY model"""
+)
 def best_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dialogue.best_k(RESULTS.frame(spark))
+    """Events as runs: the type is the model, one user in five a k, the mean value a score that ties."""
+    runs = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model"), (10 * (1 + F.col("user_id") % 5)).alias("k")).agg(F.round(F.avg("value") / 1000.0, 2).alias("f1"))
+    return dialogue.best_k(runs.select("model", "f1", F.concat(F.lit("r/x_k"), "k", F.lit(".json")).alias("path")))
 
 
-JUDGED = Fixture("id int, response string, score int", [(1, '{"score": 1, "reason": "x"}', 1), (2, 'so {"score": 0}', 0), (3, "Yes, it is.", 1), (4, "incorrect", 0), (5, "That is correct but incorrect", 0), (6, "", 0), (7, None, 0), (8, "{bad json} equivalent", 1)])
+JUDGED = Dealt("id int, response string, score int", [(1, '{"score": 1, "reason": "x"}', 1), (2, 'so {"score": 0}', 0), (3, "Yes, it is.", 1), (4, "incorrect", 0), (5, "That is correct but incorrect", 0), (6, "", 0), (7, None, 0), (8, "{bad json} equivalent", 1)], ("response",))
 
 
-@query(f"SELECT id, score FROM {JUDGED.sql}")
+@query(f"SELECT conv_id, turn, score FROM {JUDGED.sql}")
 def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return JUDGED.frame(spark).select("id", evaluate.judge_score(F.col("response")).alias("score"))
+    """A judge's responses, each before a turn's text, against worked-out scores."""
+    return JUDGED.deal(spark, sf_dir).select("conv_id", "turn", evaluate.judge_score(F.col("response")).alias("score"))
 
 
 @query("SELECT CAST(o_orderpriority AS VARCHAR) AS category, o_orderstatus AS metric, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)")

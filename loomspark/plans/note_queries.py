@@ -9,7 +9,7 @@ from loomspark.functions import dates
 from loomspark.functions import text as T
 from loomspark.operators import enrich, graph, keywords, lifecycle
 from loomspark.plans import duck
-from loomspark.plans.registry import Fixture, literal, query, table
+from loomspark.plans.registry import Dealt, Fixture, literal, query, table
 from loomspark.sources import dialogue
 
 
@@ -24,12 +24,12 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NOTES = "notes AS (SELECT conv_id AS sample_id, 'D' || conv_id || ':' || turn AS note_id, turn AS ord, conv_id AS session, turn, role AS speaker, coalesce(text, '') AS content FROM conversations)"
 
-WORDS = Fixture("word string", [(w,) for w in ("camping", "families", "painted", "dogs", "sing", "bus", "Running", "tied", "red", "cities", "")])
 
-
-@query(f"SELECT word, {duck.stem('w')} AS stem FROM (SELECT word, lower(word) AS w FROM {WORDS.sql})")
+@query(f"SELECT word, {duck.stem('w')} AS stem FROM (SELECT DISTINCT word, lower(word) AS w FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')) AS word FROM documents))")
 def stemmer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return WORDS.frame(spark).select("word", T.canonical_token(F.col("word")).alias("stem"))
+    """The stem of every distinct word of the documents."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("word")).distinct()
+    return words.select("word", T.canonical_token(F.col("word")).alias("stem"))
 
 
 @query(f"SELECT doc_id, array_to_string(list_sort({duck.retrieval('text')}), ' ') AS tokens FROM documents")
@@ -87,43 +87,44 @@ def heuristic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("keywords", " ").alias("keywords"))
 
 
-QUESTIONS = Fixture(
+QUESTIONS = Dealt(
     "question string",
     [(q,) for q in (
         "When did Ann go?", "How many pets does Ann have?", "What personality traits would she show?", "What would Ann likely be doing?", "Would Ann move?", "What books has Ann read?",
         "Did Ann paint?", "Who supports Ann?", "Where does Ann camp?", "What is it", "What activities does the family partake in to destress?", "Which musical artists did Ann see in concert?",
         "What is her identity and relationship status?", "Which events has she attended in the community?", "What items did she buy?", "What did she start at the beach?", "", "WHERE was the art?",
     )],
+    ("question",),
 )
 
 
-@query(f"SELECT question, {duck.first_match('lower(trim(question))', T.ANSWER_TYPES, 'factual_span')} AS answer_type FROM {QUESTIONS.sql}")
+@query(f"SELECT conv_id, turn, {duck.first_match('lower(trim(question))', T.ANSWER_TYPES, 'factual_span')} AS answer_type FROM {QUESTIONS.sql}")
 def answer_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUESTIONS.frame(spark).select("question", T.answer_type(F.col("question")).alias("answer_type"))
+    return QUESTIONS.deal(spark, sf_dir).select("conv_id", "turn", T.answer_type(F.col("question")).alias("answer_type"))
 
 
 _SLOT = lambda order: duck.first_match("lower(question)", [(T.SLOT_TYPE_PATTERNS[k], k) for k in order], "fact")
 
 
-@query(f"SELECT question, {_SLOT(T.ANSWER_SLOT_ORDER)} AS answer_slot, {_SLOT(T.PROFILE_SLOT_ORDER)} AS profile_slot, array_to_string({duck.slots('question')}, ',') AS slots FROM {QUESTIONS.sql}")
+@query(f"SELECT conv_id, turn, {_SLOT(T.ANSWER_SLOT_ORDER)} AS answer_slot, {_SLOT(T.PROFILE_SLOT_ORDER)} AS profile_slot, array_to_string({duck.slots('question')}, ',') AS slots FROM {QUESTIONS.sql}")
 def slot_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("question")
-    return QUESTIONS.frame(spark).select("question", T.slot_type(q).alias("answer_slot"), T.slot_type(q, T.PROFILE_SLOT_ORDER).alias("profile_slot"), F.array_join(T.slot_terms(q), ",").alias("slots"))
+    return QUESTIONS.deal(spark, sf_dir).select("conv_id", "turn", T.slot_type(q).alias("answer_slot"), T.slot_type(q, T.PROFILE_SLOT_ORDER).alias("profile_slot"), F.array_join(T.slot_terms(q), ",").alias("slots"))
 
 
 _TERMS = "[" + ", ".join(f"CASE WHEN regexp_matches(lower(question), '{p}') THEN {literal(terms)} ELSE [] END" for p, terms in T.EXPANSIONS) + "]"
 
 
 @query(
-    f"""WITH f AS (SELECT question, flatten({_TERMS}) AS terms FROM {QUESTIONS.sql}),
-u AS (SELECT question, [terms[i] FOR i IN range(1, len(terms) + 1) IF list_position(terms, terms[i]) = i] AS terms FROM f)
-SELECT question, CASE WHEN len(terms) > 0 THEN question || ' ; evidence cues: ' || array_to_string(terms, ' ') ELSE question END AS expanded FROM u"""
+    f"""WITH f AS (SELECT conv_id, turn, question, flatten({_TERMS}) AS terms FROM {QUESTIONS.sql}),
+u AS (SELECT conv_id, turn, question, [terms[i] FOR i IN range(1, len(terms) + 1) IF list_position(terms, terms[i]) = i] AS terms FROM f)
+SELECT conv_id, turn, CASE WHEN len(terms) > 0 THEN question || ' ; evidence cues: ' || array_to_string(terms, ' ') ELSE question END AS expanded FROM u"""
 )
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUESTIONS.frame(spark).select("question", T.query_expansion(F.col("question")).alias("expanded"))
+    return QUESTIONS.deal(spark, sf_dir).select("conv_id", "turn", T.query_expansion(F.col("question")).alias("expanded"))
 
 
-FACTS = Fixture(
+FACTS = Dealt(
     "id int, stamp string, fact string, question string, response string",
     [
         (1, "1:56 pm on 8 May, 2023", "I went yesterday.", "When?", "yesterday"), (2, "1:56 pm on 8 May, 2023", "See you tomorrow, not today", "When?", "unknown"),
@@ -133,12 +134,13 @@ FACTS = Fixture(
         (9, "on 5 June, 2021", "in 2019 we sang", "When?", ""), (10, "no date", "yesterday", "When?", "yesterday"), (11, "on 9 July, 2023", "the weekend before was fun this month", "When?", "9 July 2023"),
         (12, "on 9 July, 2023", "nothing here", "When?", "unknown"),
     ],
+    ("fact", "question"),
 )
 
 
-@query(f"SELECT id, strftime(try_strptime(regexp_extract(stamp, 'on\\s+(\\d{{1,2}}\\s+[A-Za-z]+,\\s+\\d{{4}})', 1), '%d %B, %Y'), '%Y-%m-%d') AS day FROM {FACTS.sql}")
+@query(f"SELECT conv_id, turn, strftime(try_strptime(regexp_extract(stamp, 'on\\s+(\\d{{1,2}}\\s+[A-Za-z]+,\\s+\\d{{4}})', 1), '%d %B, %Y'), '%Y-%m-%d') AS day FROM {FACTS.sql}")
 def session_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FACTS.frame(spark).select("id", dates.session_date(F.col("stamp")).cast("string").alias("day"))
+    return FACTS.deal(spark, sf_dir).select("conv_id", "turn", dates.session_date(F.col("stamp")).cast("string").alias("day"))
 
 
 _DAY = "strftime({0}, '%-d %B %Y')"
@@ -156,44 +158,44 @@ _RULES = [
 
 
 @query(
-    f"""WITH f AS (SELECT id, question, lower(fact) AS t, try_strptime(regexp_extract(stamp, 'on\\s+(\\d{{1,2}}\\s+[A-Za-z]+,\\s+\\d{{4}})', 1), '%d %B, %Y') AS d FROM {FACTS.sql}),
-c AS (SELECT id, t, d, list_filter([{", ".join(f"CASE WHEN {w} THEN {v} END" for w, v in _RULES)}], lambda x: x IS NOT NULL) AS found FROM f)
-SELECT id, array_to_string(CASE WHEN d IS NULL THEN [] WHEN len(found) > 0 THEN found WHEN regexp_matches(t, '\\b(?:in|during)\\s+(\\d{{4}})\\b') THEN [regexp_extract(t, '\\b(?:in|during)\\s+(\\d{{4}})\\b', 1)] ELSE [] END, ' | ') AS answers FROM c"""
+    f"""WITH f AS (SELECT conv_id, turn, question, lower(fact) AS t, try_strptime(regexp_extract(stamp, 'on\\s+(\\d{{1,2}}\\s+[A-Za-z]+,\\s+\\d{{4}})', 1), '%d %B, %Y') AS d FROM {FACTS.sql}),
+c AS (SELECT conv_id, turn, t, d, list_filter([{", ".join(f"CASE WHEN {w} THEN {v} END" for w, v in _RULES)}], lambda x: x IS NOT NULL) AS found FROM f)
+SELECT conv_id, turn, array_to_string(CASE WHEN d IS NULL THEN [] WHEN len(found) > 0 THEN found WHEN regexp_matches(t, '\\b(?:in|during)\\s+(\\d{{4}})\\b') THEN [regexp_extract(t, '\\b(?:in|during)\\s+(\\d{{4}})\\b', 1)] ELSE [] END, ' | ') AS answers FROM c"""
 )
 def temporal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dates.temporal_candidates(dates.session_date(F.col("stamp")), F.col("fact"), F.col("question"))
-    return FACTS.frame(spark).select("id", F.array_join(F.transform(found, lambda c: c["answer"]), " | ").alias("answers"))
+    return FACTS.deal(spark, sf_dir).select("conv_id", "turn", F.array_join(F.transform(found, lambda c: c["answer"]), " | ").alias("answers"))
 
 
 _RESOLVED = [(1, "7 May 2023"), (2, "8 May 2023"), (3, "The week before 1 January 2024"), (4, "January 2023"), (5, "The Tuesday before 5 June 2021"), (6, "2020"), (7, "five years"), (8, "3 March 1999"), (9, "2019"), (10, "yesterday"), (11, "July 2023"), (12, "unknown")]
 
 
-@query(f"SELECT * FROM {Fixture('id int, answer string', _RESOLVED).sql}")
+@query(f"SELECT conv_id, turn, answer FROM {FACTS.sql} JOIN {Fixture('id int, answer string', _RESOLVED).sql} USING (id)")
 def temporal_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The final date answers against worked-out ones."""
-    return FACTS.frame(spark).select("id", dates.resolve_answer(F.col("response"), dates.session_date(F.col("stamp")), F.col("fact"), F.col("question")).alias("answer"))
+    return FACTS.deal(spark, sf_dir).select("conv_id", "turn", dates.resolve_answer(F.col("response"), dates.session_date(F.col("stamp")), F.col("fact"), F.col("question")).alias("answer"))
 
 
-@query(f"SELECT id, array_to_string([m FOR m IN {literal(T.TEMPORAL_MARKERS)} IF contains(lower(fact), m)], ',') AS markers FROM {FACTS.sql}")
+@query(f"SELECT conv_id, turn, array_to_string([m FOR m IN {literal(T.TEMPORAL_MARKERS)} IF contains(lower(fact), m)], ',') AS markers FROM {FACTS.sql}")
 def temporal_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FACTS.frame(spark).select("id", F.array_join(T.temporal_markers(F.col("fact")), ",").alias("markers"))
+    return FACTS.deal(spark, sf_dir).select("conv_id", "turn", F.array_join(T.temporal_markers(F.col("fact")), ",").alias("markers"))
 
 
-STATES = Fixture("status string, asked string", [(s, q) for s in ("active", "candidate", "stale", "deprecated", "archived", "odd") for q in ("What is her job?", "What was her previous job?")])
+STATES = Dealt("status string, asked string", [(s, q) for s in ("active", "candidate", "stale", "deprecated", "archived", "odd") for q in ("What is her job?", "What was her previous job?")], ("asked",))
 _PENALTY = "CASE status " + " ".join(f"WHEN '{s}' THEN {p}" for s, p in lifecycle.PENALTY.items()) + " ELSE 0.0 END"
 
 
-@query(f"SELECT status, asked, CAST({_PENALTY} AS DOUBLE) AS penalty FROM {STATES.sql}")
+@query(f"SELECT conv_id, turn, status, CAST({_PENALTY} AS DOUBLE) AS penalty FROM {STATES.sql}")
 def lifecycle_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return STATES.frame(spark).select("status", "asked", lifecycle.penalty(F.col("status")).alias("penalty"))
+    return STATES.deal(spark, sf_dir).select("conv_id", "turn", "status", lifecycle.penalty(F.col("status")).alias("penalty"))
 
 
-@query(f"SELECT status, asked, status IN ('active', 'candidate', 'stale') AS indexable, status IN ('active', 'candidate', 'stale') OR (status IN ('deprecated', 'archived') AND regexp_matches(lower(asked), 'previous|formerly|old|history|historical|archived')) AS retrievable FROM {STATES.sql}")
+@query(f"SELECT conv_id, turn, status, status IN ('active', 'candidate', 'stale') AS indexable, status IN ('active', 'candidate', 'stale') OR (status IN ('deprecated', 'archived') AND regexp_matches(lower(asked), 'previous|formerly|old|history|historical|archived')) AS retrievable FROM {STATES.sql}")
 def lifecycle_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return STATES.frame(spark).select("status", "asked", lifecycle.is_indexable(F.col("status")).alias("indexable"), lifecycle.is_retrievable(F.col("status"), F.col("asked")).alias("retrievable"))
+    return STATES.deal(spark, sf_dir).select("conv_id", "turn", "status", lifecycle.is_indexable(F.col("status")).alias("indexable"), lifecycle.is_retrievable(F.col("status"), F.col("asked")).alias("retrievable"))
 
 
-PATHS = Fixture(
+PATHS = Dealt(
     "paths array<string>, routes array<string>",
     [(["A / B"], ["A / B"]), (["A"], ["A / B"]), (["A / B"], ["A"]), (["AB"], ["A"]), (["X"], ["A", "X / Y"]), (None, ["General"]), ([], ["A"]), (["A"], None), (["A"], [])],
 )
@@ -201,26 +203,29 @@ PATHS.names = ["paths", "routes"]
 _OWN = "CASE WHEN coalesce(len(paths), 0) > 0 THEN paths ELSE ['General'] END"
 
 
-@query(f"SELECT array_to_string(coalesce(paths, ['-']), ',') AS paths, array_to_string(coalesce(routes, ['-']), ',') AS routes, coalesce(len(routes), 0) = 0 OR len([1 FOR p IN {_OWN} IF len([1 FOR r IN routes IF p = r OR starts_with(r, p || ' / ') OR starts_with(p, r || ' / ')]) > 0]) > 0 AS overlap FROM {PATHS.sql}")
+@query(f"SELECT conv_id, turn, array_to_string(coalesce(paths, ['-']), ',') AS paths, array_to_string(coalesce(routes, ['-']), ',') AS routes, coalesce(len(routes), 0) = 0 OR len([1 FOR p IN {_OWN} IF len([1 FOR r IN routes IF p = r OR starts_with(r, p || ' / ') OR starts_with(p, r || ' / ')]) > 0]) > 0 AS overlap FROM {PATHS.sql}")
 def domain_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     show = lambda c: F.array_join(F.coalesce(F.col(c), F.array(F.lit("-"))), ",")
-    return PATHS.frame(spark).withColumn("overlap", T.domain_overlap(F.col("paths"), F.col("routes"))).withColumns({c: show(c) for c in ("paths", "routes")})
+    told = PATHS.deal(spark, sf_dir).withColumn("overlap", T.domain_overlap(F.col("paths"), F.col("routes"))).withColumns({c: show(c) for c in ("paths", "routes")})
+    return told.select("conv_id", "turn", "paths", "routes", "overlap")
 
 
-DOMAINS = Fixture("path string", [(p,) for p in ("A / B", " A>B > C / D", "", "a  b /  c", None, " / ")])
+DOMAINS = Dealt("path string", [(p,) for p in ("A / B", " A>B > C / D", "", "a  b /  c", None, " / ", "Talk >")])
 
 
-@query(f"SELECT path, CASE WHEN len(p) > 0 THEN array_to_string(p[1:3], ' / ') ELSE 'General / Conversation / Episodic' END AS domain FROM (SELECT path, [trim(regexp_replace(x, '\\s+', ' ', 'g')) FOR x IN string_split(replace(coalesce(path, ''), '>', '/'), '/') IF trim(x) <> ''] AS p FROM {DOMAINS.sql})")
+@query(f"SELECT conv_id, turn, CASE WHEN len(p) > 0 THEN array_to_string(p[1:3], ' / ') ELSE 'General / Conversation / Episodic' END AS domain FROM (SELECT conv_id, turn, [trim(regexp_replace(x, '\\s+', ' ', 'g')) FOR x IN string_split(replace(coalesce(path, ''), '>', '/'), '/') IF trim(x) <> ''] AS p FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN path || '/ ' || role ELSE path END AS path FROM {DOMAINS.sql}))")
 def domain_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DOMAINS.frame(spark).select("path", T.normalize_domain(F.col("path")).alias("domain"))
+    path = F.when(F.col("turn") % 2 == 1, F.concat("path", F.lit("/ "), "role")).otherwise(F.col("path"))
+    return DOMAINS.deal(spark, sf_dir).select("conv_id", "turn", T.normalize_domain(path).alias("domain"))
 
 
-DECISIONS = Fixture(
+DECISIONS = Dealt(
     "id int, new_text string, old_text string, overlap double",
     [
         (1, "maybe she moves", "she lives here", 0.5), (2, "she moved to Rome", "a cat", 0.01), (3, "she now lives in Rome", "she lives in Oslo", 0.4), (4, "she likes tea while reading", "she reads", 0.2),
         (5, "she has a red car", "she has a car", 0.5), (6, "she has a car", "a red one", 0.1), (7, "she has a car", None, None), (8, "currently a car", "a cat", 0.1),
     ],
+    ("new_text", "old_text"),
 )
 _IN = lambda c, markers: "(" + " OR ".join(f"contains(lower({c}), '{m}')" for m in markers) + ")"
 _BOTH = "concat_ws(' ', old_text, new_text)"
@@ -229,16 +234,16 @@ _ACTION = f"""CASE WHEN {_IN("new_text", lifecycle.UNCERTAIN)} THEN 'mark_candid
 WHEN {_IN("new_text", lifecycle.SUPERSEDING)} AND overlap >= 0.16 THEN 'overwrite_existing' WHEN {_COND} >= 2 THEN 'refine_conditions' WHEN overlap >= 0.16 THEN 'append_detail' ELSE 'create_separate_memory' END"""
 
 
-@query(f"WITH d AS (SELECT *, {_ACTION} AS action FROM {DECISIONS.sql}) SELECT id, action, CASE action WHEN 'overwrite_existing' THEN 'same_entity' WHEN 'refine_conditions' THEN 'same_topic' WHEN 'append_detail' THEN 'elaborates' ELSE 'semantic_related' END AS relation, CAST(CASE action WHEN 'mark_candidate_uncertain' THEN 0.4 WHEN 'overwrite_existing' THEN 0.75 WHEN 'refine_conditions' THEN 0.7 WHEN 'append_detail' THEN 0.65 ELSE 0.6 END AS DOUBLE) AS confidence FROM d")
+@query(f"WITH d AS (SELECT *, {_ACTION} AS action FROM {DECISIONS.sql}) SELECT conv_id, turn, action, CASE action WHEN 'overwrite_existing' THEN 'same_entity' WHEN 'refine_conditions' THEN 'same_topic' WHEN 'append_detail' THEN 'elaborates' ELSE 'semantic_related' END AS relation, CAST(CASE action WHEN 'mark_candidate_uncertain' THEN 0.4 WHEN 'overwrite_existing' THEN 0.75 WHEN 'refine_conditions' THEN 0.7 WHEN 'append_detail' THEN 0.65 ELSE 0.6 END AS DOUBLE) AS confidence FROM d")
 def heuristic_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = DECISIONS.frame(spark).select("id", lifecycle.decide(F.col("new_text"), F.col("old_text"), F.col("overlap")).alias("d"))
-    return made.select("id", "d.action", "d.relation", "d.confidence")
+    made = DECISIONS.deal(spark, sf_dir).select("conv_id", "turn", lifecycle.decide(F.col("new_text"), F.col("old_text"), F.col("overlap")).alias("d"))
+    return made.select("conv_id", "turn", "d.action", "d.relation", "d.confidence")
 
 
-@query(f"SELECT id, m AS mode, CASE m WHEN 'overwrite_existing' THEN new_text WHEN 'refine_conditions' THEN old_text || ' Also, under a different condition or context, ' || new_text ELSE CASE WHEN contains(old_text, new_text) THEN old_text ELSE old_text || ' ' || new_text END END AS content FROM {DECISIONS.sql}, (SELECT unnest({literal(list(lifecycle.MERGING))}) AS m) WHERE old_text IS NOT NULL")
+@query(f"SELECT conv_id, turn, m AS mode, CASE m WHEN 'overwrite_existing' THEN new_text WHEN 'refine_conditions' THEN old_text || ' Also, under a different condition or context, ' || new_text ELSE CASE WHEN contains(old_text, new_text) THEN old_text ELSE old_text || ' ' || new_text END END AS content FROM {DECISIONS.sql}, (SELECT unnest({literal(list(lifecycle.MERGING))}) AS m) WHERE old_text IS NOT NULL")
 def deterministic_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = DECISIONS.frame(spark).where("old_text IS NOT NULL").select("id", "new_text", "old_text", F.explode(F.array(*map(F.lit, lifecycle.MERGING))).alias("mode"))
-    return rows.select("id", "mode", lifecycle.merged_content(F.col("mode"), F.col("old_text"), F.col("new_text")).alias("content"))
+    rows = DECISIONS.deal(spark, sf_dir).where("old_text IS NOT NULL").select("conv_id", "turn", "new_text", "old_text", F.explode(F.array(*map(F.lit, lifecycle.MERGING))).alias("mode"))
+    return rows.select("conv_id", "turn", "mode", lifecycle.merged_content(F.col("mode"), F.col("old_text"), F.col("new_text")).alias("content"))
 
 
 @query(
@@ -340,41 +345,58 @@ def edges_similar_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.similar_events(graph.pair_features(_profiles(spark, sf_dir)))
 
 
-EDGES = Fixture("src_id string, target_id string, relation string, strength double", [("a", "b", "same_topic", 0.2), ("a", "b", "same_topic", 0.7), ("a", "b", "supports", 0.1), ("b", "a", "replaces", 0.9), ("b", "c", "odd", 0.5), ("c", "a", "co_used", 0.5)])
+EDGES = Dealt("src string, target string, relation string, strength double", [("a", "b", "same_topic", 0.2), ("a", "b", "same_topic", 0.7), ("a", "b", "supports", 0.1), ("b", "a", "replaces", 0.9), ("b", "c", "odd", 0.5), ("c", "a", "co_used", 0.5), ("c", "c", "co_used", 0.9)])
+_EDGES = f"SELECT conv_id % 10 AS sample_id, src AS src_id, target AS target_id, relation, strength + turn / 100.0 AS strength, 'said in ' || conv_id || ', ' || turn AS reason, conv_id * 1000 + turn AS n FROM {EDGES.sql}"
 
 
-@query(f"SELECT src_id, target_id, relation, max(strength) AS strength FROM {EDGES.sql} WHERE relation IN {duck.words(lifecycle.RELATIONS)} GROUP BY ALL")
-def edge_upsert_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.upsert_edges(EDGES.frame(spark))
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten samples' edges, some many times over, each with its reason and place."""
+    dealt = EDGES.deal(spark, sf_dir)
+    return dealt.select(
+        (F.col("conv_id") % 10).alias("sample_id"), F.col("src").alias("src_id"), F.col("target").alias("target_id"), "relation", (F.col("strength") + F.col("turn") / 100.0).alias("strength"),
+        F.concat(F.lit("said in "), "conv_id", F.lit(", "), "turn").alias("reason"), (F.col("conv_id") * 1000 + F.col("turn")).alias("n"),
+    )
 
 
-@query(f"SELECT src_id, target_id, relation, CASE WHEN relation IN {duck.words(lifecycle.FORBIDDEN)} THEN 'none' WHEN relation IN {duck.words(lifecycle.RELATIONS)} THEN relation ELSE 'semantic_related' END AS kept, strength FROM {EDGES.sql}")
-def edge_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return EDGES.frame(spark).select("src_id", "target_id", "relation", lifecycle.edge_relation(F.col("relation")).alias("kept"), "strength")
+@query(f"SELECT sample_id, src_id, target_id, relation, round(CAST(max(strength) AS DOUBLE), 6) AS strength, arg_min(reason, n) AS reason FROM ({_EDGES}) WHERE relation IN {duck.words(lifecycle.RELATIONS)} AND src_id <> target_id GROUP BY ALL")
+def edge_upsert_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One edge of each kind with the largest strength and the first reason."""
+    return graph.upsert_edges(_edges(spark, sf_dir), "n").withColumn("strength", F.round("strength", 6))
 
 
-EVIDENCE = Fixture("qa int, e string, sample int", [(1, "D1:1", 1), (1, "D9:3", 1), (2, "D2:5", 1), (3, "none", 1), (4, "D1:2", 2)])
-PICTURES = Fixture("sample int, dia_id string, caption string", [(1, "D1:1", "a dog"), (1, "D4:13", "a cat"), (1, "D2:5", None), (2, "D1:7", "x")])
+@query(f"SELECT n, src_id, target_id, relation, CASE WHEN relation IN {duck.words(lifecycle.FORBIDDEN)} THEN 'none' WHEN relation IN {duck.words(lifecycle.RELATIONS)} THEN relation ELSE 'semantic_related' END AS kept FROM ({_EDGES})")
+def edge_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir).select("n", "src_id", "target_id", "relation", lifecycle.edge_relation(F.col("relation")).alias("kept"))
 
 
-@query(f"SELECT DISTINCT sample AS sample_id, qa AS qa_id FROM {EVIDENCE.sql} v WHERE contains(e, ':') AND EXISTS (SELECT 1 FROM {PICTURES.sql} p WHERE p.sample = v.sample AND caption IS NOT NULL AND suffix(dia_id, split_part(e, ':', -1)))")
+@query(
+    """WITH qa AS (SELECT conv_id AS sample_id, turn AS qa_id, unnest(CASE WHEN turn % 4 = 3 THEN ['none'] ELSE ['D9:' || (turn + 2), 'D' || conv_id || ':' || (turn * 3)] END) AS e FROM conversations WHERE role = 'user'),
+p AS (SELECT conv_id AS sample_id, 'D' || conv_id || ':' || turn AS dia_id FROM conversations WHERE turn % 3 = 0 AND text IS NOT NULL)
+SELECT DISTINCT sample_id, qa_id FROM qa WHERE contains(e, ':') AND EXISTS (SELECT 1 FROM p WHERE p.sample_id = qa.sample_id AND suffix(dia_id, split_part(e, ':', -1)))"""
+)
 def image_suffix_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    qa = EVIDENCE.frame(spark).groupBy(F.col("sample").alias("sample_id"), F.col("qa").alias("qa_id")).agg(F.collect_list("e").alias("evidence"))
-    turns = PICTURES.frame(spark).select(F.col("sample").alias("sample_id"), "dia_id", F.col("caption").alias("image_caption"))
+    """User turns as questions whose evidence names turns; every third turn has a picture, captioned with its text."""
+    rows = table(spark, sf_dir, "conversations")
+    named = F.array(F.concat(F.lit("D9:"), (F.col("turn") + 2).cast("string")), F.concat(F.lit("D"), "conv_id", F.lit(":"), (F.col("turn") * 3).cast("string")))
+    qa = rows.where("role = 'user'").select(F.col("conv_id").alias("sample_id"), F.col("turn").alias("qa_id"), F.when(F.col("turn") % 4 == 3, F.array(F.lit("none"))).otherwise(named).alias("evidence"))
+    turns = rows.select(F.col("conv_id").alias("sample_id"), F.concat(F.lit("D"), "conv_id", F.lit(":"), "turn").alias("dia_id"), F.when(F.col("turn") % 3 == 0, F.col("text")).alias("image_caption"))
     return dialogue.image_evidence(qa, turns)
 
 
-RESPONSES = Fixture(
+# what stands between the marks is a turn's role, conversation or number; rows 3 and 4 offer nothing, so the content's own words serve
+RESPONSES = Dealt(
     "id int, response string",
-    [(1, 'KEYWORDS: art, tea\nCONTEXT: A talk.\nTAGS: t'), (2, '```json\n{"keywords": ["x"], "context": "c", "tags": []}\n```'), (3, "garbage"), (4, ""), (5, "KEYWORDS:\n- one\n- two\nTAGS: z")],
+    [(1, 'KEYWORDS: <role>, tea\nCONTEXT: A talk in <conv>.\nTAGS: t<turn>'), (2, '```json\n{"keywords": ["x<turn>"], "context": "c<conv>", "tags": []}\n```'), (3, "garbage <conv>"), (4, ""), (5, "KEYWORDS:\n- one<turn>\n- two\nTAGS: z")],
 )
 # worked out by hand: capitalised words come first among keywords
 _FROM_CONTENT = ("ann,lake,one,saw,day", "Ann saw the Lake.", "ann,lake,one")
-_PARSED = [(1, "art,tea", "A talk.", "t"), (2, "x", "c", "x"), (3, *_FROM_CONTENT), (4, *_FROM_CONTENT), (5, "one,two", "Ann saw the Lake.", "z")]
+_PARSED = Fixture("id int, keywords string, context string, tags string", [(1, "<role>,tea", "A talk in <conv>.", "t<turn>"), (2, "x<turn>", "c<conv>", "x<turn>"), (3, *_FROM_CONTENT), (4, *_FROM_CONTENT), (5, "one<turn>,two", "Ann saw the Lake.", "z")])
+_FILLED = lambda c: f"replace(replace(replace({c}, '<role>', role), '<conv>', CAST(conv_id AS VARCHAR)), '<turn>', CAST(turn AS VARCHAR)) AS {c}"
 
 
-@query(f"SELECT * FROM {Fixture('id int, keywords string, context string, tags string', _PARSED).sql}")
+@query(f"SELECT conv_id, turn, {', '.join(map(_FILLED, ('keywords', 'context', 'tags')))} FROM {RESPONSES.sql} JOIN {_PARSED.sql} USING (id)")
 def response_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model responses in JSON, sections or neither, against worked-out results."""
-    parsed = RESPONSES.frame(spark).select("id", enrich.parse_analysis(F.col("response"), F.lit("Ann saw the Lake. One day.")).alias("p"))
-    return parsed.select("id", F.array_join("p.keywords", ",").alias("keywords"), "p.context", F.array_join("p.tags", ",").alias("tags"))
+    """A model's response to each turn, in JSON, sections or neither, against worked-out results."""
+    said = F.replace(F.replace(F.replace("response", F.lit("<role>"), "role"), F.lit("<conv>"), F.col("conv_id").cast("string")), F.lit("<turn>"), F.col("turn").cast("string"))
+    parsed = RESPONSES.deal(spark, sf_dir).select("conv_id", "turn", enrich.parse_analysis(said, F.lit("Ann saw the Lake. One day.")).alias("p"))
+    return parsed.select("conv_id", "turn", F.array_join("p.keywords", ",").alias("keywords"), "p.context", F.array_join("p.tags", ",").alias("tags"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,3 +61,25 @@ class Fixture:
     @property
     def sql(self) -> str:
         return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in self.rows) + f") AS f({', '.join(self.names)}))"
+
+
+class Dealt(Fixture):
+    """Rows dealt over all turns of all conversations: each turn gets one, by conv_id + turn, and its own text after the columns named in spoken."""
+
+    def __init__(self, schema: str, rows: list[tuple], spoken: tuple[str, ...] = ()):
+        super().__init__(schema, rows)
+        self.spoken = spoken
+
+    def deal(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        cards = self.frame(spark).toDF(*self.names)
+        numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(self.rows)], f"_i long, {self.schema}")
+        turns = table(spark, sf_dir, "conversations").withColumn("_i", (F.col("conv_id") + F.col("turn")) % len(self.rows))
+        dealt = turns.join(F.broadcast(numbered), "_i")  # a few rows
+        shown = [F.concat(c, F.lit(" "), F.coalesce("text", F.lit(""))).alias(c) if c in self.spoken else F.col(c) for c in cards.columns]
+        return dealt.select("conv_id", "turn", "role", *shown)
+
+    @property
+    def sql(self) -> str:
+        cards = "(VALUES " + ", ".join("(" + ", ".join(map(literal, (i, *r))) + ")" for i, r in enumerate(self.rows)) + f") AS f(_i, {', '.join(self.names)})"
+        shown = ", ".join(f"f.{c} || ' ' || coalesce(c.text, '') AS {c}" if c in self.spoken else f"f.{c}" for c in self.names)
+        return f"(SELECT c.conv_id, c.turn, c.role, {shown} FROM conversations c JOIN {cards} ON f._i = (c.conv_id + c.turn) % {len(self.rows)})"
