@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.operators import enrich, parsers
+from loomspark.operators.numbering import numbered
 
 # The tree of a sample for which no model made one; limits of trees and annotations.
 FALLBACK = [
@@ -16,7 +17,7 @@ FALLBACK = [
     "Hobbies Interests / Arts Media / Entertainment", "Events Activities / Travel Meetings / Experiences", "Social Relationship / Friends / Conversation Partner",
     "Places Objects / Images / Visual Evidence", "Plans Decisions / Future Intentions / Commitments", "General Conversation / Episodic Turns / Miscellaneous",
 ]
-MOST_DOMAINS, MOST_KEYWORDS, DESCRIPTION, OVERVIEW, TOP = 36, 12, 500, 80, 3
+MOST_DOMAINS, MOST_KEYWORDS, DESCRIPTION, OVERVIEW, TOP, BATCH, BRIEF = 36, 12, 500, 80, 3, 8, 260
 ENTRY = "struct<path:string,description:string,keywords:array<string>>"
 
 
@@ -55,11 +56,13 @@ def parse_tree(response: Column) -> Column:
 
 
 def overview(notes: DataFrame, most: int = OVERVIEW) -> DataFrame:
-    """sample_id, line, brief: every step-th note of each sample, so that at most ``most`` lines stand for it. notes: sample_id, ord, brief."""
-    counts = notes.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("sample_id").orderBy("ord")) - 1
-    step = F.greatest(F.lit(1), F.floor(F.col("n") / most))
-    picked = notes.withColumn("_at", place).join(counts, "sample_id").where((F.col("_at") % step == 0) & (F.col("_at") / step < most))
+    """sample_id, line, brief: every step-th note of each sample, so that at most ``most`` lines stand for it. notes: sample_id, ord, brief.
+
+    Places are counted over all tasks, so a sample of any size is no one task's work.
+    """
+    placed = numbered(notes.select("sample_id", "ord", "brief"), "sample_id", ["ord", "brief"], "_at")
+    step = F.greatest(F.lit(1), F.floor(F.col("_at_of") / most))
+    picked = placed.where((F.col("_at") % step == 0) & (F.col("_at") / step < most))
     return picked.select("sample_id", (F.col("_at") / step + 1).cast("int").alias("line"), "brief")
 
 
@@ -113,6 +116,48 @@ def with_annotations(notes: DataFrame, given: DataFrame, tree: DataFrame, top: i
     return told.unionByName(rest)
 
 
+def annotation_prompts(notes: DataFrame, tree: DataFrame, size: int = BATCH) -> DataFrame:
+    """sample_id, batch and prompt: the notes of each sample in order, so many to a prompt, under the sample's domains.
+
+    notes: sample_id, ord, dia_id, brief; tree: sample_id, place, path, description.
+    """
+    placed = numbered(notes.select("sample_id", "ord", F.coalesce("dia_id", F.lit("")).alias("dia_id"), "brief"), "sample_id", ["ord", "dia_id"], "_at")
+    line = F.concat(F.lit("- "), "dia_id", F.lit(": "), F.substring(F.coalesce("brief", F.lit("")), 1, BRIEF))
+    groups = placed.groupBy("sample_id", F.floor(F.col("_at") / size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("_at", line.alias("l")))).alias("l"))  # size rows
+    paths = F.array_sort(F.collect_list(F.struct("place", F.concat(F.lit("- "), "path", F.lit(": "), F.coalesce("description", F.lit(""))).alias("l"))))  # MOST_DOMAINS rows
+    listed = tree.groupBy("sample_id").agg(F.array_join(F.transform(paths, lambda x: x["l"]), "\n").alias("valid"))
+    ask = 'Assign each memory one to three of the valid domain paths. Return JSON only: {"annotations": [{"dia_id": "...", "domain_paths": ["..."]}]}\n\nValid domain paths:\n'
+    return groups.join(listed, "sample_id").select("sample_id", "batch", F.concat(F.lit(ask), "valid", F.lit("\n\nMemories:\n"), F.array_join(F.transform("l", lambda x: x["l"]), "\n")).alias("prompt"))
+
+
+def said_annotations(responses: DataFrame, tree: DataFrame, top: int = TOP) -> DataFrame:
+    """sample_id, dia_id and paths that responses (sample_id, batch, response) name: normalised, valid, each once, top at most; of a note named twice the last item counts.
+
+    An item's paths are a list or one string, under either of two names, as the items are.
+    """
+    item = "array<struct<dia_id:string,domain_paths:string,domains:string>>"
+    said = F.from_json(parsers.json_object(F.col("response")), f"annotations {item}, memories {item}")
+    items = F.when(F.size(said["annotations"]) > 0, said["annotations"]).otherwise(said["memories"])
+    rows = responses.select("sample_id", "batch", F.posexplode(items).alias("i", "x")).select("sample_id", "batch", "i", F.trim("x.dia_id").alias("dia_id"), "x.domain_paths", "x.domains")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")).isin("", "[]", "null")
+    raw = F.when(blank(F.col("domain_paths")), F.col("domains")).otherwise(F.col("domain_paths"))
+    listed = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(F.array(raw))
+    named = rows.where("dia_id <> ''").select("sample_id", "batch", "i", "dia_id", F.posexplode(listed).alias("j", "raw")).withColumn("path", T.normalize_domain(F.col("raw")))
+    valid = named.join(tree.select("sample_id", "path").distinct(), ["sample_id", "path"], "left_semi")
+    each = valid.groupBy("sample_id", "dia_id", "batch", "i").agg(F.array_sort(F.collect_list(F.struct("j", "path"))).alias("p"))  # an item's paths
+    kept = each.select("sample_id", "dia_id", "batch", "i", F.slice(F.array_distinct(F.transform("p", lambda x: x["path"])), 1, top).alias("paths"))
+    return kept.groupBy("sample_id", "dia_id").agg(F.max_by("paths", F.struct("batch", "i")).alias("paths"))
+
+
+def annotate_with_model(notes: DataFrame, tree: DataFrame, factory: Callable[[], enrich.Client], top: int = TOP) -> DataFrame:
+    """note_id and domain_paths: a model's, asked for eight notes at a time, and the rule's for the notes that no valid answer names.
+
+    notes: sample_id, note_id, ord, dia_id, brief, tokens; tree: sample_id, place, path, description, tokens.
+    """
+    said = enrich.complete(annotation_prompts(notes, tree), factory)
+    return with_annotations(notes, said_annotations(said, tree, top), tree, top)
+
+
 def reroute(candidates: DataFrame, factory: Callable[[], enrich.Client] | None = None, most: int = TOP) -> DataFrame:
     """query_id and domains: ranked candidates (query_id, query, domain, score, rank), in a model's order where there is a model that names valid ones."""
     listed = candidates.groupBy("query_id", "query").agg(F.array_sort(F.collect_list(F.struct("rank", "domain", "score"))).alias("c"))  # the routes of a question, a few

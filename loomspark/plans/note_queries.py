@@ -167,10 +167,10 @@ def temporal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FACTS.deal(spark, sf_dir).select("conv_id", "turn", F.array_join(F.transform(found, lambda c: c["answer"]), " | ").alias("answers"))
 
 
-_RESOLVED = [(1, "7 May 2023"), (2, "8 May 2023"), (3, "The week before 1 January 2024"), (4, "January 2023"), (5, "The Tuesday before 5 June 2021"), (6, "2020"), (7, "five years"), (8, "3 March 1999"), (9, "2019"), (10, "yesterday"), (11, "July 2023"), (12, "unknown")]
+RESOLVED = Fixture("id int, answer string", [(1, "7 May 2023"), (2, "8 May 2023"), (3, "The week before 1 January 2024"), (4, "January 2023"), (5, "The Tuesday before 5 June 2021"), (6, "2020"), (7, "five years"), (8, "3 March 1999"), (9, "2019"), (10, "yesterday"), (11, "July 2023"), (12, "unknown")])
 
 
-@query(f"SELECT conv_id, turn, answer FROM {FACTS.sql} JOIN {Fixture('id int, answer string', _RESOLVED).sql} USING (id)")
+@query(f"SELECT conv_id, turn, answer FROM {FACTS.sql} JOIN {RESOLVED.sql} USING (id)")
 def temporal_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The final date answers against worked-out ones."""
     return FACTS.deal(spark, sf_dir).select("conv_id", "turn", dates.resolve_answer(F.col("response"), dates.session_date(F.col("stamp")), F.col("fact"), F.col("question")).alias("answer"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import dates
 from loomspark.functions import text as T
-from loomspark.operators import answers, domains, evaluate, graph, harness, lifecycle, parsers, profile, writepath
+from loomspark.operators import answers, domains, enrich, evaluate, graph, harness, lifecycle, parsers, profile, writepath
 from loomspark.operators import retrieval as R
 from loomspark.plans import duck, note_queries
 from loomspark.plans.registry import literal, query, table
@@ -137,15 +139,21 @@ def evidence_block_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("query_id", "ord", "slot_type", F.array_join("cue_hits", ",").alias("cue_hits"), "score", "place")
 
 
-@query(
-    f"""WITH {_BLOCKS}, x AS (SELECT query_id, ord, 'Yesterday ' || content AS content, question FROM blocks WHERE ord = 0)
-SELECT query_id, 'unknown' AS response, strftime(DATE '2023-05-08' + CAST(query_id % 20 AS INT) - INTERVAL 1 DAY, '%-d %B %Y') AS answer FROM x"""
-)
+@query(f"SELECT conv_id, turn, answer FROM {note_queries.FACTS.sql} JOIN {note_queries.RESOLVED.sql} USING (id)")
 def resolved_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first turn of each conversation, made to speak of yesterday, dates an unknown answer, whatever the others say."""
-    day = F.date_format(F.date_add(F.to_date(F.lit("2023-05-08")), (F.col("query_id") % 20).cast("int")), "d MMMM, yyyy")
-    rows = _blocks(spark, sf_dir).withColumns({"response": F.lit("unknown"), "content": F.when(F.col("ord") == 0, F.concat(F.lit("Yesterday "), "content")).otherwise(F.lit("nothing")), "session_date": F.concat(F.lit("1:56 pm on "), day)})
-    return answers.resolve_dates(rows)
+    """Each turn as a question about the fact dealt to it, between a block of another day that offers nothing and one that shares no word: the ranked block decides, by each of the rules."""
+    rows = note_queries.FACTS.deal(spark, sf_dir)
+    key = F.concat_ws("-", "conv_id", "turn")
+    fact = F.concat(F.lit("When did it take place, at what date? "), F.col("fact"))  # so that every fact shares words with its question
+    asked = F.concat("question", F.lit(" When did it take place, at what date?"))
+    block = lambda ord_, content, stamp: F.struct(F.lit(ord_).alias("ord"), content.alias("content"), stamp.alias("session_date"))
+    other = F.lit("1:56 pm on 2 February, 1999")
+    blocks = F.explode(F.array(block(0, F.lit("xyz"), other), block(1, fact, F.col("stamp")), block(2, F.lit("zyx"), other))).alias("b")
+    none = F.lit("")
+    told = rows.select(key.alias("query_id"), "question", "response", "conv_id", "turn", fact.alias("fact"), "stamp", asked.alias("asked"))
+    made = told.select("query_id", F.col("asked").alias("question"), "response", blocks).select("query_id", "question", "response", "b.*", none.alias("speaker"), none.alias("image_caption"), none.alias("image_query"), none.alias("dia_id"))
+    done = answers.resolve_dates(made)
+    return done.select(F.split("query_id", "-")[0].cast("long").alias("conv_id"), F.split("query_id", "-")[1].cast("long").alias("turn"), "answer")
 
 
 @query(
@@ -251,6 +259,36 @@ def domain_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.annotate(notes, tree).select("note_id", F.array_join("domain_paths", "|").alias("domain_paths"))
 
 
+def _echo() -> enrich.Client:
+    """A stand-in model: it names a path for every other turn of a prompt, by the turn's number, and paths that don't exist for the rest."""
+
+    def answer(prompt: str) -> str:
+        valid, listed = prompt.split("Valid domain paths:\n")[1].split("\n\nMemories:\n")
+        paths = [line[2:].split(": ")[0] for line in valid.split("\n")]
+        turns = [line[2:].split(": ")[0] for line in listed.split("\n") if line.startswith("- D")]
+        items = [{"dia_id": t, "domain_paths": [paths[n % len(paths)], "Nowhere"] if n % 2 == 0 else "Nowhere / At / All"} for t in turns for n in [int(t.split(":")[1])]]
+        return "Here: " + json.dumps({"annotations": items})
+
+    return answer
+
+
+@query(
+    f"""WITH {_NOTES}, t AS (SELECT place, path, {duck.retrieval("path || ' ' || description || ' ' || array_to_string(keywords, ' ')")} AS words FROM {_TREE}),
+n AS (SELECT note_id, turn, {duck.retrieval("content || ' ' || speaker || ' family support'")} AS tokens FROM notes),
+s AS (SELECT note_id, path, round({duck.common("tokens", "words")} / sqrt(CAST(len(tokens) AS DOUBLE) * len(words)), 9) AS score FROM n, t WHERE {duck.common("tokens", "words")} > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY score DESC, path DESC) AS k FROM s),
+rule AS (SELECT n.note_id, n.turn, coalesce(string_agg(path, '|' ORDER BY k) FILTER (k <= 3), {literal(domains.FALLBACK[0])}) AS domain_paths FROM n LEFT JOIN r USING (note_id) GROUP BY n.note_id, n.turn)
+SELECT note_id, CASE WHEN turn % 2 = 0 THEN (SELECT path FROM t WHERE place = turn % {len(domains.FALLBACK)}) ELSE domain_paths END AS domain_paths FROM rule"""
+)
+def annotation_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns annotated by a stand-in model, eight to a prompt; what it leaves out goes by the rule."""
+    rows = _samples(spark, sf_dir)
+    tokens = T.retrieval_tokens(F.concat_ws(" ", "content", "speaker", F.lit("family support")))
+    notes = rows.select("sample_id", "note_id", "ord", "dia_id", F.regexp_replace("content", r"\s+", " ").alias("brief"), tokens.alias("tokens"))
+    tree = domains.trees(spark, notes).withColumn("tokens", T.retrieval_tokens(domains.domain_text(F.col("path"), F.col("description"), F.col("keywords"))))
+    return domains.annotate_with_model(notes, tree, _echo).select("note_id", F.array_join("domain_paths", "|").alias("domain_paths"))
+
+
 @query(
     """WITH n AS (SELECT doc_id, source AS sample_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM documents),
 s AS (SELECT *, greatest(1, n // 8) AS step FROM n)
