@@ -6,13 +6,16 @@ Every model call goes through enrich.complete; a call that fails gives null, and
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.operators import answers, enrich, evaluate, parsers
+from loomspark.sources import scratch
 
 Factory = Callable[[], enrich.Client]
 # The order in which relations are expanded, and how it differs for category 1.
@@ -140,8 +143,31 @@ def sweep(contexts: DataFrame, models: dict[str, Factory], metric: str = "f1") -
     return reduce(DataFrame.unionByName, parts)
 
 
+def sweep_runs(contexts: Callable[[int], DataFrame], models: dict[str, Factory], ks: list[int], path: str, side_by_side: int = 4) -> DataFrame:
+    """model, k, metric, mean and n of every run of each model with each k: runs go side by side, each is a partition of path, and finished ones are not repeated.
+
+    contexts gives the questions with their contexts for a k. The jobs of a run share a scheduler pool (``spark.scheduler.mode=FAIR`` divides
+    the executors among them). A model that fails stops none of the others; the failure is raised when all are done, and
+    what was finished is there for the next call. With ``enrich.Model`` not even the responses of a broken run are asked for again.
+    """
+    spark = contexts(ks[0]).sparkSession
+    due = [(m, k) for m in models for k in ks if not scratch.exists(spark, f"{path}/model={m}/k={k}/_SUCCESS")]
+
+    def one(run: tuple[str, int]) -> None:
+        name, k = run
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{name}-{k}")
+        _, totals, _ = evaluate_questions(contexts(k), models[name])
+        totals.where("overall = 1").select("metric", "mean", F.col("count").alias("n")).write.mode("overwrite").parquet(f"{path}/model={name}/k={k}")
+
+    with ThreadPoolExecutor(max_workers=max(1, side_by_side)) as pool:
+        outcomes = [pool.submit(inheritable_thread_target(spark)(one), run) for run in due]
+    failures = [f.exception() for f in outcomes if f.exception() is not None]
+    if failures:
+        raise failures[0]
+    # partition columns as text, since a model's name may look like a number
+    return spark.read.option("basePath", path).schema("metric string, mean double, n long, model string, k int").parquet(path)
+
+
 def retrieve_context(bundle: DataFrame, notes: DataFrame) -> DataFrame:
     """query_id and context of packed bundles: retrieval without answering. bundle: query_id, block_pos, note_id, relation; notes: note_id, date, content."""
     return answers.context_of(bundle.join(notes.select("note_id", "date", "content"), "note_id"))
-
-

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.sources import scratch
+
 QA = "array<struct<question:string,answer:string,evidence:array<string>,category:int,adversarial_answer:string>>"
 TURNS = "array<struct<speaker:string,dia_id:string,text:string,img_url:string,blip_caption:string,query:string>>"
 SAMPLE = f"array<struct<qa:{QA},conversation:string,event_summary:string,observation:string,session_summary:map<string,string>>>"
@@ -73,29 +77,71 @@ def statistics(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("samples")).crossJoin(q).crossJoin(s)  # single rows
 
 
-def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
+def write_table(df: DataFrame, path: str, by: str | None = None, version: str = VERSION) -> None:
     """A persisted stage with its layout version; by names a partition column."""
-    writer = df.withColumn("_version", F.lit(VERSION)).write.mode("overwrite")
+    writer = df.withColumn("_version", F.lit(version)).write.mode("overwrite")
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """A persisted stage, or None where it is missing or of another version, so that the caller builds it anew."""
+def write_partitions(df: DataFrame, path: str, by: str, version: str = VERSION) -> None:
+    """Replace the partitions that df has rows of; all others stay as they are, file by file."""
+    whole = df.withColumn("_version", F.lit(version)).repartition(by)
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        df = spark.read.parquet(path)
+        return spark.read.parquet(path)
     except Exception as error:  # no such table yet
         if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
             return None
         raise
-    if "_version" not in df.columns or df.where(F.col("_version") != VERSION).limit(1).count():
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A persisted stage, or None where it is missing or of another version, so that the caller builds it anew."""
+    df = _stored(spark, path)
+    if df is None or "_version" not in df.columns or not df.where(F.col("_version") != VERSION).isEmpty():
         return None
     return df.drop("_version")
 
 
+def stale(spark: SparkSession, path: str, keys: DataFrame, by: str, version: str = VERSION) -> DataFrame:
+    """Of some keys those without a partition of this version: missing, of another version, or of several. Only the version column is read."""
+    wanted = keys.select(by).distinct()
+    df = _stored(spark, path)
+    if df is None or "_version" not in df.columns:
+        return wanted
+    kept = df.groupBy(F.col(by).cast(keys.schema[by].dataType).alias(by)).agg(F.bool_and(F.col("_version") == version).alias("good")).where("good")
+    return wanted.join(kept.select(by), by, "left_anti")
+
+
+def load_or_build(spark: SparkSession, path: str, keys: DataFrame, by: str, build: Callable[[DataFrame], DataFrame], version: str = VERSION, force: bool = False) -> DataFrame:
+    """A stage kept by key: what is there of this version is loaded, what is stale is built (from a table of the keys) and replaces its own partitions alone.
+
+    A key for which build makes no row has no partition and is built again the next time.
+    """
+    due = scratch.materialise(keys.select(by).distinct() if force else stale(spark, path, keys, by, version), "stale")
+    if not due.isEmpty():
+        write_partitions(build(due), path, by, version)
+    df = _stored(spark, path)
+    if df is None:
+        return build(due).limit(0)
+    own = df.withColumn(by, F.col(by).cast(keys.schema[by].dataType)).drop("_version")
+    return own.join(keys.select(by).distinct(), by, "left_semi")
+
+
 def write_results(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def results(spark: SparkSession, folder: str) -> DataFrame:
+    """Every result file below a folder, one row each, with the path it came from and the model its name gives (what stands before _k<N>)."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("multiLine", "true").json(folder).withColumn("path", F.col("_metadata.file_path"))
+    name = F.regexp_extract("path", r"([^/]+?)_k\d+[^/]*$", 1)
+    return rows.withColumn("model", F.coalesce("model", name) if "model" in rows.columns else name)
+
+
 def best_k(results: DataFrame, path_column: str = "path") -> DataFrame:
     """Of result files named ..._k<N>..., by model the k of the largest f1, ties to the smaller k."""
     keyed = results.withColumn("k", F.regexp_extract(path_column, r"_k(\d+)", 1).cast("int"))

@@ -6,13 +6,14 @@ Where a stage is missing or of another version the caller builds it anew.
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.operators import graph, lifecycle, parsers
-from loomspark.sources import dialogue
+from loomspark.sources import dialogue, scratch
 
 # Relations that the offline graph holds, and those that older graphs held.
 OFFLINE = ["similar_event", "same_character", "same_storyline", "image_text_pair"]
@@ -75,6 +76,24 @@ def load_graph(spark: SparkSession, path: str, notes: DataFrame, edges: DataFram
     return None if annotations is None or kept is None else apply_graph(notes, edges, annotations, kept)
 
 
+def prepare_graph(spark: SparkSession, path: str, notes: DataFrame, edges: DataFrame, build: Callable[[DataFrame], tuple[DataFrame, DataFrame]], force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Notes and edges with each sample's offline graph: kept ones are loaded, stale samples are built and saved, in one call.
+
+    build takes the notes of the stale samples and gives notes with domain_paths and offline edges (as graph_cache takes them); it runs
+    once for all of them. A sample is stale if its annotations are missing or of another version.
+    """
+    due = scratch.materialise(notes.select("sample_id").distinct() if force else dialogue.stale(spark, f"{path}/annotations", notes, "sample_id"), "stale")
+    if not due.isEmpty():
+        annotations, kept = graph_cache(*build(notes.join(due, "sample_id", "left_semi")))
+        # edges first: a sample counts as built once its annotations are there. A sample without edges keeps no older ones
+        none = due.select("sample_id", *[F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in kept.columns if c != "sample_id"])
+        dialogue.write_partitions(kept.unionByName(none), f"{path}/edges", "sample_id")
+        dialogue.write_partitions(annotations, f"{path}/annotations", "sample_id")
+    kind = notes.schema["sample_id"].dataType
+    read = lambda name: spark.read.parquet(f"{path}/{name}").drop("_version").withColumn("sample_id", F.col("sample_id").cast(kind))
+    return apply_graph(notes, edges, read("annotations"), read("edges").where("relation IS NOT NULL"))
+
+
 def apply_graph(notes: DataFrame, edges: DataFrame, annotations: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Kept paths (three at most, normalised) for the notes that have some, and kept edges in place of offline ones.
 
