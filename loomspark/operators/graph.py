@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators import lifecycle
+from loomspark.operators import lifecycle, overlap
 from loomspark.sources import scratch
 
 EDGE = ["sample_id", "src_id", "target_id", "relation", "strength"]
@@ -56,20 +56,20 @@ def pair_features(notes: DataFrame, nearby: int = 4) -> DataFrame:
 
 def storyline_edges(pairs: DataFrame) -> DataFrame:
     """same_storyline and image_text_pair edges of the pairs, before caps; similarity is the Jaccard of the token sets."""
-    overlap = T.n_common(F.col("a_tokens"), F.col("b_tokens"))
+    both = T.n_common(F.col("a_tokens"), F.col("b_tokens"))
     like = T.jaccard(F.col("a_tokens"), F.col("b_tokens"))
     same = (F.col("a_speaker") != "") & (F.col("a_speaker") == F.col("b_speaker"))
     people = F.array(F.lit("caroline"), F.lit("melanie"), F.lower("a_speaker"), F.lower("b_speaker"))
     strong = F.size(F.array_intersect("a_strong", "b_strong"))
     shared = F.size(F.array_except(F.array_intersect("a_cues", "b_cues"), people))
     later = (F.col("a_session") < F.col("b_session")) & F.col("a_session").isNotNull() & F.col("b_session").isNotNull()
-    allowed = (same & (strong > 0)) | (same & (shared >= 2)) | (~same & (strong >= 2)) | (later & (strong > 0) & ((overlap >= 1) | (like >= 0.35)))
-    kept = allowed & ((overlap >= 1) | (like >= 0.25) | (strong > 0))
+    allowed = (same & (strong > 0)) | (same & (shared >= 2)) | (~same & (strong >= 2)) | (later & (strong > 0) & ((both >= 1) | (like >= 0.35)))
+    kept = allowed & ((both >= 1) | (like >= 0.25) | (strong > 0))
     story = F.least(F.lit(0.92), 0.60 + 0.08 * F.least(F.lit(3), strong) + 0.04 * F.least(F.lit(3), shared) + F.when(same, 0.08).otherwise(0.0) + F.when(later, 0.04).otherwise(0.0))
     nearby = (F.col("a_session") == F.col("b_session")) & (F.abs(F.col("a_turn") - F.col("b_turn")) <= 4)
     seen = F.array_union(F.array_intersect("a_visual", "b_cues"), F.array_intersect("b_visual", "a_cues"))
     visual = F.size(F.array_except(seen, F.array(F.lower("a_speaker"), F.lower("b_speaker"))))
-    pictured = nearby & (visual > 0) & ((overlap >= 1) | (like >= 0.20))
+    pictured = nearby & (visual > 0) & ((both >= 1) | (like >= 0.20))
     found = F.array_compact(
         F.array(
             F.when(kept, F.struct(F.lit("same_storyline").alias("relation"), story.alias("strength"), F.lit(0).alias("k"))),
@@ -114,14 +114,14 @@ def capped_matching(pairs: DataFrame, cap: int) -> DataFrame:
 
 def similar_events(pairs: DataFrame, cap: int = SIMILAR_CAP) -> DataFrame:
     """similar_event edges with at most cap at either end, taken in the order of the pairs."""
-    overlap, like = T.n_common(F.col("a_tokens"), F.col("b_tokens")), T.jaccard(F.col("a_tokens"), F.col("b_tokens"))
+    both, like = T.n_common(F.col("a_tokens"), F.col("b_tokens")), T.jaccard(F.col("a_tokens"), F.col("b_tokens"))
     nearby = (F.col("a_session") == F.col("b_session")) & (F.abs(F.col("a_turn") - F.col("b_turn")) <= 4)
     across = (F.col("a_session") != F.col("b_session")) & (F.col("a_speaker") != "") & (F.col("a_speaker") == F.col("b_speaker"))
-    weight = F.when(nearby & ((overlap >= 2) | (like >= 0.60)), 1.0).when(across & (overlap >= 3) & (like >= 0.50), 0.6)
+    weight = F.when(nearby & ((both >= 2) | (like >= 0.60)), 1.0).when(across & (both >= 3) & (like >= 0.50), 0.6)
     rows = pairs.select("sample_id", "a_note_id", "b_note_id", "a_ord", "b_ord", weight.alias("strength")).where("strength IS NOT NULL")
     row = lambda s, t: F.struct(F.col(f"{s}_note_id").alias("src_id"), F.col(f"{t}_note_id").alias("target_id"))
-    both = capped_matching(rows, cap).select("sample_id", "strength", F.explode(F.array(row("a", "b"), row("b", "a"))).alias("e"))
-    return both.select("sample_id", "e.src_id", "e.target_id", F.lit("similar_event").alias("relation"), "strength")
+    taken = capped_matching(rows, cap).select("sample_id", "strength", F.explode(F.array(row("a", "b"), row("b", "a"))).alias("e"))
+    return taken.select("sample_id", "e.src_id", "e.target_id", F.lit("similar_event").alias("relation"), "strength")
 
 
 def upsert_edges(edges: DataFrame, order: str | None = None) -> DataFrame:
@@ -143,14 +143,10 @@ def upsert_edges(edges: DataFrame, order: str | None = None) -> DataFrame:
 def best_overlap(notes: DataFrame) -> DataFrame:
     """sample_id, note_id, best_id, overlap: of the earlier notes of the sample that share a token, the first of largest Jaccard overlap.
 
-    notes: sample_id, note_id, ord, tokens (set). Shared tokens are counted by an equi-join; sizes give the union, so no text is joined.
+    notes: sample_id, note_id, ord, tokens (set). Tokens that many notes hold make no pairs (``overlap``).
     """
-    held = notes.select("sample_id", "note_id", "ord", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    old = held.select("sample_id", F.col("note_id").alias("best_id"), F.col("ord").alias("best_ord"), F.col("size").alias("best_size"), "token")
-    shared = held.join(old, ["sample_id", "token"]).where("best_ord < ord").groupBy("sample_id", "note_id", "best_id", "best_ord", "size", "best_size").agg(F.count(F.lit(1)).alias("common"))
-    scored = shared.withColumn("overlap", F.col("common") / (F.col("size") + F.col("best_size") - F.col("common")))
-    best = F.min(F.struct((-F.round("overlap", 9)).alias("worse"), "best_ord", "best_id", "overlap"))
-    return scored.groupBy("sample_id", "note_id").agg(best.alias("b")).select("sample_id", "note_id", "b.best_id", "b.overlap")
+    best = overlap.nearest(notes.withColumnRenamed("note_id", "ask_id"), notes, 1, earlier=True)
+    return best.select("sample_id", F.col("ask_id").alias("note_id"), F.col("note_id").alias("best_id"), "overlap")
 
 
 def resolve_targets(edges: DataFrame, notes: DataFrame) -> DataFrame:

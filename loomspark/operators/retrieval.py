@@ -112,25 +112,6 @@ def offered_slots(text: Column, tokens: Column) -> Column:
     return F.array_compact(F.array(*[F.when(low.contains(s) | F.arrays_overlap(tokens, F.array(*map(F.lit, s.split(" ")))), s) for s in T.SLOT_PATTERNS]))
 
 
-def slot_value(common: Column, hits: Column, colon: Column) -> Column:
-    """The answer-slot signal from shared tokens, slots met, and whether the text has a colon."""
-    return F.least(F.lit(1.0), 0.18 * F.least(F.lit(5), common) + 0.28 * F.least(F.lit(2), hits) + F.when(colon & (hits > 0), 0.10).otherwise(0.0))
-
-
-def slot_signals(notes: DataFrame, questions: DataFrame) -> DataFrame:
-    """query_id, note_id, score: the answer-slot signal of every pair that shares a token.
-
-    notes: note_id, text, tokens; questions: query_id, query, tokens. Shared tokens are counted by an equi-join; which slot
-    words a note holds is found once for a note, so no pair reads a text.
-    """
-    held = notes.select("note_id", F.explode("tokens").alias("token"))
-    shared = questions.select("query_id", F.explode("tokens").alias("token")).join(held, "token").groupBy("query_id", "note_id").agg(F.count(F.lit(1)).alias("common"))
-    told = notes.select("note_id", offered_slots(F.col("text"), F.col("tokens")).alias("offers"), F.col("text").contains(":").alias("colon"))
-    wanted = questions.select("query_id", T.slot_terms(F.col("query")).alias("slots"))
-    both = shared.join(told, "note_id").join(wanted, "query_id")
-    return both.select("query_id", "note_id", slot_value(F.col("common"), T.n_common(F.col("slots"), F.col("offers")), F.col("colon")).alias("score"))
-
-
 def rank_score(score: Column, rank: Column, cap: Column) -> Column:
     """A source's score for fusion: its capped share or the reciprocal rank (rank from 1), whichever is more."""
     return F.greatest(F.least(score, cap) / F.greatest(cap, F.lit(1e-6)), 1.0 / rank)

@@ -11,8 +11,8 @@ for each task, question and ranker.
 Rankers: ``dense`` (cosine of hashed token vectors), ``bm25`` (over token sets), ``lexical``
 (weighted overlap with main and visual text, coverage, whole phrases) and ``entity``
 (overlap, substrings, names, actions with speaker and text), and ``hybrid`` (half BM25, scaled
-by each question's least and largest over all notes, half cosine). Scores that are not
-positive rank nowhere. With each row of lexical or entity ranks go the pair's lexical score and
+by each question's least and largest over all notes, half cosine) and ``slot`` (the answer-slot
+signal of notes that share a token). Scores that are not positive rank nowhere. With each row of lexical or entity ranks go the pair's lexical score and
 answer-slot signal, so that no candidate's text is joined or read again.
 """
 
@@ -43,7 +43,7 @@ DIM = 64
 #: Questions of a block, notes of a matrix, and rows kept beyond k where scores tie after rounding.
 BLOCK, ROWS, SPARE = 512, 256, 8
 SIGNALS = ("lexical_score", "answer_slot")
-RANKERS = ("dense", "bm25", "lexical", "entity", "hybrid")
+RANKERS = ("dense", "bm25", "lexical", "entity", "hybrid", "slot")
 
 
 def question_features(questions: DataFrame, *more: Column) -> DataFrame:
@@ -148,9 +148,10 @@ class Block:
             entity = 2.0 * (over + seen.spoken[:, self.columns] @ self.asked) + 0.25 * (found @ self.inside) + found @ self.names + 1.5 * (found @ self.actions)
             asks = self.n_tokens > 0
             out |= {"lexical": lexical * asks, "entity": entity * asks, "lexical_score": lexical * asks}
-        if "answer_slot" in wanted:
+        if {"answer_slot", "slot"} & set(wanted):
             common, hits = seen.held[:, self.query_columns] @ self.query_asked, seen.slots @ self.slots
             out["answer_slot"] = np.minimum(1.0, 0.18 * np.minimum(5, common) + 0.28 * np.minimum(2, hits) + 0.10 * (seen.colon[:, None] & (hits > 0)))
+            out["slot"] = out["answer_slot"] * (common > 0)
         if not self.past:
             for ranker in out:
                 out[ranker] = out[ranker] * seen.usual[:, None]
@@ -288,7 +289,7 @@ def _rank(features: DataFrame, asking: DataFrame, depths: dict[str, int]) -> Dat
     rows = list(asking.toLocalIterator())
     found, held = features.sparkSession.createDataFrame([], shape), None
     if rows:
-        texts = bool({"lexical", "entity"} & set(wanted))
+        texts = bool({"lexical", "entity", "slot"} & set(wanted))
         held = scratch.materialise(features if texts else features.select("note_id", "tokens", "usual"), "note-features")
         asked = Asked(rows, _counts(held, rows))
         if "hybrid" in wanted:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.operators import lifecycle
+from loomspark.operators import lifecycle, overlap
 
 CANDIDATES, EDGES = 10, 5
 #: What a rewritten note's history holds.
@@ -25,12 +25,9 @@ REVISION = "array<struct<version:int,content:string,update_reason:string,source_
 
 def candidates(notes: DataFrame, new: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """sample_id, new_id, note_id, place, overlap: the k notes of the sample that share most with each new note, by Jaccard, then age."""
-    held = notes.where(lifecycle.is_indexable(F.col("status"))).select("sample_id", "note_id", "ord", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    asked = new.select("sample_id", F.col("note_id").alias("new_id"), F.size("tokens").alias("asked"), F.explode("tokens").alias("token"))
-    common = asked.join(held, ["sample_id", "token"]).groupBy("sample_id", "new_id", "note_id", "ord", "size", "asked").agg(F.count(F.lit(1)).alias("common"))
-    scored = common.withColumn("overlap", F.round(F.col("common") / (F.col("asked") + F.col("size") - F.col("common")), 9))
-    place = F.row_number().over(Window.partitionBy("sample_id", "new_id").orderBy(F.desc("overlap"), "ord"))
-    return scored.withColumn("place", place).where(F.col("place") <= k).select("sample_id", "new_id", "note_id", "place", "overlap")
+    held = notes.where(lifecycle.is_indexable(F.col("status"))).select("sample_id", "note_id", "ord", "tokens")
+    asked = new.select("sample_id", F.col("note_id").alias("ask_id"), "ord", "tokens")
+    return overlap.nearest(asked, held, k).select("sample_id", F.col("ask_id").alias("new_id"), "note_id", "place", "overlap")
 
 
 def decisions(notes: DataFrame, new: DataFrame, found: DataFrame) -> DataFrame:

@@ -119,9 +119,8 @@ s AS (SELECT query_id, note_id, {duck.slot_signal("query", "text")} AS score FRO
 )
 def slot_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best answer-slot signals of each question, over all documents that share a token with it."""
-    docs, questions_ = documents(spark, sf_dir), questions(spark, sf_dir)
-    scored = R.slot_signals(docs.select("note_id", "text", "tokens"), questions_)
-    return R.top_k(scored, 10).select("query_id", "note_id", "score", "rank")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), F.col("text").alias("main"), F.lit("").alias("visual"), F.lit("").alias("speaker"))
+    return scan.rank(docs, asked(spark, sf_dir, 2), {"slot": 10}).select("query_id", "note_id", "score", "rank")
 
 
 def fused(spark: SparkSession, sf_dir: str, category: int, k: int = 10) -> DataFrame:
