@@ -145,7 +145,8 @@ def best_overlap(notes: DataFrame) -> DataFrame:
 
     notes: sample_id, note_id, ord, tokens (set). Tokens that many notes hold make no pairs (``overlap``).
     """
-    best = overlap.nearest(notes.withColumnRenamed("note_id", "ask_id"), notes, 1, earlier=True)
+    asked = notes.select("sample_id", F.col("note_id").alias("ask_id"), "ord", "tokens")
+    best = overlap.nearest(asked, asked, 1, earlier=True)
     return best.select("sample_id", F.col("ask_id").alias("note_id"), F.col("note_id").alias("best_id"), "overlap")
 
 
@@ -168,11 +169,11 @@ def domain_catalog(notes: DataFrame, path: str = "domain_path", example: str = "
 def domain_scores(notes: DataFrame, questions: DataFrame) -> DataFrame:
     """query_id, domain, n, score: Jaccard of a question's tokens and the vocabulary of each domain that shares one.
 
-    notes: domain, tokens; questions: query_id, tokens. A vocabulary is rows, never one value: its size and what it shares
-    give the union. A question that no domain shares a token with gets the domain of most notes, with score 0.
+    notes: domain, tokens; questions: query_id, tokens. A vocabulary is rows, never one value, and is written once: its size and what it
+    shares give the union. A question that no domain shares a token with gets the domain of most notes, with score 0.
     """
     counts = notes.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
-    words = notes.select("domain", F.explode("tokens").alias("token")).distinct()
+    words = scratch.materialise(notes.select("domain", F.explode("tokens").alias("token")).distinct(), "domain-words")
     sizes = words.groupBy("domain").agg(F.count(F.lit(1)).alias("words"))
     asked = questions.select("query_id", F.size("tokens").alias("asked"), F.explode("tokens").alias("token"))
     shared = asked.join(words, "token").groupBy("query_id", "domain", "asked").agg(F.count(F.lit(1)).alias("common"))

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.sources import scratch
+
 #: Notes of a sample that may hold a token before it counts as common; copies of each common token's row, so that its notes are divided among tasks.
 RARE, SALTS = 200, 16
 
@@ -31,12 +33,13 @@ def _parted(rows: DataFrame, common: DataFrame, key: str) -> DataFrame:
 def nearest(asked: DataFrame, held: DataFrame, k: int, earlier: bool = False, rare: int = RARE) -> DataFrame:
     """sample_id, ask_id, note_id, overlap (rounded to 9 places) and place: of the held notes of the sample that share a token, the k of largest Jaccard overlap, the smaller ord first.
 
-    asked: sample_id, ask_id, ord, tokens (set); held: sample_id, note_id, ord, tokens. With earlier only notes of smaller ord count. Within
-    a sample an ord names one note.
+    asked: sample_id, ask_id, ord, tokens (set); held: sample_id, note_id, ord, tokens, or asked itself. With earlier only notes of smaller
+    ord count. Within a sample an ord names one note. Token lists are written once.
     """
     often = held.select("sample_id", F.explode("tokens").alias("token")).groupBy("sample_id", "token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rare)
     common = often.select("sample_id", "token", F.lit(True).alias("_common"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
-    mine, theirs = _parted(asked, common, "ask_id"), _parted(held, common, "note_id")
+    mine = scratch.materialise(_parted(asked, common, "ask_id"), "asked-tokens")
+    theirs = mine.withColumnRenamed("ask_id", "note_id") if held is asked else scratch.materialise(_parted(held, common, "note_id"), "held-tokens")
     jaccard = lambda c, a, b: F.round(c / (F.col(a) + F.col(b) - c), 9)
     left = mine.select("sample_id", "ask_id", F.col("ord").alias("ask_ord"), F.col("size").alias("ask_size"), F.col("common").alias("ask_common"), F.explode("rare").alias("token"))
     right = theirs.select("sample_id", "note_id", "ord", "size", "common", F.explode("rare").alias("token"))
@@ -47,6 +50,9 @@ def nearest(asked: DataFrame, held: DataFrame, k: int, earlier: bool = False, ra
     met = pairs.groupBy("sample_id", "ask_id", "note_id").agg(shared.alias("both"), F.first("ask_size").alias("ask_size"), F.first("size").alias("size"), F.first("ord").alias("ord"))
     by_rare = met.select("sample_id", "ask_id", "note_id", "ord", jaccard(F.col("both"), "ask_size", "size").alias("overlap"))
 
+    order = F.row_number().over(Window.partitionBy("sample_id", "ask_id").orderBy(F.desc("overlap"), "ord"))
+    if mine.where(F.size("common") > 0).isEmpty():  # then rare tokens are all that is shared
+        return by_rare.withColumn("place", order).where(F.col("place") <= k).select("sample_id", "ask_id", "note_id", "overlap", "place")
     # classes of notes that hold the same common tokens and as many in all; of the held ones the first k stand for the class
     place = F.row_number().over(Window.partitionBy("sample_id", "common", "size").orderBy("ord"))
     kept = theirs.where(F.size("common") > 0).withColumn("_r", place).where(F.col("_r") <= k)
@@ -69,5 +75,4 @@ def nearest(asked: DataFrame, held: DataFrame, k: int, earlier: bool = False, ra
     if earlier:
         by_class = by_class.where("ord < ask_ord")
     both = by_rare.unionByName(by_class.select(*by_rare.columns)).groupBy("sample_id", "ask_id", "note_id").agg(F.first("ord").alias("ord"), F.max("overlap").alias("overlap"))
-    order = F.row_number().over(Window.partitionBy("sample_id", "ask_id").orderBy(F.desc("overlap"), "ord"))
     return both.withColumn("place", order).where(F.col("place") <= k).select("sample_id", "ask_id", "note_id", "overlap", "place")

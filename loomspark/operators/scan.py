@@ -43,6 +43,7 @@ DIM = 64
 #: Questions of a block, notes of a matrix, and rows kept beyond k where scores tie after rounding.
 BLOCK, ROWS, SPARE = 512, 256, 8
 SIGNALS = ("lexical_score", "answer_slot")
+_TEXTS = ("visual_tokens", "speaker_tokens", "slots", "speaker", "main")
 RANKERS = ("dense", "bm25", "lexical", "entity", "hybrid", "slot")
 
 
@@ -57,11 +58,11 @@ def question_features(questions: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-def note_features(notes: DataFrame, usual: Column | None = None) -> DataFrame:
-    """What a task reads of each note; usual says whether every question sees it. notes: note_id, main, visual, speaker."""
+def note_features(notes: DataFrame, usual: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What a task reads of each note, and the columns to keep; usual says whether every question sees it. notes: note_id, main, visual, speaker."""
     everyone = F.lit(True) if usual is None else usual
-    split = notes.select("note_id", everyone.alias("usual"), T.retrieval_tokens(F.col("main")).alias("tokens"), T.retrieval_tokens(F.col("visual")).alias("visual_tokens"), T.retrieval_tokens(F.col("speaker")).alias("spoken"), F.lower(F.coalesce("speaker", F.lit(""))).alias("speaker"), F.lower(F.coalesce("main", F.lit(""))).alias("main"))
-    return split.select("note_id", "usual", "tokens", "visual_tokens", F.array_except("spoken", "tokens").alias("speaker_tokens"), R.offered_slots(F.col("main"), F.col("tokens")).alias("slots"), "speaker", "main")
+    split = notes.select("note_id", *keep, everyone.alias("usual"), T.retrieval_tokens(F.col("main")).alias("tokens"), T.retrieval_tokens(F.col("visual")).alias("visual_tokens"), T.retrieval_tokens(F.col("speaker")).alias("spoken"), F.lower(F.coalesce("speaker", F.lit(""))).alias("speaker"), F.lower(F.coalesce("main", F.lit(""))).alias("main"))
+    return split.select("note_id", *keep, "usual", "tokens", "visual_tokens", F.array_except("spoken", "tokens").alias("speaker_tokens"), R.offered_slots(F.col("main"), F.col("tokens")).alias("slots"), "speaker", "main")
 
 
 @lru_cache(maxsize=1 << 20)
@@ -126,11 +127,13 @@ class Block:
         self.slots = _incidence([r["slots"] for r in rows], {s: k for k, s in enumerate(T.SLOT_PATTERNS)})
         found = {p: k for k, p in enumerate(sorted(_patterns(rows)))}
         self.pattern_columns = np.array([pattern[p] for p in found], dtype=np.int64)
-        self.inside, self.names, self.actions, self.phrases = (_incidence([[p for p in items if p] for items in lists], found) for lists in (tokens, *([r[c] for r in rows] for c in ("names", "actions", "phrases"))))
+        inside, names, actions, self.phrases = (_incidence([[p for p in items if p] for items in lists], found) for lists in (tokens, *([r[c] for r in rows] for c in ("names", "actions", "phrases"))))
+        self.entity = 0.25 * inside + names + 1.5 * actions  # what a pattern that is found adds
+        self.same_tokens = dense == tokens
         self.low, self.high = np.zeros(len(rows)), np.zeros(len(rows))
 
     def bm25(self, seen: Notes) -> np.ndarray:
-        return (seen.held[:, self.columns] @ self.idf) * ((R.K1 + 1.0) / (1.0 + R.K1 * (1.0 - R.B + R.B * seen.size / self.avgdl)))[:, None]
+        return _product(seen.held, self.columns, self.idf) * ((R.K1 + 1.0) / (1.0 + R.K1 * (1.0 - R.B + R.B * seen.size / self.avgdl)))[:, None]
 
     def scores(self, seen: Notes, wanted: tuple[str, ...]) -> dict[str, np.ndarray]:
         """Of each wanted ranker, and of the two signals if they are wanted, notes by questions; what a question may not see scores 0."""
@@ -142,14 +145,14 @@ class Block:
         if "hybrid" in wanted:
             out["hybrid"] = 0.5 * (out["bm25"] - self.low) / (self.high - self.low + 1e-6) + 0.5 * out["dense"]
         if {"lexical", "entity", *SIGNALS} & set(wanted):
-            over, visual = seen.held[:, self.columns] @ self.asked, seen.visual[:, self.columns] @ self.asked
-            found, whole = seen.found[:, self.pattern_columns], seen.whole[:, self.pattern_columns]
-            lexical = 3.0 * over + 0.75 * visual + (over + 0.5 * visual) / np.maximum(1.0, self.n_tokens) + 0.25 * (whole @ self.phrases)
-            entity = 2.0 * (over + seen.spoken[:, self.columns] @ self.asked) + 0.25 * (found @ self.inside) + found @ self.names + 1.5 * (found @ self.actions)
+            over, visual = _product(seen.held, self.columns, self.asked), _product(seen.visual, self.columns, self.asked)
+            lexical = 3.0 * over + 0.75 * visual + (over + 0.5 * visual) / np.maximum(1.0, self.n_tokens) + 0.25 * _product(seen.whole, self.pattern_columns, self.phrases)
+            entity = 2.0 * (over + _product(seen.spoken, self.columns, self.asked)) + _product(seen.found, self.pattern_columns, self.entity)
             asks = self.n_tokens > 0
             out |= {"lexical": lexical * asks, "entity": entity * asks, "lexical_score": lexical * asks}
         if {"answer_slot", "slot"} & set(wanted):
-            common, hits = seen.held[:, self.query_columns] @ self.query_asked, seen.slots @ self.slots
+            common = over if self.same_tokens and "lexical" in out else _product(seen.held, self.query_columns, self.query_asked)
+            hits = seen.slots @ self.slots
             out["answer_slot"] = np.minimum(1.0, 0.18 * np.minimum(5, common) + 0.28 * np.minimum(2, hits) + 0.10 * (seen.colon[:, None] & (hits > 0)))
             out["slot"] = out["answer_slot"] * (common > 0)
         if not self.past:
@@ -158,6 +161,12 @@ class Block:
         return {k: out[k] for k in wanted}
 
 
+def _product(held: np.ndarray, columns: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """held[:, columns] @ weights over the columns that hold anything."""
+    some = np.flatnonzero(held.any(axis=0)[columns])
+    return held[:, columns[some]] @ weights[some]
+
+
 def _patterns(rows: list) -> set[str]:
     return set().union(*(set(r[c]) for r in rows for c in ("tokens", "names", "phrases", "actions"))) - {""}
 
@@ -240,13 +249,24 @@ def rank(notes: DataFrame, questions: DataFrame, depths: dict[str, int]) -> Data
     return _rank(note_features(notes), question_features(questions).withColumn("past", F.lit(False)), depths)
 
 
-def rank_retrievable(notes: DataFrame, questions: DataFrame, depths: dict[str, int]) -> DataFrame:
-    """rank() where each question sees the notes that it may: notes have a status; questions about the past see more of them."""
+def retrievable_features(notes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Features of the notes that some question may see, written once for all that reads them. notes: as rank() takes them, with status."""
     usual = lifecycle.is_indexable(F.col("status"))
     seen = notes.where(usual | F.col("status").isin("deprecated", "archived"))
+    return scratch.materialise(note_features(seen, usual, keep), "note-features")
+
+
+def rank_retrievable(notes: DataFrame, questions: DataFrame, depths: dict[str, int], held: DataFrame | None = None) -> DataFrame:
+    """rank() where each question sees the notes that it may: notes have a status; questions about the past see more of them.
+
+    held: retrievable_features of the notes, where the caller has them.
+    """
     past = F.coalesce(history(F.col("query")), F.lit(False))
-    held = note_features(seen, usual)
-    return _rank(held, question_features(questions, past.alias("past")), depths)
+    asking = question_features(questions, past.alias("past"))
+    if held is not None:
+        return _rank(held, asking, depths, written=True)
+    usual = lifecycle.is_indexable(F.col("status"))
+    return _rank(note_features(notes.where(usual | F.col("status").isin("deprecated", "archived")), usual), asking, depths)
 
 
 def _counts(held: DataFrame, rows: list) -> dict[bool, tuple[dict[str, int], int, float]]:
@@ -283,14 +303,15 @@ def _set_bounds(held: DataFrame, asked: Asked) -> None:
         asked.blocks[k].low[row["q"] - start[k]], asked.blocks[k].high[row["q"] - start[k]] = row["low"], row["high"]
 
 
-def _rank(features: DataFrame, asking: DataFrame, depths: dict[str, int]) -> DataFrame:
+def _rank(features: DataFrame, asking: DataFrame, depths: dict[str, int], written: bool = False) -> DataFrame:
     wanted = tuple(r for r in RANKERS if r in depths)
     shape = StructType([StructField("query_id", asking.schema["query_id"].dataType), StructField("note_id", features.schema["note_id"].dataType), StructField("ranker", StringType()), *[StructField(c, DoubleType()) for c in ("score", *SIGNALS)]])
     rows = list(asking.toLocalIterator())
     found, held = features.sparkSession.createDataFrame([], shape), None
     if rows:
         texts = bool({"lexical", "entity", "slot"} & set(wanted))
-        held = scratch.materialise(features if texts else features.select("note_id", "tokens", "usual"), "note-features")
+        features = features.select("note_id", "tokens", "usual", *(_TEXTS if texts else ()))
+        held = features if written else scratch.materialise(features, "note-features")
         asked = Asked(rows, _counts(held, rows))
         if "hybrid" in wanted:
             _set_bounds(held, asked)
@@ -303,7 +324,8 @@ def _rank(features: DataFrame, asking: DataFrame, depths: dict[str, int]) -> Dat
     if held is None:
         return best
     done = scratch.materialise(best, "ranked")
-    scratch.discard(held)
+    if not written:
+        scratch.discard(held)
     return done
 
 

@@ -130,9 +130,10 @@ def fused(spark: SparkSession, sf_dir: str, category: int, k: int = 10) -> DataF
     """
     notes = memories(spark, sf_dir)
     wanted = asked(spark, sf_dir, category)
-    ranked = scan.rank_retrievable(notes, wanted, R.depths(k, category))
+    held = scan.retrievable_features(notes, ("path",))
+    ranked = scan.rank_retrievable(notes, wanted, R.depths(k, category), held)
     merged = R.merge_sources(R.to_sources(ranked, k, category))
-    routes = graph.route(graph.domain_scores(notes.select(F.col("path").alias("domain"), T.retrieval_tokens(F.col("main")).alias("tokens")), questions(spark, sf_dir)))
+    routes = graph.route(graph.domain_scores(held.select(F.col("path").alias("domain"), "tokens"), questions(spark, sf_dir)))
     routes = routes.groupBy("query_id").agg(F.collect_list("domain").alias("routes"))  # three at most
     joined = merged.join(notes, "note_id").join(wanted, "query_id").join(routes, "query_id", "left")
     signals = {
