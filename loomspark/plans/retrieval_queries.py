@@ -10,6 +10,7 @@ from loomspark.operators import bundle, dense, graph, lifecycle, scan
 from loomspark.operators import retrieval as R
 from loomspark.plans import duck
 from loomspark.plans.registry import query, table
+from loomspark.sources import postings, scratch
 
 DIM = 64
 
@@ -35,6 +36,30 @@ def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.document_frequency(docs).crossJoin(F.broadcast(R.index_stats(docs))).select("token", "df", "n_docs", F.round("avgdl", 6).alias("avgdl"), idf.alias("idf"))  # one row
 
 
+def _postings(spark: SparkSession, sf_dir: str) -> postings.Postings:
+    """An index built in two halves, at a place of its own."""
+    path = scratch.fresh(spark, "index")
+    index = postings.Postings(spark, path, "index_" + path.rsplit("-", 1)[1], chunk=F.floor(F.col("note_id") / 256))
+    docs = scratch.materialise(documents(spark, sf_dir).select("note_id", "tokens"), "index-notes")
+    index.append(docs.where("note_id % 2 = 0"))
+    index.append(docs.where("note_id % 2 = 1"))
+    scratch.discard(docs)
+    return index
+
+
+@query(f"WITH {duck.BM25} {duck.top('bm25', 10)}")
+def bm25_topk_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship over a persisted index that was appended to: postings lie bucketed by token and are not shuffled."""
+    index = _postings(spark, sf_dir)
+    return R.top_k(index.bm25(questions(spark, sf_dir)), 10).select("query_id", "note_id", "score", "rank")
+
+
+@query(f"WITH {duck.BM25} {duck.top('bm25', 10)}")
+def bm25_topk_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with the chunks left out whose bounds say that none of their notes can be among the ten best."""
+    return _postings(spark, sf_dir).top_k(questions(spark, sf_dir), 10)[0].select("query_id", "note_id", "score", "rank")
+
+
 _DENSE = """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS note_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score
   FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id {0}) """
 
