@@ -31,28 +31,45 @@ def fallback_tree(spark: SparkSession) -> DataFrame:
 
 
 def parse_tree(response: Column) -> Column:
-    """Entries of a model's tree: normalised paths, each once, bounded; an empty array where there are none (then the fallback holds)."""
-    text = parsers.json_object(response)
-    item = "struct<path:string,domain_path:string,name:string,title:string,description:string,summary:string,keywords:array<string>,tags:array<string>>"
-    read = lambda name: F.from_json(text, f"{name} array<{item}>")[name]
-    strings = lambda name: F.transform(F.from_json(text, f"{name} array<string>")[name], lambda s: F.when(~s.startswith("{"), s))
-    first = lambda *c: F.coalesce(*[F.when(x != "", x) for x in c])
-    none = F.array().cast("array<string>")
-
-    def entries(name: str) -> Column:
-        def one(text_: Column, i: Column) -> Column:
-            o = F.get(read(name), i)
-            return F.struct(
-                T.normalize_domain(F.coalesce(text_, first(o["path"], o["domain_path"], o["name"], o["title"]))).alias("path"),
-                F.substring(F.coalesce(first(o["description"], o["summary"]), F.lit("")), 1, DESCRIPTION).alias("description"),
-                F.slice(F.filter(F.transform(F.coalesce(o["keywords"], o["tags"], none), lambda k: F.trim(k)), lambda k: k != ""), 1, MOST_KEYWORDS).alias("keywords"),
-            )
-
-        return F.transform(strings(name), one)
-
-    some = lambda name: F.when(F.size(entries(name)) > 0, entries(name))
-    found = F.coalesce(some("domains"), some("domain_tree"), some("tree"), F.array().cast(f"array<{ENTRY}>"))
-    return F.slice(F.filter(found, lambda e, i: F.array_position(F.transform(found, lambda x: x["path"]), e["path"]) == i + 1), 1, MOST_DOMAINS)
+    """Entries of a model's tree: normalised paths, each once, bounded; an empty array where there are none (then the fallback holds).
+
+    The tree is an array under one of three names, or an object that holds it; its items are strings and objects in any mix, each object with
+    its path under one of four names, and its keywords as a list or as one string. Other items are passed over. Read as variants, item by item.
+    """
+    tree = F.try_parse_json(parsers.json_object(response))
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
+    get = lambda v, name, type_: F.try_variant_get(v, f"$.{name}", type_)
+
+    def items(name: str) -> Column:
+        held = get(tree, name, "variant")
+        inner = F.when(kind(held).startswith("OBJECT"), get(held, "domains", "array<variant>")).otherwise(F.try_variant_get(held, "$", "array<variant>"))
+        return F.when(F.size(inner) > 0, inner)
+
+    def text(v: Column, *names: str) -> Column:
+        said = [get(v, n, "variant") for n in names]
+        return F.coalesce(*[F.when((kind(x) == "STRING") & (F.try_variant_get(x, "$", "string") != ""), F.try_variant_get(x, "$", "string")) for x in said])
+
+    def keywords(v: Column) -> Column:
+        one = lambda n: get(v, n, "variant")
+        listed = lambda n: F.when(kind(one(n)) == "STRING", F.split(text(v, n), "[,;/]")).otherwise(get(v, n, "array<string>"))
+        some = lambda n: F.when(F.size(listed(n)) > 0, listed(n))
+        found = F.coalesce(some("keywords"), some("tags"), F.array().cast("array<string>"))
+        return F.slice(F.filter(F.transform(found, lambda k: F.trim(F.coalesce(k, F.lit("None")))), lambda k: k != ""), 1, MOST_KEYWORDS)
+
+    def entry(v: Column) -> Column:
+        plain = kind(v) == "STRING"
+        path = F.when(plain, F.try_variant_get(v, "$", "string")).otherwise(text(v, "path", "domain_path", "name", "title"))
+        none = F.array().cast("array<string>")
+        return F.struct(
+            T.normalize_domain(path).alias("path"), F.substring(F.when(plain, "").otherwise(F.coalesce(text(v, "description", "summary"), F.lit(""))), 1, DESCRIPTION).alias("description"),
+            F.when(plain, none).otherwise(keywords(v)).alias("keywords"),
+        )
+
+    named = F.coalesce(items("domains"), items("domain_tree"), items("tree"))
+    usable = F.filter(named, lambda v: (kind(v) == "STRING") | kind(v).startswith("OBJECT"))
+    found = F.coalesce(F.transform(usable, entry), F.array().cast(f"array<{ENTRY}>"))
+    paths = F.transform(found, lambda x: x["path"])
+    return F.slice(F.filter(found, lambda e, i: F.array_position(paths, e["path"]) == i + 1), 1, MOST_DOMAINS)
 
 
 def overview(notes: DataFrame, most: int = OVERVIEW) -> DataFrame:

@@ -300,13 +300,34 @@ def overview_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.overview(notes, 8)
 
 
-@query("SELECT sample_id, CAST(i AS INT) AS place, 'S' || sample_id || ' / part ' || i AS path FROM (SELECT DISTINCT conv_id AS sample_id FROM conversations), (SELECT unnest(range(0, 3)) AS i)")
+@query(
+    """WITH t AS (SELECT conv_id AS sample_id, turn, role, coalesce(text, '') AS text FROM conversations),
+i AS (SELECT *, turn % 5 AS kind, CASE turn % 5 WHEN 3 THEN 'S' || sample_id || ' / twice' ELSE 'S' || sample_id || ' / part ' || turn END AS path FROM t WHERE turn % 5 <> 4),
+k AS (SELECT sample_id, turn, path, kind, CASE WHEN kind = 1 THEN left(text, 500) ELSE '' END AS description, CASE kind WHEN 1 THEN [role, 'k' || turn] WHEN 2 THEN ['a' || turn, role, 'c'] ELSE CAST([] AS VARCHAR[]) END AS keywords FROM i),
+f AS (SELECT *, row_number() OVER (PARTITION BY sample_id, path ORDER BY turn) AS again FROM k),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY turn) - 1 AS INT) AS place FROM f WHERE again = 1)
+SELECT sample_id, place, path, description, array_to_string(keywords, ',') AS keywords FROM r WHERE place < 36"""
+)
 def tree_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model's tree for each sample, with a repeated path and one to normalise, read back."""
-    path = lambda i: F.concat(F.lit("S"), F.col("sample_id").cast("string"), F.lit(f" > part  {i}"))
-    made = F.concat(F.lit('Here: {"domains": [{"path": "'), path(0), F.lit('", "keywords": ["a"]}, {"name": "'), path(1), F.lit('"}, {"path": "'), path(0), F.lit('"}, {"title": "'), path(2), F.lit('"}]}'))
-    rows = _samples(spark, sf_dir).select("sample_id").distinct().select("sample_id", made.alias("response"))
-    return rows.select("sample_id", F.posexplode(domains.parse_tree(F.col("response"))).alias("place", "e")).select("sample_id", "place", "e.path")
+    """A model's tree for each conversation, an item for each turn, of every shape in turn: a string, an object with a list of keywords, one with a string of them under another
+    name, a repeated path, and a number, which is no item; every other conversation has its tree one level deeper."""
+    rows = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    name = lambda what: F.concat(F.lit("S"), F.col("conv_id").cast("string"), F.lit(" >  "), what)
+    part, word = name(F.concat(F.lit("part  "), F.col("turn").cast("string"))), F.col("turn").cast("string")
+    kind = F.col("turn") % 5
+    item = (
+        F.when(kind == 0, F.to_json(F.to_variant_object(F.array(part))))
+        .when(kind == 1, F.to_json(F.array(F.struct(part.alias("path"), F.col("text").alias("description"), F.array("role", F.lit(" "), F.concat(F.lit("k"), word)).alias("keywords")))))
+        .when(kind == 2, F.to_json(F.array(F.struct(F.lit("").alias("path"), part.alias("title"), F.concat(F.lit("a"), word, F.lit("; "), "role", F.lit(" / c,")).alias("tags")))))
+        .when(kind == 3, F.to_json(F.array(F.struct(name(F.lit("twice")).alias("domain_path")))))
+        .otherwise(F.lit("[7]"))
+    )
+    inner = F.substring(item, F.lit(2), F.length(item) - 2)  # what stands between the brackets
+    listed = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", inner.alias("j")))).alias("l"))  # a conversation's turns
+    array = F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["j"]), ", "), F.lit("]"))
+    made = F.concat(F.lit("Here: "), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit('{"domains": '), array, F.lit("}"))).otherwise(F.concat(F.lit('{"domains": [], "tree": {"domains": '), array, F.lit("}}"))))
+    read = listed.select(F.col("conv_id").alias("sample_id"), F.posexplode(domains.parse_tree(made)).alias("place", "e"))
+    return read.select("sample_id", "place", "e.path", "e.description", F.array_join("e.keywords", ",").alias("keywords"))
 
 
 # ---- profiles, storage and small rules

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators import bundle, dense, graph, lifecycle, scan
+from loomspark.operators import bundle, dense, encode, graph, lifecycle, scan
 from loomspark.operators import retrieval as R
 from loomspark.plans import duck
 from loomspark.plans.registry import query, table
@@ -94,6 +94,20 @@ def hashed_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("note_id", "place", F.round(F.col("x") / norm, 6).alias("value"))
 
 
+_HASH_WIDE = _HASH.replace(str(DIM), str(encode.DIM))
+
+
+@query(
+    f"WITH {duck.BM25}, h AS (SELECT note_id, {_HASH_WIDE} AS v FROM d), u AS (SELECT note_id, unnest(range({encode.DIM})) AS place, unnest(v) AS x, sqrt(list_dot_product(v, v)) AS norm FROM h) "
+    "SELECT note_id, CAST(place AS INT) AS place, round(x / norm, 6) AS value FROM u WHERE x > 0"
+)
+def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through a batch encoder that is loaded once a worker (the hashed one of 384 places), as the places that are not 0."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), encode.tokens_as_text(F.col("text")).alias("words"))
+    made = encode.encode(docs, F.col("words"), encode.hashed()).select("note_id", F.posexplode("embedding").alias("place", "x"))
+    return made.where("x > 0").select("note_id", "place", F.round("x", 6).alias("value"))
+
+
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as notes: the source is speaker and visual text, lang the session; status and counts follow a rule on doc_id (duck.LIFECYCLE)."""
     status = F.when(F.col("doc_id") % 10 == 7, "stale").when(F.col("doc_id") % 10 == 8, "candidate").when(F.col("doc_id") % 10 == 9, "deprecated").otherwise("active")

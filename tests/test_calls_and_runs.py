@@ -199,3 +199,24 @@ def test_annotation_answers_of_every_shape(spark):
     full = tree.withColumn("tokens", T.retrieval_tokens(F.col("path")))
     done = domains.annotate_with_model(notes, full, lambda: lambda p: '{"annotations": [{"dia_id": "D1:0", "domain_paths": ["C"]}]}')
     assert {r.note_id: r.domain_paths for r in done.collect()} == {"n0": ["C"], **{f"n{i}": ["A / B"] for i in range(1, 17)}}
+
+
+def test_trees_of_any_shape(spark):
+    responses = [
+        '{"domains": ["A > B", {"name": "C", "tags": "x; y/ z"}, 7, null, ["q"], {"path": "", "domain_path": "D", "summary": "s", "keywords": [" k ", 5, ""]}, "A/B", {"description": "no path"}]}',
+        'text {"domain_tree": {"domains": [{"title": "E", "keywords": null, "tags": ["t"]}]}} text', '{"domains": {}, "tree": ["F"]}', '{"domains": "G"}', "no json", None, '{"domains": [' + ", ".join(f'"P{i}"' for i in range(50)) + "]}",
+    ]
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(responses)], "i int, response string")
+    got = {r.i: [(e.path, e.description, e.keywords) for e in r.tree] for r in frame.select("i", domains.parse_tree(F.col("response")).alias("tree")).collect()}
+    assert got[0] == [("A / B", "", []), ("C", "", ["x", "y", "z"]), ("D", "s", ["k", "5"]), (T.DEFAULT_DOMAIN, "no path", [])]
+    assert got[1] == [("E", "", ["t"])] and got[2] == [("F", "", [])] and got[3] == got[4] == got[5] == []
+    assert [p for p, _, _ in got[6]] == [f"P{i}" for i in range(36)]
+
+
+def test_an_encoder_of_any_dimension_in_any_batch_size(spark):
+    from loomspark.operators import encode
+
+    rows = spark.createDataFrame([(i, f"tea lake w{i}") for i in range(50)] + [(98, ""), (99, None)], "id int, text string").repartition(3)
+    seen = [{r.id: tuple(r.embedding) for r in encode.encode(rows, F.col("text"), encode.hashed(dim), batch=size).collect()} for dim, size in ((384, 1), (384, 7), (384, 1000), (5, 64))]
+    assert seen[0] == seen[1] == seen[2] and {len(v) for v in seen[0].values()} == {384} and {len(v) for v in seen[3].values()} == {5}
+    assert not any(seen[0][99]) and sum(x * x for x in seen[0][3]) == pytest.approx(1)
