@@ -354,7 +354,33 @@ def cue_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("note_id", F.size("cues").alias("n_cues"), F.array_min("cues").alias("first_cue"))
 
 
-@query()
+_PLAIN = lambda x: f"regexp_replace({x}, '[À-ÖØ-öø-ɏ]', '_', 'g')"  # noqa: E731  letters beyond ASCII as underscores: the same word borders
+_TOKENS = lambda x: f"list_filter([{duck.stem('w')} FOR w IN regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_'']+') IF regexp_matches(w, '^[a-z][a-z0-9'']+$')], lambda c: {_USEFUL('c')})"
+_GRAMS = lambda t, n: f"list_filter([array_to_string({t}[i : i + {n - 1}], ' ') FOR i IN range(1, len({t}) - {n - 2})], lambda c: {_USEFUL('c')})"
+_QUOTES = lambda x: f"""regexp_extract_all({x}, '[''"]([^''"]{{2,80}})[''"]', 1)"""
+_CAPITALS = lambda x: f"regexp_extract_all({_PLAIN(x)}, '\\b[A-Z][A-Za-z0-9'']+(?:\\s+(?:of|the|and|[A-Z][A-Za-z0-9'']+)){{0,4}}')"
+_SEGMENTS = lambda x: f"[trim(g) FOR g IN string_split_regex({x}, '[;,/|()\\[\\]\\n]+') IF length(trim(g)) BETWEEN 2 AND 80]"
+_PHRASES = lambda *lists: f"list_filter([{_CUE('f')} FOR f IN list_concat({', '.join(lists)})], lambda c: {_USEFUL('c')})"
+_LONG = [w for w in profile.STRONG if " " in w]
+_PROFILE_EDGES = f"""WITH {_NOTES},
+b AS (SELECT *, CASE WHEN turn % 3 = 0 THEN regexp_extract(content, '(\\S+\\s+\\S+)', 1) ELSE '' END AS caption, {duck.retrieval("content")} AS tokens FROM notes),
+c1 AS (SELECT *, {_TOKENS("content")} AS ct, {_PHRASES(_QUOTES("content"), _CAPITALS("content"))} AS cp, {_TOKENS("caption")} AS vt, {_PHRASES(_QUOTES("caption"), _CAPITALS("caption"), _SEGMENTS("caption"))} AS vp FROM b),
+c2 AS (SELECT *, list_distinct(list_concat(vp, vt, {_GRAMS("vt", 2)}, {_GRAMS("vt", 3)})) AS visual, list_concat(cp, ct, {_GRAMS("ct", 2)}, {_GRAMS("ct", 3)}) AS own, list_filter([{_CUE("speaker")}], lambda c: {_USEFUL("c")}) AS said FROM c1),
+c3 AS (SELECT *, list_distinct(list_concat(own, said, visual)) AS cues FROM c2),
+p AS (SELECT *, [c FOR c IN cues IF c NOT IN {_IN(profile.COMMON)} AND (c IN {_IN(profile.STRONG)} OR {" OR ".join(f"contains(c, '{w}')" for w in _LONG)} OR (len(string_split(c, ' ')) >= 2 AND len([w FOR w IN string_split(c, ' ') IF w IN {_IN(profile.VALUED)}]) > 0))] AS strong FROM c3),
+j AS (SELECT a.sample_id, a.note_id AS a, b.note_id AS b, a.ord AS ao, b.ord AS bo, a.speaker <> '' AND a.speaker = b.speaker AS same, abs(a.turn - b.turn) <= 4 AS nearby, {duck.common("a.tokens", "b.tokens")} AS over, {duck.jaccard("a.tokens", "b.tokens")} AS sim,
+  {duck.common("a.strong", "b.strong")} AS strong, len([x FOR x IN list_intersect(a.cues, b.cues) IF x NOT IN ('caroline', 'melanie', lower(a.speaker), lower(b.speaker))]) AS shared,
+  len([x FOR x IN list_distinct(list_concat(list_intersect(a.visual, b.cues), list_intersect(b.visual, a.cues))) IF x NOT IN (lower(a.speaker), lower(b.speaker))]) AS seen
+  FROM p a JOIN p b ON a.sample_id = b.sample_id AND a.ord < b.ord),
+e AS (SELECT sample_id, a, b, ao, bo, 0 AS k, 'same_storyline' AS relation, least(0.92, 0.60 + 0.08 * least(3, strong) + 0.04 * least(3, shared) + CASE WHEN same THEN 0.08 ELSE 0.0 END) AS strength FROM j
+    WHERE ((same AND strong > 0) OR (same AND shared >= 2) OR (NOT same AND strong >= 2)) AND (over >= 1 OR sim >= 0.25 OR strong > 0)
+  UNION ALL SELECT sample_id, a, b, ao, bo, 1, 'image_text_pair', least(0.86, 0.58 + 0.08 * least(3, seen)) FROM j WHERE nearby AND seen > 0 AND (over >= 1 OR sim >= 0.20)),
+d AS (SELECT sample_id, a AS src_id, b AS target_id, ao, bo, k, relation, strength FROM e UNION ALL SELECT sample_id, b, a, ao, bo, k, relation, strength FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY sample_id, src_id ORDER BY ao, bo, k) AS rn FROM d)
+SELECT sample_id, src_id, target_id, relation, round(CAST(strength AS DOUBLE), 6) AS strength FROM r WHERE rn <= 8"""
+
+
+@query(_PROFILE_EDGES)
 def edges_from_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed edges of cue profiles over all samples, pictures every third turn; tests hold profiles and edges against plain versions."""
     rows = _samples(spark, sf_dir)
@@ -456,7 +482,19 @@ def note_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_BLEU_GRAMS = lambda x, n: f"[array_to_string({x}[i : i + {n - 1}], chr(31)) FOR i IN range(1, len({x}) - {n - 2})]"
+_BLEU_TOKENS = lambda c: f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')"
+_BLEU_WEIGHTS = [(1.0,), (0.5, 0.5), (0.33, 0.33, 0.33), (0.25, 0.25, 0.25, 0.25)]
+
+
+@query(
+    f"""WITH n AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations),
+t AS (SELECT conv_id, turn, {_BLEU_TOKENS("text")} AS p, {_BLEU_TOKENS("next")} AS r FROM n WHERE next IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT *, {", ".join(f"{_BLEU_GRAMS('p', k)} AS p{k}, {_BLEU_GRAMS('r', k)} AS r{k}" for k in range(1, 5))} FROM t),
+m AS (SELECT conv_id, turn, p, r, {", ".join(f"coalesce(list_sum([least(len([y FOR y IN p{k} IF y = x]), len([y FOR y IN r{k} IF y = x])) FOR x IN list_distinct(p{k})]), 0) AS m{k}, greatest(1, len(p{k})) AS n{k}" for k in range(1, 5))} FROM g),
+l AS (SELECT *, {", ".join(f"ln(CASE WHEN m{k} > 0 THEN m{k} ELSE 0.1 END / n{k}) AS l{k}" for k in range(1, 5))}, CASE WHEN len(p) > len(r) THEN 1.0 ELSE exp(1 - len(r) / greatest(1, len(p))) END AS penalty FROM m)
+SELECT conv_id, turn, {", ".join(f"round(CASE WHEN m1 = 0 THEN 0.0 ELSE penalty * exp({' + '.join(f'{w} * l{i + 1}' for i, w in enumerate(ws))}) END, 6) AS bleu{k + 1}" for k, ws in enumerate(_BLEU_WEIGHTS))} FROM l"""
+)
 def bleu_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BLEU of each turn against the next one; tests hold it against a plain version."""
     following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
@@ -464,7 +502,16 @@ def bleu_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.bleu(rows, "text", "next").select("conv_id", "turn", *[F.round(f"bleu{k}", 6).alias(f"bleu{k}") for k in range(1, 5)])
 
 
-@query()
+@query(
+    f"""WITH {_NOTES}, c AS (SELECT sample_id AS query_id, note_id AS src_id, ord, ord + 1 AS first_seen, {" + ".join(f"{w} * (1.0 / (ord + {i} + 1))" for i, w in enumerate((0.25, 0.20, 0.16, 0.12, 0.20, 0.18)))} AS worth FROM notes),
+s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY worth DESC, first_seen) AS seed FROM c),
+n AS (SELECT sample_id, note_id AS a, lead(note_id) OVER w AS b, ord AS ao, lead(ord) OVER w AS bo FROM notes WHERE speaker <> '' WINDOW w AS (PARTITION BY sample_id, speaker ORDER BY session, turn, ord)),
+e AS (SELECT sample_id AS query_id, a AS src_id, b AS target_id, bo AS ord FROM n WHERE b IS NOT NULL UNION ALL SELECT sample_id, b, a, ao FROM n WHERE b IS NOT NULL),
+v AS (SELECT query_id, seed, target_id, e.ord, greatest(0.15, worth) * 0.4 * 0.45 * (1.0 + least(1.0, (e.ord % 5) / 8.0)) AS value FROM s JOIN e USING (query_id, src_id) WHERE seed <= 10 AND e.ord % 5 >= 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id, seed ORDER BY value DESC, ord DESC) AS place FROM v),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seed, place) AS total FROM p WHERE place <= 2)
+SELECT query_id, target_id AS note_id, round(CAST(max(value) AS DOUBLE), 6) AS graph_expansion, 'graph_same_character' AS tag FROM t WHERE total <= 16 GROUP BY query_id, target_id"""
+)
 def graph_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets that edges add to each sample's candidates: its turns are both, scored by their place; tests hold the rule against a plain fold."""
     rows = _samples(spark, sf_dir)
