@@ -10,14 +10,15 @@ a documented rule (``labelled_urls``; no table of labelled urls is at hand), or
 
 Defined results: a null url, or one without ``://``, has an empty host and path and meets no
 rule; the trees judge it like any other url that no rule decides; repeated rows are each
-judged; extra columns are kept, but those named as the results are replaced.
+judged; extra columns are kept, but those named as the results are replaced. A url whose
+probability equals the threshold is blocked; one of any length is read whole.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
 
 #: Lexical features, before the learnt ones.
 LEXICAL = 15
-GRAM_BUCKETS, FOLDS, PRIOR = 1 << 14, 4, 4.0
+GRAM_BUCKETS, FOLDS, PRIOR = 1 << 17, 4, 4.0
 
 
 def lexical(urls: list[str | None]) -> np.ndarray:
@@ -146,50 +147,113 @@ class UrlModel:
             learnt[inside] = Statistics([urls[i] for i in outside], labels[outside]).features([urls[i] for i in inside])
         x, last = np.concatenate([lexical(urls), learnt], axis=1), fold == FOLDS - 1
         self.statistics = Statistics(urls, labels)
-        self.trees = BoostedTrees(trees=40, depth=4).fit(x[~last], labels[~last]).calibrate(x[last], labels[last])
+        self.trees = BoostedTrees(trees=100, depth=5).fit(x[~last], labels[~last]).calibrate(x[last], labels[last])
 
     def probability(self, urls: list[str | None]) -> np.ndarray:
         return self.trees.probability(np.concatenate([lexical(urls), self.statistics.features(urls)], axis=1))
 
 
-# Words of unwanted hosts and paths in the made-up urls, and address endings by price class.
-LURES = ("cheap", "pill", "spam", "casino", "bet", "win", "free", "bonus", "loan", "deal", "sale", "promo", "click", "xxx", "adult", "crypto", "farm", "replica")
-CHEAP_ENDINGS = ("xyz", "top", "click", "loan", "win", "bid", "icu", "buzz", "tk", "gq", "ml", "cf")
-
-
-def labelled_urls(rows: int = 6000, seed: int = 3, lures: tuple[str, ...] = LURES) -> tuple[list[str], np.ndarray]:
-    """Urls with labels (1: unwanted), made by a rule: unwanted ones have lures, more hyphens, digits, parameters and cheap endings.
-
-    One url in forty lacks its scheme, whatever its label.
+# Fixed values of the made-up urls: what unwanted sites sell, ordinary words (some of which hold a lure inside), endings and path shapes.
+LURES = (
+    "pills", "viagra", "cialis", "casino", "poker", "slots", "betting", "jackpot", "lottery", "bonus", "payday", "loans", "replica", "rolex", "escort", "xxx", "adult", "hookup",
+    "dating", "keto", "weightloss", "crypto", "airdrop", "doubler", "giveaway", "prize", "winner", "freegift", "coupons", "cheap", "clearance", "promo", "clickhere", "spam", "farm",
+    "verify", "signin", "account-update", "secure-login", "unlock", "billing", "cracked", "keygen", "torrent", "warez", "followers", "traffic", "backlinks", "seo",
+)
+WORDS = (
+    "apache", "alpha", "anchor", "apple", "archive", "autumn", "baker", "bank", "beacon", "between", "birch", "bridge", "brook", "build", "cabin", "campus", "canvas", "carbon",
+    "castle", "cedar", "center", "city", "clear", "climate", "clinic", "cloud", "coast", "college", "community", "cooking", "copper", "cottage", "council", "craft", "crown", "culture",
+    "daily", "data", "dealer", "design", "digital", "docs", "eagle", "earth", "east", "energy", "engine", "expression", "family", "farmer", "field", "film", "forest", "forum", "free",
+    "freedom", "garden", "gazette", "glass", "global", "golden", "green", "guide", "harbor", "health", "heritage", "hill", "history", "home", "house", "institute", "island", "journal",
+    "kitchen", "lab", "lake", "language", "law", "learning", "library", "light", "lincoln", "loan", "local", "maple", "market", "math", "meadow", "media", "metro", "mill", "mobile",
+    "morning", "mountain", "museum", "music", "nature", "network", "news", "north", "observer", "ocean", "office", "open", "orchard", "park", "pillar", "pine", "planet", "poetry",
+    "post", "press", "project", "public", "radio", "recipes", "research", "review", "river", "sales", "school", "science", "shop", "silver", "software", "south", "spark", "spring",
+    "station", "stone", "store", "stream", "street", "studio", "summit", "sun", "teacher", "theater", "times", "tools", "town", "travel", "tree", "university", "valley", "village",
+    "flower", "yellow", "overflow", "stack", "traffic", "winding", "credit", "water", "weather", "west", "wiki", "window", "winfield", "winter", "wood", "works", "world", "writer", "youth",
+)
+CHEAP_ENDINGS = ("xyz", "top", "click", "loan", "win", "bid", "icu", "buzz", "tk", "gq", "ml", "cf", "ru", "cn", "info", "biz")
+ENDINGS = ("com", "com", "com", "org", "org", "net", "edu", "gov", "de", "fr", "es", "it", "nl", "co.uk", "ac.uk", "io", "dev", "info", "eu", "ca", "ru", "cn")
+_DISGUISE = str.maketrans({"i": "1", "o": "0", "e": "3", "a": "4", "s": "5"})
+
+
+def labelled_urls(rows: int = 12_000, seed: int = 3, lures: tuple[str, ...] = LURES) -> tuple[list[str], np.ndarray]:
+    """Urls with labels (1: unwanted), made by a rule.
+
+    Both kinds are built from ordinary words, invented names, numbers and the same endings. An unwanted host or path also names a
+    lure, plain, joined to words or with digits for letters, more often has hyphens, digits, cheap endings and tracking parameters, and sometimes is an
+    address in numbers. Ordinary ones have the shapes of articles, repositories, wikis, shops and documents, and may hold a
+    lure's letters inside a word. One url in forty lacks its scheme, whatever its label.
     """
     rng = np.random.default_rng(seed)
-    syllables = ["th", "er", "on", "an", "re", "in", "ti", "es", "wh", "ou", "ble", "ha", "st", "ed", "nd", "or"]
-    word = lambda a, b: "".join(rng.choice(syllables, rng.integers(a, b)))
+    syllables = ["th", "er", "on", "an", "re", "in", "ti", "es", "wh", "ou", "ble", "ha", "st", "ed", "nd", "or", "ka", "lo", "mi", "pu", "ve", "zo", "gri", "tion"]
+    pick = lambda xs: str(xs[rng.integers(0, len(xs))])
+    chance = lambda p: rng.random() < p
+    # names of any letters, so that what no word holds speaks for neither kind
+    coined = lambda: "".join(pick("bcdfghjklmnpqrstvwxyz") + pick(("", "", "l", "r", "t")) + pick("aeiouy") for _ in range(rng.integers(1, 4))) + pick(("", "n", "r", "ck", "ng", "st", "w"))
+    name = lambda: pick(WORDS) if chance(0.5) else coined() if chance(0.6) else "".join(rng.choice(syllables, rng.integers(2, 5)))
+    number = lambda most=99_999: str(rng.integers(1, most))
+    slug = lambda: "-".join(name() for _ in range(rng.integers(1, 6)))
+
+    def lure() -> str:
+        word = pick(lures)
+        return word.translate(_DISGUISE) if chance(0.2) else word + ("s" if chance(0.2) else "")
+
+    def shape() -> str:
+        kind = rng.integers(0, 10)
+        if kind == 0:
+            return "" if chance(0.5) else "/"
+        if kind == 1:
+            return f"/{rng.integers(1998, 2026)}/{rng.integers(1, 13):02d}/{slug()}" + pick(("", "/", ".html"))
+        if kind == 2:
+            return f"/{name()}/{name()}" + pick(("", "/issues/" + number(9000), "/blob/main/README.md", "/wiki"))
+        if kind == 3:
+            return "/wiki/" + "_".join(name().capitalize() for _ in range(rng.integers(1, 4)))
+        if kind == 4:
+            return f"/{pick(('en', 'de', 'fr', 'es', 'it'))}/{pick((name(), number()))}" + pick(("", "/", ".html"))
+        if kind == 5:
+            return "/" + pick(("about", "contact", "index.html", "login", "search", "products", "blog", "docs", "faq", "news", "help"))
+        if kind == 6:
+            return f"/{name()}/{slug()}-{number()}" + pick(("", "/"))
+        if kind == 8:
+            return f"/{name()}/{number(10**8)}" + pick(("", "/", "/" + slug(), "/" + slug() + "-" + number(10**8)))
+        if kind == 7:
+            return f"/{pick(('files', 'papers', 'images', 'static'))}/{slug()}{pick(('.pdf', '.png', '.css', '.txt'))}"
+        return "/" + "/".join(name() for _ in range(rng.integers(1, 4)))
+
     urls, labels = [], rng.integers(0, 2, rows)
     for bad in labels:
+        host = name() + (pick(("-", "")) + name() if chance(0.35) else "")
+        path, ending = shape(), pick(ENDINGS)
         if bad:
-            core = [word(1, 4) for _ in range(rng.integers(0, 3))] + [str(rng.choice(lures)) + ("s" if rng.random() < 0.4 else "") for _ in range(rng.integers(1, 3))]
-            rng.shuffle(core)
-            host = "-".join(core) + (str(rng.integers(1, 9999)) if rng.random() < 0.3 else "")
-            ending = str(rng.choice(CHEAP_ENDINGS)) if rng.random() < 0.4 else str(rng.choice(["com", "org", "net"]))
-        else:
-            host = word(2, 5) + ("-" + word(1, 4) if rng.random() < 0.15 else "")
-            ending = str(rng.choice(["com", "org", "net", "edu", "de", "fr", "io"]))
-        front = str(rng.choice(["", "", "www.", "m.", "blog.", "news."]))
-        middle = str(rng.choice(["", "example."]))
-        depth = rng.integers(0, 4)
-        path = "".join("/" + (str(rng.integers(1, 10_000)) if rng.random() < 0.4 else word(1, 5) if rng.random() < (0.5 if bad else 0.97) else str(rng.choice(lures))) for _ in range(depth))
-        path += str(rng.choice(["", "/", ".html"])) if depth else ""
-        n = int(rng.integers(0, 4)) if rng.random() < (0.6 if bad else 0.35) else 0
-        query = "?" + "&".join(f"{word(1, 3)}={rng.integers(0, 10**6) if bad else word(1, 3)}" for _ in range(n)) if n else ""
-        scheme = str(rng.choice(["http", "https"])) + "://" if rng.random() >= 0.025 else ""
-        urls.append(f"{scheme}{front}{host}.{middle}{ending}{path}{query}{'#top' if rng.random() < 0.1 else ''}")
+            if chance(0.8):
+                parts = [lure()] + [pick((name(), lure(), number(999))) for _ in range(rng.integers(0, 3))]
+                rng.shuffle(parts)
+                host = pick(("-", "-", "")).join(parts) + (number(9999) if chance(0.2) else "")
+                path = path if chance(0.6) else f"/{lure()}" + path
+            elif chance(0.3):
+                host, ending = ".".join(str(rng.integers(1, 255)) for _ in range(3)), str(rng.integers(1, 255))
+                path = "/" + lure() + path
+            else:
+                path = f"/{lure()}-{slug()}" + pick(("", "/", ".php", ".html"))
+            if chance(0.4):
+                ending = ending if ending.isdigit() else pick(CHEAP_ENDINGS)
+        front = pick(("", "", "", "www.", "www.", "m.", "blog.", "news.", "en.", "docs.", "shop."))
+        middle = pick(("", "", "", "example."))
+        n = int(rng.integers(1, 4)) if chance(0.45 if bad else 0.3) else 0
+        value = lambda: number(10**6) if chance(0.5) else name()
+        query = "?" + "&".join(f"{pick(('id', 'page', 'q', 'ref', 'utm_source', 'lang', 'sort', 'aff', 'sid', 'v'))}={value()}" for _ in range(n)) if n else ""
+        scheme = pick(("http", "https", "https")) + "://" if not chance(0.025) else ""
+        urls.append(f"{scheme}{'' if ending.isdigit() else front}{host}.{'' if ending.isdigit() else middle}{ending}{path}{query}{'#' + name() if chance(0.1) else ''}")
     return urls, labels
 
 
+@lru_cache(maxsize=1)
+def _default() -> UrlModel:
+    return UrlModel(*labelled_urls())
+
+
 def train(urls: list[str] | None = None, labels: np.ndarray | None = None) -> UrlModel:
-    """Fit on three quarters of the labelled urls and calibrate on the rest."""
-    return UrlModel(*labelled_urls()) if urls is None else UrlModel(urls, labels)
+    """Fit on three quarters of the labelled urls and calibrate on the rest; the model of the made-up urls is trained once a session."""
+    return _default() if urls is None else UrlModel(urls, labels)
 
 
 def judge(pages: DataFrame, model: UrlModel, url: str = "url", threshold: float = 0.5) -> DataFrame:
