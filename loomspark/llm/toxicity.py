@@ -14,7 +14,7 @@ executors, and one for each word, remembered by each worker.
 Defined results: null and empty texts score as a window without words (the bias alone);
 labels that are null or not 0 or 1 train nothing; of different labels of one doc_id the
 larger counts, and each row that repeats a doc_id is a training text of its own; without any
-usable labels nothing is toxic. Empty tables give empty ones.
+usable labels nothing is toxic. A score of exactly 0.5 counts as toxic. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -35,9 +35,10 @@ SAMPLE_ROWS = 4000
 WINDOW, STEP = 24, 12
 BUCKETS, DIMENSION = 1 << 20, 8
 EPOCHS, DECAY = 8, 0.02
-#: An n-gram of at least so many training documents is learnt, at full rate where its log-odds lie SURE standard
-#: errors from none; the log-odds and errors of counts to which PRIOR_DOCS documents of average class are added.
-LEAST_DOCS, SURE, PRIOR_DOCS = 3, 4.0, 1.0
+#: An n-gram is learnt at full rate where its log-odds lie SURE standard errors from none, slower below; the log-odds
+#: and errors of counts to which PRIOR_DOCS documents of average class are added, so that one document alone says little.
+SURE, PRIOR_DOCS = 4.0, 1.0
+#: Epochs and this weight of a lost clean document were chosen by cross-validation inside the training rows.
 CLEAN_WEIGHT = 2
 #: The softmax's fixed temperature: one word in a window can turn it.
 SCALE = WINDOW
@@ -49,11 +50,8 @@ _WORD = re.compile(r"[^\W\d_]+(?:['*@$0-9!_-]+[^\W\d_]+)*")
 def grams(word: str) -> list[int]:
     """Buckets of a word's character n-grams and of the word itself."""
     marked = f"<{word}>"
-    size = len(marked)
-    parts = [marked] if size > 40 else [marked[i : i + n] for n in (3, 4, 5) for i in range(size - n + 1)] + [marked]
-    if size > 40:
-        parts += [marked[i : i + 5] for i in range(size - 4)]
-    return [zlib.crc32(p.encode("utf-8")) % BUCKETS for p in parts]
+    parts = [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
+    return [zlib.crc32(p.encode("utf-8")) % BUCKETS for p in (*parts, marked)]
 
 
 class SubwordModel:
@@ -65,8 +63,8 @@ class SubwordModel:
     def fit(self, rows: Iterable[tuple[str | None, int]], epochs: int = EPOCHS, rate: float = 0.1, seed: int = 11) -> SubwordModel:
         """Train on documents and their labels, 0 or 1, taking them one at a time. Table and softmax move together, by Adagrad.
 
-        The loss is the cross-entropy, both classes weighing alike. N-grams of fewer than LEAST_DOCS documents say nothing; the
-        others move the faster the surer their counts tell the classes apart, however rare they are.
+        The loss is the cross-entropy, both classes weighing alike. N-grams move the faster the surer their counts tell the
+        classes apart, however rare they are.
         """
         rng = np.random.default_rng(seed)
         place: dict[str, int] = {}
@@ -154,8 +152,7 @@ class SubwordModel:
         total = np.array([(labels == k).sum() for k in (0, 1)])
         padded = [counts[k] + PRIOR_DOCS * total[k] / total.sum() for k in (0, 1)]
         odds = np.log(padded[1] / (total[1] + PRIOR_DOCS)) - np.log(padded[0] / (total[0] + PRIOR_DOCS))
-        sure = np.minimum(1, np.abs(odds) / np.sqrt(1 / padded[0] + 1 / padded[1]) / SURE) ** 2
-        return sure * (counts[0] + counts[1] >= LEAST_DOCS)
+        return np.minimum(1, np.abs(odds) / np.sqrt(1 / padded[0] + 1 / padded[1]) / SURE) ** 2
 
     def _window_scores(self, part_flat, part_start, part_size, flat, size, start) -> np.ndarray:
         each = (self.table @ (self.output[:, 1] - self.output[:, 0])).astype(np.float64)[part_flat]

@@ -180,8 +180,9 @@ def test_url_model_on_held_out_urls():
     model = urls.train()
     x, y = urls.labelled_urls(3000, seed=99)
     assert ((model.probability(x) >= 0.5) == y).mean() > 0.95
-    x, y = urls.labelled_urls(3000, 98, ("poker", "slot", "rolex", "lottery", "jackpot", "escort", "dating", "payday"))  # words that no training url holds
-    assert ((model.probability(x) >= 0.5) == y).mean() > 0.8
+    x, y = urls.labelled_urls(3000, 98, ("gambling", "bookmaker", "steroids", "knockoff", "sexcams", "moneyfast", "ringtones", "debtfree"))  # words that no training url holds
+    judged = model.probability(x) >= 0.5
+    assert (judged == y).mean() > 0.75 and judged[y == 0].mean() < 0.05
     own = urls.UrlModel(["http://a.b" + str(i) + (".bad/" if i % 2 else ".good/") for i in range(400)], np.arange(400) % 2)
     assert (own.probability(["http://x.bad/", "http://x.good/"]) >= 0.5).tolist() == [True, False]
 
@@ -194,6 +195,29 @@ def test_trees_learn_an_interaction():
     assert ((model.probability(x[3000:]) > 0.5) == y[3000:]).mean() > 0.9
 
 
+def test_ordinary_hosts_are_allowed_and_plain_lures_blocked():
+    ordinary = [
+        "https://github.com/apache/spark", "http://bank-of-spring.com/", "https://www.winfield.org/about", "https://pillar.edu/freedom", "https://en.wikipedia.org/wiki/Suffix_array",
+        "https://www.nytimes.com/2023/05/01/technology/ai-google.html", "https://docs.python.org/3/library/re.html", "https://arxiv.org/abs/1706.03762", "https://www.loc.gov/collections/",
+        "https://www.berlin.de/museum/index.html", "https://spark.apache.org/docs/latest/sql-ref.html", "https://www.nature.com/articles/s41586-020-2649-2", "https://news.ycombinator.com/item?id=8863",
+        "https://www.bbc.co.uk/news/world-europe-66000000", "http://www.gutenberg.org/files/2701/2701-h/2701-h.htm", "https://www.python.org/downloads/",
+    ]
+    unwanted = [
+        "http://buy-v1agra.ru/x", "http://cheap-pills-online.xyz/buy?aff=123", "http://casino-bonus777.top/", "http://free-crypto-giveaway.click/win", "http://replica-rolex-sale.net/watches.php?id=5",
+        "http://192.168.4.22/secure-login/verify.php", "https://payday-loans-now.biz/apply",
+    ]
+    model = urls.train()
+    assert model is urls.train()  # trained once a session
+    assert [u for u, p in zip(ordinary, model.probability(ordinary)) if p >= 0.5] == []
+    assert [u for u, p in zip(unwanted, model.probability(unwanted)) if p < 0.5] == []
+
+
+def test_urls_of_any_length(spark):
+    rows = [(1, "http://a.org/" + "x/" * 100_000), (2, "http://" + "b" * 100_000 + ".net/"), (3, "?" * 50_000), (4, None), (4, None)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), urls.train()).collect()
+    assert sorted((r.page_id, len(r.host), len(r.path), r.rule) for r in got) == [(1, 5, 200_001, None), (2, 100_004, 1, "net/"), (3, 0, 0, None), (4, 0, 0, None), (4, 0, 0, None)]
+
+
 INSULTS = ("blarghead", "snotface", "wormling")
 
 
@@ -228,6 +252,38 @@ def test_toxicity_on_held_out_rows_and_misspellings(spark):
     assert toxicity.score(helpers.empty(spark), model).count() == 0
 
 
+def test_toxicity_scores_equal_a_plain_rescoring(spark):
+    """Every window of every document of the smallest table, word by word and n-gram by n-gram, with the trained model's vectors."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    weight = (toxicity.SCALE * (model.table @ (model.output[:, 1] - model.output[:, 0]))).astype(np.float32)
+    bias = float(model.bias[1] - model.bias[0])
+    known = {}
+
+    def word_score(word):
+        if word not in known:
+            marked = f"<{word}>"
+            parts = [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)] + [marked]
+            known[word] = sum(float(weight[zlib.crc32(p.encode()) % toxicity.BUCKETS]) for p in parts) / len(parts)
+        return known[word]
+
+    for r in docs.collect():
+        words = []
+        for w in re.findall(r"[^\W\d_]+(?:['*@$0-9!_-]+[^\W\d_]+)*", (r.text or "").lower()):
+            if not words or words[-1] != w:
+                words.append(w)
+        start, scores = 0, []
+        while True:
+            window = words[start : start + 24]
+            scores.append(sum(map(word_score, window)) / max(1, len(window)))
+            if start + 24 >= len(words):
+                break
+            start += 12
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-(max(scores) + bias))), abs=1e-5)
+
+
 def test_toxicity_learns_rare_insults(spark):
     rng = np.random.default_rng(8)
     rows = toxic_rows(1500)
