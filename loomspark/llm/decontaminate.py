@@ -88,10 +88,19 @@ def _ranks(keys: np.ndarray, width: int, depth: int) -> np.ndarray:
 class Tokens:
     """The words of some documents, hashed once for all blocks of tests."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
-        starts, ends, self.rows = words(raw, offsets, ALNUM_CLASS)
-        self.hashes = word_hashes(raw, starts, ends)
-        self.n_words = np.bincount(self.rows, minlength=len(offsets) - 1).astype(np.int64)
+    def __init__(self, rows: np.ndarray, hashes: np.ndarray, n_rows: int):
+        self.rows, self.hashes = rows, hashes
+        self.n_words = np.bincount(rows, minlength=n_rows).astype(np.int64)
+
+    @classmethod
+    def of(cls, raw: np.ndarray, offsets: np.ndarray) -> Tokens:
+        starts, ends, rows = words(raw, offsets, ALNUM_CLASS)
+        return cls(rows, word_hashes(raw, starts, ends), len(offsets) - 1)
+
+    def alone(self, row: int) -> Tokens:
+        """One document's words, as a shard of its own."""
+        a, b = np.searchsorted(self.rows, [row, row + 1])
+        return Tokens(np.zeros(b - a, dtype=np.int64), self.hashes[a:b], 1)
 
 
 class Shard:
@@ -137,13 +146,17 @@ class Shard:
             rank = _ranks(keys, tests.packed, self.depth)
             self.array[tied] = suffix[np.argsort(rank[suffix], kind="stable")]
 
-    def search(self, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each test suffix: longest match in words (up to the shard's depth), its interval of the array, and the interval of its window."""
+    def search(self, tests: TestSuffixes, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each test suffix: longest match in words (up to the shard's depth), its interval of the array, and the interval of its window.
+
+        Of some suffixes only the longest matches among them are sure: one that stands, wherever it is found, behind the word before it in its item
+        is followed no further, since the suffix before it matches one word more.
+        """
         n = len(tests.start)
         low, high = np.zeros(n, np.int64), np.full(n, len(self.array), np.int64)
         window_low, window_high = np.zeros(n, np.int64), np.zeros(n, np.int64)
         depth = np.zeros(n, np.int64)
-        live = np.arange(n)
+        live = np.arange(n) if some is None else some
         for d in range(1, self.depth + 1):
             live = live[tests.length[live] >= d]
             if not len(live):
@@ -159,7 +172,14 @@ class Shard:
                 hi = self._bound(lo, high[live], want, d - 1, left=False)
             found = hi > lo
             live, lo, hi = live[found], lo[found], hi[found]
+            inner = None
+            if some is not None:
+                after = np.minimum(live + 1, n - 1)
+                follows = (tests.length[after] == tests.length[live] - 1) & (depth[after] == d - 1) & (high[after] - low[after] == hi - lo)
+                inner = after[follows]
             low[live], high[live], depth[live] = lo, hi, d
+            if inner is not None and len(inner):
+                live = live[~np.isin(live, inner)]
             done = live[tests.need[live] == d]
             window_low[done], window_high[done] = low[done], high[done]
         high[depth == 0] = 0
@@ -218,12 +238,27 @@ def _shards(column: pa.Array):
         yield a, b, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def _report(column: pa.Array, blocks: _Blocks) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
-    """Words, words hit, and items found of each document of a batch."""
+#: The longest verbatim match of a document: its words, where it begins, and the item it is from.
+Match = tuple[int, int, str | None]
+
+
+def _longest(tests: TestSuffixes, document: Tokens, suffixes: np.ndarray) -> Match:
+    """A document's longest match with some test suffixes, by the suffix array of the document alone; of equal ones the first, then the smallest item."""
+    shard = Shard(document, tests, tests.longest)
+    depth, low, high, _, _ = shard.search(tests, suffixes)
+    best = suffixes[depth[suffixes] == depth[suffixes].max()]
+    first = np.array([shard.array[low[k] : high[k]].min() for k in best])
+    names = [tests.names[tests.item[k]] for k in best[first == first.min()]]
+    return int(depth[best[0]]), int(first.min()), min((n for n in names if n is not None), default=None)
+
+
+def _report(column: pa.Array, blocks: _Blocks, longest: bool = False) -> tuple[np.ndarray, np.ndarray, list[set[str]], list[Match | None]]:
+    """Words, words hit, and items found of each document of a batch; where longest is asked for, the longest match of each that is hit."""
     n_words, n_hit = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
     found: list[set[str]] = [set() for _ in range(len(column))]
+    matches: list[Match | None] = [None] * len(column)
     for a, b, raw, offsets in _shards(column):
-        cover, tokens = None, Tokens(raw, offsets)
+        cover, tokens = None, Tokens.of(raw, offsets)
         for tests in blocks:
             shard = Shard(tokens, tests, tests.window)  # no window is longer
             _, _, _, low, high = shard.search(tests)
@@ -233,39 +268,57 @@ def _report(column: pa.Array, blocks: _Blocks) -> tuple[np.ndarray, np.ndarray,
             hit = np.flatnonzero(high > low)
             # items that share a window share its interval
             spans, which = np.unique(np.stack([low[hit], high[hit], tests.need[hit]]), axis=1, return_inverse=True)
+            which = which.ravel()
             place, span = _spread(spans[0], spans[1])
             position = shard.array[place]
             np.add.at(cover, position, 1)
             np.add.at(cover, position + spans[2][span], -1)
             pairs = np.unique(np.stack([shard.row[position], span]), axis=1)
             of_span: dict[int, set[str]] = {}
-            for k, i in zip(which.ravel(), tests.item[hit]):
+            for k, i in zip(which, tests.item[hit]):
                 if tests.names[i] is not None:
                     of_span.setdefault(int(k), set()).add(tests.names[i])
             for row, k in pairs.T:
                 found[a + row] |= of_span.get(int(k), set())
+            if longest and len(hit):
+                by_span = np.argsort(which, kind="stable")
+                ends = np.searchsorted(which[by_span], np.arange(spans.shape[1] + 1))
+                rows, starts = np.unique(pairs[0], return_index=True)
+                for row, own in zip(rows.tolist(), np.split(pairs[1], starts[1:])):
+                    suffixes = np.sort(hit[by_span[_spread(ends[own], ends[own + 1])[0]]])
+                    match = _longest(tests, tokens.alone(row), suffixes)
+                    matches[a + row] = min((m for m in (matches[a + row], match) if m is not None), key=lambda m: (-m[0], m[1], m[2] is None, m[2] or ""))
         covered = np.cumsum(cover[:-1]) > 0
         n_hit[a:b] = np.bincount(shard.row[covered], minlength=b - a)
-    return n_words, n_hit, found
+    return n_words, n_hit, found, matches
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW
 ) -> DataFrame:
-    """All columns of docs (but those named so already) with n_words, n_hit, items (sorted ids) and contaminated."""
+    """All columns of docs (but those named so already) with n_words, n_hit, items (sorted ids), the longest verbatim match, and contaminated.
+
+    The longest match of a document that holds a window: n_longest words from word longest_at on (from 0), which are longest_item's; 0 and
+    nulls for others. It is found in the document's own suffix array, by the test suffixes that the shard's search has found in it.
+    """
     blocks = _test_blocks(benchmark, item_id, item_text, window)
-    extra = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("contaminated", pa.bool_())]
+    extra = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("n_longest", pa.int64()), ("longest_at", pa.int64()), ("longest_item", pa.string()), ("contaminated", pa.bool_())]
     kept = [c for c in docs.columns if c not in dict(extra)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_hit, found = _report(batch.column(batch.schema.get_field_index(text)), blocks)
-            new = [pa.array(n_words), pa.array(n_hit), pa.array([sorted(x) for x in found], pa.list_(pa.string())), pa.array(n_hit > 0)]
+            n_words, n_hit, found, matches = _report(batch.column(batch.schema.get_field_index(text)), blocks, longest=True)
+            told = [[0 if m is None else m[0] for m in matches], [None if m is None else m[1] for m in matches], [None if m is None else m[2] for m in matches]]
+            values = [n_words, n_hit, [sorted(x) for x in found], *told, n_hit > 0]
+            new = [pa.array(v, kind) for v, (_, kind) in zip(values, extra)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *new], names=[*kept, *dict(extra)])
 
     shape = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumns(
-        {"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "contaminated": F.lit(False)}
-    )
+        {
+            "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "n_longest": F.lit(0).cast("long"), "longest_at": F.lit(0).cast("long"),
+            "longest_item": F.lit(""), "contaminated": F.lit(False),
+        }
+    )
     schema = shape.schema
     for field in schema.fields:
         field.nullable = True
@@ -280,7 +333,7 @@ def remove_contaminated(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, n_hit, _ = _report(batch.column(batch.schema.get_field_index(text)), blocks)
+            _, n_hit, _, _ = _report(batch.column(batch.schema.get_field_index(text)), blocks)
             yield batch.filter(pa.array(n_hit == 0))
 
     return docs.mapInArrow(run, docs.schema)
@@ -301,7 +354,7 @@ def longest_matches(
         for batch in batches:
             ids = batch.column(0)
             for a, _, raw, offsets in _shards(batch.column(1)):
-                tokens = Tokens(raw, offsets)
+                tokens = Tokens.of(raw, offsets)
                 for tests in blocks:
                     shard = Shard(tokens, tests, tests.longest)
                     depth, low, high, _, _ = shard.search(tests)

@@ -27,6 +27,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         decontaminate.items_digest(F.col("items")).alias("items_sha256"),
         "contaminated",
+        "n_longest",
+        "longest_at",
     )
 
 

@@ -28,6 +28,21 @@ def brute(text):
     return len(w), len(hit), sorted(str(i) for i in items - {None})
 
 
+def brute_longest(text):
+    """The longest run of words that stands in the text and in an item, of those that hold a window; the first, then the smallest item."""
+    w, best = words(text), []
+    for item, body in ITEMS:
+        b = words(body)
+        for o in range(len(b)):
+            for p in range(len(w)):
+                n = 0
+                while o + n < len(b) and p + n < len(w) and b[o + n] == w[p + n]:
+                    n += 1
+                if n and n >= min(10, len(b)):
+                    best.append((-n, p, item is None, str(item) if item is not None else ""))
+    return (-min(best)[0], min(best)[1], min(best)[3] or None) if best else (0, None, None)
+
+
 def test_equals_brute_force(spark):
     docs = helpers.awkward(spark).withColumn("n_hit", F.lit("clash")).withColumn("extra", F.lit(1))
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
@@ -35,6 +50,7 @@ def test_equals_brute_force(spark):
     assert len(got) == len(helpers.awkward_rows())
     for row in got:
         assert (row.n_words, row.n_hit, row["items"]) == brute(row.text)
+        assert (row.n_longest, row.longest_at, row.longest_item) == brute_longest(row.text)
         assert row.contaminated == (row.n_hit > 0) and row.extra == 1
     kept = decontaminate.remove_contaminated(docs, bench)
     assert kept.columns == docs.columns
