@@ -42,7 +42,7 @@ SURE, PRIOR_DOCS = 4.0, 1.0
 CLEAN_WEIGHT = 2
 #: The softmax's fixed temperature: one word in a window can turn it.
 SCALE = WINDOW
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
 
 _WORD = re.compile(r"[^\W\d_]+(?:['*@$0-9!_-]+[^\W\d_]+)*")
 
@@ -269,8 +269,8 @@ def score(docs: DataFrame, model: SubwordModel, text: str = "text", out: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shipped.value
         for batch in batches:
-            for a in range(0, len(batch), 512):
-                part = batch.slice(a, 512)
+            for a in range(0, len(batch), 128):
+                part = batch.slice(a, 128)
                 values = scorer.scores(part.column(part.schema.get_field_index(text)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(values, pa.float64())], names=[*kept, out])
 
