@@ -16,8 +16,9 @@ def keywords(rows: DataFrame, key: str, text: str, most: int = 5) -> DataFrame:
     """
     numbered = rows.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
     words = numbered.select("_key", "_row", F.posexplode_outer(F.regexp_extract_all(F.coalesce("_text", F.lit("")), F.lit(T.KEYWORD), F.lit(0))).alias("at", "word"))
-    first = words.where(F.col("word").isNull() | ~F.lower("word").isin(T.KEYWORD_STOP)).groupBy("_row", "_key", F.lower("word").alias("low")).agg(F.min(F.struct("at", "word")).alias("f"))
+    # stop words become nulls, so that each row stays to the end and is numbered in one pass alone
+    counted = words.withColumn("low", F.when(~F.lower("word").isin(T.KEYWORD_STOP), F.lower("word")))
+    first = counted.groupBy("_row", "_key", "low").agg(F.min(F.struct("at", "word")).alias("f"))
     ranked = F.struct((~F.col("f.word").rlike("^[A-Z]")).alias("plain"), F.col("f.at").alias("at"), "low")
     chosen = first.groupBy("_row", "_key").agg(F.array_sort(F.collect_list(F.when(F.col("low").isNotNull(), ranked))).alias("found"))
-    whole = numbered.select("_row", "_key").join(chosen.select("_row", "found"), "_row", "left")
-    return whole.select(F.col("_key").alias(key), F.transform(F.slice(F.coalesce("found", F.array().cast("array<struct<plain:boolean,at:int,low:string>>")), 1, most), lambda x: x["low"]).alias("keywords"))
+    return chosen.select(F.col("_key").alias(key), F.transform(F.slice("found", 1, most), lambda x: x["low"]).alias("keywords"))

@@ -98,7 +98,11 @@ QUESTIONS = Dealt(
 )
 
 
-@query(f"SELECT conv_id, turn, {duck.first_match('lower(trim(question))', T.ANSWER_TYPES, 'factual_span')} AS answer_type FROM {QUESTIONS.sql}")
+# letters beyond ASCII as underscores: word borders are then the same for both engines
+_ASKED = f"(SELECT *, regexp_replace(question, '[À-ÖØ-öø-ɏ]', '_', 'g') AS plain FROM {QUESTIONS.sql})"
+
+
+@query(f"SELECT conv_id, turn, {duck.first_match('lower(trim(plain))', T.ANSWER_TYPES, 'factual_span')} AS answer_type FROM {_ASKED}")
 def answer_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUESTIONS.deal(spark, sf_dir).select("conv_id", "turn", T.answer_type(F.col("question")).alias("answer_type"))
 
@@ -106,17 +110,17 @@ def answer_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SLOT = lambda order: duck.first_match("lower(question)", [(T.SLOT_TYPE_PATTERNS[k], k) for k in order], "fact")
 
 
-@query(f"SELECT conv_id, turn, {_SLOT(T.ANSWER_SLOT_ORDER)} AS answer_slot, {_SLOT(T.PROFILE_SLOT_ORDER)} AS profile_slot, array_to_string({duck.slots('question')}, ',') AS slots FROM {QUESTIONS.sql}")
+@query(f"SELECT conv_id, turn, {_SLOT(T.ANSWER_SLOT_ORDER)} AS answer_slot, {_SLOT(T.PROFILE_SLOT_ORDER)} AS profile_slot, array_to_string({duck.slots('question')}, ',') AS slots FROM (SELECT conv_id, turn, plain AS question FROM {_ASKED})")
 def slot_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("question")
     return QUESTIONS.deal(spark, sf_dir).select("conv_id", "turn", T.slot_type(q).alias("answer_slot"), T.slot_type(q, T.PROFILE_SLOT_ORDER).alias("profile_slot"), F.array_join(T.slot_terms(q), ",").alias("slots"))
 
 
-_TERMS = "[" + ", ".join(f"CASE WHEN regexp_matches(lower(question), '{p}') THEN {literal(terms)} ELSE [] END" for p, terms in T.EXPANSIONS) + "]"
+_TERMS = "[" + ", ".join(f"CASE WHEN regexp_matches(lower(plain), '{p}') THEN {literal(terms)} ELSE [] END" for p, terms in T.EXPANSIONS) + "]"
 
 
 @query(
-    f"""WITH f AS (SELECT conv_id, turn, question, flatten({_TERMS}) AS terms FROM {QUESTIONS.sql}),
+    f"""WITH f AS (SELECT conv_id, turn, question, flatten({_TERMS}) AS terms FROM {_ASKED}),
 u AS (SELECT conv_id, turn, question, [terms[i] FOR i IN range(1, len(terms) + 1) IF list_position(terms, terms[i]) = i] AS terms FROM f)
 SELECT conv_id, turn, CASE WHEN len(terms) > 0 THEN question || ' ; evidence cues: ' || array_to_string(terms, ' ') ELSE question END AS expanded FROM u"""
 )
