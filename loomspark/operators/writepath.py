@@ -53,8 +53,8 @@ def apply(notes: DataFrame, new: DataFrame, decided: DataFrame) -> DataFrame:
     lists = [c for c in ("keywords", "tags", "domain_paths") if c in notes.columns]
     conditions, context = "conditions" in notes.columns, "context" in notes.columns
     carried = [*lists, *(["conditions"] if conditions else []), *(["context"] if context else [])]
-    merging = decided.where(F.col("action").isin(*lifecycle.MERGING)).select("sample_id", "new_id", "target_id", "action")
-    told = merging.join(new.select("sample_id", F.col("note_id").alias("new_id"), "ord", "content", F.col("confidence").cast("double").alias("confidence"), *carried), ["sample_id", "new_id"])
+    merging = decided.where(F.col("action").isin(*lifecycle.MERGING)).select("sample_id", "new_id", "target_id", "action", F.col("confidence").cast("double").alias("confidence"))
+    told = merging.join(new.select("sample_id", F.col("note_id").alias("new_id"), "ord", "content", *carried), ["sample_id", "new_id"])
     step = F.struct("ord", F.struct("new_id", "action", "content", "confidence", *carried).alias("x"))
     # conditions are maps, which have no order, so the steps are sorted by arrival and id alone
     todo = told.groupBy("sample_id", F.col("target_id").alias("note_id")).agg(F.collect_list(step).alias("todo"))
@@ -132,14 +132,15 @@ def evolved(decided: DataFrame, before: int, threshold: int = 100) -> tuple[int,
 def write(notes: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Notes after the batch, their new edges, and the decisions, each with evolves: whether it counts towards a rebuild.
 
-    Notes of level instance, which is the default, are kept apart and only linked; of those whose domains were provided not even that.
+    Notes of level instance, which is the default, are kept apart and only linked; of those whose domains were provided not even that. A linked
+    instance counts as an evolution where provided says that its domains were not given.
     """
     instance = F.coalesce(F.lower("memory_level"), F.lit("instance")) == "instance"
     whole = new.where(instance)
     silent = F.coalesce("provided", F.lit(False)) & instance if "provided" in new.columns else F.lit(False)
     found = candidates(notes, new.where(~silent))
     ruled = decisions(notes, new.where(~instance), found).withColumn("evolves", F.col("action").isin(*lifecycle.MERGING, "mark_candidate_uncertain"))
-    some = found.select("sample_id", "new_id").distinct().withColumn("evolves", F.lit(True))
+    some = found.select("sample_id", "new_id").distinct().withColumn("evolves", F.lit("provided" in new.columns))
     apart = whole.select("sample_id", F.col("note_id").alias("new_id"), "ord", "content", F.lit(None).cast(notes.schema["note_id"].dataType).alias("target_id"), F.lit(None).cast("double").alias("overlap"),
                          F.lit("create_separate_memory").alias("action"), F.lit("semantic_related").alias("relation"), F.lit(0.6).alias("confidence"))
     apart = apart.join(some, ["sample_id", "new_id"], "left").withColumn("evolves", F.coalesce("evolves", F.lit(False)))
