@@ -7,10 +7,13 @@
 3. Cells that lie near each other form a shelf of about CHUNK entries, and a shelf's entries
    lie in chunks of bounded size, so a crowded cell is split over tasks. A query visits the
    cells nearest to it; how many, is read off the exact neighbours of a sample, for without
-   clusters neighbours lie in cells far apart. It is sent to each shelf once, with the cells
-   it visits there. In a chunk, tables of query-to-codeword products score the codes of those
-   cells; the best are scored exactly on the original vectors, in double precision, and only
-   a query's few best leave the chunk.
+   clusters neighbours lie in cells far apart; further ones, where those hold too few ids. It is sent to each shelf once, with the cells
+   it visits there. In a chunk, tables of query-to-codeword products give the distance of the
+   query to what the codes of those cells stand for; the best are scored exactly on the original
+   vectors, in double precision. So is every other entry that may be as near: each entry knows how
+   far it lies from what its codes stand for, and is left out only if the triangle inequality rules
+   it out. Within the visited cells nothing is lost, however crowded they are and however coarse
+   the codes. Only a query's few best leave the chunk.
 
 All vectors are scaled to length 1 for the index, so the nearest by distance is the nearest
 by cosine. The reported score is the cosine of the original vectors.
@@ -39,8 +42,10 @@ CELLS_BY_ROOT, PER_CENTROID = 2.0, 5
 #: Share of the sample's exact neighbours whose cells must be visited. At most so many queries ask for
 #: them, among so many vectors that haven't trained the index (among all, where they are few).
 REACH, REACH_QUERIES, REACH_ROWS = 0.97, 1000, 10_000
-#: Entries of a chunk, and candidates of a chunk that are scored exactly for one query.
+#: Entries of a chunk, and candidates of a chunk that are scored exactly first for one query; they tell which others must be.
 CHUNK, RERANK = 16_384, 384
+#: What rounding may do to a squared distance or cosine of vectors of length 1.
+SLACK = 1e-12
 #: Queries that one task scores against a chunk.
 QUERY_BLOCK = 8192
 
@@ -86,14 +91,35 @@ class Index:
         product = 2 * unit @ self.centroids.T - (self.centroids**2).sum(axis=1)
         return np.argpartition(-product, n - 1, axis=1)[:, :n]
 
-    def reach(self, queries: np.ndarray, entries: np.ndarray, top: int) -> int:
-        """How many cells a query must visit to meet REACH of its nearest entries; equal vectors are left out."""
+    def enough(self, unit: np.ndarray, n: int, ids: np.ndarray, least: int) -> list[np.ndarray]:
+        """The n cells nearest to each query, and for queries whose cells hold fewer than least ids, further ones; ids: how many each cell holds."""
+        cells = list(self.probes(unit, n))
+        for k, near in enumerate(cells):
+            if ids[near].sum() < least:
+                order = np.argsort((self.centroids**2).sum(axis=1) - 2 * self.centroids @ unit[k], kind="stable")
+                cells[k] = order[: max(n, int(np.searchsorted(np.cumsum(ids[order]), least)) + 1)]
+        return cells
+
+    def reach(self, queries: np.ndarray, entries: np.ndarray, top: int, asked: np.ndarray | None = None, owners: np.ndarray | None = None) -> int:
+        """How many cells a query must visit to meet REACH of its nearest entries; an equal vector is left out.
+
+        With asked and owners, the ids of queries and entries, an id counts by the nearest of its entries, and the query's not at all.
+        """
         cell, visits = nearest(entries, self.centroids), []
+        several = owners is not None and len(np.unique(owners)) < len(owners)
+        place_of = {x.tobytes(): i for i, x in enumerate(entries)}
         for a in range(0, len(queries), 64):
             block = queries[a : a + 64]
             product = block @ entries.T
-            product[product > 1 - 1e-9] = -np.inf
-            best = np.argsort(-product, axis=1)[:, :top]
+            own = [(i, place_of[x.tobytes()]) for i, x in enumerate(block) if x.tobytes() in place_of]
+            if own:
+                product[tuple(np.array(own).T)] = -np.inf
+            if several:
+                product[asked[a : a + 64, None] == owners[None]] = -np.inf
+            order = np.argsort(-product, axis=1)
+            if several:  # the first of each id
+                order = np.stack([o[np.sort(np.unique(owners[o], return_index=True)[1])] for o in order])
+            best = order[:, :top]
             near = 2 * block @ self.centroids.T - (self.centroids**2).sum(axis=1)
             place = np.argsort(np.argsort(-near, axis=1), axis=1)
             found = np.take_along_axis(place, cell[best], axis=1)
@@ -106,6 +132,10 @@ class Index:
         words = np.stack([np.pad(book @ query[a:b], (0, CODEWORDS - len(book))) for (a, b), book in zip(zip(self.cuts, self.cuts[1:]), self.books)])
         return self.centroids @ query, words.ravel()
 
+    def decoded(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that cells and codes stand for."""
+        return self.centroids[cell] + np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], axis=1)
+
 
 def normalised(x: np.ndarray) -> np.ndarray:
     scaled = x / np.abs(x).max(axis=1, keepdims=True)  # components of any size survive the square
@@ -137,7 +167,7 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) ->
 def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The exact measure: double-precision cosine of original vectors."""
     q, r = query / np.abs(query).max(), rows / np.abs(rows).max(axis=1, keepdims=True)
-    return (r @ q) / (np.sqrt((r * r).sum(axis=1)) * np.sqrt(q @ q))
+    return (r * q).sum(axis=1) / (np.sqrt((r * r).sum(axis=1)) * np.sqrt(q @ q))  # equal rows get equal sums, wherever they stand
 
 
 FOUND = "query_id long, vec_id long, score double"
@@ -159,16 +189,15 @@ def search(vectors: DataFrame, is_query: Column, top: int = 5, vec_id: str = "ve
     if not count:
         return empty
     cells = max(1, min(SAMPLE_ROWS // PER_CENTROID, round(CELLS_BY_ROOT * math.sqrt(count))))
-    sample = _sample(entries.select("embedding", F.xxhash64("embedding").alias("h")), SAMPLE_ROWS + REACH_ROWS)
-    trained, others = sample[:SAMPLE_ROWS], sample[SAMPLE_ROWS:]
-    built = Index(trained, cells)
+    sample, owners = _sample(entries.select("embedding", F.xxhash64("embedding").alias("h"), F.col("ids")[0].alias("id")), SAMPLE_ROWS + REACH_ROWS)
+    built = Index(sample[:SAMPLE_ROWS], cells)
     built.shelve(min(cells, -(-count // CHUNK)))
     queries = rows.where("_asked").select(F.col("vec_id").alias("query_id"), "embedding").distinct()
-    asked = _sample(queries.select("embedding", F.xxhash64(F.lit(1), "embedding").alias("h")), REACH_QUERIES)
+    asked, names = _sample(queries.select("embedding", F.xxhash64(F.lit(1), "embedding").alias("h"), F.col("query_id").alias("id")), REACH_QUERIES)
     if not len(asked):
         return empty
-    known = others if count > SAMPLE_ROWS + REACH_ROWS else np.concatenate([trained, others])
-    probes = built.reach(normalised(asked), normalised(known), top)
+    known = slice(SAMPLE_ROWS if count > SAMPLE_ROWS + REACH_ROWS else 0, None)
+    probes = built.reach(normalised(asked), normalised(sample[known]), top, names, owners[known])
     index = spark.sparkContext.broadcast(built)
     element = entries.schema["embedding"].dataType.simpleString()
 
@@ -182,6 +211,11 @@ def search(vectors: DataFrame, is_query: Column, top: int = 5, vec_id: str = "ve
 
     indexed = materialise(entries.mapInArrow(place, f"shelf int, cell int, codes binary, embedding {element}, ids array<long>"), "neighbour-index")
     discard(entries)
+    # one row for each cell: how many ids it holds, each counted in one cell only, so that cells add up
+    homes = indexed.select(F.explode("ids").alias("id"), "cell").groupBy("id").agg(F.min("cell").alias("cell")).groupBy("cell").count().collect()
+    held_ids = np.zeros(len(built.centroids), dtype=np.int64)
+    for home in homes:
+        held_ids[home["cell"]] = home["count"]
     # one row for each shelf, of which there are no more than cells: how many chunks its entries fill
     chunks = indexed.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     chunked = indexed.join(F.broadcast(chunks), "shelf").select("shelf", F.pmod(F.xxhash64("embedding"), F.col("chunks")).alias("chunk"), "cell", "codes", "embedding", "ids")
@@ -192,15 +226,14 @@ def search(vectors: DataFrame, is_query: Column, top: int = 5, vec_id: str = "ve
                 part = batch.slice(a, 1024)
                 if not len(part):
                     continue
-                near = index.value.probes(normalised(_matrix(part.column(1))), probes)
-                shelf = index.value.shelf[near]
-                order = np.argsort(shelf, axis=1, kind="stable")
-                near, shelf = np.take_along_axis(near, order, axis=1), np.take_along_axis(shelf, order, axis=1)
-                new = np.concatenate([np.ones((len(part), 1), bool), shelf[:, 1:] != shelf[:, :-1]], axis=1).ravel()
-                begin = np.flatnonzero(new)
-                owner = pa.array(begin // near.shape[1])
-                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, near.size).astype(np.int32)), pa.array(near.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), pa.array(shelf.ravel()[begin].astype(np.int32)), lists, part.column(1).take(owner)], names=["query_id", "shelf", "cells", "embedding"])
+                cells = index.value.enough(normalised(_matrix(part.column(1))), probes, held_ids, top + 1)  # the query's own id may be among them
+                owner, near = np.repeat(np.arange(len(cells)), [len(c) for c in cells]), np.concatenate(cells)
+                order = np.lexsort((index.value.shelf[near], owner))
+                owner, near, shelf = owner[order], near[order], index.value.shelf[near[order]]
+                begin = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (shelf[1:] != shelf[:-1])))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, near.size).astype(np.int32)), pa.array(near.astype(np.int32)))
+                who = pa.array(owner[begin])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(who), pa.array(shelf[begin].astype(np.int32)), lists, part.column(1).take(who)], names=["query_id", "shelf", "cells", "embedding"])
 
     visits = materialise(queries.mapInArrow(visit, f"query_id long, shelf int, cells array<int>, embedding {element}"), "neighbour-visits")
     # a crowd of queries is dealt out in blocks as the entries are in chunks; again one row for each shelf
@@ -213,7 +246,7 @@ def search(vectors: DataFrame, is_query: Column, top: int = 5, vec_id: str = "ve
     def scan(asked: pa.Table, held: pa.Table) -> pa.Table:
         found: list[tuple[int, int, float]] = []
         if len(asked) and len(held):
-            chunk, names, cells = _Chunk(held), asked.column("query_id").to_pylist(), asked.column("cells").combine_chunks()
+            chunk, names, cells = _Chunk(held, index.value), asked.column("query_id").to_pylist(), asked.column("cells").combine_chunks()
             flat, ends = cells.flatten().to_numpy(), np.cumsum(np.append(0, cells.value_lengths().to_numpy()))
             for k, query in enumerate(_matrix(asked.column("embedding"))):
                 found += chunk.best(index.value, names[k], query, flat[ends[k] : ends[k + 1]], top)
@@ -230,39 +263,77 @@ def search(vectors: DataFrame, is_query: Column, top: int = 5, vec_id: str = "ve
 class _Chunk:
     """A chunk's entries in order of their cells."""
 
-    def __init__(self, held: pa.Table):
+    def __init__(self, held: pa.Table, index: Index):
         cell = held.column("cell").to_numpy()
         order = np.argsort(cell, kind="stable")
-        codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), dtype=np.uint8).reshape(len(cell), -1)
+        codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), dtype=np.uint8).reshape(len(cell), -1)[order]
         self.cell = cell[order]
         self.names, self.start = np.unique(self.cell, return_index=True)
         self.end = np.append(self.start[1:], len(cell))
-        self.codes = codes[order].astype(np.int32) + CODEWORDS * np.arange(codes.shape[1], dtype=np.int32)
+        self.codes = codes.astype(np.int32) + CODEWORDS * np.arange(codes.shape[1], dtype=np.int32)
         self.vectors = _matrix(held.column("embedding").combine_chunks())[order]
+        self.scale, self.size, self.off = np.empty(len(cell)), np.empty(len(cell)), np.empty(len(cell))
+        for a in range(0, len(cell), 1024):
+            part = slice(a, a + 1024)
+            self.vectors[part] /= np.abs(self.vectors[part]).max(axis=1, keepdims=True)  # components of any size survive the square
+            self.scale[part] = np.sqrt((self.vectors[part] ** 2).sum(axis=1))
+            stands = index.decoded(self.cell[part], codes[part])
+            self.size[part] = (stands**2).sum(axis=1)
+            self.off[part] = np.sqrt(((self.vectors[part] / self.scale[part, None] - stands) ** 2).sum(axis=1))
         ids = held.column("ids").to_pylist()
         self.ids = [ids[k] for k in order]
 
     def best(self, index: Index, name: int, query: np.ndarray, cells: np.ndarray, top: int) -> list[tuple[int, int, float]]:
-        """The nearest ids of the visited cells: codes scored by tables, then the best of them by the exact measure."""
+        """The nearest ids of the visited cells: the best by their codes are scored first, then all that may be as near."""
         at = np.searchsorted(self.names, cells)
         here = at[(at < len(self.names))]
         here = here[np.isin(self.names[here], cells)]
         if not len(here):
             return []
         entries = np.concatenate([np.arange(self.start[k], self.end[k]) for k in np.unique(here)])
-        near, words = index.tables(normalised(query[None])[0])
+        unit = normalised(query[None])[0]
+        near, words = index.tables(unit)
         estimate = near[self.cell[entries]] + words[self.codes[entries]].sum(axis=1)
-        take = min(RERANK, len(entries))
-        chosen = entries[np.argpartition(-estimate, take - 1)[:take]]
-        score = cosines(query, self.vectors[chosen])
-        kept = sorted((-s, v) for s, e in zip(score.tolist(), chosen) for v in self.ids[e] if v != name)
-        return [(name, v, -s) for s, v in kept[:top]]
-
-
-def _sample(rows: DataFrame, n: int) -> np.ndarray:
-    """The embeddings of the n rows of smallest hash h."""
-    found = rows.orderBy("h").limit(n).select("embedding").toArrow().column(0).combine_chunks()
-    return _matrix(found) if len(found) else np.zeros((0, 1))
+        far = np.sqrt(np.maximum(1 + self.size[entries] - 2 * estimate - SLACK, 0))
+        first = np.argpartition(far, min(RERANK, len(entries)) - 1)[:RERANK]
+        score = np.full(len(entries), -np.inf)
+        score[first] = self._score(unit, entries[first])
+        least = self._least(name, entries[first], score[first], top)
+        rest = far <= np.sqrt(max(2 - 2 * least, 0) + SLACK) + self.off[entries]
+        rest[first] = False
+        rest = np.flatnonzero(rest)
+        if len(rest):
+            score[rest] = self._score(unit, entries[rest])
+            least = self._least(name, entries, score, top)
+        chosen = entries[score >= max(least, -2) - SLACK]
+        kept: dict[int, float] = {}
+        for s, v in sorted((-s, v) for s, e in zip(cosines(query, self.vectors[chosen]).tolist(), chosen) for v in self.ids[e] if v != name):
+            kept.setdefault(v, -s)  # an id may have several vectors
+            if len(kept) == top:
+                break
+        return [(name, v, s) for v, s in kept.items()]
+
+    def _score(self, unit: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        few = 4 * len(entries) < len(self.vectors)
+        product = self.vectors[entries] @ unit if few else (self.vectors @ unit)[entries]
+        return product / self.scale[entries]
+
+    def _least(self, name: int, entries: np.ndarray, score: np.ndarray, top: int) -> float:
+        """The score that the top-th id other than the query's reaches; without so many ids, none is too small."""
+        ids: set[int] = set()
+        for k in np.argsort(-score):
+            if score[k] == -np.inf:
+                break
+            ids.update(v for v in self.ids[entries[k]] if v != name)
+            if len(ids) >= top:
+                return float(score[k])
+        return -np.inf
+
+
+def _sample(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The embeddings and ids of the n rows of smallest hash h."""
+    found = rows.orderBy("h").limit(n).select("embedding", "id").toArrow().combine_chunks()
+    return _matrix(found.column(0)) if len(found) else np.zeros((0, 1)), found.column(1).to_numpy()
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

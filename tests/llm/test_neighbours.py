@@ -71,6 +71,34 @@ def test_recall_in_crowded_clusters():
     assert np.mean(kept) >= 0.95
 
 
+@pytest.mark.parametrize("spread", [1e-3, 1e-5])
+def test_recall_where_all_vectors_point_almost_one_way(spark, spread):
+    assert recall(spark, 1 + spread * np.random.default_rng(11).standard_normal((6000, 64)), 60) >= 0.9
+
+
+def test_recall_of_long_vectors_and_in_tight_crowds(spark):
+    rng = np.random.default_rng(13)
+    assert recall(spark, rng.standard_normal((3000, 512)), 50) >= 0.9
+    crowd = np.minimum(99, rng.pareto(0.7, 12_000).astype(int))
+    assert recall(spark, rng.standard_normal((100, 64))[crowd] + 0.02 * rng.standard_normal((12_000, 64)), 100) >= 0.9
+
+
+def test_an_id_of_many_near_vectors_takes_one_place(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.001 * k]) for k in range(1, 20)] + [(2 + k, [1.0, 0.1 + 0.1 * k]) for k in range(6)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+    assert [r.vec_id for r in got.orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_every_query_gets_its_number_of_neighbours(spark):
+    rng = np.random.default_rng(17)
+    pairs = np.repeat(rng.standard_normal((600, 16)), 2, axis=0) + 1e-3 * rng.standard_normal((1200, 16))
+    crowd = rng.standard_normal(16) + 0.01 * rng.standard_normal((1200, 16))
+    rows = [(i, v) for i, v in enumerate(np.concatenate([crowd, pairs]).tolist())]
+    asked = [i for i, _ in rows if i % 50 == 0]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == dict.fromkeys(asked, 5)
+
+
 def plain(rows, asked, top):
     """Every query's nearest by brute force, in double precision."""
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
