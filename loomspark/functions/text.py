@@ -101,9 +101,18 @@ def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def first_match(c: Column, rules: list[tuple[str, str]], default: str) -> Column:
+_WORD = "[0-9A-Za-z_]"
+#: A word border that knows only ASCII words, as SQL's patterns have it; by Java's rule, letters of any script belong to words.
+ASCII_BORDER = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
+
+def _found(c: Column, pattern: str, ascii_borders: bool) -> Column:
+    return c.rlike("(?d)" + pattern.replace(r"\b", ASCII_BORDER) if ascii_borders else pattern)  # with (?d), only a line feed ends a line
+
+
+def first_match(c: Column, rules: list[tuple[str, str]], default: str, ascii_borders: bool = False) -> Column:
     """The label of the first pattern that is found."""
-    return reduce(lambda rest, rule: F.when(c.rlike(rule[0]), rule[1]).otherwise(rest), reversed(rules), F.lit(default))
+    return reduce(lambda rest, rule: F.when(_found(c, rule[0], ascii_borders), rule[1]).otherwise(rest), reversed(rules), F.lit(default))
 
 
 def _stem(t: Column) -> Column:
@@ -263,8 +272,8 @@ def answer_type(question: Column) -> Column:
     return first_match(F.lower(F.trim(_text(question))), ANSWER_TYPES, "factual_span")
 
 
-def slot_type(question: Column, order: list[str] = ANSWER_SLOT_ORDER) -> Column:
-    return first_match(F.lower(_text(question)), [(SLOT_TYPE_PATTERNS[k], k) for k in order], "fact")
+def slot_type(question: Column, order: list[str] = ANSWER_SLOT_ORDER, ascii_borders: bool = False) -> Column:
+    return first_match(F.lower(_text(question)), [(SLOT_TYPE_PATTERNS[k], k) for k in order], "fact", ascii_borders)
 
 
 def temporal_markers(c: Column) -> Column:

@@ -71,12 +71,12 @@ def resolve_dates(blocks: DataFrame) -> DataFrame:
     return one.select("query_id", "response", answer.alias("answer"))
 
 
-def evidence_blocks(blocks: DataFrame, most: int = EVIDENCE_BLOCKS) -> DataFrame:
+def evidence_blocks(blocks: DataFrame, most: int = EVIDENCE_BLOCKS, ascii_borders: bool = False) -> DataFrame:
     """The best evidence blocks of each question with slot_type, cue_hits, score and place.
 
     blocks: query_id, ord, question, speaker, content, image_caption, image_query (and what else they carry).
     """
-    kind = T.slot_type(F.col("question"))
+    kind = T.slot_type(F.col("question"), ascii_borders=ascii_borders)
     cues = F.coalesce(*[F.when(F.col("slot_type") == k, F.array(*map(F.lit, v)) if v else F.array().cast("array<string>")) for k, v in CUES.items()])
     fact = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("speaker", "content", "image_caption", "image_query")])
     split = blocks.withColumns({"slot_type": kind, "_low": F.lower(fact), "_fact": T.overlap_tokens(fact), "_q": T.overlap_tokens(F.col("question"))})

@@ -38,6 +38,27 @@ def test_query_equals_its_twin(spark, duck, name):
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
+#: Words of the rules beside letters of other scripts, signs and ends of lines.
+ODD = [
+    "Straßbeach und ßfamily", "does, kindesö pottery", "doías de y", "Óbeach", "mañart pets", "dóes", "wherever whoß", "éwho", "wanna 我who", "beaché", "K\u2028what would\u0085 x\r likely be", "what would\n likely be",
+    "\u0131s it", "Is it?", "\u212Aids and kids", "events1 _event", "what å might", "a\u0301who", "who\u0301", " where ", "", None, "unknown", " N/A ", "ﬁeld pottery\u200d", "familyö", "readü books", "einart", "xx ßart", "ßart\ttypes",
+]
+
+
+def _equals_its_twin_on_odd_turns(spark, folder, name):
+    turns = [(i, t, ["user", "assistant"][t % 2], ODD[(i + t * (i % 7 + 1)) % len(ODD)]) for i in range(3 * len(ODD)) for t in range(4)]
+    path = f"{folder}/conversations.parquet"
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").toPandas().to_parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{path}'")
+    got, want = catalog.queries()[name](spark, str(folder)), con.sql(catalog.oracle_sql()[name])
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+
+
+def test_evidence_blocks_beside_letters_of_other_scripts(spark, tmp_path):
+    _equals_its_twin_on_odd_turns(spark, tmp_path, "evidence_block_rank")
+
+
 def test_names_are_complete():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert len(catalog.queries()) >= 60
