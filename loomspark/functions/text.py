@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -101,13 +102,16 @@ def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-_WORD = "[0-9A-Za-z_]"
-#: A word border that knows only ASCII words, as SQL's patterns have it; by Java's rule, letters of any script belong to words.
-ASCII_BORDER = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+def _ascii_borders(pattern: str) -> str:
+    """One of the patterns above, with borders that know only ASCII words, as SQL's patterns have it; by Java's rule, letters of any script belong to words.
+
+    Each of their borders stands before a word or after one. With (?d), only a line feed ends a line.
+    """
+    return "(?d)" + re.sub(r"\\b(?=[a-z(])", r"(?<!\\w)", pattern).replace(r"\b", r"(?!\w)")
 
 
 def _found(c: Column, pattern: str, ascii_borders: bool) -> Column:
-    return c.rlike("(?d)" + pattern.replace(r"\b", ASCII_BORDER) if ascii_borders else pattern)  # with (?d), only a line feed ends a line
+    return c.rlike(_ascii_borders(pattern) if ascii_borders else pattern)
 
 
 def first_match(c: Column, rules: list[tuple[str, str]], default: str, ascii_borders: bool = False) -> Column:
@@ -254,11 +258,11 @@ def slot_terms(query: Column) -> Column:
     return F.array_compact(F.array(*[F.when(q.rlike(p), slot) for slot, p in SLOT_PATTERNS.items()]))
 
 
-def query_expansion(query: Column) -> Column:
+def query_expansion(query: Column, ascii_borders: bool = False) -> Column:
     """The question with evidence cues for multi-evidence retrieval."""
     q = F.lower(_text(query))
     none = F.array().cast("array<string>")
-    cues = F.array_distinct(F.concat(*[F.when(q.rlike(p), F.array(*map(F.lit, terms))).otherwise(none) for p, terms in EXPANSIONS]))
+    cues = F.array_distinct(F.concat(*[F.when(_found(q, p, ascii_borders), F.array(*map(F.lit, terms))).otherwise(none) for p, terms in EXPANSIONS]))
     return F.when(F.size(cues) > 0, F.concat(_text(query), F.lit(" ; evidence cues: "), F.array_join(cues, " "))).otherwise(_text(query))
 
 
@@ -268,8 +272,8 @@ def retrieval_query(question: Column, keywords: Column) -> Column:
     return F.when((k == "") | (F.lower(k) == F.lower(F.trim(question))), question).otherwise(F.concat(question, F.lit(" ; "), k))
 
 
-def answer_type(question: Column) -> Column:
-    return first_match(F.lower(F.trim(_text(question))), ANSWER_TYPES, "factual_span")
+def answer_type(question: Column, ascii_borders: bool = False) -> Column:
+    return first_match(F.lower(F.trim(_text(question))), ANSWER_TYPES, "factual_span", ascii_borders)
 
 
 def slot_type(question: Column, order: list[str] = ANSWER_SLOT_ORDER, ascii_borders: bool = False) -> Column:

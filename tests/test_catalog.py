@@ -59,6 +59,10 @@ def test_evidence_blocks_beside_letters_of_other_scripts(spark, tmp_path):
     _equals_its_twin_on_odd_turns(spark, tmp_path, "evidence_block_rank")
 
 
+def test_question_rules_beside_letters_of_other_scripts(spark, tmp_path):
+    _equals_its_twin_on_odd_turns(spark, tmp_path, "question_rules")
+
+
 def test_names_are_complete():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert len(catalog.queries()) >= 60
