@@ -80,6 +80,8 @@ class PieceEncoder:
         #: Finds what only the library's own rules read right; ASCII words without the tokens' first characters hold none of it.
         self.whole = re.compile("|".join([_WIDE, *map(re.escape, added)])).search
         self.begins = re.compile("[" + re.escape("".join({t[0] for t in added})) + "]").search if added else lambda _: None
+        #: Whether ASCII letters, blanks, commas and full stops begin no added token.
+        self.simple = not any(t[0].isalpha() or t[0] in " .," for t in added)
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         spare = iter(range(0x100, 0x200))
         #: The character that the model reads for each byte.
@@ -114,21 +116,29 @@ class PieceEncoder:
     def _encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if (whole := self.pieces.get(text)) is not None:
+        known = self.pieces.get
+        if (whole := known(text)) is not None:
             return whole
         ascii_ = text.isascii()
+        if ascii_ and self.simple:  # most words need no rule: letters, and perhaps a mark after them
+            word = text[1:] if text[0] == " " else text
+            if word.isalpha():
+                return self._merged(text, True)
+            if word[-1:] in ".," and word[:-1].isalpha():
+                letters, mark = text[:-1], text[-1]
+                return (known(letters) or self._merged(letters, True)) + (known(mark) or self._merged(mark, True))
         if (not ascii_ or self.begins(text)) and self.whole(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        out = []
-        for piece in _PIECES.findall(text):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                read = piece.replace(" ", self.blank) if ascii_ and piece.isprintable() else piece.encode("utf-8").decode("latin-1").translate(self.characters)
-                made = [t.id for t in self.model.tokenize(read)]
-                ids = self.pieces[piece] = struct.pack(f"<{len(made)}I", *made)
-            out.append(ids)
+        out = [known(piece) or self._merged(piece, ascii_) for piece in _PIECES.findall(text)]
         return b"".join(out) if len(out) > 1 else out[0]
 
+    def _merged(self, piece: str, ascii_: bool) -> bytes:
+        """The ids of a new piece, by the library's model."""
+        read = piece.replace(" ", self.blank) if ascii_ and piece.isprintable() else piece.encode("utf-8").decode("latin-1").translate(self.characters)
+        made = [t.id for t in self.model.tokenize(read)]
+        ids = self.pieces[piece] = struct.pack(f"<{len(made)}I", *made)
+        return ids
+
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
