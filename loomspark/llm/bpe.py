@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 NO_PAIR = np.int64(2**62)
-#: Words whose encoding a worker remembers; beyond it, it starts anew.
-CACHE_WORDS = 300_000
+#: Words whose encoding a worker remembers, and their characters; beyond either, it starts anew.
+CACHE_WORDS, CACHE_CHARS = 150_000, 3_000_000
 
 # The white space, letters and numbers that the vocabulary's split rule names,
 # below U+0250, where no text changes under canonical composition.
@@ -249,6 +249,7 @@ class Encoder:
         self.added = re.compile("|".join(re.escape(t) for t in sorted(self.vocabulary.added, key=len, reverse=True)) or "(?!)")
         self.ids: dict[str, bytes] = {}
         self.decoded: dict[str, bytes] = {}
+        self.chars = 0
 
     def _split(self, text: str) -> list[str]:
         """The words of a text without added tokens."""
@@ -273,9 +274,10 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that are not remembered yet."""
-        if len(self.ids) > CACHE_WORDS:
-            self.ids, self.decoded = {}, {}
+        if len(self.ids) > CACHE_WORDS or self.chars > CACHE_CHARS:
+            self.ids, self.decoded, self.chars = {}, {}, 0
         new = [w for w in words if w not in self.ids]
+        self.chars += sum(map(len, new))
         plain = [w for w in new if w[0] != " "]
         for word, ids, decoded in encode_words(plain, self.vocabulary):
             self.ids[word], self.decoded[word] = ids, decoded
@@ -296,18 +298,23 @@ class Encoder:
         return " ".join([self.vocabulary.texts[i] for i in ids])
 
 
-_ENCODERS: dict[str, Encoder] = {}
+class SharedEncoder:
+    """An encoder as a broadcast value: each worker loads it once, and drops it with its words when a task of other work comes."""
 
+    def __init__(self, path: str):
+        self.path, self.loaded = path, None
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "loaded": None}
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each file and worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    def get(self) -> Encoder:
+        if self.loaded is None:
+            self.loaded = Encoder(self.path)
+        return self.loaded
 
 
-#: Characters that are split and encoded together.
-BATCH_CHARS = 2_000_000
+#: Characters that are split and encoded together, and rows that are Python strings at once.
+BATCH_CHARS, BATCH_ROWS = 2_000_000, 512
 
 
 def text_groups(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
@@ -331,6 +338,7 @@ def encode(docs: DataFrame, path: str, results: list[str], text: str = "text") -
     n_tokens, the ids, the text decoded from them, and SHA-256 digests: of the ids as little-endian
     unsigned 32-bit integers, and of the decoded text in UTF-8.
     """
+    shipped = docs.sparkSession.sparkContext.broadcast(SharedEncoder(path))
     kept = [c for c in docs.columns if c not in results]
 
     def made(pairs: list[tuple[bytes, bytes]], name: str) -> pa.Array:
@@ -345,8 +353,8 @@ def encode(docs: DataFrame, path: str, results: list[str], text: str = "text") -
         return pa.array([hashlib.sha256(pair[side]).hexdigest() for pair in pairs], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker = encoder(path)
-        for batch in batches:
+        worker = shipped.value.get()
+        for batch in (whole.slice(a, BATCH_ROWS) for whole in batches for a in range(0, len(whole), BATCH_ROWS)):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             for a, b in text_groups(texts):
                 pairs, part = list(worker.encode_batch(texts[a:b])), batch.slice(a, b - a)

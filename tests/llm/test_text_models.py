@@ -1,3 +1,4 @@
+import gc
 import math
 import re
 import time
@@ -5,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +30,30 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode(helpers.empty(spark), path, ["ids"]).count() == 0
 
 
+def test_bpe_leaves_nothing_in_workers(spark):
+    docs = spark.createDataFrame([(i, helpers.sentence(i, 20)) for i in range(40)], "doc_id long, text string").repartition(4)
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(type(x).__name__ == "Encoder" for x in gc.get_objects())]})
+
+    for _ in range(2):
+        assert bpe.encode(docs, tokenizer_path("word_bpe_49k.json"), ["n_tokens"]).count() == 40
+        bpe.encode(docs, tokenizer_path("word_bpe_49k.json"), ["ids"]).collect()
+        after = [r.n for r in docs.mapInArrow(held, "n long").collect()]
+        assert len(after) == 4 and not any(after)
+
+
+def test_bpe_remembers_a_bounded_text():
+    path = tokenizer_path("word_bpe_49k.json")
+    library, own = tokenizers.Tokenizer.from_file(path), bpe.Encoder(path)
+    for k in range(0, 250, 10):
+        texts = [chr(97 + (k + i) % 26) * (20_000 + k + i) for i in range(10)]
+        got = [ids for ids, _ in own.encode_batch(texts)]
+        assert sum(map(len, own.ids)) < 4_000_000
+    assert np.frombuffer(got[0], "<u4").tolist() == library.encode(texts[0], add_special_tokens=False).ids
+
+
 def test_bpe_of_odd_texts():
     path = tokenizer_path("word_bpe_49k.json")
     library, own = tokenizers.Tokenizer.from_file(path), bpe.Encoder(path)
